@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quillon.llm.common import with_text
 
@@ -206,7 +207,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: bool
 
     if not keep:
         return source.mapInArrow(run, SCHEMA)
-    schema = source.schema
-    for name, kind in zip(added, ("long", "string", "string"), strict=True):
-        schema = schema.add(name, kind)
-    return source.mapInArrow(run, schema)
+    kinds = (T.LongType(), T.StringType(), T.StringType())
+    return source.mapInArrow(run, T.StructType([*source.schema, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]]))
