@@ -24,7 +24,7 @@ from quillon.llm.common import with_text
 
 LEAF_BYTES = 48
 #: Distinct pieces whose ids a worker remembers; the memory is emptied beyond it.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 700_000
 #: Characters from which the pieces of a text are taken in portions.
 PORTION = 200_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
