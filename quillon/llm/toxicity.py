@@ -96,19 +96,18 @@ class Net:
             out[:, WORD_SIZE + k] = np.bincount(owner, self.w["tri"][bucket, k], len(own)) * weight
         return out
 
-    def gates(self, vectors: np.ndarray) -> np.ndarray:
-        """What words add to the gates of both directions."""
-        return np.hstack([vectors @ self.w["xf"] + self.w["cf"], vectors @ self.w["xb"] + self.w["cb"]])
+    def gates(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """What words add to the gates of either direction."""
+        return [vectors @ self.w[f"x{side}"] + self.w[f"c{side}"] for side in "fb"]
 
-    def forward(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray | None, keep: bool = False):
+    def forward(self, gates: list[np.ndarray], at: np.ndarray, mask: np.ndarray | None, keep: bool = False):
         """Logits of windows; ``at`` has the row of ``gates`` of each word, ``mask`` which places hold a word (all if None)."""
         w, h = self.w, HIDDEN
         n, length = at.shape
         states, kept = np.empty((2, length, n, h), np.float32), []
         for side, name in enumerate("fb"):
             u, state = w[f"u{name}"], np.zeros((n, h), np.float32)
-            columns = slice(side * 3 * h, (side + 1) * 3 * h)
-            own = np.ascontiguousarray(gates[:, columns])
+            own = gates[side]
             for t in range(length) if side == 0 else range(length - 1, -1, -1):
                 x = own[at[:, t]]
                 a = state @ u
@@ -181,17 +180,19 @@ class Scorer:
 
     def __init__(self, net: Net):
         self.net, self.memo = net, {}
-        self.gates = np.zeros((0, 6 * HIDDEN), np.float32)
+        self.gates = [np.zeros((0, 3 * HIDDEN), np.float32)] * 2
 
     def numbers(self, words: list[str]) -> np.ndarray:
         new = list(set(words).difference(self.memo))
         if new:
             if len(self.memo) + len(new) > MEMO_WORDS and self.memo:
                 self.memo.clear()
-                self.gates = self.gates[:0]
+                self.gates = [g[:0] for g in self.gates]
                 new = list(set(words))
-            self.memo.update(zip(new, range(len(self.gates), len(self.gates) + len(new)), strict=True))
-            self.gates = np.vstack([self.gates, self.net.gates(self.net.vectors(self.net.inputs([bare(w) for w in new])))])
+            known = len(self.gates[0])
+            self.memo.update(zip(new, range(known, known + len(new)), strict=True))
+            added = self.net.gates(self.net.vectors(self.net.inputs([bare(w) for w in new])))
+            self.gates = [np.vstack(pair) for pair in zip(self.gates, added, strict=True)]
         return np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
     def windows(self, texts: list[list[str]]) -> list[np.ndarray]:
@@ -281,17 +282,27 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Net:
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression on softened targets (Platt's), by Newton's method."""
-    a, b = 1.0, 0.0
+    """Slope and intercept of a logistic regression on softened targets (Platt's), by Newton's method with step halving."""
     y = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
-        slope, flat = ((p - y) * x).sum() + 0.01 * a, (p - y).sum()
-        v = p * (1 - p)
-        h = np.array([[(v * x * x).sum() + 0.01, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
-        da, db = np.linalg.solve(h, [slope, flat])
-        a, b = a - da, b - db
-    return float(a), float(b)
+    middle, spread = x.mean(), x.std() + 1e-6
+    u = np.column_stack([(x - middle) / spread, np.ones_like(x)])
+    ridge = np.array([0.1, 1e-6])
+
+    def loss(v: np.ndarray) -> float:
+        z = u @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * v * v).sum())
+
+    v = np.array([1.0, 0.0])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(u @ v, -40, 40)))
+        step = np.linalg.solve((u * (p * (1 - p))[:, None]).T @ u + np.diag(ridge + 1e-9), u.T @ (p - y) + ridge * v)
+        size = 1.0
+        while size > 1e-4 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return float(v[0] / spread), float(v[1] - v[0] * middle / spread)
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
