@@ -7,9 +7,10 @@ own ``k``: the more candidates its prefix would cost by the estimate, the longer
 shared shingles are required; of a pair, the smaller ``k`` holds.
 
 Before any pair is formed, documents that cannot meet the least requirement of any partner are peeled
-off, by counts alone. What is left is gathered into clusters of documents that share prefix shingles;
-clusters too large for a task are cut into blocks, and blocks that share too few prefix shingles are
-not compared. Within a pair of blocks, sparse incidence products count shared prefix shingles, verify
+off, by counts alone; those that are left get the longest prefix, the whole set, of which at least
+``ceil(t * size)`` shingles must be found elsewhere, and are peeled again. What remains, now with exact document
+frequencies, is gathered into clusters of documents that share prefix shingles; clusters too large for a task are cut
+into blocks, and blocks without a prefix shingle in common are not compared. Within a pair of blocks, sparse incidence products count shared prefix shingles, verify
 the candidates exactly and return links that span what they connect. Copies of one shingle set take part once.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +39,8 @@ FREQUENT = 65_536
 SAMPLE, SAMPLE_ROWS = 0.05, 2_000_000
 #: Estimated candidates of a prefix beyond which it is lengthened by one, two and three steps.
 COSTS = (2_000, 20_000, 200_000)
+#: A document requires at least one match for so many of its shingles.
+MATCH_PART = 25
 #: Shingles of a cluster, roughly, that one block holds.
 BLOCK = 120_000
 MEMO_WORDS = 300_000
@@ -83,7 +86,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def least_match(size: np.ndarray | int):
     """The matches that every document of a size requires at least; grows with the size."""
-    return np.maximum(1, np.asarray(size) // 25)
+    return np.maximum(1, np.asarray(size) // MATCH_PART)
 
 
 def needed(size):
@@ -115,7 +118,7 @@ class Prefixes:
         cost = int(weight[order[: n - overlap + match]].sum())
         for step in COSTS:
             if cost > step:
-                match += max(1, n // 25)
+                match += max(1, n // MATCH_PART)
         match = min(match, overlap)
         return shingles[order[: n - overlap + match]], match
 
@@ -187,28 +190,59 @@ def prefix_table(docs: DataFrame, frequent: Broadcast, words: int = WORDS) -> Da
 
 
 def live_postings(index: DataFrame) -> DataFrame:
-    """Postings whose shingle occurs in another document's prefix too; one shuffle of the postings."""
-    return index.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("_n > 1").drop("_n")
+    """Postings whose shingle occurs in another document of a size that allows a link; ``n`` has the shingle's documents.
 
+    One shuffle of the postings: in order of size, the nearest neighbour tells.
+    """
+    across = Window.partitionBy("s")
+    along = across.orderBy("size", "d")
+    near = index.withColumns({"_p": F.lag("size").over(along), "_q": F.lead("size").over(along), "n": F.count(F.lit(1)).over(across)})
+    return near.where((F.col("_p") * OF >= F.col("size") * SHARED) | (F.col("size") * OF >= F.col("_q") * SHARED)).drop("_p", "_q")
 
-def peel(live: DataFrame) -> DataFrame:
-    """Postings of documents that could still meet the least requirement of a partner; each pass may free more.
 
-    A partner has at least 0.8 times the size, and never requires less than ``least_match`` of that size.
-    """
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * SHARED / OF) / 25))
-    rows, before = live, -1
-    for _ in range(4):
-        rows = materialise(rows, "live")
+def peel(live: DataFrame, least: Column, tag: str, passes: int = 3) -> DataFrame:
+    """Postings of documents with at least ``least`` live shingles, a bound that any document with a partner meets; each pass may free more."""
+    rows, before = materialise(live, tag), -1
+    for _ in range(passes):
         count = rows.count()
         if count == 0 or before > 0 and count > 0.97 * before:
             break
         before = count
-        alive = rows.groupBy("d", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("d")
-        rows = live_postings(rows.join(alive, "d"))
+        alive = rows.groupBy("d", "size").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= least).select("d")
+        rows = materialise(live_postings(rows.drop("n").join(alive, "d")), tag)
     return rows
 
 
+def whole_postings(docs: DataFrame, alive: DataFrame, words: int) -> DataFrame:
+    """The longest prefixes, whole sets, of the documents in ``alive(doc_id)``."""
+    held = docs.join(small_side(alive, alive.count()), "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [shingler(text.as_py()) for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets, [False] * len(sets))], ["d", "size", "s"])
+
+    return held.dropDuplicates(["doc_id"]).mapInArrow(run, "d long, size long, s array<long>").select("d", "size", F.explode("s").alias("s"))
+
+
+def rarest(rows: DataFrame) -> DataFrame:
+    """Of each document's live shingles, rarest first, those in its prefix.
+
+    Shingles that no other document has come first in the order and need no rows: with ``k`` live ones, the prefix
+    of ``size - needed + 1`` ends after ``k - needed + 1`` of them.
+    """
+    own = Window.partitionBy("d")
+    placed = rows.withColumns({"_k": F.count(F.lit(1)).over(own), "_i": F.row_number().over(own.orderBy("n", "s"))})
+    return placed.where(F.col("_i") <= F.col("_k") - _needed("size") + 1).select("s", "d", "size")
+
+
+def _needed(size: str) -> Column:
+    return F.floor((F.col(size) * SHARED + OF - 1) / OF)
+
+
 class _Forest:
     """Union-find over positions."""
 
@@ -287,10 +321,10 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, first: i
 
 
 def cluster_blocks(rows: DataFrame) -> DataFrame:
-    """``(d, cluster, block, blocks)`` for documents that share live shingles with others; rows: live postings."""
-    lead = rows.groupBy("s").agg(F.min("d").alias("lead"))
-    edges = rows.join(lead, "s").where("d <> lead").select(F.col("d").alias("a"), F.col("lead").alias("b"))
-    member = components(edges)
+    """``(d, cluster, block, blocks)`` for documents that share prefix shingles, through others of allowed sizes, with others."""
+    along = Window.partitionBy("s").orderBy("size", "d")
+    chained = rows.withColumns({"b": F.lag("d").over(along), "_p": F.lag("size").over(along)}).where(F.col("_p") * OF >= F.col("size") * SHARED)
+    member = components(chained.select(F.col("d").alias("a"), "b").where("a <> b"))
     sized = member.join(rows.groupBy(F.col("d").alias("node")).agg(F.max("size").alias("size")), "node")
     totals = sized.groupBy("component").agg(F.sum("size").alias("total"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)).cast("int")
@@ -300,14 +334,11 @@ def cluster_blocks(rows: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs of blocks of one cluster to compare: each with itself, and those that share enough live shingles."""
+    """Pairs of blocks of one cluster to compare: each with itself, and those with a prefix shingle in common."""
     own = places.select("cluster", F.col("block").alias("x"), F.col("block").alias("y")).distinct()
-    large = places.where("blocks > 1")
-    cells = rows.join(large, "d").groupBy("cluster", "s", "block").agg(F.min("match").alias("m"))
-    sides = cells.select("cluster", "s", F.col("block").alias("x"), F.col("m").alias("mx")).join(cells.select("cluster", "s", F.col("block").alias("y"), F.col("m").alias("my")), ["cluster", "s"])
-    met = sides.where("x < y").groupBy("cluster", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    least = rows.join(large, "d").groupBy("cluster").agg(F.min("match").alias("least"))
-    return own.unionByName(met.join(least, "cluster").where("n >= least").select("cluster", "x", "y"))
+    cells = rows.join(places.where("blocks > 1"), "d").select("cluster", "s", "block").distinct()
+    sides = cells.withColumnRenamed("block", "x").join(cells.withColumnRenamed("block", "y"), ["cluster", "s"])
+    return own.unionByName(sides.where("x < y").select("cluster", "x", "y").distinct())
 
 
 def links(docs: DataFrame, prefix: DataFrame, frequent: Broadcast, words: int = WORDS) -> DataFrame:
@@ -316,10 +347,13 @@ def links(docs: DataFrame, prefix: DataFrame, frequent: Broadcast, words: int =
     ``prefix`` is the written :func:`prefix_table` of ``docs``.
     """
     holder = F.min(F.when(F.size("prefix") > 0, F.col("doc_id")))
-    reps = prefix.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("d"), holder.alias("doc_id"), F.first("n_shingles").alias("size"), F.first("match").alias("match"))
-    reps = materialise(reps, "classes")
-    index = prefix.where("size(prefix) > 0").select("mark", "doc_id", "prefix").join(reps, ["mark", "doc_id"]).select("d", F.explode("prefix").alias("s"))
-    rows = peel(live_postings(index).join(reps.select("d", "size", "match"), "d"))
+    reps = prefix.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("d"), holder.alias("doc_id"), F.first("n_shingles").alias("size"))
+    index = prefix.where("size(prefix) > 0").select("mark", "doc_id", "prefix").join(reps, ["mark", "doc_id"]).select("d", "size", F.explode("prefix").alias("s"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * SHARED / OF) / MATCH_PART))
+    first = peel(live_postings(index), least, "live", 2)
+    alive = materialise(first.groupBy(F.col("d").alias("doc_id"), "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("doc_id"), "alive")
+    second = peel(live_postings(whole_postings(docs, alive, words)), _needed("size"), "whole")
+    rows = materialise(rarest(second), "rarest")
     places = materialise(cluster_blocks(rows), "places")
     pairs = materialise(block_pairs(rows, places), "pairs")
     sides = pairs.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
