@@ -43,37 +43,39 @@ COSTS = (2_000, 20_000, 200_000)
 MATCH_PART = 25
 #: Shingles of a cluster, roughly, that one block holds.
 BLOCK = 120_000
-MEMO_WORDS = 300_000
+MEMO_WORDS = 600_000
+_FACTOR = np.uint64(0xD1342543DE82EF95)
 COLUMNS = 4_096
 
 
+class _Hashes(dict):
+    """8-byte hashes of words; remembers up to ``MEMO_WORDS``."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        out = self[word] = xxhash.xxh64_digest(word)
+        return out
+
+
 class Shingler:
-    """64-bit hashes of a text's distinct word shingles; remembers the hashes of up to ``MEMO_WORDS`` words."""
+    """64-bit hashes of a text's distinct word shingles."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self._memo = words, {}
+        self.words, self._memo = words, _Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; one for the whole sequence if it is short, none without words."""
         tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not tokens:
             return np.empty(0, np.uint64)
-        memo = self._memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        try:
-            h = np.array([memo[t] for t in tokens], np.uint64)
-        except KeyError:
-            for t in tokens:
-                if t not in memo:
-                    memo[t] = xxhash.xxh64_intdigest(t)
-            h = np.array([memo[t] for t in tokens], np.uint64)
+        h = np.frombuffer(b"".join(map(self._memo.__getitem__, tokens)), "<u8")
         width = min(self.words, len(h))
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
         for k in range(width):
-            out = _mixed(out ^ h[k : k + n])
-        return np.unique(out)
+            out = out * _FACTOR + h[k : k + n]
+        return np.unique(_mixed(out))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ class Prefixes:
         if not n:
             return shingles, 0
         weight = self.weights(shingles)
-        order = np.lexsort((shingles, weight))
+        order = np.argsort(weight, kind="stable")  # shingles are in order of hash
         overlap = int(needed(n))
         match = int(least_match(n))
         cost = int(weight[order[: n - overlap + match]].sum())
