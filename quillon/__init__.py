@@ -1,0 +1 @@
+"""Document-knowledge analytics on Spark: cleaning, chunking, knowledge units, skill records, similarity, search."""
