@@ -146,8 +146,10 @@ class _Written(dict):
 def digests(bpe: TreeBpe, text: str | None, written: dict, bytes_of: dict) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of their written form and of the bytes they decode to; texts of any length in bounded portions."""
     count, ids_hash, bytes_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
-    found = iter([bpe.pieces.findall(text)]) if len(text or "") <= PORTION else _portions(bpe, text)
-    for pieces in found if text else ():
+    text = text or ""
+    for pieces in [bpe.pieces.findall(text)] if len(text) <= PORTION else _portions(bpe, text):
+        if not pieces:
+            break
         joined = ",".join(map(written.__getitem__, pieces))
         ids = joined.split(",")
         count += len(ids)
@@ -184,7 +186,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: bool
     """Encode and decode every whole text; nulls count as empty texts.
 
     ``vocabulary`` is the path, on the driver, of a tiktoken rank file; its few hundred kilobytes are
-    broadcast. Returns ``SCHEMA`` per row, after the columns of ``docs`` if ``keep``. Empty texts get
+    broadcast. Returns ``SCHEMA`` per row, after the columns of ``docs`` if ``keep`` (columns of the same names are replaced). Empty texts get
     no ids and the digests of empty strings; repeated rows are encoded each; an empty table gives none.
     """
     with open(vocabulary, "rb") as file:

@@ -170,5 +170,5 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0
     text = F.aggregate(secrets, F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(MASK)))
     held = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), findings)
     changed = held.select("_row", text.alias("_text"))
-    out = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns]
+    out = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias(c) if c == "text" else F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns]
     return changed.select(*out)
