@@ -43,33 +43,24 @@ COSTS = (2_000, 20_000, 200_000)
 MATCH_PART = 25
 #: Shingles of a cluster, roughly, that one block holds.
 BLOCK = 120_000
-MEMO_WORDS = 600_000
+#: Digests of sets that a task remembers, to send the prefix of a copy once.
+MEMO_SETS = 200_000
 _FACTOR = np.uint64(0xD1342543DE82EF95)
 COLUMNS = 4_096
 
 
-class _Hashes(dict):
-    """8-byte hashes of words; remembers up to ``MEMO_WORDS``."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh64_digest(word)
-        return out
-
-
 class Shingler:
     """64-bit hashes of a text's distinct word shingles."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self._memo = words, _Hashes()
+        self.words = words
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; one for the whole sequence if it is short, none without words."""
         tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not tokens:
             return np.empty(0, np.uint64)
-        h = np.frombuffer(b"".join(map(self._memo.__getitem__, tokens)), "<u8")
+        h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, tokens)), "<u8")
         width = min(self.words, len(h))
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
@@ -175,7 +166,7 @@ def prefix_table(docs: DataFrame, frequent: Broadcast, words: int = WORDS) -> Da
                     s = shingler(text.as_py())
                     mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     prefix, match = prefixes.cut(s)
-                    if len(seen) > MEMO_WORDS:
+                    if len(seen) > MEMO_SETS:
                         seen.clear()
                     again.append(mark in seen)
                     seen.add(mark)
