@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillon.llm.common import with_text
+from quillon.llm.common import bound_batches, with_text
 
 LEAF_BYTES = 48
 #: Distinct pieces whose ids a worker remembers; the memory is emptied beyond it.
@@ -189,6 +189,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: bool
     broadcast. Returns ``SCHEMA`` per row, after the columns of ``docs`` if ``keep`` (columns of the same names are replaced). Empty texts get
     no ids and the digests of empty strings; repeated rows are encoded each; an empty table gives none.
     """
+    bound_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         raw = docs.sparkSession.sparkContext.broadcast(file.read())
     source = docs if keep else with_text(docs)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows below which the ids of one side of a join are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of whole texts that go to a Python worker at once; more rows only cost memory outside the heap.
+BATCH_ROWS = 512
 
 _local_scratch: list[str] = []
 
@@ -46,6 +48,16 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, for operators that hand whole texts to Python.
+
+    Results don't depend on it. It stays lowered, since a returned table is planned only when it is used.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def with_text(df: DataFrame) -> DataFrame:
     """The table's doc_id and text alone, so that further columns cannot clash."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

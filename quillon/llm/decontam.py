@@ -18,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import bound_batches
+
 #: Edits allowed per character of an item.
 RATE = 0.05
 #: Characters of items that are broadcast at once; a larger benchmark is searched in several passes.
@@ -146,6 +148,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
     Texts are compared in lower case with single spaces. Items of equal text are all reported; empty
     items and null or empty texts match nothing. Repeated rows report each; no rows give none.
     """
+    bound_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for portion in passes(benchmark):
@@ -165,6 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents without any item in them, with their own columns; row by row, without a shuffle."""
+    bound_batches(docs.sparkSession)
     for portion in passes(benchmark):
         items, key = docs.sparkSession.sparkContext.broadcast(portion), uuid.uuid4().hex
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import components, materialise, small_side, with_text
+from quillon.llm.common import bound_batches, components, materialise, small_side, with_text
 
 WORDS = 5
 #: Similarity 0.8 as a ratio of whole numbers.
@@ -373,6 +373,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     of several texts under one doc_id only one is compared with others. No rows give none.
     """
     docs = with_text(docs)
+    bound_batches(docs.sparkSession)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     prefix = materialise(prefix_table(docs, frequent, words), "prefixes")
     labels = components(links(docs, prefix, frequent, words))
