@@ -67,3 +67,10 @@ def coerced(raw: DataFrame) -> DataFrame:
         F.round(F.least(F.greatest(F.coalesce("confidence", F.lit(0.8)), F.lit(0.0)), F.lit(1.0)), 2).alias("confidence"),
         F.when(F.size(topped) == 0, F.array("unit_type")).otherwise(topped).alias("tags"),
     )
+
+
+def by_type(units_: DataFrame, book: str, order: str) -> DataFrame:
+    """The plain grouping: one record for each type of unit in a book, of quality n/5 up to 1."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o")))), lambda x: x["o"])
+    made = units_.groupBy(book, "unit_type").agg(F.count(F.lit(1)).alias("n_units"), ids.alias("knowledge_ids"))
+    return made.withColumn("quality_score", F.least(F.col("n_units") / 5, F.lit(1.0)))

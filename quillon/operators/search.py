@@ -28,6 +28,14 @@ def keyword(rows: DataFrame, query: str, fields: list[Column], name: Column, key
     return rows.where(every).select(key, score.cast("int").alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+def phrase(rows: DataFrame, wanted: str, fields: list[Column], best: Column, key: str, limit: int = 30) -> DataFrame:
+    """Rows with a whole phrase in one of the fields, in any case, best first; a blank phrase finds nothing."""
+    low, some = wanted.strip().lower(), F.lit(False)
+    for f in fields:
+        some = some | F.lower(F.coalesce(f, F.lit(""))).contains(low)
+    return rows.where(some if low else F.lit(False)).orderBy(best, key).limit(limit)
+
+
 def vectors(rows: DataFrame, query: list[float], key: str, vector: str, limit: int = 5) -> DataFrame:
     """Exact cosine search: rows of the query's length, best first, ties by key."""
     q = F.array(*[F.lit(float(x)) for x in query])

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from quillon.functions import vocabulary as V
 
 @F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two names, in this order."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Ratio of matching blocks of two names, in this order; null if one is."""
+    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def hashed_vector(docs: DataFrame, key: str, text: Column, dim: int = 384) -> DataFrame:
@@ -51,15 +51,25 @@ def content_pairs(skills: DataFrame, scope: str, order: str) -> DataFrame:
 
 
 def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Relations within a scope: related_to, extends and prerequisite, each at most once a pair and direction."""
+    """Relations within a scope of bounded size: related_to, extends and prerequisite, each at most once a pair and direction.
+
+    ``skills`` has a ``vector``. A pair is related by its vectors, else tags, else names, else shared units, else category;
+    names are compared only where vectors and tags don't decide.
+    """
     named = skills.withColumn("_p", T.plain_name(F.col("name")))
     hit = F.lit(False)
     for k in V.PREREQUISITE_KEYWORDS:
         hit = hit | F.col("_p").contains(k)
-    pairs = scoped_pairs(named.select(scope, order, "name", "tags", "category", "knowledge_ids", "_p", hit.alias("_pre")), scope, order)
-    tags, ids = T.jaccard(F.col("tags_a"), F.col("tags_b")), T.jaccard(F.col("knowledge_ids_a"), F.col("knowledge_ids_b"))
+    pairs = scoped_pairs(named.select(scope, order, "name", "tags", "category", "knowledge_ids", "vector", "_p", hit.alias("_pre")), scope, order)
+    pairs = pairs.withColumns({"_cos": T.cosine(F.col("vector_a"), F.col("vector_b")), "_tags": T.jaccard(F.col("tags_a"), F.col("tags_b"))}).drop("vector_a", "vector_b")
+    open_ = (F.col("_cos") < V.RELATED[0]) & (F.col("_tags") < V.RELATED[1])
+    pairs = pairs.withColumn("_ratio", name_ratio(F.when(open_, F.lower("name_a")), F.when(open_, F.lower("name_b"))))
+    ids = T.jaccard(F.col("knowledge_ids_a"), F.col("knowledge_ids_b"))
     same = (F.col("category_a") == F.col("category_b")) & (F.col("category_a") != "")
-    related = F.when(tags >= V.RELATED[1], F.round(tags, 3)).when(ids > V.RELATED[3], F.lit(0.5)).when(same, F.lit(0.4))
+    related = (
+        F.when(F.col("_cos") >= V.RELATED[0], F.round("_cos", 3)).when(F.col("_tags") >= V.RELATED[1], F.round("_tags", 3))
+        .when(F.col("_ratio") >= V.RELATED[2], F.round("_ratio", 3)).when(ids > V.RELATED[3], F.lit(0.5)).when(same, F.lit(0.4))
+    )
     la, lb = F.length("_p_a"), F.length("_p_b")
     b_has_a, a_has_b = F.col("_p_b").contains(F.col("_p_a")) & (la >= 4), F.col("_p_a").contains(F.col("_p_b")) & (lb >= 4)
     edge = lambda kind, forward, weight: F.struct(F.when(forward, F.col(f"{order}_a")).otherwise(F.col(f"{order}_b")).alias("source"), F.when(forward, F.col(f"{order}_b")).otherwise(F.col(f"{order}_a")).alias("target"), F.lit(kind).alias("type"), weight.alias("weight"))
@@ -76,29 +86,37 @@ def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
 def survivors(skills: DataFrame, scope: str, order: str) -> DataFrame:
     """Order-dependent removal of duplicates in each scope of bounded size: the better of two stays, the newer at the end.
 
-    Returns ``(scope, order, survivor)``: the record into which each one goes.
+    ``skills`` has a ``vector``. Two records are duplicates by their vectors, or by names and contents at once. Returns
+    ``(scope, order, survivor, method, similarity)``: the record into which each one goes at last, and what it was
+    removed for (null for survivors), semantic or lexical, with the cosine of the two.
     """
     kinds = {c: skills.schema[c].dataType.simpleString() for c in (scope, order)}
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
         rows = group.to_dict("records")
+        x = np.array(group["vector"].tolist(), dtype="float64")
+        norms = np.sqrt((x * x).sum(1))
         left: list[int] = []
-        into = {}
+        into: dict[int, int] = {}
+        why: dict[int, tuple[str, float]] = {}
         for i, row in enumerate(rows):
             into[i] = i
             for at, j in enumerate(left):
                 other = rows[j]
-                ws, wo = set(row["w"]), set(other["w"])
-                content = len(ws & wo) / len(ws | wo) if ws and wo else 0.0
-                if content < V.DUPLICATE[2] or difflib.SequenceMatcher(None, other["p"], row["p"]).ratio() < V.DUPLICATE[1]:
-                    continue
-                if row["quality_score"] > other["quality_score"]:
+                cosine = float(x[i] @ x[j] / (norms[i] * norms[j])) if norms[i] and norms[j] else 0.0
+                if cosine < V.DUPLICATE[0]:
+                    ws, wo = set(row["w"]), set(other["w"])
+                    content = len(ws & wo) / len(ws | wo) if ws and wo else 0.0
+                    if content < V.DUPLICATE[2] or difflib.SequenceMatcher(None, other["p"], row["p"]).ratio() < V.DUPLICATE[1]:
+                        continue
+                newer = row["quality_score"] > other["quality_score"]
+                if newer:
                     left.pop(at)
                     left.append(i)
-                    into[j] = i
-                else:
-                    into[i] = j
+                gone, kept = (j, i) if newer else (i, j)
+                into[gone] = kept
+                why[gone] = ("semantic" if cosine >= V.DUPLICATE[0] else "lexical", round(cosine, 4))
                 break
             else:
                 left.append(i)
@@ -108,8 +126,18 @@ def survivors(skills: DataFrame, scope: str, order: str) -> DataFrame:
                 i = into[i]
             return i
 
-        return pd.DataFrame({scope: group[scope], order: group[order], "survivor": [rows[end(i)][order] for i in range(len(rows))]})
+        causes = [why.get(i, (None, None)) for i in range(len(rows))]
+        return pd.DataFrame({scope: group[scope], order: group[order], "survivor": [rows[end(i)][order] for i in range(len(rows))], "method": [c[0] for c in causes], "similarity": pd.Series([c[1] for c in causes], index=group.index, dtype="float64")})
 
-    body = F.concat_ws(" ", "description", F.array_join("best_practices", " "), F.array_join("pitfalls", " "))
-    ready = skills.select(scope, order, "quality_score", T.content_tokens(body).alias("w"), F.lower(F.regexp_replace("name", r"[^a-zA-Z0-9\s]", "")).alias("p"))
-    return ready.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, survivor {kinds[order]}")
+    body = F.concat_ws(" ", "description", F.array_join("best_practices", " "), F.array_join("pitfalls", " "), F.array_join("checklist", " "))
+    ready = skills.select(scope, order, "quality_score", "vector", T.content_tokens(body).alias("w"), F.lower(F.regexp_replace("name", r"[^a-zA-Z0-9\s]", "")).alias("p"))
+    return ready.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, survivor {kinds[order]}, method string, similarity double")
+
+
+def merged(skills: DataFrame, found: DataFrame, scope: str, order: str, lists: tuple[str, ...] = ("knowledge_ids", "tags")) -> DataFrame:
+    """The survivors, their lists joined by those of the records that went into them: own values first, then in order."""
+    keyed = skills.join(found.select(scope, order, "survivor"), [scope, order])
+    first = (F.col(order) != F.col("survivor")).cast("int")
+    gathered = keyed.groupBy(scope, "survivor").agg(*[F.array_sort(F.collect_list(F.struct(first.alias("a"), F.col(order).alias("o"), F.col(c).alias("v")))).alias(f"_{c}") for c in lists])
+    kept = keyed.where(F.col(order) == F.col("survivor")).join(gathered, [scope, "survivor"])
+    return kept.withColumns({c: F.array_distinct(F.flatten(F.transform(f"_{c}", lambda s: s["v"]))) for c in lists}).drop("survivor", *[f"_{c}" for c in lists])

@@ -12,6 +12,8 @@ from quillon.functions import vocabulary as V
 from quillon.operators import knowledge, skills
 
 PREFIXES = ("Best Practice: ", "Avoid: ", "Step 3: ", "Rule 2: ", "Example: ", "Strategy: ", "Always ")
+BOOK = 200
+BOOK_SQL = f"source || '-' || (no // {BOOK})"
 KEYWORDS = tuple(k for k, _ in V.TAG_KEYWORDS)
 
 
@@ -94,9 +96,13 @@ UNITS_SQL = _unit_sql()
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewed skill records of the units' groups, with the source and a number in order of groups."""
+    """Reviewed skill records of the units' groups, with the source, a number in order of groups, and a book.
+
+    A book is a run of numbers within a source, so it holds at most ``BOOK`` records however much a source holds.
+    """
     made = skills.reviewed(skills.records(units(spark, sf_dir), "grp"))
-    return made.withColumn("source", F.substring_index("grp", "-", 1)).withColumn("no", F.substring_index("grp", "-", -1).cast("long"))
+    made = made.withColumn("source", F.substring_index("grp", "-", 1)).withColumn("no", F.substring_index("grp", "-", -1).cast("long"))
+    return made.withColumn("book", F.concat_ws("-", "source", F.floor(F.col("no") / BOOK).cast("string")))
 
 
 SKILLS_SQL = f"""{UNITS_SQL},

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import clean
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import chunk, knowledge, search, similar, skills, topics
+from quillon.operators import chunk, embed, knowledge, search, similar, skills, topics
 from quillon.plans import inputs
 from quillon.plans.inputs import SKILLS_SQL, UNITS_SQL, documents, name_sql, records, title_sql, units
 from quillon.sources import files
@@ -297,10 +297,10 @@ _HEX = "('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr
 
 @query(f"""WITH {_TOKENS_SQL}, c AS (SELECT doc_id, token, count(*) AS n, md5(token) AS h FROM tok GROUP BY doc_id, token),
 b AS (SELECT doc_id, ({_HEX} % 384)::INTEGER AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END * sqrt(n)) AS v FROM c GROUP BY ALL),
-q AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY doc_id) SELECT doc_id, count(*) FILTER (abs(v) > 1e-9) AS n_buckets, round(max(v / norm), 6) AS top, round(sum(v / norm), 4) AS total FROM b JOIN q USING (doc_id) WHERE norm > 0 GROUP BY doc_id""")
+q AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM b GROUP BY doc_id) SELECT doc_id, count(*) FILTER (abs(v) > 1e-9) AS n_buckets, round(max(v / norm), 6) AS top, CASE WHEN abs(sum(v / norm)) < 5e-5 THEN 0 ELSE round(sum(v / norm), 4) END::DOUBLE AS total FROM b JOIN q USING (doc_id) WHERE norm > 0 GROUP BY doc_id""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = similar.hashed_vector(documents(spark, sf_dir), "doc_id", F.col("text"))
-    return cells.groupBy("doc_id").agg(F.count_if(F.abs("value") > 1e-9).alias("n_buckets"), F.round(F.max("value"), 6).alias("top"), F.round(F.sum("value"), 4).alias("total"))
+    return cells.groupBy("doc_id").agg(F.count_if(F.abs("value") > 1e-9).alias("n_buckets"), F.round(F.max("value"), 6).alias("top"), F.when(F.abs(F.sum("value")) < 5e-5, 0.0).otherwise(F.round(F.sum("value"), 4)).alias("total"))
 
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -329,15 +329,32 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower(description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ')), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_quoted(*V.CONTENT_STOPWORDS)})))"
 
 
-@query(f"""WITH {SKILLS_SQL}, c AS (SELECT source, no, grp, {_CONTENT} AS w FROM skills), p AS (SELECT a.source, a.no AS no_a, b.no AS no_b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END AS j
-  FROM c a JOIN c b ON a.source = b.source AND a.no < b.no) SELECT source, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""")
+@query(f"""WITH {SKILLS_SQL}, c AS (SELECT {inputs.BOOK_SQL} AS book, no, grp, {_CONTENT} AS w FROM skills), p AS (SELECT a.book, a.no AS no_a, b.no AS no_b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END AS j
+  FROM c a JOIN c b ON a.book = b.book AND a.no < b.no) SELECT book, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""")
 def dedup_content_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.content_pairs(records(spark, sf_dir), "source", "no")
+    return similar.content_pairs(records(spark, sf_dir), "book", "no")
+
+
+def _embedded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = records(spark, sf_dir)
+    return made.join(embed.dense(made, "grp", embed.skill_text()), "grp")
 
 
 @query()
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.survivors(records(spark, sf_dir), "source", "no")
+    return similar.survivors(_embedded_records(spark, sf_dir), "book", "no")
+
+
+@query()
+def dedup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _embedded_records(spark, sf_dir)
+    return similar.merged(made, similar.survivors(made, "book", "no"), "book", "no").select("book", "no", F.array_join("tags", ",").alias("tags"), F.size("knowledge_ids").alias("n_units"))
+
+
+@query()
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_greedy(spark, sf_dir)
+    return found.agg(F.count(F.lit(1)).alias("input"), F.count("method").alias("removed"), F.count_if(F.col("no") == F.col("survivor")).alias("final"), F.count_if(F.col("method") == "semantic").alias("semantic"), F.count_if(F.col("method") == "lexical").alias("lexical"))
 
 
 @query(f"WITH {SKILLS_SQL} SELECT grp AS id, name, category, array_to_string(tags, ',') AS tags, left(description, 200) AS description FROM skills")
@@ -346,18 +363,63 @@ def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PRE = " OR ".join(f"contains(p, '{k}')" for k in V.PREREQUISITE_KEYWORDS)
-_JT = "CASE WHEN len(a.tags) = 0 OR len(b.tags) = 0 THEN 0 ELSE len(list_intersect(a.tags, b.tags))::DOUBLE / len(list_distinct(list_concat(a.tags, b.tags))) END"
 
 
-@query(rf"""WITH {SKILLS_SQL}, n AS (SELECT source, no, tags, category, trim(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS p FROM skills), m AS (SELECT *, ({_PRE}) AS pre FROM n),
-ab AS (SELECT a.source AS scope, a.no AS x, b.no AS y, {_JT} AS tj, a.category = b.category AND a.category <> '' AS same, a.pre AS pa, b.pre AS pb, contains(b.p, a.p) AND length(a.p) >= 4 AS ba, contains(a.p, b.p) AND length(b.p) >= 4 AS ab_,
-  length(a.p) AS la, length(b.p) AS lb FROM m a JOIN m b ON a.source = b.source AND a.no < b.no)
-SELECT scope AS source_book, x AS source, y AS target, 'related_to' AS type, CASE WHEN tj >= 0.4 THEN round(tj, 3) ELSE 0.4 END::DOUBLE AS weight FROM ab WHERE tj >= 0.4 OR same
-UNION ALL SELECT scope, CASE WHEN ba THEN y ELSE x END, CASE WHEN ba THEN x ELSE y END, 'extends', round(least(la, lb)::DOUBLE / greatest(la, lb), 3) FROM ab WHERE ba OR ab_
-UNION ALL SELECT scope, CASE WHEN pa THEN x ELSE y END, CASE WHEN pa THEN y ELSE x END, 'prerequisite', 1.0 FROM ab WHERE pa <> pb""")
+@query()
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = records(spark, sf_dir).withColumnRenamed("source", "source_book")
-    return similar.edges(made, "source_book", "no")
+    return similar.edges(_embedded_records(spark, sf_dir), "book", "no")
+
+
+@query(rf"""WITH {SKILLS_SQL}, n AS (SELECT {inputs.BOOK_SQL} AS book, no, trim(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS p FROM skills), m AS (SELECT *, ({_PRE}) AS pre FROM n),
+ab AS (SELECT a.book, a.no AS x, b.no AS y, a.pre AS pa, b.pre AS pb, contains(b.p, a.p) AND length(a.p) >= 4 AS ba, contains(a.p, b.p) AND length(b.p) >= 4 AS ab_,
+  length(a.p) AS la, length(b.p) AS lb FROM m a JOIN m b ON a.book = b.book AND a.no < b.no)
+SELECT book, CASE WHEN ba THEN y ELSE x END AS source, CASE WHEN ba THEN x ELSE y END AS target, 'extends' AS type, round(least(la, lb)::DOUBLE / greatest(la, lb), 3) AS weight FROM ab WHERE ba OR ab_
+UNION ALL SELECT book, CASE WHEN pa THEN x ELSE y END, CASE WHEN pa THEN y ELSE x END, 'prerequisite', 1.0 FROM ab WHERE pa <> pb""")
+def kg_directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kg_edges(spark, sf_dir).where("type <> 'related_to'")
+
+
+@query(f"WITH {SKILLS_SQL} SELECT grp, md5(name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  ') AS text_hash FROM skills")
+def skill_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("grp", F.md5(embed.skill_text()).alias("text_hash"))
+
+
+@query("SELECT sha256(text) AS text_hash, length(min(text))::INTEGER AS n_chars FROM documents WHERE trim(text) <> '' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) GROUP BY 1")
+def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir)
+    cache = rows.where("doc_id % 2 = 0").select(F.sha2("text", 256).alias("text_hash"), F.lit("hash").alias("backend"), F.lit(384).alias("dim"))
+    return embed.missing(rows.where("trim(text) <> ''"), cache, "hash", 384).select("text_hash", F.length("text").alias("n_chars"))
+
+
+@query()
+def embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = spark.createDataFrame([], embed.CACHE_SCHEMA)
+    chunks, _ = embed.embedded(chunk.fixed(documents(spark, sf_dir), "doc_id", 200, 50), empty)
+    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir), "id", "grp")
+    return found.select("id", "source_type", F.md5("text").alias("text_hash"), F.size("vector").alias("dim"))
+
+
+@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed WHERE contains(lower(name), 'step') OR contains(lower(description), 'step') OR contains(lower(array_to_string(tags, chr(10))), 'step') OR contains(lower(category), 'step') ORDER BY quality_score DESC, grp LIMIT 30")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.phrase(records(spark, sf_dir), "Step", [F.col("name"), F.col("description"), F.array_join("tags", "\n"), F.col("category")], F.desc("quality_score"), "grp").select("grp", "quality_score")
+
+
+@query(f"WITH {UNITS_SQL} SELECT source, unit_type AS type, count(*) AS n_units, least(count(*) / 5.0, 1.0)::DOUBLE AS quality_score, array_to_string(list(ord ORDER BY ord), ',') AS knowledge_ids FROM units GROUP BY source, unit_type")
+def type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.by_type(units(spark, sf_dir), "source", "ord").select("source", F.col("unit_type").alias("type"), "n_units", "quality_score", F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace('co-' || chr(10) || '  operate ' || text || chr(10) || 'end', '([[:word:]])-\s*\n\s*([[:word:]])', '\1\2', 'g'), '\n', ' ', 'g')) AS text_hash FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND NOT starts_with(text, chr(10)) AND NOT ends_with(text, chr(10)) AND NOT regexp_matches(text, '-\s*\n')")
+def text_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = documents(spark, sf_dir).where(r"NOT contains(text, '\n\n') AND NOT startswith(text, '\n') AND NOT endswith(text, '\n') AND NOT text RLIKE '-\\s*\n'")
+    return plain.select("doc_id", F.md5(files.repaired(F.concat(F.lit("co-\n  operate "), "text", F.lit("\nend")))).alias("text_hash"))
+
+
+@query(f"WITH {_TOKENS_SQL} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY token")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = documents(spark, sf_dir).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    per_doc = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 @query()
