@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; without one (tests), keep the plan."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/topics-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quillon.operators.lineage import written
 
 
 def components(units: DataFrame, key: str = "unit_id") -> DataFrame:
@@ -24,12 +14,12 @@ def components(units: DataFrame, key: str = "unit_id") -> DataFrame:
     Each round sends labels through tags: one row per unit and tag, never a pair of units, so frequent tags cost
     no more than rare ones.
     """
-    tagged = _written(units.select(key, F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag")))
-    labels = _written(units.select(key, F.col(key).alias("topic")))
+    tagged = written(units.select(key, F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag")), "topics")
+    labels = written(units.select(key, F.col(key).alias("topic")), "topics")
     while True:
         low = tagged.join(labels, key).groupBy("tag").agg(F.min("topic").alias("topic"))
         reached = tagged.join(low, "tag").groupBy(key).agg(F.min("topic").alias("_low"))
-        after = _written(labels.join(reached, key, "left").select(key, F.least("topic", F.coalesce("_low", "topic")).alias("topic"), (F.col("_low") < F.col("topic")).alias("_moved")))
+        after = written(labels.join(reached, key, "left").select(key, F.least("topic", F.coalesce("_low", "topic")).alias("topic"), (F.col("_low") < F.col("topic")).alias("_moved")), "topics")
         if not after.where("_moved").limit(1).count():
             return after.select(key, "topic")
         labels = after.select(key, "topic")
