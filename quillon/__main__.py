@@ -1,4 +1,4 @@
-"""Command line: run, books, skills, search, similar, stats, export, delete and clear on one store."""
+"""Command line: run, books, skills, search, similar, stats, settings, export, delete, clear and serve on one store."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.engine import Engine, Settings
+from quillon.plans.service import Api, server
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -29,6 +30,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         found.add_argument("text")
         found.add_argument("--limit", type=int, default=10)
     commands.add_parser("stats")
+    commands.add_parser("settings")
+    served = commands.add_parser("serve", help="answer HTTP requests; runs process the given folder")
+    served.add_argument("folder")
+    served.add_argument("--port", type=int, default=8000)
     commands.add_parser("export").add_argument("folder")
     commands.add_parser("delete").add_argument("id")
     commands.add_parser("clear", help="forget cached vectors and finished work")
@@ -48,6 +53,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         engine.similar_to(a.text, a.limit).show(a.limit, truncate=False)
     elif a.command == "stats":
         engine.stats().show()
+    elif a.command == "settings":
+        engine.settings_table().show(50, truncate=False)
+    elif a.command == "serve":
+        server(Api(engine, a.folder), a.port).serve_forever()
     elif a.command == "export":
         print(engine.export_markdown(a.folder), "files")
     elif a.command == "delete":

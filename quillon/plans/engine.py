@@ -182,6 +182,9 @@ class Engine:
     def stats(self) -> DataFrame:
         return skills.stats(self.skills.current().withColumn("_source", F.coalesce(F.nullif("source_book", F.lit("")), "book_id")), "_source")
 
+    def settings_table(self) -> DataFrame:
+        return self.spark.createDataFrame([(k, str(v)) for k, v in asdict(self.settings).items()], "setting string, value string")
+
     def report(self) -> DataFrame:
         return self.spark.createDataFrame(self.metrics, "stage string, seconds double, success boolean, error string")
 

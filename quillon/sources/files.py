@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.text import word_count
+from quillon.operators.lineage import written
+
 FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "txt": "text", "md": "text"}
 PAGE_CHARACTERS = 2_000
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -84,6 +87,30 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("file_hash", "format", "content").mapInPandas(run, "file_hash string, page_no int, text string, error string")
 
 
+def hybrid(files: DataFrame, scanned: Callable[[bytes], list[str]], least: float = 0.3) -> DataFrame:
+    """``(file_hash, page_no, text, error, method)``: pages read directly, or recognised by ``scanned`` where the text is poor or unreadable.
+
+    A file is read twice only if its first reading is of quality below ``least``.
+    """
+    direct = written(extracted(files), "direct")
+    sizes = direct.groupBy("file_hash").agg(F.sum(F.when(F.col("error").isNull(), word_count(F.col("text"))).otherwise(0)).alias("w"), F.count_if(F.col("error").isNull()).alias("n"))
+    poor = sizes.where(page_quality(F.col("w").cast("double"), F.col("n").cast("double")) < least).select("file_hash")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for digest, content in zip(batch["file_hash"], batch["content"], strict=True):
+                try:
+                    rows += [(digest, i, t, None) for i, t in enumerate(scanned(content), 1) if t.strip()]
+                except Exception as problem:  # noqa: BLE001  one bad file must not end the scan
+                    rows.append((digest, 0, None, f"{type(problem).__name__}: {problem}"))
+            yield pd.DataFrame(rows, columns=["file_hash", "page_no", "text", "error"])
+
+    again = files.join(poor, "file_hash", "left_semi").select("file_hash", "content").mapInPandas(run, "file_hash string, page_no int, text string, error string")
+    kept = direct.join(poor, "file_hash", "left_anti").withColumn("method", F.lit("direct"))
+    return kept.unionByName(again.withColumn("method", F.lit("hybrid")))
+
+
 def page_quality(words_: Column, n_pages: Column) -> Column:
     """Quality of directly extracted text by words a page."""
     rate = F.try_divide(words_, n_pages)

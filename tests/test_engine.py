@@ -131,4 +131,6 @@ def test_run(spark, tmp_path, capsys):
     assert engine.export_markdown(str(tmp_path / "out")) == len(made) == len(list((tmp_path / "out").glob("*.md")))
     main(["--store", f"{tmp_path}/store", "delete", made[0]["id"]], spark)
     main(["--store", f"{tmp_path}/store", "stats"], spark)
-    assert "1 deleted" in capsys.readouterr().out and engine.skills.count() == len(made) - 1
+    main(["--store", f"{tmp_path}/store", "settings"], spark)
+    out = capsys.readouterr().out
+    assert "1 deleted" in out and "chunk_words" in out and engine.skills.count() == len(made) - 1
