@@ -54,3 +54,18 @@ HEADING = r"(?i)^(#{1,4}\s+|(chapter|section|part|appendix)\s+\d+[.:]?\s*)"
 # Thresholds of duplicates (cosine, name, content) and of relations (cosine, tags, name, units).
 DUPLICATE = (0.85, 0.75, 0.60)
 RELATED = (0.7, 0.4, 0.6, 0.3)
+# Notes of the review on what a record lacks, in order; the note if it lacks nothing; feedback by status.
+REVIEW_NOTES = {
+    "description": "description is too short (<= 50 chars)",
+    "best_practices": "no best practices",
+    "workflow": "no workflow",
+    "pitfalls": "no pitfalls",
+    "examples": "no examples",
+    "tags": "tags/category missing or sparse",
+}
+REVIEW_COMPLETE = "all criteria met: description, examples, workflow, pitfalls, tags/category"
+REVIEW_FEEDBACK = {
+    "approved": "Skill is well-structured and ready for approval.",
+    "reviewed": "Skill is acceptable but needs improvements before approval.",
+    "rejected": "Skill lacks essential sections; needs rework or rejection.",
+}

@@ -103,7 +103,7 @@ def reviewed(made: DataFrame, make: Provider, **calls) -> DataFrame:
     rated = skills.reviewed(made)
     shown = F.to_json(F.struct("name", "description", "best_practices", "pitfalls", "workflow", "examples", "checklist", "tags", "category"))
     ask = F.concat(F.lit("Review this skill; answer with a JSON object with score (0 to 10) and notes.\n\n"), shown)
-    answered = completed(rated, ask, make, **calls).withColumn("_a", _answer("score double, notes array<string>"))
+    answered = completed(rated, ask, make, **calls).withColumn("_a", _answer("score double, feedback string, notes array<string>"))
     score = F.when(F.col("_a.score").isNotNull(), F.round(F.least(F.greatest(F.col("_a.score"), F.lit(0.0)), F.lit(10.0)), 1))
-    out = answered.withColumns({"_s": F.coalesce(score, F.col("score").cast("double")), "review_notes": F.when(score.isNotNull(), F.coalesce("_a.notes", F.array().cast("array<string>"))).otherwise(F.col("review_notes"))})
+    out = answered.withColumns({"_s": F.coalesce(score, F.col("score").cast("double")), "review_feedback": F.when(score.isNotNull(), F.coalesce("_a.feedback", "review_feedback")).otherwise(F.col("review_feedback")), "review_notes": F.when(score.isNotNull(), F.coalesce("_a.notes", F.array().cast("array<string>"))).otherwise(F.col("review_notes"))})
     return out.withColumns({"status": skills.status(F.col("_s")), "score": F.floor("_s").cast("int"), "reviewed_by": F.when(score.isNotNull(), "model").otherwise("rubric")}).drop("response", "_a", "_s")

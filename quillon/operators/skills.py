@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
+from quillon.functions import vocabulary as V
 
 
 def _listed(condition: Column, value: Column, order: str) -> Column:
@@ -41,7 +42,7 @@ def records(units: DataFrame, group: str, order: str = "ord", checklist: bool =
     df = df.withColumn("_b", filled).withColumn("_c", F.when(F.size("_ck") > 0, F.col("_ck")).when(F.size("_rules") > 0, F.col("_rules")).otherwise(F.col("_b")))
     steps = F.when(F.size("_rules") > 0, F.col("_rules")).when(F.size("_c") > 0, F.col("_c")).when(F.size("_b") >= 2, F.col("_b")).otherwise(F.array().cast("array<string>"))
     made = F.transform(steps, lambda r, i: F.struct(F.concat(F.lit("Step "), (i + 1).cast("string")).alias("title"), r.alias("description")))
-    fallback = F.concat(F.lit("Knowledge from "), F.col("n_units").cast("string"), F.lit(" units"))
+    fallback = F.concat(F.lit("Skill derived from "), F.col("n_units").cast("string"), F.lit(" knowledge units."))
     description = F.coalesce(F.get("_b", F.lit(0)), F.get("_long", F.lit(0)), fallback)
     return df.select(
         group,
@@ -74,15 +75,20 @@ def capped(skills: DataFrame, book: str, rank: Column, most: int = 50) -> DataFr
 
 
 def reviewed(skills: DataFrame) -> DataFrame:
-    """Rubric score (whole numbers), status and notes on what is missing."""
+    """Rubric score (whole numbers), status, feedback and notes on what is missing."""
     has = lambda c: F.size(c) > 0
     full = F.length(F.trim("description")) > 50
     part = lambda ok, points: F.when(ok, F.lit(points)).otherwise(F.lit(0.0))
     score = part(full, 3.0) + part(has("best_practices"), 2.0) + part(has("workflow"), 2.0) + part(has("pitfalls"), 1.5) + part(has("examples"), 1.5)
-    score = F.when(F.trim("name") == "", F.lit(0.0)).otherwise(score)
-    notes = F.array_compact(F.array(*[F.when(~ok, F.lit(f"missing {what}")) for what, ok in (("description", full), ("best practices", has("best_practices")), ("workflow", has("workflow")), ("pitfalls", has("pitfalls")), ("examples", has("examples")))]))
-    stored = F.floor(score).cast("int")
-    return skills.withColumns({"score": stored, "status": status(stored), "review_notes": notes})
+    named = F.trim("name") != ""
+    score = F.when(named, score).otherwise(F.lit(0.0))
+    met = {"description": full, "tags": has("tags") & (F.coalesce("category", F.lit("")) != "")}
+    lacking = F.array_compact(F.array(*[F.when(~(met[what] if what in met else has(what)), F.lit(note)) for what, note in V.REVIEW_NOTES.items()]))
+    notes = F.when(F.size(lacking) == 0, F.array(F.lit(V.REVIEW_COMPLETE))).otherwise(lacking)
+    stored, feedback = F.floor(score).cast("int"), F.lit(None)
+    for name, words in V.REVIEW_FEEDBACK.items():
+        feedback = F.when(status(score) == name, F.lit(words)).otherwise(feedback)
+    return skills.withColumns({"score": stored, "status": status(stored), "review_feedback": feedback, "review_notes": notes})
 
 
 def status(score: Column) -> Column:
@@ -90,19 +96,21 @@ def status(score: Column) -> Column:
 
 
 def markdown(skills: DataFrame) -> Column:
-    """A record as a Markdown document with front matter; empty sections are left out."""
-    section = lambda head, items: F.when(F.size(items) > 0, F.concat(F.lit(f"## {head}\n\n"), F.array_join(items, "\n"), F.lit("\n")))
-    tags = F.when(F.size("tags") > 0, F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")))
-    steps = F.transform("workflow", lambda w, i: F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), w["title"], F.lit("\n\n"), w["description"]))
-    shown = F.transform("examples", lambda e: F.concat(F.lit("### "), e["title"], F.lit("\n\n```\n"), e["code"], F.lit("\n```")))
+    """A record as a Markdown document with front matter; empty sections, and columns that the table lacks, are left out."""
+    section = lambda head, items, end="\n": F.when(F.size(items) > 0, F.concat(F.lit(f"## {head}\n\n"), F.array_join(items, "\n"), F.lit(end)))
+    front = lambda name: F.when(F.col(name) != "", F.concat(F.lit(f"{name}: "), name)) if name in skills.columns else F.lit(None).cast("string")
+    listed_ = lambda name: F.when(F.size(name) > 0, F.concat(F.lit(f"{name}: ["), F.array_join(name, ", "), F.lit("]"))) if name in skills.columns else F.lit(None).cast("string")
+    told = lambda w: F.when(F.coalesce(w["description"], F.lit("")) != "", F.concat(F.lit("\n\n"), w["description"], F.lit("\n"))).otherwise("")
+    steps = F.transform("workflow", lambda w, i: F.concat(F.lit("### "), (i + 1).cast("string"), F.lit(". "), w["title"], told(w)))
+    shown = F.transform("examples", lambda e: F.concat(F.lit("### "), e["title"], F.lit("\n```\n"), e["code"], F.lit("\n```\n")))
+    bullets = lambda name, mark: F.transform(name, lambda x: F.concat(F.lit(mark), x))
     return F.array_join(
         F.array_compact(
             F.array(
-                F.lit("---"), F.concat(F.lit("name: "), "name"), F.concat(F.lit('description: "'), "description", F.lit('"')), tags, F.concat(F.lit("category: "), "category"), F.lit("---\n"),
+                F.lit("---"), F.concat(F.lit("name: "), "name"), F.concat(F.lit('description: "'), "description", F.lit('"')), front("version"), listed_("tags"), listed_("related_skills"), front("category"), F.lit("---\n"),
                 F.concat(F.lit("# "), "name", F.lit("\n")), F.concat("description", F.lit("\n")),
-                section("Best Practices", F.transform("best_practices", lambda b: F.concat(F.lit("- "), b))), section("Workflow", steps), section("Examples", shown),
-                section("Pitfalls", F.transform("pitfalls", lambda p: F.concat(F.lit("- ⚠️ "), p))), section("Checklist", F.transform("checklist", lambda c: F.concat(F.lit("- [ ] "), c))),
-                section("References", F.transform("references", lambda r: F.concat(F.lit("- "), r))),
+                section("Best Practices", bullets("best_practices", "- ")), section("Workflow", steps, ""), section("Examples", shown, ""),
+                section("Pitfalls", bullets("pitfalls", "- ⚠️ ")), section("Checklist", bullets("checklist", "- [ ] ")), section("References", bullets("references", "- ")),
             )
         ),
         "\n",

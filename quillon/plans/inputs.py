@@ -120,7 +120,7 @@ grouped AS (SELECT grp, count(*) AS n_units,
 tagged AS (SELECT grp, list(tag ORDER BY tag) AS tags FROM (SELECT DISTINCT grp, unnest(tags) AS tag FROM units) GROUP BY grp),
 filled AS (SELECT g.*, coalesce(t.tags, []) AS tags, CASE WHEN len(bp) > 0 THEN bp WHEN len(rules) > 0 THEN rules ELSE sk END AS b FROM grouped g LEFT JOIN tagged t USING (grp)),
 skills AS (SELECT grp, split_part(grp, '-', 1) AS source, split_part(grp, '-', 2)::BIGINT AS no, {name_sql("lead")} AS name,
-    left(coalesce(b[1], long[1], 'Knowledge from ' || n_units || ' units'), 300) AS description, b[1:10] AS best_practices, pit[1:10] AS pitfalls,
+    left(coalesce(b[1], long[1], 'Skill derived from ' || n_units || ' knowledge units.'), 300) AS description, b[1:10] AS best_practices, pit[1:10] AS pitfalls,
     (CASE WHEN len(wf) > 0 THEN wf ELSE list_transform(CASE WHEN len(rules) > 0 THEN rules ELSE b END, lambda r, i: {{'title': 'Step ' || i, 'description': r}}) END)[1:10] AS workflow,
     ex[1:10] AS examples, tags[1:10] AS tags, {category_sql("tags")} AS category, quality_score, ids AS knowledge_ids FROM filled),
 rated AS (SELECT *, floor(CASE WHEN trim(name) = '' THEN 0 ELSE CASE WHEN length(trim(description)) > 50 THEN 3 ELSE 0 END + CASE WHEN len(best_practices) > 0 THEN 2 ELSE 0 END

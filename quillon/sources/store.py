@@ -23,7 +23,7 @@ SKILL = (
     f"id string, knowledge_ids {_TEXTS}, book_id string, source_book string, source_chapters {_TEXTS}, name string, description string, version string, "
     f"examples array<struct<title:string,code:string>>, best_practices {_TEXTS}, pitfalls {_TEXTS}, workflow array<struct<title:string,description:string>>, "
     f"checklist {_TEXTS}, references {_TEXTS}, tags {_TEXTS}, category string, related_skills {_TEXTS}, status string, score int, quality_score double, "
-    f"review_notes {_TEXTS}, created_at timestamp, updated_at timestamp"
+    f"review_feedback string, review_notes {_TEXTS}, created_at timestamp, updated_at timestamp"
 )
 NODE = f"graph_id string, id string, name string, category string, tags {_TEXTS}, description string"
 EDGE = "graph_id string, source string, target string, type string, weight double"

@@ -85,10 +85,15 @@ def test_review_and_text(spark):
     schema = "name string, description string, best_practices array<string>, pitfalls array<string>, workflow array<struct<title:string,description:string>>, examples array<struct<title:string,code:string>>, checklist array<string>, references array<string>, tags array<string>, category string"
     rows = spark.createDataFrame([("a", "d" * 60, ["x"], ["y"], [], [], [], [], ["t"], "sales"), ("b", "d" * 60, [], [], [], [], [], [], [], "sales")], schema)
     first, second = skills.reviewed(rows).orderBy("name").collect()
-    assert (first["score"], first["status"], first["review_notes"]) == (6, "reviewed", ["missing workflow", "missing examples"])
+    assert (first["score"], first["status"], first["review_notes"]) == (6, "reviewed", ["no workflow", "no examples"])
+    assert first["review_feedback"] == "Skill is acceptable but needs improvements before approval."
     assert (second["score"], second["status"]) == (3, "rejected")
-    text = rows.where("name = 'a'").select(skills.markdown(rows).alias("m")).first()["m"]
-    assert "# a\n" in text and "## Pitfalls\n\n- ⚠️ y" in text and "## Workflow" not in text
+    full = spark.createDataFrame([("a", "d", ["x", "z"], ["y"], [("S", "do"), ("T", "")], [("E", "code")], [], ["r"], ["t", "u"], "sales")], schema).withColumn("version", F.lit("1.0.0"))
+    text = full.select(skills.markdown(full).alias("m")).first()["m"]
+    assert text == (
+        '---\nname: a\ndescription: "d"\nversion: 1.0.0\ntags: [t, u]\ncategory: sales\n---\n\n# a\n\nd\n\n## Best Practices\n\n- x\n- z\n\n'
+        "## Workflow\n\n### 1. S\n\ndo\n\n### 2. T\n## Examples\n\n### E\n```\ncode\n```\n\n## Pitfalls\n\n- ⚠️ y\n\n## References\n\n- r\n"
+    )
 
 
 def test_keyword_search(spark):
