@@ -117,8 +117,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two vectors; 0 for a zero vector, an empty one or different lengths."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norms: Column | None = None) -> Column:
+    """Of two vectors; 0 for a zero vector, an empty one or different lengths. ``norms`` is the product of their norms, if known."""
+    whole = norm(a) * norm(b) if norms is None else norms
+    return F.when((F.size(a) == F.size(b)) & (whole > 0), dot(a, b) / whole).otherwise(F.lit(0.0))

@@ -60,8 +60,8 @@ def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
     hit = F.lit(False)
     for k in V.PREREQUISITE_KEYWORDS:
         hit = hit | F.col("_p").contains(k)
-    pairs = scoped_pairs(named.select(scope, order, "name", "tags", "category", "knowledge_ids", "vector", "_p", hit.alias("_pre")), scope, order)
-    pairs = pairs.withColumns({"_cos": T.cosine(F.col("vector_a"), F.col("vector_b")), "_tags": T.jaccard(F.col("tags_a"), F.col("tags_b"))}).drop("vector_a", "vector_b")
+    pairs = scoped_pairs(named.select(scope, order, "name", "tags", "category", "knowledge_ids", "vector", T.norm(F.col("vector")).alias("_norm"), "_p", hit.alias("_pre")), scope, order)
+    pairs = pairs.withColumns({"_cos": T.cosine(F.col("vector_a"), F.col("vector_b"), F.col("_norm_a") * F.col("_norm_b")), "_tags": T.jaccard(F.col("tags_a"), F.col("tags_b"))}).drop("vector_a", "vector_b")
     open_ = (F.col("_cos") < V.RELATED[0]) & (F.col("_tags") < V.RELATED[1])
     pairs = pairs.withColumn("_ratio", name_ratio(F.when(open_, F.lower("name_a")), F.when(open_, F.lower("name_b"))))
     ids = T.jaccard(F.col("knowledge_ids_a"), F.col("knowledge_ids_b"))
