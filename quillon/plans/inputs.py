@@ -21,8 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _pick(values: tuple[str, ...], key: str = "doc_id") -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
+def _pick(values: tuple[str, ...], key: str | Column = "doc_id") -> Column:
+    key = F.col(key) if isinstance(key, str) else key
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
 
 
 def _sql_pick(values: tuple[str, ...], key: str = "doc_id") -> str:
@@ -33,12 +34,21 @@ def first_line() -> Column:
     return F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
 
 
-def unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three lines a document: two of a kind and with a keyword by rule, one plain."""
-    line = first_line()
-    kind, other = _pick(PREFIXES), _pick(PREFIXES[::-1])
-    text = F.concat_ws("\n", F.concat(kind, _pick(KEYWORDS), F.lit(" "), line), F.concat(F.lit("  "), other, line), line)
-    return documents(spark, sf_dir).select("doc_id", "source", text.alias("text"))
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text, with its number as ``part``; a null text counts as an empty one."""
+    return documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("part", "line"))
+
+
+def unit_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Three lines of the first line of a text: two of a kind and with a keyword by rule, one plain.
+
+    With ``whole``, three of each line of a text, picked by doc_id and number of the line, a row and ``part`` each.
+    """
+    rows = text_lines(spark, sf_dir) if whole else documents(spark, sf_dir).select("doc_id", "source", F.lit(0).alias("part"), first_line().alias("line"))
+    key, line = F.col("doc_id") + F.col("part"), F.col("line")
+    kind, other = _pick(PREFIXES, key), _pick(PREFIXES[::-1], key)
+    text = F.concat_ws("\n", F.concat(kind, _pick(KEYWORDS, key), F.lit(" "), line), F.concat(F.lit("  "), other, line), line)
+    return rows.select("doc_id", "source", "part", text.alias("text"))
 
 
 LINES_SQL = f"""lines AS (
@@ -47,9 +57,15 @@ LINES_SQL = f"""lines AS (
     FROM (SELECT doc_id, source, split_part(coalesce(text, ''), chr(10), 1) AS f FROM documents)))"""
 
 
-def units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = knowledge.units(unit_lines(spark, sf_dir), ["doc_id", "source"])
-    return found.withColumn("ord", F.col("doc_id") * 10 + F.col("line_no")).withColumn("grp", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 5).cast("string")))
+def numbered(found: DataFrame) -> DataFrame:
+    """Units with ``line_no`` counted over the parts of a text."""
+    return found.withColumn("line_no", F.col("part") * 3 + F.col("line_no")).drop("part")
+
+
+def units(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Units of the first lines, as in SQL, or of whole texts; ``ord`` orders them (whole texts: doc_id below 2^32)."""
+    found = numbered(knowledge.units(unit_lines(spark, sf_dir, whole), ["doc_id", "source", "part"]))
+    return found.withColumn("ord", F.col("doc_id") * (1 << 31 if whole else 10) + F.col("line_no")).withColumn("grp", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 5).cast("string")))
 
 
 def _regex(pattern: str) -> str:
@@ -95,12 +111,12 @@ def category_sql(tags: str) -> str:
 UNITS_SQL = _unit_sql()
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Reviewed skill records of the units' groups, with the source, a number in order of groups, and a book.
 
     A book is a run of numbers within a source, so it holds at most ``BOOK`` records however much a source holds.
     """
-    made = skills.reviewed(skills.records(units(spark, sf_dir), "grp"))
+    made = skills.reviewed(skills.records(units(spark, sf_dir, whole), "grp"))
     made = made.withColumn("source", F.substring_index("grp", "-", 1)).withColumn("no", F.substring_index("grp", "-", -1).cast("long"))
     return made.withColumn("book", F.concat_ws("-", "source", F.floor(F.col("no") / BOOK).cast("string")))
 

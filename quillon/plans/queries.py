@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with equivalent SQL if there is any."""
+def query(sql: str | None = None, whole: bool = False):
+    """Register a query under its function's name, with equivalent SQL if there is any.
+
+    With ``whole``, also as ``NAME_whole`` without SQL: the SQL reads first lines only, this one every line of a text.
+    """
 
     def add(f):
         QUERIES[f.__name__] = f
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -93,7 +99,7 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clean_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("ﬁrst №"), (F.col("doc_id") % 9).cast("string"), F.lit("　"), inputs.first_line()).alias("text"))
+    wide = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("ﬁrst №"), (F.col("doc_id") % 9).cast("string"), F.lit("　"), F.coalesce("text", F.lit(""))).alias("text"))
     return clean.cleaned(wide).select("doc_id", "text", "transformations")
 
 
@@ -135,10 +141,13 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADS = ("# ", "#### ", "##### ", "chapter 3 ", "Part 2: ", "Chapter three ", "#")
 
 
-@query(f"""SELECT doc_id, line FROM (SELECT doc_id, {inputs._sql_pick(_HEADS)} || split_part(text, chr(10), 1) AS line FROM documents) WHERE regexp_matches(line, '{V.HEADING}')""")
-def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(inputs._pick(_HEADS), inputs.first_line()).alias("line")
-    return documents(spark, sf_dir).select("doc_id", line).where(F.col("line").rlike(V.HEADING))
+@query(f"""SELECT doc_id, line FROM (SELECT doc_id, {inputs._sql_pick(_HEADS)} || split_part(text, chr(10), 1) AS line FROM documents) WHERE regexp_matches(line, '{V.HEADING}')""", whole=True)
+def heading_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    if whole:
+        rows = inputs.text_lines(spark, sf_dir).select("doc_id", F.concat(inputs._pick(_HEADS, F.col("doc_id") + F.col("part")), "line").alias("line"))
+    else:
+        rows = documents(spark, sf_dir).select("doc_id", F.concat(inputs._pick(_HEADS), inputs.first_line()).alias("line"))
+    return rows.where(F.col("line").rlike(V.HEADING))
 
 
 @query(r"""SELECT doc_id, count(*) AS n_sentences, max(length(s))::INTEGER AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\n\r\x0b\x0c]+', '\1' || chr(30), 'g'), chr(30))) AS s FROM documents) GROUP BY doc_id""")
@@ -147,32 +156,34 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.array_max(F.transform(parts, F.length)).alias("longest"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, title, md5(content) AS content_hash, confidence, array_to_string(tags, ',') AS tags FROM units")
-def knowledge_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).select("doc_id", "line_no", "unit_type", "title", F.md5("content").alias("content_hash"), "confidence", F.array_join("tags", ",").alias("tags"))
+@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, title, md5(content) AS content_hash, confidence, array_to_string(tags, ',') AS tags FROM units", whole=True)
+def knowledge_units(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return units(spark, sf_dir, whole).select("doc_id", "line_no", "unit_type", "title", F.md5("content").alias("content_hash"), "confidence", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT unit_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM units GROUP BY unit_type")
-def knowledge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).groupBy("unit_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+@query(f"WITH {UNITS_SQL} SELECT unit_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM units GROUP BY unit_type", whole=True)
+def knowledge_type_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return units(spark, sf_dir, whole).groupBy("unit_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, confidence FROM units QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 1")
-def knowledge_limit_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.units(inputs.unit_lines(spark, sf_dir), ["doc_id"], most=1).select("doc_id", "line_no", "unit_type", "confidence")
+@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, confidence FROM units QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 1", whole=True)
+def knowledge_limit_per_chunk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], most=1)).select("doc_id", "line_no", "unit_type", "confidence")
 
 
-@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, confidence FROM units WHERE confidence >= 0.5")
-def min_confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.units(inputs.unit_lines(spark, sf_dir), ["doc_id"], least=0.5).select("doc_id", "line_no", "confidence")
+@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, confidence FROM units WHERE confidence >= 0.5", whole=True)
+def min_confidence_filter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], least=0.5)).select("doc_id", "line_no", "confidence")
 
 
 @query()
 def llm_unit_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = inputs._pick(("best-practices", "Mistake", "rule", "unknown", "workflow_steps"))
-    body = F.substring(F.regexp_replace(inputs.first_line(), r'["\\]', ""), 1, 60)
-    answer = F.concat(F.lit('Sure: [{"type": "'), kind, F.lit('", "title": "first_title", "content": "'), body, F.lit('", "confidence": '), (F.col("doc_id") % 13 / 10).cast("string"), F.lit(', "tags": ["Sales Team"]}]'))
-    return knowledge.coerced(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), answer.alias("response")))
+    key = F.col("doc_id") + F.col("part")
+    kind = inputs._pick(("best-practices", "Mistake", "rule", "unknown", "workflow_steps"), key)
+    item = F.struct(kind.alias("type"), F.lit("first_title").alias("title"), F.col("line").alias("content"), (key % 13 / 10).alias("confidence"), F.array(F.lit("Sales Team")).alias("tags"))
+    lines = inputs.text_lines(spark, sf_dir).withColumn("item", item)
+    listed = lines.groupBy(F.col("doc_id").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("part", "item"))).alias("x"))
+    return knowledge.coerced(listed.select("chunk_id", F.concat(F.lit("Sure: "), F.to_json(F.transform("x", lambda e: e["item"]))).alias("response")))
 
 
 _KINDS = ("best-practices", "Mistake", "RULE", "unknown", "workflow_steps", " check-list ", "decisiontree")
@@ -232,10 +243,10 @@ def topic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SKILLS_SQL} SELECT grp, name, description, len(best_practices)::INTEGER AS n_best, len(pitfalls)::INTEGER AS n_pitfalls, len(workflow)::INTEGER AS n_workflow, len(examples)::INTEGER AS n_examples,
-  md5(array_to_string(best_practices, '|') || '#' || array_to_string(pitfalls, '|')) AS sections, array_to_string(tags, ',') AS tags, category, quality_score, array_to_string(knowledge_ids, ',') AS knowledge_ids FROM skills""")
-def skill_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+  md5(array_to_string(best_practices, '|') || '#' || array_to_string(pitfalls, '|')) AS sections, array_to_string(tags, ',') AS tags, category, quality_score, array_to_string(knowledge_ids, ',') AS knowledge_ids FROM skills""", whole=True)
+def skill_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     n = lambda c: F.size(c)
-    return records(spark, sf_dir).select(
+    return records(spark, sf_dir, whole).select(
         "grp", "name", "description", n("best_practices").alias("n_best"), n("pitfalls").alias("n_pitfalls"), n("workflow").alias("n_workflow"), n("examples").alias("n_examples"),
         F.md5(F.concat(F.array_join("best_practices", "|"), F.lit("#"), F.array_join("pitfalls", "|"))).alias("sections"), F.array_join("tags", ",").alias("tags"), "category", "quality_score",
         F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"),
@@ -243,52 +254,52 @@ def skill_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SKILLS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY no, grp) AS n FROM skills), b AS (SELECT grp, n, no, CASE WHEN n > 1 THEN name || '-' || n ELSE name END AS name FROM a)
-SELECT grp, CASE WHEN m > 1 THEN name || '-' || m ELSE name END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n, no, grp) AS m FROM b)""")
-def skill_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = records(spark, sf_dir).withColumn("o", F.struct("no", "grp"))
+SELECT grp, CASE WHEN m > 1 THEN name || '-' || m ELSE name END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n, no, grp) AS m FROM b)""", whole=True)
+def skill_unique_names(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    made = records(spark, sf_dir, whole).withColumn("o", F.struct("no", "grp"))
     return skills.unique_names(made, "o").select("grp", "name")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT source, grp FROM skills QUALIFY row_number() OVER (PARTITION BY source ORDER BY no, grp) <= 5")
-def skill_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skills.capped(records(spark, sf_dir), "source", F.struct("no", "grp"), 5).select("source", "grp")
+@query(f"WITH {SKILLS_SQL} SELECT source, grp FROM skills QUALIFY row_number() OVER (PARTITION BY source ORDER BY no, grp) <= 5", whole=True)
+def skill_cap(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return skills.capped(records(spark, sf_dir, whole), "source", F.struct("no", "grp"), 5).select("source", "grp")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, score, status FROM reviewed")
-def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("grp", "score", "status")
+@query(f"WITH {SKILLS_SQL} SELECT grp, score, status FROM reviewed", whole=True)
+def review_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole).select("grp", "score", "status")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT status, count(*) AS n FROM reviewed GROUP BY status")
-def review_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {SKILLS_SQL} SELECT status, count(*) AS n FROM reviewed GROUP BY status", whole=True)
+def review_status_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def skill_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = records(spark, sf_dir)
+    made = records(spark, sf_dir, whole=True)
     return made.select("grp", skills.markdown(made).alias("markdown"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, category, status FROM reviewed WHERE status = 'reviewed' AND list_has_any(tags, ['sales', 'marketing', 'api', 'finance'])")
-def skill_list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skills.listed(records(spark, sf_dir), status_="reviewed", tags=["sales", "marketing", "api", "finance"]).select("grp", "category", "status")
+@query(f"WITH {SKILLS_SQL} SELECT grp, category, status FROM reviewed WHERE status = 'reviewed' AND list_has_any(tags, ['sales', 'marketing', 'api', 'finance'])", whole=True)
+def skill_list_filtered(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return skills.listed(records(spark, sf_dir, whole), status_="reviewed", tags=["sales", "marketing", "api", "finance"]).select("grp", "category", "status")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed ORDER BY quality_score DESC, grp LIMIT 20 OFFSET 10")
-def skill_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skills.listed(records(spark, sf_dir), limit=20, offset=10, order=(F.desc("quality_score"), F.col("grp"))).select("grp", "quality_score")
+@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed ORDER BY quality_score DESC, grp LIMIT 20 OFFSET 10", whole=True)
+def skill_page(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return skills.listed(records(spark, sf_dir, whole), limit=20, offset=10, order=(F.desc("quality_score"), F.col("grp"))).select("grp", "quality_score")
 
 
 @query(f"""WITH {SKILLS_SQL} SELECT count(*) AS total, count(DISTINCT source) AS sources, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'reviewed') AS reviewed,
-  count(*) FILTER (status = 'rejected') AS rejected, round(avg(quality_score), 2) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM reviewed""")
-def skills_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skills.stats(records(spark, sf_dir), "source")
+  count(*) FILTER (status = 'rejected') AS rejected, round(avg(quality_score), 2) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM reviewed""", whole=True)
+def skills_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return skills.stats(records(spark, sf_dir, whole), "source")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT category, count(*) AS n FROM reviewed GROUP BY category")
-def stats_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {SKILLS_SQL} SELECT category, count(*) AS n FROM reviewed GROUP BY category", whole=True)
+def stats_by_category(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TOKENS_SQL = f"tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda t: length(t) > 1 AND t NOT IN ({_quoted(*V.STOPWORDS)}))) AS token FROM documents)"
@@ -330,24 +341,24 @@ _CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower(description || '
 
 
 @query(f"""WITH {SKILLS_SQL}, c AS (SELECT {inputs.BOOK_SQL} AS book, no, grp, {_CONTENT} AS w FROM skills), p AS (SELECT a.book, a.no AS no_a, b.no AS no_b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END AS j
-  FROM c a JOIN c b ON a.book = b.book AND a.no < b.no) SELECT book, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""")
-def dedup_content_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.content_pairs(records(spark, sf_dir), "book", "no")
+  FROM c a JOIN c b ON a.book = b.book AND a.no < b.no) SELECT book, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""", whole=True)
+def dedup_content_jaccard(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return similar.content_pairs(records(spark, sf_dir, whole), "book", "no")
 
 
-def _embedded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = records(spark, sf_dir)
+def _embedded_records(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    made = records(spark, sf_dir, whole)
     return made.join(embed.dense(made, "grp", embed.skill_text()), "grp")
 
 
 @query()
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.survivors(_embedded_records(spark, sf_dir), "book", "no")
+    return similar.survivors(_embedded_records(spark, sf_dir, whole=True), "book", "no")
 
 
 @query()
 def dedup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _embedded_records(spark, sf_dir)
+    made = _embedded_records(spark, sf_dir, whole=True)
     return similar.merged(made, similar.survivors(made, "book", "no"), "book", "no").select("book", "no", F.array_join("tags", ",").alias("tags"), F.size("knowledge_ids").alias("n_units"))
 
 
@@ -357,9 +368,9 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("input"), F.count("method").alias("removed"), F.count_if(F.col("no") == F.col("survivor")).alias("final"), F.count_if(F.col("method") == "semantic").alias("semantic"), F.count_if(F.col("method") == "lexical").alias("lexical"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp AS id, name, category, array_to_string(tags, ',') AS tags, left(description, 200) AS description FROM skills")
-def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select(F.col("grp").alias("id"), "name", "category", F.array_join("tags", ",").alias("tags"), F.substring("description", 1, 200).alias("description"))
+@query(f"WITH {SKILLS_SQL} SELECT grp AS id, name, category, array_to_string(tags, ',') AS tags, left(description, 200) AS description FROM skills", whole=True)
+def kg_nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole).select(F.col("grp").alias("id"), "name", "category", F.array_join("tags", ",").alias("tags"), F.substring("description", 1, 200).alias("description"))
 
 
 _PRE = " OR ".join(f"contains(p, '{k}')" for k in V.PREREQUISITE_KEYWORDS)
@@ -367,21 +378,21 @@ _PRE = " OR ".join(f"contains(p, '{k}')" for k in V.PREREQUISITE_KEYWORDS)
 
 @query()
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.edges(_embedded_records(spark, sf_dir), "book", "no")
+    return similar.edges(_embedded_records(spark, sf_dir, whole=True), "book", "no")
 
 
 @query(rf"""WITH {SKILLS_SQL}, n AS (SELECT {inputs.BOOK_SQL} AS book, no, trim(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS p FROM skills), m AS (SELECT *, ({_PRE}) AS pre FROM n),
 ab AS (SELECT a.book, a.no AS x, b.no AS y, a.pre AS pa, b.pre AS pb, contains(b.p, a.p) AND length(a.p) >= 4 AS ba, contains(a.p, b.p) AND length(b.p) >= 4 AS ab_,
   length(a.p) AS la, length(b.p) AS lb FROM m a JOIN m b ON a.book = b.book AND a.no < b.no)
 SELECT book, CASE WHEN ba THEN y ELSE x END AS source, CASE WHEN ba THEN x ELSE y END AS target, 'extends' AS type, round(least(la, lb)::DOUBLE / greatest(la, lb), 3) AS weight FROM ab WHERE ba OR ab_
-UNION ALL SELECT book, CASE WHEN pa THEN x ELSE y END, CASE WHEN pa THEN y ELSE x END, 'prerequisite', 1.0 FROM ab WHERE pa <> pb""")
-def kg_directed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kg_edges(spark, sf_dir).where("type <> 'related_to'")
+UNION ALL SELECT book, CASE WHEN pa THEN x ELSE y END, CASE WHEN pa THEN y ELSE x END, 'prerequisite', 1.0 FROM ab WHERE pa <> pb""", whole=True)
+def kg_directed_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return similar.edges(_embedded_records(spark, sf_dir, whole), "book", "no").where("type <> 'related_to'")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, md5(name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  ') AS text_hash FROM skills")
-def skill_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("grp", F.md5(embed.skill_text()).alias("text_hash"))
+@query(f"WITH {SKILLS_SQL} SELECT grp, md5(name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  ') AS text_hash FROM skills", whole=True)
+def skill_embedding_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return records(spark, sf_dir, whole).select("grp", F.md5(embed.skill_text()).alias("text_hash"))
 
 
 @query("SELECT sha256(text) AS text_hash, length(min(text))::INTEGER AS n_chars FROM documents WHERE trim(text) <> '' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) GROUP BY 1")
@@ -395,18 +406,18 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = spark.createDataFrame([], embed.CACHE_SCHEMA)
     chunks, _ = embed.embedded(chunk.fixed(documents(spark, sf_dir), "doc_id", 200, 50), empty)
-    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir), "id", "grp")
+    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir, whole=True), "id", "grp")
     return found.select("id", "source_type", F.md5("text").alias("text_hash"), F.size("vector").alias("dim"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed WHERE contains(lower(name), 'step') OR contains(lower(description), 'step') OR contains(lower(array_to_string(tags, chr(10))), 'step') OR contains(lower(category), 'step') ORDER BY quality_score DESC, grp LIMIT 30")
-def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.phrase(records(spark, sf_dir), "Step", [F.col("name"), F.col("description"), F.array_join("tags", "\n"), F.col("category")], F.desc("quality_score"), "grp").select("grp", "quality_score")
+@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed WHERE contains(lower(name), 'step') OR contains(lower(description), 'step') OR contains(lower(array_to_string(tags, chr(10))), 'step') OR contains(lower(category), 'step') ORDER BY quality_score DESC, grp LIMIT 30", whole=True)
+def phrase_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return search.phrase(records(spark, sf_dir, whole), "Step", [F.col("name"), F.col("description"), F.array_join("tags", "\n"), F.col("category")], F.desc("quality_score"), "grp").select("grp", "quality_score")
 
 
-@query(f"WITH {UNITS_SQL} SELECT source, unit_type AS type, count(*) AS n_units, least(count(*) / 5.0, 1.0)::DOUBLE AS quality_score, array_to_string(list(ord ORDER BY ord), ',') AS knowledge_ids FROM units GROUP BY source, unit_type")
-def type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.by_type(units(spark, sf_dir), "source", "ord").select("source", F.col("unit_type").alias("type"), "n_units", "quality_score", F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"))
+@query(f"WITH {UNITS_SQL} SELECT source, unit_type AS type, count(*) AS n_units, least(count(*) / 5.0, 1.0)::DOUBLE AS quality_score, array_to_string(list(ord ORDER BY ord), ',') AS knowledge_ids FROM units GROUP BY source, unit_type", whole=True)
+def type_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return knowledge.by_type(units(spark, sf_dir, whole), "source", "ord").select("source", F.col("unit_type").alias("type"), "n_units", "quality_score", F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace('co-' || chr(10) || '  operate ' || text || chr(10) || 'end', '([[:word:]])-\s*\n\s*([[:word:]])', '\1\2', 'g'), '\n', ' ', 'g')) AS text_hash FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND NOT starts_with(text, chr(10)) AND NOT ends_with(text, chr(10)) AND NOT regexp_matches(text, '-\s*\n')")
