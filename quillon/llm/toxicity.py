@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise
@@ -28,6 +28,8 @@ TRIGRAMS = 1 << 12
 WORDS, LEAST_DOCUMENTS = 6_000, 3
 #: Bounds of the training sample, by class, and of its words in all.
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_WORDS = 1_500, 3_000, 4_000_000
+#: Texts that a class keeps at least when its texts exceed its part of the words, and characters of a span of a text too long for that.
+LEAST_TEXTS, SPAN = 100, 2_000
 ROUNDS, STEPS, BATCH, RATE = 4, 110, 128, 0.02
 MEMO_WORDS = 150_000
 ROWS_AT_ONCE, WINDOWS_AT_ONCE = 256, 1_024
@@ -306,22 +308,45 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """Texts and labels of the training sample: by hash of doc_id, about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of rows not held out."""
+    """Texts and labels of the training sample: by hash of doc_id, about ``TOXIC_ROWS`` and ``CLEAN_ROWS`` of rows not held out.
+
+    ``SAMPLE_WORDS`` is split between the classes in the proportion of their rows. A class whose texts exceed its part keeps
+    fewer of them, chosen by the same hash, but ``LEAST_TEXTS`` at least if it has them; a text of more than that share of
+    the part gives spans from all over it. So no order of ids, and no single text, decides what is learned from.
+    """
     marks = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     marks = materialise(marks.where(~held_out(F.col("doc_id"))).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)), "marks")
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().toLocalIterator()}
     toxic, clean = sum(n for k, n in counts.items() if k >= 1), sum(n for k, n in counts.items() if k < 1)
     share = F.when(F.col("toxic") >= 1, TOXIC_ROWS / max(toxic, 1)).otherwise(CLEAN_ROWS / max(clean, 1))
     chosen = marks.where(F.col("u") < share).limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").toLocalIterator()
-    texts, marks_, words = [], [], 0
-    for r in sorted(((r["doc_id"], int(r["toxic"] >= 1), r["text"]) for r in rows)):
-        words += len(r[2]) // 6
-        if words > SAMPLE_WORDS:
-            break
-        texts.append(r[2])
-        marks_.append(r[1])
-    return texts, marks_
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", (F.col("toxic") >= 1).cast("int").alias("toxic"), "text")
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = materialise(rows.select("doc_id", F.when(F.col("toxic") >= 1, 1).otherwise(0).alias("toxic"), "u", F.length("text").alias("n"), "text"), "sample")
+    kept, text = F.lit(False), F.col("text")
+    for kind, bound in ((1, 6 * SAMPLE_WORDS * TOXIC_ROWS // (TOXIC_ROWS + CLEAN_ROWS)), (0, 6 * SAMPLE_WORDS * CLEAN_ROWS // (TOXIC_ROWS + CLEAN_ROWS))):
+        mine = rows.where(F.col("toxic") == kind)
+        if (mine.agg(F.sum("n")).first()[0] or 0) <= bound:
+            kept = kept | (F.col("toxic") == kind)
+            continue
+        longest, last, taken = max(bound // LEAST_TEXTS, 1), -1.0, 0
+        for r in mine.groupBy("u").agg(F.sum(F.least("n", F.lit(longest))).alias("n")).orderBy("u").toLocalIterator():
+            taken += r["n"]
+            if taken > bound and last >= 0:
+                break
+            last = r["u"]
+        kept = kept | ((F.col("toxic") == kind) & (F.col("u") <= last))
+        text = F.when((F.col("toxic") == kind) & (F.col("n") > longest), spread(longest)).otherwise(text)
+    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.where(kept).select("doc_id", "toxic", text.alias("text")).toLocalIterator())
+    return [t for _, _, t in found], [y for _, y, _ in found]
+
+
+def spread(size: int) -> Column:
+    """About ``size`` characters of a longer ``text`` of length ``n``: spans of equal distance from its start to its end."""
+    span = max(min(SPAN, size // 8), 1)
+    spans = max(size // (span + 1), 1)
+    step = (F.col("n") - span) / max(spans - 1, 1)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(spans - 1)), lambda k: F.col("text").substr(F.floor(k * step).cast("int") + 1, F.lit(span))), " ")
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
