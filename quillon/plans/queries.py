@@ -422,8 +422,7 @@ def type_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFr
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace('co-' || chr(10) || '  operate ' || text || chr(10) || 'end', '([[:word:]])-\s*\n\s*([[:word:]])', '\1\2', 'g'), '\n', ' ', 'g')) AS text_hash FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND NOT starts_with(text, chr(10)) AND NOT ends_with(text, chr(10)) AND NOT regexp_matches(text, '-\s*\n')")
 def text_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = documents(spark, sf_dir).where(r"NOT contains(text, '\n\n') AND NOT startswith(text, '\n') AND NOT endswith(text, '\n') AND NOT text RLIKE '-\\s*\n'")
-    return plain.select("doc_id", F.md5(files.repaired(F.concat(F.lit("co-\n  operate "), "text", F.lit("\nend")))).alias("text_hash"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(files.repaired(F.concat(F.lit("co-\n  operate "), "text", F.lit("\nend")))).alias("text_hash"))
 
 
 @query(f"WITH {_TOKENS_SQL} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok GROUP BY token")

@@ -53,3 +53,23 @@ def test_whole_texts_without_sql(spark, folder):
     assert told[0, 1] == "The second line tells of a marketing funnel." and {k for d, k in told if d == 2} == {k for k in range(1, 13) if (2 + k) % 5 != 3}
     heads = [r["line"] for r in QUERIES["heading_lines_whole"](spark, folder).where("doc_id = 2").collect()]
     assert len(heads) > 1 and any("line 11 of" in h for h in heads)
+
+
+def test_text_repair_of_all_documents(spark, tmp_path):
+    texts = ["hyphen-\nated words", "two\n\nparagraphs, the sec- \n  ond one\nlonger", "\nbreak at the start", "at the end\n", "gap-\n\n filled", "- a list\n- of items", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def repaired(t):
+        out, i, t = "", 0, f"co-\n  operate {t}\nend"
+        while i < len(t):
+            j = i + 1
+            while j < len(t) and t[j].isspace():
+                j += 1
+            if t[i] == "-" and i and (t[i - 1].isalnum() or t[i - 1] == "_") and "\n" in t[i + 1 : j] and j < len(t) and (t[j].isalnum() or t[j] == "_"):
+                i = j
+            else:
+                out, i = out + t[i], i + 1
+        return "".join(" " if c == "\n" and out[k - 1 : k] != "\n" and out[k + 1 : k + 2] != "\n" else c for k, c in enumerate(out))
+
+    got = {r["doc_id"]: r["text_hash"] for r in QUERIES["text_repair"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else hashlib.md5(repaired(t).encode()).hexdigest() for i, t in enumerate(texts)}
