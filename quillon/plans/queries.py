@@ -242,6 +242,12 @@ def topic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.components(documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), tags.alias("tags")))
 
 
+@query()
+def topic_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics over the whole table, by the tags of the units of whole texts."""
+    return topics.components(units(spark, sf_dir, whole=True).select(F.col("ord").alias("unit_id"), "tags"))
+
+
 @query(f"""WITH {SKILLS_SQL} SELECT grp, name, description, len(best_practices)::INTEGER AS n_best, len(pitfalls)::INTEGER AS n_pitfalls, len(workflow)::INTEGER AS n_workflow, len(examples)::INTEGER AS n_examples,
   md5(array_to_string(best_practices, '|') || '#' || array_to_string(pitfalls, '|')) AS sections, array_to_string(tags, ',') AS tags, category, quality_score, array_to_string(knowledge_ids, ',') AS knowledge_ids FROM skills""", whole=True)
 def skill_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:

@@ -73,3 +73,30 @@ def test_text_repair_of_all_documents(spark, tmp_path):
 
     got = {r["doc_id"]: r["text_hash"] for r in QUERIES["text_repair"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else hashlib.md5(repaired(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def union_find(tagged):
+    """The smallest unit of each unit's component; units are joined by lower-cased tags."""
+    up = {unit: unit for unit, _ in tagged}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    first = {}
+    for unit, tags in tagged:
+        for t in tags:
+            a, b = root(unit), root(first.setdefault(t.lower(), unit))
+            up[max(a, b)] = min(a, b)
+    return {unit: root(unit) for unit in up}
+
+
+def test_topics_span_the_table(spark, tmp_path):
+    # ids far apart; a chain of tags, one hot tag, and a unit apart
+    texts = {5: "Our budget", 250: "Our budget and sales", 777: "About sales, with an api", 4_000: "The api of a team", 9_001: "Nothing that is known of", 12_345: "Sales again and again"}
+    spark.createDataFrame([(k, f"{t} is told of here.\n{t} once more, at length.", "src0") for k, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    tagged = [(r["ord"], r["tags"]) for r in inputs.units(spark, str(tmp_path), whole=True).collect()]
+    got = {r["unit_id"]: r["topic"] for r in QUERIES["topic_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == union_find(tagged)
+    assert any(unit >> 31 > (topic >> 31) + 100 for unit, topic in got.items())
