@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +16,9 @@ from pyspark.sql.types import DoubleType
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
 
+#: Rows whose cosines are taken at once.
+ROWS_AT_ONCE = 128
+
 
 @F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -36,22 +42,54 @@ def hashed_vector(docs: DataFrame, key: str, text: Column, dim: int = 384) -> Da
 
 
 def scoped_pairs(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Ordered pairs within a scope of bounded size; columns of the two sides end in _a and _b."""
+    """Ordered pairs within a scope; columns of the two sides end in _a and _b."""
     a = skills.select(*[F.col(c).alias(f"{c}_a") for c in skills.columns])
     b = skills.select(*[F.col(c).alias(f"{c}_b") for c in skills.columns])
     return a.join(b, (F.col(f"{scope}_a") == F.col(f"{scope}_b")) & (F.col(f"{order}_a") < F.col(f"{order}_b")))
 
 
+def prefix_size(n: int, least: float) -> int:
+    """How many of a set's ``n`` tokens, rarest first, must hold one in common with any set that is as similar as ``least``."""
+    return n - math.ceil(n * least - 1e-9) + 1 if n else 0
+
+
 def content_pairs(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Pairs of a scope whose contents have a Jaccard similarity of at least 0.6."""
+    """Pairs of a scope whose contents have a Jaccard similarity of at least 0.6, rounded to four places.
+
+    Only records that share one of their rarest tokens are compared; no pair is lost by that, however large the scope.
+    """
     body = F.concat_ws(" ", "description", F.array_join("best_practices", " "), F.array_join("pitfalls", " "))
-    pairs = scoped_pairs(skills.select(scope, order, T.content_tokens(body).alias("w")), scope, order)
+    known = skills.select(scope, order, T.content_tokens(body).alias("w"))
+    words = known.select(scope, order, F.explode("w").alias("token"))
+    counts = words.groupBy(scope, "token").agg(F.count(F.lit(1)).alias("n"))
+    ranked = words.join(counts, [scope, "token"]).groupBy(scope, order).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("x"))
+    size = F.size("x") - F.ceil(F.size("x") * (V.DUPLICATE[2] - 5e-5) - 1e-9) + 1
+    prefixes = ranked.select(scope, order, F.explode(F.slice("x", F.lit(1), size.cast("int"))).alias("t")).select(scope, order, F.col("t.token").alias("token"))
+    a, b = (prefixes.select(scope, F.col(order).alias(f"{order}_{side}"), "token") for side in "ab")
+    pairs = a.join(b, [scope, "token"]).where(F.col(f"{order}_a") < F.col(f"{order}_b")).select(scope, f"{order}_a", f"{order}_b").distinct()
+    for side in "ab":
+        pairs = pairs.join(known.select(scope, F.col(order).alias(f"{order}_{side}"), F.col("w").alias(f"w_{side}")), [scope, f"{order}_{side}"])
     scored = pairs.withColumn("similarity", F.round(T.jaccard(F.col("w_a"), F.col("w_b")), 4))
-    return scored.where(F.col("similarity") >= V.DUPLICATE[2]).select(F.col(f"{scope}_a").alias(scope), f"{order}_a", f"{order}_b", "similarity")
+    return scored.where(F.col("similarity") >= V.DUPLICATE[2]).select(scope, f"{order}_a", f"{order}_b", "similarity")
+
+
+def near(x: np.ndarray, norms: np.ndarray, words: list[set[str]]) -> Iterator[list[int]]:
+    """For each row, in order, the earlier ones that can be its duplicates by vectors or contents, in order; none is lost."""
+    unit = x / np.where(norms > 0, norms, 1.0)[:, None]
+    counts = Counter(w for ws in words for w in ws)
+    rows_of: dict[str, list[int]] = defaultdict(list)
+    for start in range(0, len(x), ROWS_AT_ONCE):
+        cosines = unit[start : start + ROWS_AT_ONCE] @ unit[: start + ROWS_AT_ONCE].T
+        for i in range(start, min(start + ROWS_AT_ONCE, len(x))):
+            found = set(np.flatnonzero(cosines[i - start, :i] >= V.DUPLICATE[0] - 1e-9).tolist())
+            for w in sorted(words[i], key=lambda w: (counts[w], w))[: prefix_size(len(words[i]), V.DUPLICATE[2])]:
+                found.update(rows_of[w])
+                rows_of[w].append(i)
+            yield sorted(found)
 
 
 def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Relations within a scope of bounded size: related_to, extends and prerequisite, each at most once a pair and direction.
+    """Relations within a scope, of which all pairs are compared: related_to, extends and prerequisite, each at most once a pair and direction.
 
     ``skills`` has a ``vector``. A pair is related by its vectors, else tags, else names, else shared units, else category;
     names are compared only where vectors and tags don't decide.
@@ -84,7 +122,7 @@ def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
 
 
 def survivors(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Order-dependent removal of duplicates in each scope of bounded size: the better of two stays, the newer at the end.
+    """Order-dependent removal of duplicates in each scope: the better of two stays, the newer at the end.
 
     ``skills`` has a ``vector``. Two records are duplicates by their vectors, or by names and contents at once. Returns
     ``(scope, order, survivor, method, similarity)``: the record into which each one goes at last, and what it was
@@ -97,29 +135,32 @@ def survivors(skills: DataFrame, scope: str, order: str) -> DataFrame:
         rows = group.to_dict("records")
         x = np.array(group["vector"].tolist(), dtype="float64")
         norms = np.sqrt((x * x).sum(1))
-        left: list[int] = []
+        words = [set(r["w"]) for r in rows]
+        left: set[int] = set()
         into: dict[int, int] = {}
         why: dict[int, tuple[str, float]] = {}
-        for i, row in enumerate(rows):
+        for (i, row), earlier in zip(enumerate(rows), near(x, norms, words), strict=True):
             into[i] = i
-            for at, j in enumerate(left):
+            for j in earlier:  # survivors stand in order, as a newer one goes to the end
+                if j not in left:
+                    continue
                 other = rows[j]
                 cosine = float(x[i] @ x[j] / (norms[i] * norms[j])) if norms[i] and norms[j] else 0.0
                 if cosine < V.DUPLICATE[0]:
-                    ws, wo = set(row["w"]), set(other["w"])
+                    ws, wo = words[i], words[j]
                     content = len(ws & wo) / len(ws | wo) if ws and wo else 0.0
                     if content < V.DUPLICATE[2] or difflib.SequenceMatcher(None, other["p"], row["p"]).ratio() < V.DUPLICATE[1]:
                         continue
                 newer = row["quality_score"] > other["quality_score"]
                 if newer:
-                    left.pop(at)
-                    left.append(i)
+                    left.remove(j)
+                    left.add(i)
                 gone, kept = (j, i) if newer else (i, j)
                 into[gone] = kept
                 why[gone] = ("semantic" if cosine >= V.DUPLICATE[0] else "lexical", round(cosine, 4))
                 break
             else:
-                left.append(i)
+                left.add(i)
 
         def end(i: int) -> int:
             while into[i] != i:

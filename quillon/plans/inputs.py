@@ -112,13 +112,18 @@ UNITS_SQL = _unit_sql()
 
 
 def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Reviewed skill records of the units' groups, with the source, a number in order of groups, and a book.
+    """Reviewed skill records of the units' groups, with the source and a number in order of groups."""
+    made = skills.reviewed(skills.records(units(spark, sf_dir, whole), "grp"))
+    return made.withColumn("source", F.substring_index("grp", "-", 1)).withColumn("no", F.substring_index("grp", "-", -1).cast("long"))
+
 
-    A book is a run of numbers within a source, so it holds at most ``BOOK`` records however much a source holds.
+def booked(found: DataFrame, scope: str, *numbers: str) -> DataFrame:
+    """``found`` with ``book`` first, for ``scope``: the source and the run of ``BOOK`` numbers that the lowest of ``numbers`` is in.
+
+    A book is a label only; records are compared across the books of a source.
     """
-    made = skills.reviewed(skills.records(units(spark, sf_dir, whole), "grp"))
-    made = made.withColumn("source", F.substring_index("grp", "-", 1)).withColumn("no", F.substring_index("grp", "-", -1).cast("long"))
-    return made.withColumn("book", F.concat_ws("-", "source", F.floor(F.col("no") / BOOK).cast("string")))
+    low = F.least(*numbers) if len(numbers) > 1 else F.col(numbers[0])
+    return found.select(F.concat_ws("-", scope, F.floor(low / BOOK).cast("string")).alias("book"), *[c for c in found.columns if c != scope])
 
 
 SKILLS_SQL = f"""{UNITS_SQL},

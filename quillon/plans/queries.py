@@ -347,25 +347,25 @@ _CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower(description || '
 
 
 @query(f"""WITH {SKILLS_SQL}, c AS (SELECT {inputs.BOOK_SQL} AS book, no, grp, {_CONTENT} AS w FROM skills), p AS (SELECT a.book, a.no AS no_a, b.no AS no_b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END AS j
-  FROM c a JOIN c b ON a.book = b.book AND a.no < b.no) SELECT book, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""", whole=True)
+  FROM c a JOIN c b ON a.book = b.book AND a.no < b.no) SELECT book, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""")
 def dedup_content_jaccard(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return similar.content_pairs(records(spark, sf_dir, whole), "book", "no")
+    return inputs.booked(similar.content_pairs(records(spark, sf_dir, whole), "source", "no"), "source", "no_a", "no_b")
 
 
 def _embedded_records(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    made = records(spark, sf_dir, whole)
+    made = records(spark, sf_dir, whole).withColumnRenamed("source", "scope")
     return made.join(embed.dense(made, "grp", embed.skill_text()), "grp")
 
 
 @query()
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.survivors(_embedded_records(spark, sf_dir, whole=True), "book", "no")
+    return inputs.booked(similar.survivors(_embedded_records(spark, sf_dir, whole=True), "scope", "no"), "scope", "no")
 
 
 @query()
 def dedup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _embedded_records(spark, sf_dir, whole=True)
-    return similar.merged(made, similar.survivors(made, "book", "no"), "book", "no").select("book", "no", F.array_join("tags", ",").alias("tags"), F.size("knowledge_ids").alias("n_units"))
+    return inputs.booked(similar.merged(made, similar.survivors(made, "scope", "no"), "scope", "no"), "scope", "no").select("book", "no", F.array_join("tags", ",").alias("tags"), F.size("knowledge_ids").alias("n_units"))
 
 
 @query()
@@ -384,7 +384,7 @@ _PRE = " OR ".join(f"contains(p, '{k}')" for k in V.PREREQUISITE_KEYWORDS)
 
 @query()
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.edges(_embedded_records(spark, sf_dir, whole=True), "book", "no")
+    return inputs.booked(similar.edges(_embedded_records(spark, sf_dir, whole=True), "scope", "no"), "scope", "source", "target")
 
 
 @query(rf"""WITH {SKILLS_SQL}, n AS (SELECT {inputs.BOOK_SQL} AS book, no, trim(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS p FROM skills), m AS (SELECT *, ({_PRE}) AS pre FROM n),
@@ -393,7 +393,7 @@ ab AS (SELECT a.book, a.no AS x, b.no AS y, a.pre AS pa, b.pre AS pb, contains(b
 SELECT book, CASE WHEN ba THEN y ELSE x END AS source, CASE WHEN ba THEN x ELSE y END AS target, 'extends' AS type, round(least(la, lb)::DOUBLE / greatest(la, lb), 3) AS weight FROM ab WHERE ba OR ab_
 UNION ALL SELECT book, CASE WHEN pa THEN x ELSE y END, CASE WHEN pa THEN y ELSE x END, 'prerequisite', 1.0 FROM ab WHERE pa <> pb""", whole=True)
 def kg_directed_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return similar.edges(_embedded_records(spark, sf_dir, whole), "book", "no").where("type <> 'related_to'")
+    return inputs.booked(similar.edges(_embedded_records(spark, sf_dir, whole), "scope", "no"), "scope", "source", "target").where("type <> 'related_to'")
 
 
 @query(f"WITH {SKILLS_SQL} SELECT grp, md5(name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  ') AS text_hash FROM skills", whole=True)

@@ -7,7 +7,7 @@ import pytest
 
 from quillon.functions import vocabulary as V
 from quillon.plans import inputs
-from quillon.plans.queries import ORACLE_SQL, QUERIES
+from quillon.plans.queries import ORACLE_SQL, QUERIES, dedup_content_jaccard
 
 TEXTS = (
     "The first line tells of sales and price.\nThe second line tells of a marketing funnel.\n\nThe fourth: of customers and budget.",
@@ -100,3 +100,18 @@ def test_topics_span_the_table(spark, tmp_path):
     got = {r["unit_id"]: r["topic"] for r in QUERIES["topic_components_whole"](spark, str(tmp_path)).collect()}
     assert got == union_find(tagged)
     assert any(unit >> 31 > (topic >> 31) + 100 for unit, topic in got.items())
+
+
+def test_pairs_across_books_of_a_source(spark, tmp_path):
+    text = "Close the quarter with a review of each open customer account.\nKeep a list of late payments and call the owners."
+    far = 7 * len(inputs.KEYWORDS) * 200  # the same prefixes and keywords as 0
+    assert far // 5 >= inputs.BOOK
+    rows = [(d, text if d in (0, far) else f"Entry {d} is about matter{d} and topic{d} with detail{d} in place{d}.", "src0") for d in (0, 501, 1_002, far)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path)
+    for whole in (False, True):
+        assert [tuple(r) for r in dedup_content_jaccard(spark, at, whole).collect()] == [("src0-0", 0, far // 5, 1.0)]
+    gone = {r["no"]: (r["survivor"], r["method"]) for r in QUERIES["dedup_greedy"](spark, at).collect()}
+    assert gone[far // 5] == (0, "semantic") and QUERIES["dedup_counts"](spark, at).first()["removed"] >= 1
+    assert {r["no"] for r in QUERIES["dedup_merged"](spark, at).collect()} == {no for no, (kept, _) in gone.items() if no == kept}
+    assert {(r["source"], r["target"]) for r in QUERIES["kg_edges"](spark, at).where("type = 'related_to'").collect()} >= {(0, far // 5)}
