@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTHS = (1, 2, 3)
 BUCKETS = 1 << 18
-#: Bounds of the sample that trains: languages (the most frequent), texts and landmarks of each.
+#: Texts and landmarks of each language that train; beyond ``LANGUAGES`` languages each has fewer, and none is left out.
 LANGUAGES, TEXTS, LANDMARKS = 64, 300, 40
 RIDGE = 1e-3
 ROWS, CHARACTERS = 256, 2_000_000
@@ -95,12 +95,20 @@ class Model:
         return [(self.languages[b], float(min(max(s[b], 0.0), 1.0))) if h else (UNKNOWN, 0.0) for b, s, h in zip(best, scores, has, strict=True)]
 
 
+def share(most: int, languages: int) -> int:
+    """How many of ``most`` texts or landmarks a language has among so many languages."""
+    return max(1, min(most, most * LANGUAGES // languages))
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """Kernel ridge on Nystroem features; the first ``LANDMARKS`` texts of each language are landmarks."""
+    """Kernel ridge on Nystroem features; the first texts of each language are landmarks."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.empty(0, np.int32), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
-    marks = [i for lang in languages for i in [k for k, x in enumerate(langs) if x == lang][:LANDMARKS]]
+    of: dict[str, list[int]] = {lang: [] for lang in languages}
+    for k, x in enumerate(langs):
+        of[x].append(k)
+    marks = [i for lang in languages for i in of[lang][: share(LANDMARKS, len(languages))]]
     rows, buckets, _ = presence([texts[i] for i in marks])
     kinds = np.unique(buckets)
     column = np.full(BUCKETS, -1, np.int32)
@@ -112,24 +120,26 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
     features = np.vstack([model.kernel(texts[i : i + ROWS])[0] for i in range(0, len(texts), ROWS)]).astype(np.float64) @ root
     features = np.hstack([features, np.ones((len(texts), 1))])
-    target = np.array([[float(x == lang) for lang in languages] for x in langs])
-    weight = np.array([len(langs) / (len(languages) * langs.count(x)) for x in langs])[:, None]
+    target = (np.array(langs)[:, None] == np.array(languages)[None, :]).astype(np.float64)
+    weight = np.array([len(langs) / (len(languages) * len(of[x])) for x in langs])[:, None]
     solved = np.linalg.solve(features.T @ (features * weight) + RIDGE * len(texts) * np.eye(features.shape[1]), features.T @ (target * weight))
     model.weights = np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32)
     return model
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model from ``labelled(doc_id, text, lang)``: about ``TEXTS`` texts, chosen by hash, of each of the most frequent languages."""
+    """A model from ``labelled(doc_id, text, lang)``: about ``TEXTS`` texts, or fewer the more languages there are, chosen by hash, of every language."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    counts = rows.groupBy("lang").count()
+    languages = counts.count()
+    if not languages:
         return fit([], [])
     spread = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (spread < TEXTS / r["count"]))
-    sample = rows.where(chosen).select("lang", "text").limit(2 * TEXTS * LANGUAGES).collect()
+    texts = share(TEXTS, languages)
+    wanted = texts if languages <= LANGUAGES else texts + 30  # so that chance leaves no language out
+    sample = rows.join(F.broadcast(counts), "lang").withColumn("_s", spread).where(F.col("_s") < F.lit(float(wanted)) / F.col("count"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_s", "text"))
+    sample = sample.withColumn("_n", first).where(F.col("_n") <= 2 * wanted).select("lang", "text").collect()
     sample = sorted((r["lang"], r["text"]) for r in sample)
     order = np.random.default_rng(11).permutation(len(sample))
     return fit([sample[i][1] for i in order], [sample[i][0] for i in order])

@@ -26,3 +26,14 @@ def test_one_text_beyond_the_bound(spark, monkeypatch):
     assert cut.endswith("word119999") and "word6" in cut
     whole = [t for t in texts if not t.startswith("word0 ")]
     assert set(whole) == {"plain words here " * 50}
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 4)
+    monkeypatch.setattr(langid, "LANDMARKS", 8)
+    rows = [(k, " ".join(chr(0x4E00 + 40 * (k % 12) + (k * 7 + i * i) % 30) for i in range(40)), f"l{k % 12:02d}") for k in range(12 * 20)]
+    rows += [(1_000 + k, rows[0][1], "l00") for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == [f"l{k:02d}" for k in range(12)] and len(model.landmarks) <= 4 * 8
+    assert all(r["lang_pred"] == f"l{r['doc_id'] % 12:02d}" for r in langid.identify(docs).where("doc_id < 1000").collect())
