@@ -122,12 +122,12 @@ class TreeBpe:
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pieces.findall(text) for i in self.encode_piece(piece)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """Concatenate the tokens' bytes up the tree."""
+    def decode(self, ids: list, bytes_of: dict | None = None) -> bytes:
+        """Concatenate the tokens' bytes up the tree; ``bytes_of`` gives them where ids aren't numbers."""
         if len(ids) <= 4096:
-            return b"".join(map(self.vocabulary.__getitem__, ids))
+            return b"".join(map((self.vocabulary if bytes_of is None else bytes_of).__getitem__, ids))
         half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        return self.decode(ids[:half], bytes_of) + self.decode(ids[half:], bytes_of)
 
 
 class _Written(dict):
@@ -154,7 +154,7 @@ def digests(bpe: TreeBpe, text: str | None, written: dict, bytes_of: dict) -> tu
         ids = joined.split(",")
         count += len(ids)
         ids_hash.update((joined if first else f",{joined}").encode())
-        bytes_hash.update(b"".join(map(bytes_of.__getitem__, ids)))
+        bytes_hash.update(bpe.decode(ids, bytes_of))
         first = False
     return count, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
