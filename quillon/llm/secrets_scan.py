@@ -1,6 +1,7 @@
 """Secrets in texts: candidate strings, judged by a random forest. DataFrame expressions only.
 
-Candidates are runs of key-like characters with a digit. A forest over their length, character
+Candidates are runs of key-like characters that have a digit or start as known keys do, and whatever is
+assigned to a secret name. A forest over their length, character
 classes and transitions, dictionary coverage, path marks and neighbouring words removes false findings. It
 is trained from labelled findings and compiled into a column expression, so scanning a text is one row's work.
 """
@@ -29,6 +30,11 @@ SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_k
 HARMLESS_NAMES = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "revision", "build", "version", "isbn", "order", "invoice", "card", "phone", "parcel", "session_id", "request_id", "id")
 DICTIONARY = ("example", "sample", "changeme", "change", "password", "secret", "token", "your", "here", "test", "dummy", "placeholder", "value", "string", "config", "default", "public", "index", "page", "image", "photo", "file", "report", "section", "chapter", "version", "release", "december", "january", "october", "monday", "http", "html", "json", "node", "user", "name", "data", "table", "column", "insert", "select", "with", "from", "that", "this", "tion", "ing", "and", "the")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xox", "sk-", "sk_live_", "AIza", "SG", "npm_", "eyJ")
+#: Starts of keys, after which runs of any length and without digits are candidates too.
+MARKED = rf"(?<![A-Za-z0-9+/_\-])(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\-]+"
+#: A secret name, = or :, and the value, of any characters but spaces, quotes and separators.
+LEAD = rf"(?i)(?:{'|'.join(SECRET_NAMES)})[\"']?\s*+[=:]++>?\s*+[\"']?"
+ASSIGNED = rf"({LEAD})((?<=\")[^\s\"]+|(?<=')[^\s']+|[^\s\"',;&<>]+)"
 FEATURES = ("length", "digits", "uppers", "lowers", "transitions", "kinds", "hex", "coverage", "path", "dashes", "prefix", "named", "assigned", "quoted", "harmless", "follows")
 
 
@@ -68,6 +74,7 @@ def example_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     digits = lambda k: F.substring(F.regexp_replace(F.conv(F.substring(x, 1, 15), 16, 10), "[^0-9]", "7"), 1, k)
     pick = lambda *words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64("id", F.lit(len(words))), F.lit(len(words))) + 1).cast("int"))
     upper = F.upper(F.substring(F.regexp_replace(F.base64(F.unhex(x)), "[^A-Za-z0-9]", ""), 1, 16))
+    letters = lambda c: F.translate(c, "0123456789", "ghjkmnpqrt")
     name, plain = pick(*SECRET_NAMES), pick("the", "and", "von", "que", "les", "with", "of.", "here,")
     templates = [
         (1, F.concat(name, F.lit(' = "')), hexed(40)),
@@ -78,6 +85,13 @@ def example_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
         (1, F.concat(plain, F.lit(" ")), F.concat(F.lit("ghp_"), mixed(36))),
         (1, F.concat(F.upper(name), F.lit(' = "')), F.upper(hexed(40))),
         (1, F.concat(F.upper(name), F.lit("=")), F.upper(hexed(18))),
+        (1, F.concat(name, F.lit("=")), letters(mixed(10))),
+        (1, F.concat(name, F.lit(": ")), F.concat(mixed(4), pick("!", "@", "#", "$"), F.substring(x, 9, 4))),
+        (1, F.concat(name, F.lit('="')), F.lower(letters(mixed(9)))),
+        (1, F.concat(plain, F.lit(" ")), F.concat(F.lit("AKIA"), F.upper(letters(upper)))),
+        (0, F.concat(name, F.lit(": ")), pick("the", "required", "none", "null", "true", "your", "string", "optional", "value", "and", "this", "for", "is")),
+        (0, F.concat(name, F.lit("=")), pick("none", "null", "true", "false", "changeme", "your_token", "<token>", "${TOKEN}", "{password}", "secret", "example")),
+        (0, F.concat(plain, F.lit(" ")), pick("SGML", "SG", "SGD", "ASIA", "xoxo", "sk-learn", "SGML-based", "ASIAN", "SGI")),
         (0, F.concat(plain, F.lit(" ")), digits(16)),
         (0, F.concat(pick("commit", "sha1", "revision"), F.lit(" ")), hexed(40)),
         (0, F.concat(pick("checksum", "md5", "etag", "sha256"), F.lit(": ")), hexed(32)),
@@ -127,9 +141,11 @@ def candidates(text: Column) -> Column:
         F.array(words),
         lambda ws: F.flatten(
             F.transform(
-                F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: (F.length(e["w"]) >= LEAST) & e["w"].rlike(CUE)),
+                F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: ((F.length(e["w"]) >= LEAST) & e["w"].rlike(CUE)) | e["w"].rlike(MARKED)),
                 lambda e: F.transform(
-                    F.filter(F.regexp_extract_all(e["w"], F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]")),
+                    F.array_union(
+                        F.filter(F.regexp_extract_all(e["w"], F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]")), F.regexp_extract_all(e["w"], F.lit(MARKED), F.lit(0))
+                    ),
                     lambda r: F.struct(
                         e["i"].cast("long").alias("at"),
                         r.alias("value"),
@@ -144,14 +160,39 @@ def candidates(text: Column) -> Column:
     return F.get(found, F.lit(0))
 
 
+def assigned(text: Column) -> Column:
+    """Values of secret names, in order, as ``candidates`` gives them, with their number among the matches of ``ASSIGNED``; those that are long runs with a digit are left to it."""
+    parts = F.array(F.struct(F.split(text, ASSIGNED).alias("gaps"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)).alias("leads"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(2)).alias("values")))
+
+    def listed(p: Column) -> Column:
+        def one(v: Column, k: Column) -> Column:
+            upto = F.concat_ws("", F.flatten(F.transform(F.slice(p["leads"], F.lit(1), k + 1), lambda lead, j: F.array(F.get(p["gaps"], j), lead, F.when(j < k, F.get(p["values"], j)).otherwise(F.lit(""))))))
+            words = F.array_remove(F.split(upto, SPACE + "+"), "")
+            last = F.when(upto.rlike(SPACE + "$"), F.lit("")).otherwise(F.element_at(words, -1))
+            return F.struct(
+                (F.size(words) - F.when(last == "", 0).otherwise(1)).cast("long").alias("at"),
+                v.alias("value"),
+                F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))).alias("before"),
+                F.concat(last, v).alias("word"),
+                F.coalesce(F.get(F.array_remove(F.split(F.get(p["gaps"], k + 1), SPACE + "+"), ""), F.lit(0)), F.lit("")).alias("after"),
+                k.alias("k"),
+            )
+
+        return F.filter(F.transform(p["values"], one), lambda e: ~(e["value"].rlike(f"^{RUN}$") & e["value"].rlike("[0-9]")) & ~e["value"].rlike(f"^{MARKED}$"))
+
+    return F.get(F.transform(parts, listed), F.lit(0))
+
+
 def judged(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``_found``: its candidates with the forest's ``votes`` (0 to 1). Null and empty texts have none."""
     model = train(findings if findings is not None else example_findings(docs.sparkSession))
     text = F.col("text").cast("string")
-    listed = docs.withColumn("_c", F.when(text.rlike(CUE), candidates(text)).otherwise(F.array()))
-    features = F.transform("_c", lambda e: F.struct(e["at"].alias("at"), e["value"].alias("value"), F.array(*[c.cast("double") for c in described(e["value"], e["before"], e["word"], e["after"]).values()]).alias("f")))
+    listed = docs.withColumn("_c", F.when(text.rlike(f"{CUE}|{MARKED}"), candidates(text)).otherwise(F.array()))
+    free = F.transform("_c", lambda e: e.withField("k", F.lit(None).cast("int")))
+    listed = listed.withColumn("_c", F.concat(free, F.when(text.rlike(LEAD), assigned(text)).otherwise(F.array())))
+    features = F.transform("_c", lambda e: F.struct(e["at"].alias("at"), e["value"].alias("value"), e["k"].alias("k"), F.array(*[c.cast("double") for c in described(e["value"], e["before"], e["word"], e["after"]).values()]).alias("f")))
     listed = listed.withColumn("_f", features)
-    voted = F.transform("_f", lambda e: F.struct(e["at"].alias("at"), e["value"].alias("value"), compiled(model, lambda i: F.get(e["f"], F.lit(i))).alias("votes")))
+    voted = F.transform("_f", lambda e: F.struct(e["at"].alias("at"), e["value"].alias("value"), e["k"].alias("k"), compiled(model, lambda i: F.get(e["f"], F.lit(i))).alias("votes")))
     return listed.withColumn("_found", voted).drop("_c", "_f")
 
 
@@ -166,8 +207,14 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0.5
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0.5) -> DataFrame:
     """``docs`` with every secret of a text replaced by ``MASK``; other columns, but for n_chars, stay as they are."""
-    secrets = F.transform(F.filter("_found", lambda e: e["votes"] >= cutoff), lambda e: e["value"])
-    text = F.aggregate(secrets, F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    whole = F.col("text").cast("string")
+    secrets = F.filter("_found", lambda e: e["votes"] >= cutoff)
+    named = F.transform(F.filter(secrets, lambda e: e["k"].isNotNull()), lambda e: e["k"])
+    gaps, leads, values = F.split(whole, ASSIGNED), F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(2))
+    inner = F.transform(F.arrays_zip(leads.alias("lead"), values.alias("value")), lambda m, k: F.concat(F.get(gaps, k), m["lead"], F.when(F.array_contains(named, k), F.lit(MASK)).otherwise(m["value"])))
+    placed = F.when(F.size(named) > 0, F.concat(F.concat_ws("", inner), F.element_at(gaps, -1))).otherwise(whole)  # short values are masked where they stand only
+    runs = F.transform(F.filter(secrets, lambda e: e["k"].isNull()), lambda e: e["value"])
+    text = F.aggregate(runs, placed, lambda t, s: F.replace(t, s, F.lit(MASK)))
     held = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), findings)
     changed = held.select("_row", text.alias("_text"))
     out = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias(c) if c == "text" else F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns]
