@@ -1,10 +1,11 @@
 """Byte-level BPE by monoid tree reduction.
 
-A piece is encoded by halving it down to short leaves, which are merged directly, and joining the
-token lists of neighbours. A join is settled by the pair rule of byte-pair encodings: two valid
+A piece is halved down to leaves of a byte or two, which are a token each or one per byte, and the token lists of
+neighbours are joined up the tree. A join is settled by the pair rule of byte-pair encodings: two valid
 encodings put side by side are the encoding of the joined bytes exactly if the two tokens that meet
 re-encode to themselves. Where they don't, a window around the seam is encoded anew and grown until
 the tokens at both of its edges satisfy the rule with the tokens outside, which then cannot change.
+Short halves recur in many pieces, so the lists of those are remembered, as are the re-encoded pairs of tokens.
 Decoding concatenates byte strings up the same kind of tree.
 """
 
@@ -22,9 +23,12 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import bound_batches, with_text
 
-LEAF_BYTES = 48
-#: Distinct pieces whose ids a worker remembers; the memory is emptied beyond it.
-MEMO_PIECES = 700_000
+#: Bytes of a leaf of the encoding tree at most, and byte strings of a leaf of the decoding tree.
+LEAF_BYTES, LEAF_IDS = 2, 64
+#: Bytes of a half whose tokens are remembered; bytes of a window from which merges use a heap.
+HALF_BYTES, HEAP_BYTES = 6, 48
+#: Distinct pieces, halves and pairs that a worker remembers, each; the memories of the last two are emptied beyond it.
+MEMO_PIECES, MEMO_HALVES, MEMO_PAIRS = 500_000, 300_000, 300_000
 #: Characters from which the pieces of a text are taken in portions.
 PORTION = 200_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -42,11 +46,12 @@ class TreeBpe:
         self.ranks = ranks
         self.vocabulary = {rank: token for token, rank in ranks.items()}
         self.pieces = regex.compile(pattern)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int] | None] = {}
+        self._halves: dict[bytes, list[int]] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge adjacent parts by lowest rank, leftmost first, until none can be merged."""
-        if len(data) > LEAF_BYTES:
+        """Merge adjacent parts by lowest rank, leftmost first, until none can be merged: the encoding of a window."""
+        if len(data) > HEAP_BYTES:
             return self._merge_long(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -85,33 +90,47 @@ class TreeBpe:
             i = after[i]
         return out
 
-    def stable(self, left: int, right: int) -> bool:
-        """Whether two adjacent tokens re-encode to themselves."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > MEMO_PIECES:
+    def seam(self, left: int, right: int) -> list[int] | None:
+        """The encoding of two adjacent tokens' bytes; None if it is the two themselves."""
+        pair = left, right
+        try:
+            return self._pairs[pair]
+        except KeyError:
+            if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self.merge(self.vocabulary[left] + self.vocabulary[right]) == [left, right]
-        return known
+            made = self.merge(self.vocabulary[left] + self.vocabulary[right])
+            self._pairs[pair] = made = None if made == [left, right] else made
+            return made
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation: the encoding of the joined bytes of two encodings."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left or right
+        window = self.seam(left[-1], right[0])
+        if window is None:
             return left + right
-        width = 2
+        width = 1
         while True:
-            kept, rest = left[:-width] if width < len(left) else [], right[width:]
-            window = self.merge(b"".join(map(self.vocabulary.__getitem__, left[len(kept) :] + right[:width])))
-            if (not kept or self.stable(kept[-1], window[0])) and (not rest or self.stable(window[-1], rest[0])):
+            kept, rest = left[:-width], right[width:]
+            if (not kept or self.seam(kept[-1], window[0]) is None) and (not rest or self.seam(window[-1], rest[0]) is None):
                 return kept + window + rest
             width *= 2
+            window = self.merge(b"".join(map(self.vocabulary.__getitem__, left[-width:] + right[:width])))
 
     def reduce(self, data: bytes) -> list[int]:
-        """Encode by halves; leaves are merged directly."""
-        if len(data) <= LEAF_BYTES:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
+        """Encode by halves, down to leaves of a byte or two."""
+        n = len(data)
+        if n <= LEAF_BYTES:
+            whole = self.ranks.get(data)
+            return [self.ranks[data[i : i + 1]] for i in range(n)] if whole is None else [whole]
+        if n > HALF_BYTES:
+            return self.join(self.reduce(data[: n // 2]), self.reduce(data[n // 2 :]))
+        known = self._halves.get(data)
+        if known is None:
+            if len(self._halves) >= MEMO_HALVES:
+                self._halves.clear()
+            known = self._halves[data] = self.join(self.reduce(data[: n // 2]), self.reduce(data[n // 2 :]))
+        return known
 
     def encode_piece(self, piece: str) -> list[int]:
         """The ids of one pattern match; a match that is itself a token stays whole."""
@@ -122,40 +141,52 @@ class TreeBpe:
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pieces.findall(text) for i in self.encode_piece(piece)]
 
-    def decode(self, ids: list, bytes_of: dict | None = None) -> bytes:
-        """Concatenate the tokens' bytes up the tree; ``bytes_of`` gives them where ids aren't numbers."""
-        if len(ids) <= 4096:
-            return b"".join(map((self.vocabulary if bytes_of is None else bytes_of).__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half], bytes_of) + self.decode(ids[half:], bytes_of)
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes of tokens, concatenated up the tree."""
+        return concatenated(list(map(self.vocabulary.__getitem__, ids)))
+
+
+def concatenated(parts: list[bytes]) -> bytes:
+    """Byte strings joined by halves, down to leaves of ``LEAF_IDS``."""
+    if len(parts) <= LEAF_IDS:
+        return b"".join(parts)
+    half = len(parts) // 2
+    return concatenated(parts[:half]) + concatenated(parts[half:])
 
 
 class _Written(dict):
-    """Decimal ids of a piece, joined by commas; remembers up to ``MEMO_PIECES`` pieces."""
+    """By piece, its decimal ids joined by commas and the bytes that they decode to.
+
+    Holds up to ``MEMO_PIECES`` pieces in two halves: a full half is kept until the next is full, and what is met again moves over.
+    """
 
     def __init__(self, bpe: TreeBpe):
-        self.bpe = bpe
+        self.bpe, self.before = bpe, {}
 
-    def __missing__(self, piece: str) -> str:
-        if len(self) >= MEMO_PIECES:
+    def __missing__(self, piece: str) -> tuple[str, bytes]:
+        if len(self) >= MEMO_PIECES // 2:
+            self.before = dict(self)
             self.clear()
-        ids = self[piece] = ",".join(map(str, self.bpe.encode_piece(piece)))
-        return ids
+        out = self.before.pop(piece, None)
+        if out is None:
+            ids = self.bpe.encode_piece(piece)
+            out = ",".join(map(str, ids)), self.bpe.decode(ids)
+        self[piece] = out
+        return out
 
 
-def digests(bpe: TreeBpe, text: str | None, written: dict, bytes_of: dict) -> tuple[int, str, str]:
+def digests(bpe: TreeBpe, text: str | None, written: dict) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of their written form and of the bytes they decode to; texts of any length in bounded portions."""
-    count, ids_hash, bytes_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
+    count, ids_hash, bytes_hash = 0, hashlib.sha256(), hashlib.sha256()
     text = text or ""
     for pieces in [bpe.pieces.findall(text)] if len(text) <= PORTION else _portions(bpe, text):
         if not pieces:
             break
-        joined = ",".join(map(written.__getitem__, pieces))
-        ids = joined.split(",")
-        count += len(ids)
-        ids_hash.update((joined if first else f",{joined}").encode())
-        bytes_hash.update(bpe.decode(ids, bytes_of))
-        first = False
+        found = list(map(written.__getitem__, pieces))
+        joined = ",".join([ids for ids, _ in found])
+        ids_hash.update((f",{joined}" if count else joined).encode())
+        count += joined.count(",") + 1
+        bytes_hash.update(concatenated([data for _, data in found]))
     return count, ids_hash.hexdigest(), bytes_hash.hexdigest()
 
 
@@ -198,10 +229,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(raw.value, pattern)
-        written, bytes_of = _Written(bpe), {str(rank): token for rank, token in bpe.vocabulary.items()}
+        written = _Written(bpe)
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            rows = [digests(bpe, text.as_py(), written, bytes_of) for text in batch.column(at)]
+            rows = [digests(bpe, text.as_py(), written) for text in batch.column(at)]
             out = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             if keep:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, *added])
