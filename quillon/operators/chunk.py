@@ -1,19 +1,22 @@
-"""Chunking: fixed windows as column expressions; paragraph-wise strategies as folds over one text at a time."""
+"""Chunking in column expressions: one text in, its chunks out, without a shuffle or a Python worker.
+
+Word counts of the parts of a text (paragraphs, sentences) decide where chunks begin; one fold over the counts yields
+the beginnings, and chunks are slices of the parts. A chunk's overlap is a slice of the text's words that ends where
+the chunk's own first part begins.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import word_count, words
 from quillon.functions.vocabulary import HEADING
 
-_HEADING = re.compile(HEADING)
-_SCHEMA = "{id} {kind}, index int, text string, word_count int"
+_STARTS = "array<struct<at:int,tail:int,word:int>>"
+_TEXTS = "array<string>"
 
 
 def fixed(docs: DataFrame, key: str, most: int = 800, overlap: int = 100) -> DataFrame:
@@ -27,115 +30,153 @@ def fixed(docs: DataFrame, key: str, most: int = 800, overlap: int = 100) -> Dat
     return df.select(key, F.posexplode(chunk).alias("index", "text")).withColumn("word_count", word_count(F.col("text")))
 
 
-def _count(text: str) -> int:
-    return len(text.split())
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def paragraphs(text: Column) -> Column:
+    return F.split(stripped(text), r"(?U)\n\s*\n")
+
+
+def positions(items: Column) -> Column:
+    """Numbers from 0 of an array's items."""
+    return F.transform(items, lambda _, i: i)
+
+
+def beginnings(sizes: Column, heads: Column | None, most: int, overlap: int = 0) -> Column:
+    """Where chunks begin if parts of ``sizes`` words are packed up to ``most``: the part, the words of overlap before it, the words of parts before it.
+
+    A part in ``heads`` begins a chunk without overlap. A chunk closed for want of room hands on its last ``overlap`` words if it has more.
+    """
+    parts = F.transform(sizes, lambda n, i: F.struct(i.alias("at"), n.alias("n"), (F.get(heads, i) if heads is not None else F.lit(False)).alias("head")))
 
+    def step(state: Column, part: Column) -> Column:
+        held, n = state["held"], part["n"]
+        headed = part["head"] & (held > 0)
+        full = held + n > most
+        opens = headed | full | (F.size(state["starts"]) == 0)
+        tail = F.when(full & ~headed & (held > overlap), F.lit(overlap)).otherwise(F.lit(0))
+        start = F.struct(part["at"].alias("at"), tail.alias("tail"), state["word"].alias("word"))
+        return F.struct(
+            F.when(opens, F.array_append(state["starts"], start)).otherwise(state["starts"]).alias("starts"),
+            F.when(opens, tail + n).otherwise(held + n).alias("held"),
+            (state["word"] + n).alias("word"),
+        )
 
-def _tail(text: str, n: int) -> str:
-    w = text.split()
-    return " ".join(w[-n:]) if n and len(w) > n else ""
+    none = F.struct(F.array().cast(_STARTS).alias("starts"), F.lit(0).alias("held"), F.lit(0).alias("word"))
+    return F.aggregate(parts, none, step, lambda state: state["starts"])
 
 
-def sentences(text: str, most: int) -> list[str]:
+def slices(parts: Column, starts: Column, between: str, every: Column | None = None) -> Column:
+    """The chunks that begin at ``starts``: parts joined, behind their overlap from ``every`` word of the text."""
+
+    def one(s: Column, j: Column) -> Column:
+        own = F.array_join(F.slice(parts, s["at"] + 1, F.coalesce(F.get(starts, j + 1)["at"], F.size(parts)) - s["at"]), between)
+        if every is None:
+            return own
+        tail = F.array_join(F.slice(every, F.greatest(s["word"] - s["tail"], F.lit(0)) + 1, s["tail"]), " ")
+        return F.when(s["tail"] > 0, F.concat(tail, F.lit(between), own)).otherwise(own)
+
+    return F.transform(starts, one)
+
+
+def sentences(text: Column, most: int) -> Column:
     """Sentences packed up to ``most`` words; a longer one stays whole."""
-    out, held, size = [], [], 0
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        n = _count(s)
-        if held and size + n > most:
-            out.append(" ".join(held))
-            held, size = [], 0
-        held.append(s)
-        size += n
-    return [*out, " ".join(held)] if held else out
-
-
-def semantic(text: str, most: int, least: int, overlap: int) -> list[str]:
-    """Paragraphs grouped up to ``most`` words; headings begin anew, overfull groups hand on their last words."""
-    out: list[str] = []
-    group: list[str] = []
-    size = 0
-    for p in re.split(r"\n\s*\n", text.strip()):
-        p = p.strip()
-        if not p:
-            continue
-        n = _count(p)
-        if group and _HEADING.match(p):
-            out.append("\n\n".join(group))
-            group, size = [], 0
-        elif group and size + n > most:
-            out.append("\n\n".join(group))
-            tail = _tail("\n".join(group), overlap)
-            group, size = ([tail], _count(tail)) if tail else ([], 0)
-        group.append(p)
-        size += n
-    return [*out, "\n\n".join(group)] if group else out
-
-
-def paragraph(text: str, most: int, least: int, overlap: int) -> list[str]:
-    """One chunk a paragraph; short ones are carried into the next that fits, long ones cut at sentences."""
-    out, carried = [], ""
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text.strip())):
-        if not p:
-            continue
-        n = _count(p)
-        if n > most:
-            out += sentences(p, most)
-        elif n < most // 4:
-            carried = f"{carried}\n\n{p}" if carried else p
-        else:
-            out.append(f"{carried}\n\n{p}" if carried else p)
-            carried = ""
-    return [*out, carried] if carried else out
-
-
-def recursive(text: str, most: int, least: int, overlap: int) -> list[str]:
-    """A heading at the start is set apart and packed with the rest; without one, paragraphs; then overlaps and merging."""
-    text = text.strip()
-    head = _HEADING.match(text)
-    if head:
-        parts, held = [], ""
-        for section in (head[0].strip(), text[head.end() :].strip()):
-            if not section:
-                continue
-            if held and _count(held) + _count(section) > most:
-                parts.append(held)
-                held = section
-            else:
-                held = f"{held}\n\n{section}" if held else section
-        parts += sentences(held, most) if _count(held) > most else [held] if held else []
-    else:
-        parts = paragraph(text, most, least, overlap)
-    joined = [p if i == 0 or not (t := _tail(parts[i - 1], overlap)) else f"{t}\n{p}" for i, p in enumerate(parts)]
-    out: list[str] = []
-    for p in joined:
-        if out and _count(p) < least:
-            out[-1] = f"{out[-1]}\n{p}"
-        else:
-            out.append(p)
-    return out
-
-
-STRATEGIES: dict[str, Callable[[str, int, int, int], list[str]]] = {"semantic": semantic, "hybrid": semantic, "paragraph": paragraph, "recursive": recursive}
-
-
-def merged(parts: list[str], least: int) -> list[tuple[int, str]]:
-    """Chunks below ``least`` words join the one before; numbers are those before joining, so they have gaps."""
-    out: list[tuple[int, str]] = []
-    for i, p in enumerate(parts):
-        if _count(p) < least and len(parts) > 1 and out:
-            out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{p}")
-        else:
-            out.append((i, p))
-    return out
+    cut = F.split(text, r"(?U)(?<=[.!?])\s+")
+    return bound(cut, lambda parts: bound(beginnings(F.transform(parts, word_count), None, most), lambda starts: slices(parts, starts, " ")))
 
 
-def folded(docs: DataFrame, key: str, strategy: str = "semantic", most: int = 800, least: int = 80, overlap: int = 100) -> DataFrame:
-    """Chunks by a fold over each text, an Arrow batch at a time; blank texts give none."""
-    cut, kind = STRATEGIES[strategy], docs.schema[key].dataType.simpleString()
+def semantic(text: Column, most: int, least: int, overlap: int) -> Column:
+    """Paragraphs packed up to ``most`` words and never cut; headings begin anew, full chunks hand on their last words."""
+    def cut(parts: Column) -> Column:
+        listed = F.transform(parts, words)
+        starts = beginnings(F.transform(listed, lambda w: F.size(w)), F.transform(parts, lambda p: stripped(p).rlike(HEADING)), most, overlap)
+        return bound(starts, lambda s: slices(parts, s, "\n\n", F.flatten(listed)))
+
+    return bound(paragraphs(text), cut)
+
+
+def paragraph(text: Column, most: int, least: int, overlap: int) -> Column:
+    """A chunk for each paragraph; those below a quarter of ``most`` go in front of the next that fits, longer ones are cut at sentences.
+
+    Short paragraphs wait for one that fits even where a long one comes before it, and come last if none does.
+    """
+    few = most // 4
+
+    def cut(known: Column) -> Column:
+        parts, sizes = known["parts"], known["sizes"]
+        size = lambda i: F.get(sizes, i)
+        fitting = F.filter(positions(parts), lambda i: (size(i) <= most) & (size(i) >= few))
+        waiting = lambda first, last: F.filter(F.slice(positions(parts), first + 1, last - first + 1), lambda i: size(i) <= most)
+        joined = lambda at: F.array_join(F.transform(at, lambda i: F.get(parts, i)), "\n\n")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, i, t, _count(t)) for k, text in zip(batch[key], batch["text"], strict=True) if text and text.strip() for i, t in merged(cut(text, most, least, overlap), least)]
-            yield pd.DataFrame(rows, columns=[key, "index", "text", "word_count"])
+        def placed(fits: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(fits, F.array_position(fits, i).cast("int") - 2), F.lit(-1))
+            made = F.transform(
+                F.filter(positions(parts), lambda i: size(i) >= few),
+                lambda i: F.when(size(i) > most, sentences(F.get(parts, i), most)).otherwise(F.array(joined(waiting(before(i) + 1, i)))),
+            )
+            rest = waiting(F.coalesce(F.get(fits, F.size(fits) - 1), F.lit(-1)) + 1, F.size(parts) - 1)
+            return F.concat(F.flatten(made), F.when(F.size(rest) > 0, F.array(joined(rest))).otherwise(F.array().cast(_TEXTS)))
 
-    return docs.select(key, "text").mapInPandas(run, _SCHEMA.format(id=key, kind=kind))
+        return bound(fitting, placed)
+
+    return bound(paragraphs(text), lambda p: bound(F.struct(p.alias("parts"), F.transform(p, word_count).alias("sizes")), cut))
+
+
+def tail(text: Column, n: int) -> Column:
+    """The last ``n`` words of a text that has more; else an empty text."""
+    return bound(words(text), lambda w: F.when(F.size(w) > n, F.array_join(F.slice(w, F.size(w) - n + 1, F.lit(n)), " ")).otherwise(F.lit("")))
+
+
+def joined_to(parts: Column, fits: Callable[[Column], Column], between: str) -> Column:
+    """``(index, text)`` of parts; all but the first that don't ``fit`` are joined to the one before, which keeps its number."""
+    kept = F.filter(positions(parts), lambda i: (i == 0) | fits(F.get(parts, i)))
+
+    def one(i: Column, j: Column) -> Column:
+        upto = F.coalesce(F.get(kept, j + 1), F.size(parts))
+        return F.struct(i.alias("index"), F.array_join(F.slice(parts, i + 1, upto - i), between).alias("text"))
+
+    return F.transform(kept, one)
+
+
+def overlapped(parts: Column, least: int, overlap: int) -> Column:
+    """Parts behind the last words of the one before; what then has less than ``least`` words is joined to the one before. No overlap: as they are."""
+    if overlap <= 0:
+        return parts
+
+    def one(p: Column, i: Column) -> Column:
+        last = tail(F.get(parts, i - 1), overlap)
+        return F.when((i > 0) & (last != ""), F.concat(last, F.lit("\n"), p)).otherwise(p)
+
+    made = bound(F.transform(parts, one), lambda x: F.transform(joined_to(x, lambda p: word_count(p) >= least, "\n"), lambda c: c["text"]))
+    return F.when(F.size(parts) > 1, made).otherwise(parts)
+
+
+def recursive(text: Column, most: int, least: int, overlap: int) -> Column:
+    """The mark of a heading that a text begins with, and its rest: one chunk if they fit, else the rest cut at sentences if need be; with overlaps.
+
+    Texts without one are cut as by :func:`paragraph`.
+    """
+    mark = stripped(F.regexp_extract(text, HEADING, 0))
+    rest = stripped(F.regexp_replace(text, HEADING, ""))
+    whole = F.concat(mark, F.lit("\n\n"), rest)
+    cut = F.when(word_count(rest) > most, sentences(rest, most)).otherwise(F.array(rest))
+    parts = F.when(word_count(whole) <= most, F.array(whole)).otherwise(F.concat(F.array(mark), cut))
+    return F.when((mark != "") & (rest != ""), bound(parts, lambda p: overlapped(p, least, overlap))).otherwise(paragraph(text, most, least, overlap))
+
+
+STRATEGIES: dict[str, Callable[[Column, int, int, int], Column]] = {"semantic": semantic, "hybrid": semantic, "paragraph": paragraph, "recursive": recursive}
+
+
+def folded(docs: DataFrame, key: str, strategy: str = "semantic", most: int = 800, least: int = 80, overlap: int = 100) -> DataFrame:
+    """Chunks by a strategy; those below ``least`` words are joined to the one before, so numbers have gaps. Blank texts give none."""
+    parts = STRATEGIES[strategy](F.col("text"), most, least, overlap)
+    df = docs.select(key, "text").where(F.col("text").rlike(r"(?U)\S")).select(key, parts.alias("_p"))
+    made = joined_to(F.col("_p"), lambda p: word_count(p) >= least, "\n\n")
+    return df.select(key, F.explode(made).alias("_c")).select(key, "_c.index", "_c.text").withColumn("word_count", word_count(F.col("text")))

@@ -49,11 +49,6 @@ def test_fixed_chunks(spark):
     assert [r["text"].split()[0] + "-" + r["text"].split()[-1] for r in rows] == ["w1-w5", "w4-w8", "w7-w11"]
 
 
-def test_merging():
-    parts = ["a " * 5, "b " * 100, "c " * 3]
-    assert [(i, len(t.split())) for i, t in chunk.merged(parts, 10)] == [(0, 5), (1, 103)]
-
-
 @pytest.mark.parametrize(("line", "kind", "content", "confidence"), [
     ("Best Practice: Research demographics before every sales campaign", "best_practice", "Research demographics before every sales campaign", 0.65),
     ("Avoid: Trying to sell to everyone at once", "anti_pattern", "Trying to sell to everyone at once", 0.63),
