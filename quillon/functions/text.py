@@ -72,12 +72,13 @@ def plain_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"[^a-zA-Z0-9\s]", "")), r"\s+", " "))
 
 
-def clean_tag(tag: Column, longest: int = 30) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(tag), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest)
+def clean_tag(tag: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(tag)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def clean_tags(raw: Column, most: int = 5) -> Column:
-    cleaned = F.filter(F.transform(F.split(raw, r"[,\s]+"), lambda t: clean_tag(t)), lambda t: t != "")
+def clean_tags(raw: Column, most: int = 5, longest: int = 30) -> Column:
+    """Tags of a list in kebab case, the first ``most``; longer ones than ``longest`` are left out."""
+    cleaned = F.filter(F.transform(raw, clean_tag), lambda t: (t != "") & (F.length(t) <= longest))
     return F.slice(F.array_distinct(cleaned), 1, most)
 
 

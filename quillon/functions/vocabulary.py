@@ -43,11 +43,23 @@ PREREQUISITE_KEYWORDS = ("before", "prerequisite", "pre-requisite", "prereq", "p
 # Words of titles in lower case, and words dropped from the end of names.
 ARTICLES = ("a", "an", "the", "of", "for", "and", "or", "to", "in", "on", "with")
 TRAILING = ("technique", "method", "strategy", "approach")
-# Stop words of embeddings; those of content comparison differ as stated.
-STOPWORDS = tuple(
-    "a about above after again all an and are as at be because been before being below between both but by can could did do does down during each every few for from further had has have here how if in into is it its just may might more most must no nor not of off on once only or other out over own same shall should so some such than that the then there these this those through to too under up very was were when where while why will with would".split()
-)
-CONTENT_STOPWORDS = tuple(sorted((set(STOPWORDS) - {"about", "being", "down", "must", "these", "those", "up"}) | {"nothing"}))
+# Stop words of embeddings.
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "all", "an", "and", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between",
+    "both", "but", "by", "can", "could", "did", "do", "does", "down", "during", "each", "every", "few", "for", "from", "further", "had", "has",
+    "have", "here", "how", "if", "in", "into", "is", "it", "its", "just", "may", "might", "more", "most", "must", "no", "nor", "not", "of", "off",
+    "on", "once", "only", "or", "other", "out", "over", "own", "same", "shall", "should", "so", "some", "such", "than", "that", "the", "then",
+    "there", "these", "this", "those", "through", "to", "too", "under", "up", "very", "was", "were", "when", "where", "while", "why", "will", "with",
+    "would",
+)
+# Stop words of content comparison.
+CONTENT_STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "can", "could", "should",
+    "may", "might", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above",
+    "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all",
+    "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
+    "just", "because", "and", "but", "or", "if", "while", "that", "this", "it", "its",
+)
 # Lines that cleaning drops, matched on the stripped line.
 DROPPED_LINES = (r"(?i)^page\s+\d+$", r"^\d+\s*/\s*\d+$", r"(?i)^copyright\s+©?\s*\d{4}.*$", r"(?i)^all\s+rights?\s+reserved\.?$", r"^_{10,}$", r"^[-=]{20,}$")
 HEADING = r"(?i)^(#{1,4}\s+|(chapter|section|part|appendix)\s+\d+[.:]?\s*)"
@@ -63,6 +75,7 @@ REVIEW_NOTES = {
     "examples": "no examples",
     "tags": "tags/category missing or sparse",
 }
+REVIEW_NAMELESS = ("Skill name is empty; cannot be approved.", "name is empty")
 REVIEW_COMPLETE = "all criteria met: description, examples, workflow, pitfalls, tags/category"
 REVIEW_FEEDBACK = {
     "approved": "Skill is well-structured and ready for approval.",

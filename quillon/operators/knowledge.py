@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import contextlib
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quillon.functions import text as T
@@ -35,36 +42,73 @@ def confidence(kind: Column, content: Column) -> Column:
     return F.floor((F.least(base + F.least(F.length(content), F.lit(300)), F.lit(950)) + 5) / 10) / 100
 
 
-def units(chunks: DataFrame, keys: list[str], text: str = "text", least: float = 0.3, most: int = 10) -> DataFrame:
-    """At most ``most`` units of each chunk, in order of lines: type, title, content, confidence, tags."""
+def units(chunks: DataFrame, keys: list[str], text: str = "text", least: float = 0.3, most: int = 10, allowed: tuple[str, ...] = V.UNIT_TYPES) -> DataFrame:
+    """At most ``most`` units of ``allowed`` types of each chunk, in order of lines: type, title, content, confidence, tags."""
     lines = chunks.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     kind, content = _match(F.col("line"))
-    df = lines.withColumns({"unit_type": kind, "content": content}).where("unit_type IS NOT NULL")
+    df = lines.withColumns({"unit_type": kind, "content": content}).where(F.col("unit_type").isin(*allowed))
     df = df.withColumns({"title": unit_title(F.col("line"), F.col("unit_type"), F.col("content")), "confidence": confidence(F.col("unit_type"), F.col("content")), "tags": T.inferred_tags(F.col("content"))})
     df = df.where(F.col("confidence") >= least).drop("line")
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("line_no"))
     return df.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n")
 
 
-def coerced(raw: DataFrame) -> DataFrame:
-    """Units from a model's JSON answers: ``raw(chunk_id, response)`` as a list, an object with a list, or one object.
+#: What is read of an object in a model's answer; ``tags`` are kept as a list, or as one text to be cut.
+_TEXT = StringType()
+_OBJECT = StructType([StructField(n, _TEXT) for n in ("unit_type", "title", "content", "confidence")] + [StructField("tags", ArrayType(_TEXT)), StructField("tag_text", _TEXT)])
+
+
+def read_answer(answer: str | None) -> list | dict | None:
+    """The value in an answer: the inside of a code fence if there is one, read as JSON, else its outermost list or object, as JSON or as a Python literal."""
+    if not answer or not answer.strip():
+        return None
+    fenced = re.search(r"```(?:json)?\s*(.*?)```", answer, re.DOTALL)
+    body = (fenced[1] if fenced else answer).strip()
+    inside = {o: body[body.find(o) : body.rfind(c) + 1] for o, c in ("[]", "{}") if o in body}
+    tries = [(json.loads, body), *((json.loads, x) for x in inside.values()), *((ast.literal_eval, inside[o]) for o in "{[" if o in inside)]
+    for read, text in tries:
+        with contextlib.suppress(ValueError, SyntaxError, MemoryError, RecursionError):
+            return read(text)
+    return None
+
+
+def objects(value: object) -> list[dict]:
+    """The unit objects of an answer's value: of a list, of the list under ``units``, or the one object."""
+    if isinstance(value, dict):
+        listed = value.get("units")
+        value = listed if isinstance(listed, list) else [value] if {"unit_type", "type", "title"} & value.keys() else []
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
+
+
+@F.pandas_udf(ArrayType(_OBJECT))
+def _objects(answers: pd.Series) -> pd.Series:
+    def one(x: dict) -> dict:
+        text = lambda v, default="": default if v is None else str(v)
+        tags = x.get("tags")
+        return {
+            "unit_type": text(x.get("unit_type", x.get("type"))), "title": text(x.get("title")), "content": text(x.get("content")), "confidence": text(x.get("confidence"), None),
+            "tags": [text(t) for t in tags] if isinstance(tags, list) else None, "tag_text": tags if isinstance(tags, str) else None,
+        }
+
+    return pd.Series([[one(x) for x in objects(read_answer(a))] for a in answers])
+
+
+def coerced(raw: DataFrame, allowed: tuple[str, ...] = V.UNIT_TYPES) -> DataFrame:
+    """Units from a model's answers: ``raw(chunk_id, response)``; see :func:`read_answer` and :func:`objects` for what is understood.
 
-    Unknown types and contents under ten characters are dropped; titles, confidence and tags are put in order.
+    Types outside ``allowed`` and contents under ten characters are dropped; titles, confidence and tags are put in order.
+    Null and unreadable answers give none.
     """
-    item = "struct<type:string,title:string,content:string,confidence:double,tags:array<string>>"
-    span = F.coalesce(F.nullif(F.regexp_extract("response", r"(?s)(\[\s*\{.*\}\s*\])", 1), F.lit("")), F.nullif(F.regexp_extract("response", r"(?s)(\{.*\})", 1), F.lit("")))
-    parsed = raw.withColumn("_j", span).withColumn(
-        "_u",
-        F.when(F.col("_j").startswith("["), F.from_json("_j", f"array<{item}>")).otherwise(F.array(F.from_json("_j", item))),
-    )
-    df = parsed.select("chunk_id", F.posexplode("_u").alias("ord", "u")).select("chunk_id", "ord", "u.*")
-    df = df.withColumn("unit_type", T.unit_type(F.col("type"))).withColumn("content", F.substring(F.trim("content"), 1, 2000))
-    df = df.where(F.col("unit_type").isNotNull() & (F.length("content") >= 10))
-    tags = T.clean_tags(F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ","))
+    df = raw.select("chunk_id", F.posexplode(_objects("response")).alias("ord", "u")).select("chunk_id", "ord", "u.*")
+    df = df.withColumns({"unit_type": T.unit_type(F.col("unit_type")), "content": F.trim("content")})
+    df = df.where(F.col("unit_type").isin(*allowed) & (F.length("content") >= 10))
+    tags = T.clean_tags(F.coalesce("tags", F.split("tag_text", r"[,\s]+"), F.array().cast("array<string>")))
     topped = F.when(F.size(tags) < 2, F.slice(F.array_distinct(F.concat(tags, T.inferred_tags(F.col("content")))), 1, 5)).otherwise(tags)
+    filled = lambda *texts: F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
+    known = F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.8))
     return df.select(
-        "chunk_id", "ord", "unit_type", F.substring(F.coalesce(F.nullif(T.title(F.coalesce("title", F.lit(""))), F.lit("")), F.substring("content", 1, 60)), 1, 120).alias("title"), "content",
-        F.round(F.least(F.greatest(F.coalesce("confidence", F.lit(0.8)), F.lit(0.0)), F.lit(1.0)), 2).alias("confidence"),
+        "chunk_id", "ord", "unit_type", F.substring(filled(T.title(F.col("title")), T.title(F.substring("content", 1, 60)), F.replace("unit_type", F.lit("_"), F.lit(" "))), 1, 120).alias("title"),
+        F.substring("content", 1, 2000).alias("content"), F.round(F.least(F.greatest(known, F.lit(0.0)), F.lit(1.0)), 2).alias("confidence"),
         F.when(F.size(topped) == 0, F.array("unit_type")).otherwise(topped).alias("tags"),
     )
 

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_local: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors can both write: ``spark.checkpoint.dir``, else the warehouse, else, on a local master, a temporary folder."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not _local:
+        folder = tempfile.TemporaryDirectory(prefix="quillon-")
+        atexit.register(folder.cleanup)
+        _local.append(f"file://{folder.name}")
+    return _local[0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder; without one (tests), keep the plan."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,7 +90,7 @@ def built(made: DataFrame, make: Provider, **calls) -> DataFrame:
     name = F.coalesce(F.nullif(T.skill_name(F.col("_a.name")), F.lit("")), F.nullif("name", F.lit("")), F.lit("generated-skill"))
     description = F.when(F.length(F.trim("_a.description")) >= 20, F.substring(F.trim("_a.description"), 1, 500)).otherwise(F.col("description"))
     category = F.lower(F.trim("_a.category"))
-    own = F.coalesce(T.clean_tags(F.array_join("_a.tags", ","), 10), F.array().cast("array<string>"))
+    own = F.coalesce(T.clean_tags(F.col("_a.tags"), 10), F.array().cast("array<string>"))
     return answered.withColumns({
         "name": name, "description": description, "category": F.when(category.isin(*CATEGORIES), category).otherwise(F.col("category")),
         "tags": F.slice(F.array_union(own, F.array_sort("tags")), 1, 10),

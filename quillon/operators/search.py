@@ -9,23 +9,29 @@ from pyspark.sql.window import Window
 from quillon.functions.text import cosine
 
 
-def keyword(rows: DataFrame, query: str, fields: list[Column], name: Column, key: str, limit: int = 10) -> DataFrame:
-    """Rows in whose fields every term occurs, by the number of fields with a term plus twice the terms in the name. Blank queries find nothing."""
+def keyword(rows: DataFrame, query: str, fields: list[Column], name: Column, key: str, limit: int = 10, lists: tuple[Column, ...] = ()) -> DataFrame:
+    """Rows in whose fields every term occurs, by the number of fields with a term plus twice the terms in the name.
+
+    Every text of ``lists`` is a field of its own. Blank queries find nothing.
+    """
     terms = query.lower().split()
     if not terms:
         return rows.select(key).limit(0).withColumn("score", F.lit(0).cast("int"))
-    lowered = [F.lower(F.coalesce(f, F.lit(""))) for f in fields]
-    hay = F.concat_ws(" ", *lowered)
+    texts = F.concat(F.array(*fields), *[F.coalesce(x, F.array().cast("array<string>")) for x in lists]) if lists else F.array(*fields)
+    known = rows.withColumn("_fields", F.transform(F.filter(texts, lambda f: F.coalesce(f, F.lit("")) != ""), F.lower)).withColumn("_hay", F.array_join("_fields", " "))
     every, score = F.lit(True), F.lit(0)
     for t in terms:
-        every = every & hay.contains(t)
-        score = score + 2 * F.lower(name).contains(t).cast("int")
-    for f in lowered:
+        every = every & F.col("_hay").contains(t)
+        score = score + 2 * F.coalesce(F.lower(name).contains(t).cast("int"), F.lit(0))
+
+    def hit(f: Column) -> Column:
         some = F.lit(False)
         for t in terms:
             some = some | f.contains(t)
-        score = score + some.cast("int")
-    return rows.where(every).select(key, score.cast("int").alias("score")).orderBy(F.desc("score"), key).limit(limit)
+        return some
+
+    score = score + F.size(F.filter("_fields", hit))
+    return known.where(every).select(key, score.cast("int").alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
 def phrase(rows: DataFrame, wanted: str, fields: list[Column], best: Column, key: str, limit: int = 30) -> DataFrame:
@@ -39,8 +45,8 @@ def phrase(rows: DataFrame, wanted: str, fields: list[Column], best: Column, key
 def vectors(rows: DataFrame, query: list[float], key: str, vector: str, limit: int = 5) -> DataFrame:
     """Exact cosine search: rows of the query's length, best first, ties by key."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    scored = rows.where(F.size(vector) == len(query)).select(key, F.round(cosine(F.col(vector), q), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    scored = rows.where(F.size(vector) == len(query)).select(key, cosine(F.col(vector), q).alias("score"))
+    return scored.orderBy(F.desc("score"), key).limit(limit).withColumn("score", F.round("score", 6))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,12 +64,31 @@ def records(units: DataFrame, group: str, order: str = "ord", checklist: bool =
     )
 
 
-def unique_names(skills: DataFrame, order: str) -> DataFrame:
-    """Names made unique by ``-2``, ``-3``… in order; a numbered name that is itself taken is told apart once more."""
-    n = F.row_number().over(Window.partitionBy("name").orderBy(order))
-    named = skills.withColumn("_n", n).withColumn("_base", F.col("name")).withColumn("name", F.when(F.col("_n") > 1, F.concat_ws("-", "name", F.col("_n").cast("string"))).otherwise(F.col("name")))
-    again = F.row_number().over(Window.partitionBy("name").orderBy("_n", order))
-    return named.withColumn("_m", again).withColumn("name", F.when(F.col("_m") > 1, F.concat_ws("-", "name", F.col("_m").cast("string"))).otherwise(F.col("name"))).drop("_n", "_m", "_base")
+def unique_names(skills: DataFrame, order: str, within: str | None = None) -> DataFrame:
+    """Names made unique, over the table or ``within`` each of its parts: in ``order``, a taken name gets the lowest number from 2 on that is free.
+
+    Only names that differ by numbers at their end can meet, so each such family is one group; ``order`` is unique.
+    """
+    scope = F.lit("") if within is None else F.col(within).cast("string")
+    keyed = skills.select(F.col(order).alias("_by"), scope.alias("_in"), F.col("name").alias("_before"), F.regexp_replace("name", r"(-\d+)+$", "").alias("_root"))
+
+    def run(family: pd.DataFrame) -> pd.DataFrame:
+        family = family.sort_values("_k", ignore_index=True)
+        taken: set[str] = set()
+        least: dict[str, int] = {}  # all lower numbers of a name are taken
+        for at, name in enumerate(family["_before"]):
+            if name in taken:
+                n = next(n for n in itertools.count(least.get(name, 2)) if f"{name}-{n}" not in taken)
+                least[name] = n + 1
+                family.loc[at, "_before"] = f"{name}-{n}"
+            taken.add(family.loc[at, "_before"])
+        return family.rename(columns={"_before": "_name"})
+
+    placed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_in", "_root").orderBy("_by")).cast("long"))
+    found = placed.drop("_by").groupBy("_in", "_root").applyInPandas(run, "_in string, _name string, _root string, _k long")
+    named = placed.join(found, ["_in", "_root", "_k"]).select("_by", "_in", "_name")
+    joined = skills.withColumns({"_own_order": F.col(order), "_own_scope": scope}).join(named, (F.col("_own_order") == F.col("_by")) & (F.col("_own_scope") == F.col("_in")))
+    return joined.withColumn("name", F.col("_name")).drop("_by", "_own_order", "_in", "_own_scope", "_name")
 
 
 def capped(skills: DataFrame, book: str, rank: Column, most: int = 50) -> DataFrame:
@@ -88,6 +110,8 @@ def reviewed(skills: DataFrame) -> DataFrame:
     stored, feedback = F.floor(score).cast("int"), F.lit(None)
     for name, words in V.REVIEW_FEEDBACK.items():
         feedback = F.when(status(score) == name, F.lit(words)).otherwise(feedback)
+    feedback = F.when(named, feedback).otherwise(F.lit(V.REVIEW_NAMELESS[0]))
+    notes = F.when(named, notes).otherwise(F.array(F.lit(V.REVIEW_NAMELESS[1])))
     return skills.withColumns({"score": stored, "status": status(stored), "review_feedback": feedback, "review_notes": notes})
 
 
@@ -117,6 +141,14 @@ def markdown(skills: DataFrame) -> Column:
     )
 
 
+def searched() -> tuple[list[Column], tuple[Column, ...]]:
+    """The fields of a stored record that a search looks through: texts, and lists whose texts are a field each."""
+    texts = ("name", "description", "category", "source_book", "review_feedback")
+    lists = ("tags", "best_practices", "pitfalls", "checklist", "references")
+    inner = (("workflow", "title"), ("workflow", "description"), ("examples", "title"), ("examples", "code"))
+    return [F.col(c) for c in texts], (*[F.col(c) for c in lists], *[F.col(f"{c}.{f}") for c, f in inner])
+
+
 def listed(skills: DataFrame, category: str = "", status_: str = "", tags: list[str] | None = None, limit: int | None = None, offset: int = 0, order: tuple[Column, ...] = ()) -> DataFrame:
     """Filter first, then sort and page; empty arguments filter nothing."""
     df = skills

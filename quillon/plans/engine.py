@@ -93,7 +93,7 @@ class Engine:
         if self.settings.provider:
             made = models.built(made, models.provider(self.settings.provider))
         made = made.where("name <> '' AND description <> ''")
-        return skills.unique_names(made.withColumn("_o", F.struct("book_id", "_rank")), "_o").drop("_o")
+        return skills.unique_names(made.withColumn("_o", F.struct("book_id", "_rank")), "_o", "book_id").drop("_o")
 
     def reviewed(self, made: DataFrame) -> DataFrame:
         return models.reviewed(made, models.provider(self.settings.provider)) if self.settings.provider else skills.reviewed(made)
@@ -167,10 +167,8 @@ class Engine:
         return skills.listed(self.skills.current(), category, status, tags, limit, offset, (F.desc("updated_at"), F.col("id")))
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
-        listed = lambda c: F.array_join(c, "\n")
-        titles: Column = F.array_join(F.transform("workflow", lambda w: w["title"]), "\n")
-        fields = [F.col("name"), F.col("description"), F.col("category"), listed("tags"), listed("best_practices"), listed("pitfalls"), listed("checklist"), listed("references"), titles]
-        return search.keyword(self.skills.current(), query, fields, F.col("name"), "id", limit)
+        fields, lists = skills.searched()
+        return search.keyword(self.skills.current(), query, fields, F.col("name"), "id", limit, lists)
 
     def similar_to(self, text: str, limit: int = 5, source_type: str = "") -> DataFrame:
         """Exact vector search for a text among chunks and skills."""

@@ -12,7 +12,7 @@ from quillon.functions import clean
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
 from quillon.operators import chunk, embed, knowledge, search, similar, skills, topics
-from quillon.plans import inputs
+from quillon.plans import chunk_sql, inputs
 from quillon.plans.inputs import SKILLS_SQL, UNITS_SQL, documents, name_sql, records, title_sql, units
 from quillon.sources import files
 
@@ -123,19 +123,23 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.concat(head, F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("text"))
 
 
-@query()
+def _hashed_chunks(made: DataFrame) -> DataFrame:
+    return made.select("doc_id", "index", F.md5("text").alias("text_hash"), "word_count")
+
+
+@query(chunk_sql.SEMANTIC)
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.folded(_paragraphs(spark, sf_dir), "doc_id", "semantic", 200, 20, 25)
+    return _hashed_chunks(chunk.folded(_paragraphs(spark, sf_dir), "doc_id", "semantic", 200, 20, 25))
 
 
-@query()
+@query(chunk_sql.PARAGRAPH)
 def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.folded(_paragraphs(spark, sf_dir), "doc_id", "paragraph", 200, 20, 25)
+    return _hashed_chunks(chunk.folded(_paragraphs(spark, sf_dir), "doc_id", "paragraph", 200, 20, 25))
 
 
-@query()
+@query(chunk_sql.RECURSIVE)
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.folded(_paragraphs(spark, sf_dir), "doc_id", "recursive", 200, 20, 25)
+    return _hashed_chunks(chunk.folded(_paragraphs(spark, sf_dir), "doc_id", "recursive", 200, 20, 25))
 
 
 _HEADS = ("# ", "#### ", "##### ", "chapter 3 ", "Part 2: ", "Chapter three ", "#")
@@ -176,14 +180,21 @@ def min_confidence_filter(spark: SparkSession, sf_dir: str, whole: bool = False)
     return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], least=0.5)).select("doc_id", "line_no", "confidence")
 
 
-@query()
+_TAG_HITS = ", ".join(f"CASE WHEN contains(lower(line), '{k}') THEN '{t}' END" for k, t in V.TAG_KEYWORDS)
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line0, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS part FROM documents),
+k AS (SELECT doc_id AS chunk_id, part::INTEGER AS ord, trim(line0) AS line, ['best_practice', 'common_mistake', 'rule', NULL, 'workflow'][((doc_id + part) % 5) + 1] AS unit_type, ((doc_id + part) % 13) / 10 AS c FROM l)
+SELECT chunk_id, ord, unit_type, 'First Title' AS title, left(line, 2000) AS content, round(least(c, 1.0), 2)::DOUBLE AS confidence,
+  array_to_string(list_concat(['sales-team'], list_filter([{_TAG_HITS}], lambda t: t IS NOT NULL))[1:5], ',') AS tags FROM k WHERE unit_type IS NOT NULL AND length(line) >= 10""")
 def llm_unit_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id") + F.col("part")
     kind = inputs._pick(("best-practices", "Mistake", "rule", "unknown", "workflow_steps"), key)
-    item = F.struct(kind.alias("type"), F.lit("first_title").alias("title"), F.col("line").alias("content"), (key % 13 / 10).alias("confidence"), F.array(F.lit("Sales Team")).alias("tags"))
+    item = F.struct(kind.alias("unit_type"), F.lit("first_title").alias("title"), F.col("line").alias("content"), (key % 13 / 10).alias("confidence"), F.array(F.lit("Sales Team")).alias("tags"))
     lines = inputs.text_lines(spark, sf_dir).withColumn("item", item)
     listed = lines.groupBy(F.col("doc_id").alias("chunk_id")).agg(F.array_sort(F.collect_list(F.struct("part", "item"))).alias("x"))
-    return knowledge.coerced(listed.select("chunk_id", F.concat(F.lit("Sure: "), F.to_json(F.transform("x", lambda e: e["item"]))).alias("response")))
+    found = knowledge.coerced(listed.select("chunk_id", F.concat(F.lit("Sure: "), F.to_json(F.transform("x", lambda e: e["item"]))).alias("response")))
+    return found.withColumn("tags", F.array_join("tags", ","))
 
 
 _KINDS = ("best-practices", "Mistake", "RULE", "unknown", "workflow_steps", " check-list ", "decisiontree")
@@ -195,13 +206,13 @@ def unit_type_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.unit_type(inputs._pick(_KINDS)).alias("unit_type"))
 
 
-@query(r"""WITH t AS (SELECT p_partkey, i, left(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 30) AS tag FROM (
+@query(r"""WITH t AS (SELECT p_partkey, i, regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM (
   SELECT p_partkey, unnest(string_split_regex(p_name || ', ' || p_brand || ' ' || p_type, '[,\s]+')) AS x, generate_subscripts(string_split_regex(p_name || ', ' || p_brand || ' ' || p_type, '[,\s]+'), 1) AS i FROM part)),
-u AS (SELECT p_partkey, tag, min(i) AS i FROM t WHERE tag <> '' GROUP BY ALL)
+u AS (SELECT p_partkey, tag, min(i) AS i FROM t WHERE tag <> '' AND length(tag) <= 30 GROUP BY ALL)
 SELECT p_partkey, array_to_string(list(tag ORDER BY i)[1:5], ',') AS tags FROM u GROUP BY p_partkey""")
 def clean_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat("p_name", F.lit(", "), "p_brand", F.lit(" "), "p_type")
-    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.clean_tags(raw), ",").alias("tags"))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.clean_tags(F.split(raw, r"[,\s]+")), ",").alias("tags"))
 
 
 _NAMED = ("{0}", "How to how{0}Technique", "singleClick{0}", "some_{0} Method!", "{0} of the strategy")
@@ -259,13 +270,28 @@ def skill_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
     )
 
 
-@query(f"""WITH {SKILLS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY no, grp) AS n FROM skills), b AS (SELECT grp, n, no, CASE WHEN n > 1 THEN name || '-' || n ELSE name END AS name FROM a)
-SELECT grp, CASE WHEN m > 1 THEN name || '-' || m ELSE name END AS name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n, no, grp) AS m FROM b)""", whole=True)
+@query(rf"""WITH RECURSIVE {SKILLS_SQL}, f AS (SELECT grp, name, root, row_number() OVER (PARTITION BY root ORDER BY no, grp) AS k FROM (SELECT *, regexp_replace(name, '(-\d+)+$', '') AS root FROM skills)),
+r AS (SELECT grp, name, root, k, [name] AS used FROM f WHERE k = 1 UNION ALL SELECT grp, free, root, k, list_append(used, free) FROM (
+  SELECT f.grp, f.root, f.k, r.used, CASE WHEN list_contains(r.used, f.name) THEN f.name || '-' || list_filter(range(2, len(r.used) + 3), lambda n: NOT list_contains(r.used, f.name || '-' || n))[1] ELSE f.name END AS free
+  FROM r JOIN f ON f.root = r.root AND f.k = r.k + 1)) SELECT grp, name FROM r""", whole=True)
 def skill_unique_names(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     made = records(spark, sf_dir, whole).withColumn("o", F.struct("no", "grp"))
     return skills.unique_names(made, "o").select("grp", "name")
 
 
+_SOUGHT = "list_filter(list_concat([name, description, category, source, review_feedback], tags, best_practices, pitfalls, list_transform(workflow, lambda w: w.title), list_transform(workflow, lambda w: w.description), list_transform(examples, lambda e: e.title), list_transform(examples, lambda e: e.code)), lambda f: f <> '')"
+
+
+@query(f"""WITH {SKILLS_SQL}, f AS (SELECT grp, lower(name) AS name, list_transform({_SOUGHT}, lambda x: lower(x)) AS fields FROM (SELECT *, CASE status
+    WHEN 'approved' THEN 'Skill is well-structured and ready for approval.' WHEN 'reviewed' THEN 'Skill is acceptable but needs improvements before approval.' ELSE 'Skill lacks essential sections; needs rework or rejection.' END AS review_feedback FROM reviewed))
+SELECT grp, (len(list_filter(fields, lambda x: contains(x, 'step') OR contains(x, 'sales'))) + 2 * (CASE WHEN contains(name, 'step') THEN 1 ELSE 0 END + CASE WHEN contains(name, 'sales') THEN 1 ELSE 0 END))::INTEGER AS score
+FROM f WHERE contains(array_to_string(fields, ' '), 'step') AND contains(array_to_string(fields, ' '), 'sales') ORDER BY score DESC, grp LIMIT 25""", whole=True)
+def skill_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    fields, lists = skills.searched()
+    made = records(spark, sf_dir, whole).withColumn("source_book", F.col("source"))
+    return search.keyword(made, "Step sales", fields, F.col("name"), "grp", 25, lists)
+
+
 @query(f"WITH {SKILLS_SQL} SELECT source, grp FROM skills QUALIFY row_number() OVER (PARTITION BY source ORDER BY no, grp) <= 5", whole=True)
 def skill_cap(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return skills.capped(records(spark, sf_dir, whole), "source", F.struct("no", "grp"), 5).select("source", "grp")
@@ -281,9 +307,19 @@ def review_status_counts(spark: SparkSession, sf_dir: str, whole: bool = False)
     return records(spark, sf_dir, whole).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def skill_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = records(spark, sf_dir, whole=True)
+_SECTION = "CASE WHEN len({0}) > 0 THEN '## {1}' || chr(10) || chr(10) || array_to_string({0}, chr(10)) || '{2}' END"
+_TOLD = "list_transform(workflow, lambda w, i: '### ' || i || '. ' || w.title || CASE WHEN coalesce(w.description, '') <> '' THEN chr(10) || chr(10) || w.description || chr(10) ELSE '' END)"
+_SHOWN = "list_transform(examples, lambda e: '### ' || e.title || chr(10) || '```' || chr(10) || e.code || chr(10) || '```' || chr(10))"
+_MARKDOWN = ", ".join([
+    "'---'", "'name: ' || name", "'description: \"' || description || '\"'", "CASE WHEN len(tags) > 0 THEN 'tags: [' || array_to_string(tags, ', ') || ']' END", "CASE WHEN category <> '' THEN 'category: ' || category END", "'---' || chr(10)",
+    "'# ' || name || chr(10)", "description || chr(10)", _SECTION.format("list_transform(best_practices, lambda x: '- ' || x)", "Best Practices", "\n"), _SECTION.format(_TOLD, "Workflow", ""), _SECTION.format(_SHOWN, "Examples", ""),
+    _SECTION.format("list_transform(pitfalls, lambda x: '- ⚠️ ' || x)", "Pitfalls", "\n"),
+])
+
+
+@query(f"WITH {SKILLS_SQL} SELECT grp, array_to_string(list_filter([{_MARKDOWN}], lambda x: x IS NOT NULL), chr(10)) AS markdown FROM reviewed", whole=True)
+def skill_markdown(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    made = records(spark, sf_dir, whole)
     return made.select("grp", skills.markdown(made).alias("markdown"))
 
 
@@ -408,11 +444,12 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.missing(rows.where("trim(text) <> ''"), cache, "hash", 384).select("text_hash", F.length("text").alias("n_chars"))
 
 
-@query()
-def embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(f"""WITH {_FIXED}, {SKILLS_SQL} SELECT doc_id || '-' || "index" AS id, 'chunk' AS source_type, md5(array_to_string(p, ' ')) AS text_hash, 384 AS dim FROM c
+UNION ALL SELECT grp, 'skill', md5(name || '. ' || description || ' ' || array_to_string(best_practices, ' ')), 384 FROM skills""", whole=True)
+def embed_index(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     empty = spark.createDataFrame([], embed.CACHE_SCHEMA)
     chunks, _ = embed.embedded(chunk.fixed(documents(spark, sf_dir), "doc_id", 200, 50), empty)
-    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir, whole=True), "id", "grp")
+    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir, whole), "id", "grp")
     return found.select("id", "source_type", F.md5("text").alias("text_hash"), F.size("vector").alias("dim"))
 
 

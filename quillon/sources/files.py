@@ -30,11 +30,17 @@ def file_format(path: Column) -> Column:
 
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per supported file of a folder, by name: path, name, format, bytes, MB and SHA-256."""
-    pattern = "*.{" + ",".join(sorted(FORMATS)) + "}"
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """One row per supported file of a folder, by name: path, name, format, bytes, MB and SHA-256; suffixes in any case.
+
+    Of files of one name in different folders the first path counts; it is chosen from the listing, before any content is read.
+    """
+    either = lambda ext: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+    pattern = "*.{" + ",".join(either(ext) for ext in sorted(FORMATS)) + "}"
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     name = F.element_at(F.split("path", "/"), -1)
-    return raw.select(F.col("path").alias("file_path"), name.alias("file_name"), file_format(F.col("path")).alias("format"), F.col("length").alias("size_bytes"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.sha2("content", 256).alias("file_hash"), "content").dropDuplicates(["file_name"])
+    paths = [r["path"] for r in reader.load(folder).groupBy(name.alias("name")).agg(F.min("path").alias("path")).toLocalIterator()]
+    raw = reader.load(paths) if paths else reader.load(folder)
+    return raw.select(F.col("path").alias("file_path"), name.alias("file_name"), file_format(F.col("path")).alias("format"), F.col("length").alias("size_bytes"), F.round(F.col("length") / 1048576, 2).alias("size_mb"), F.sha2("content", 256).alias("file_hash"), "content")
 
 
 def pages(paragraphs: list[str], most: int = PAGE_CHARACTERS) -> list[str]:
