@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillon.llm import quality
 from quillon.llm.licences import COPYRIGHT_LINE, CUE, KNOWN, SPELLINGS, canonical_text
 
 
@@ -28,4 +29,38 @@ SELECT r.doc_id, sha256({_canonical("r.text")}) AS text_digest, k.licence AS tex
 FROM rows r LEFT JOIN known k ON k.digest = sha256({_canonical("r.text")}) LEFT JOIN found f ON f.doc_id = r.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_licence_scan": LICENCES}
+_SPACE = r"[^\x20\x09-\x0D]"
+
+
+def _quality(alpha: float = 0.05, delta: float = 0.05) -> str:
+    """All of the quality rules: counts, metrics, the ladder's tests with exact binomial tails, and verdicts."""
+    rate = lambda part, whole: f"CASE WHEN {whole} > 0 THEN ({part})::DOUBLE / {whole} ELSE 0 END"
+    passed = ", ".join("(" + " + ".join(f"CASE WHEN {m} > {c}::DOUBLE THEN 1 ELSE 0 END" for c in ladder) + ")" for m, ladder in quality.LADDERS.items())
+    ladders = ", ".join(f"[{', '.join(map(str, ladder))}]::DOUBLE[] AS c_{m}" for m, ladder in quality.LADDERS.items())
+    above = " OR ".join(f"{m} > c_{m}[step]" for m in quality.LADDERS)
+    log = "lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)"
+    term = f"exp(CASE WHEN i = 0 OR i = n THEN 0 ELSE {log} END + i * ln({alpha}::DOUBLE) + (n - i) * ln(1 - {alpha}::DOUBLE))"
+    strata = ", ".join(f"'{x}'" for x in quality.STRATA)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id::BIGINT AS doc_id, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, stratum, regexp_extract_all(text, '{_SPACE}+') AS w, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{_SPACE}')) AS l,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '\p{{Lu}}')) AS upper FROM d),
+g AS (SELECT rid, x.i AS i, count(*) OVER (PARTITION BY rid, x.g) AS n FROM (SELECT rid, unnest(list_transform(range(1, len(w) - 6), lambda k: {{'i': k, 'g': md5(array_to_string(w[k : k + 7], ' '))}})) AS x FROM w WHERE len(w) >= 8)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM g WHERE n > 1) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  upper, len(l) AS n_lines, len(list_distinct(w)) AS kinds, len(list_filter(w, lambda x: right(x, 1) IN ('!', '?'))) AS bang FROM w LEFT JOIN r USING (rid)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {rate("n_symbols", "n_words")} AS symbol_rate, {rate("upper", "word_chars")} AS upper_rate, {rate("bang", "n_words")} AS bang_rate,
+  {rate("n_repeat_words", "n_words")} AS repeat_rate, {rate("n_dup_lines", "n_lines")} AS dup_line_rate, CASE WHEN n_words > 0 THEN 1 - kinds / sqrt((n_words * greatest(n_words, 100))::DOUBLE) ELSE 0 END AS sameness FROM c),
+y AS (SELECT doc_id::BIGINT AS doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+j AS (SELECT stratum, good >= 1 AS good, greatest({passed}) AS passed FROM m JOIN y USING (doc_id) WHERE NOT base_failed),
+t AS (SELECT stratum, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND passed >= step) AS lost, count(*) FILTER (NOT good AND passed >= step) AS caught
+  FROM j, (SELECT unnest(range(1, {quality.STEPS + 1})) AS step) GROUP BY stratum, step),
+b AS (SELECT stratum, step, n, lost, caught, unnest(range(0, lost + 1)) AS i FROM t),
+e AS (SELECT stratum, step, caught - 5 * lost AS gain, lost <= {alpha} * n AND sum({term}) <= {delta / (len(quality.STRATA) + 1)} AS ok FROM b GROUP BY stratum, step, n, lost, caught),
+o AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS valid FROM e),
+h AS (SELECT stratum, arg_min(step, -gain * 1000 + step) AS step FROM o WHERE valid AND gain > 0 GROUP BY stratum)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT (step IS NOT NULL AND ({above})) AS kept, m.stratum FROM m LEFT JOIN h USING (stratum), (SELECT {ladders})"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_licence_scan": LICENCES, "op10_quality_rules": _quality()}

@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
-Base rules reject texts that are too short or mostly repeated. On top, each metric's cutoff is chosen
-per stratum from labelled documents: along a fixed ladder of cutoffs, from lenient to strict, an exact
-binomial test asks whether the rate of good documents rejected is below its share of ``alpha``; the
-ladder ends at the first cutoff that fails (fixed-sequence testing), and the error level is divided by
-the number of ladders (Bonferroni). With probability ``1 - delta`` no stratum then loses more than
-``alpha`` of its good documents. Strata with too few labels get no cutoff and reject nothing.
+Base rules reject texts that are too short or mostly repeated. On top, each stratum gets one step of a ladder of joint
+cutoffs, from lenient to strict: at step j a document is rejected if any metric lies above its j-th cutoff. On labelled
+documents an exact binomial test asks of each step in turn whether the rate of good documents rejected is below
+``alpha``; the ladder ends at the first step that fails (fixed-sequence testing), and the error level is divided by
+the number of strata (Bonferroni). With probability ``1 - delta`` no stratum then loses more than ``alpha`` of its good
+documents. A stratum without enough labels gets no cutoffs and rejects nothing: at alpha = delta = 0.05 and five strata
+it takes 90 good documents, none of them rejected, to pass a step.
 """
 
 from __future__ import annotations
@@ -33,17 +34,28 @@ LADDERS: dict[str, tuple[float, ...]] = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+STEPS = min(len(ladder) for ladder in LADDERS.values())
+
+
+def passed() -> Column:
+    """How many steps of the ladder reject a row with metric columns; cutoffs fall from step to step, so these are the last ones."""
+    return F.greatest(*[sum((F.when(F.col(m) > c, 1).otherwise(0) for c in ladder), F.lit(0)) for m, ladder in LADDERS.items()])
+
+
 @dataclass
 class Thresholds:
-    """Chosen cutoffs by stratum and metric; what is absent rejects nothing."""
+    """Chosen step by stratum, from 1 on; what is absent rejects nothing."""
 
-    cutoffs: dict[tuple[str, str], float] = field(default_factory=dict)
+    steps: dict[str, int] = field(default_factory=dict)
 
     def rejects(self, stratum: Column) -> Column:
         """Whether any metric of a row with metric columns lies above its stratum's cutoff."""
         found = F.lit(False)
-        for (name, metric), cutoff in sorted(self.cutoffs.items()):
-            found = found | ((stratum == name) & (F.col(metric) > cutoff))
+        for name, step in sorted(self.steps.items()):
+            above = F.lit(False)
+            for metric, ladder in LADDERS.items():
+                above = above | (F.col(metric) > ladder[step - 1])
+            found = found | ((stratum == name) & above)
         return found
 
 
@@ -65,7 +77,6 @@ def measured(docs: DataFrame) -> DataFrame:
             "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
             "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
             "_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
-            "_bang": F.regexp_count(text, F.lit(r"[!?](?=[\x20\x09-\x0D]|$)")),
         }
     )
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
@@ -84,6 +95,7 @@ def measured(docs: DataFrame) -> DataFrame:
             "n_lines": F.size("_lines").cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct("_g")) == F.size("_g"), F.lit(0)).otherwise(F.expr(repeated)).cast("long"),
             "_kinds": F.size(F.array_distinct("_w")),
+            "_bang": F.size(F.filter("_w", lambda w: F.right(w, F.lit(1)).isin("!", "?"))),
         }
     )
     rate = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
@@ -114,33 +126,24 @@ def lower_tail(k: int, n: int, p: float) -> float:
 def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> Thresholds:
     """Cutoffs from ``features(doc_id, stratum, base_failed, metrics...)`` and ``labels(doc_id, quality)``.
 
-    The data only enter through a histogram of at most strata x metrics x (ladder + 1) x 2 counters.
-    Labels that contradict each other count as bad; documents that fail the base rules don't count.
+    The data only enter through a histogram of at most strata x (steps + 1) x 2 counters. Labels that
+    contradict each other count as bad; documents that fail the base rules don't count. Of the steps that pass, the one
+    that catches most bad documents less five times the good ones lost is chosen, the most lenient of equals.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
-    pairs = [F.struct(F.lit(m).alias("metric"), sum((F.col(m) > c).cast("int") for c in ladder).alias("passed")) for m, ladder in LADDERS.items()]
-    counted = (
-        features.where(~F.col("base_failed"))
-        .select("doc_id", "stratum", F.array(*pairs).alias("pairs"))
-        .join(marks, "doc_id")
-        .select("stratum", "good", F.explode("pairs").alias("pair"))
-        .groupBy("stratum", "good", "pair.metric", "pair.passed")
-        .count()
-    )
-    tally: dict[tuple[str, str], dict[int, list[int]]] = {}
-    for row in counted.toLocalIterator():
-        ladder = tally.setdefault((row["stratum"], row["metric"]), {1: [0] * (len(LADDERS[row["metric"]]) + 1), 0: [0] * (len(LADDERS[row["metric"]]) + 1)})
-        ladder[int(row["good"] >= 1)][row["passed"]] += row["count"]
-    chosen = Thresholds()
-    risk, level = alpha / len(LADDERS), delta / ((len(STRATA) + 1) * len(LADDERS))
-    for key, by in tally.items():
+    judged = features.where(~F.col("base_failed")).select("doc_id", "stratum", passed().alias("passed")).join(marks, "doc_id")
+    tally: dict[str, dict[int, list[int]]] = {}
+    for row in judged.groupBy("stratum", (F.col("good") >= 1).cast("int").alias("good"), "passed").count().toLocalIterator():
+        tally.setdefault(row["stratum"], {1: [0] * (STEPS + 1), 0: [0] * (STEPS + 1)})[row["good"]][row["passed"]] += row["count"]
+    chosen, level = Thresholds(), delta / (len(STRATA) + 1)
+    for name, by in tally.items():
         n, best = sum(by[1]), 0
-        for step, cutoff in enumerate(LADDERS[key[1]], 1):  # a document with ``passed >= step`` is above this cutoff
+        for step in range(1, STEPS + 1):
             lost, caught = sum(by[1][step:]), sum(by[0][step:])
-            if lost > risk * n or lower_tail(lost, n, risk) > level:
+            if lost > alpha * n or lower_tail(lost, n, alpha) > level:
                 break
             if caught - 5 * lost > best:
-                best, chosen.cutoffs[key] = caught - 5 * lost, cutoff
+                best, chosen.steps[name] = caught - 5 * lost, step
     return chosen
 
 
@@ -153,7 +156,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """One row per document: the counts, ``base_failed`` and ``kept``. Repeated rows are judged each; no rows give none."""
+    """One row per document: the counts, ``base_failed``, ``kept`` and ``stratum``.
+
+    Null, empty and blank texts have counts of 0, fail the base rules and are not kept. A null or unknown language is of
+    the stratum ``other``; without a column lang all are. Labels of null doc_id count for nothing; repeated labels count once,
+    but once for each repeated document. Repeated rows are judged each; no rows give none, and no labels leave the base rules.
+    """
     rows = features(docs)
     chosen = calibrate(rows, labels, alpha, delta)
     kept = ~F.col("base_failed") & ~chosen.rejects(F.col("stratum"))
@@ -161,7 +169,10 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The documents that :func:`judge` keeps, with their own columns; measured row by row, so that texts are never shuffled."""
+    """The documents that :func:`judge` keeps, with their own columns; measured row by row, so that texts are never shuffled.
+
+    Nulls, repeats, clashing columns and empty tables as there: columns of ``docs`` named like a measure stay as they are.
+    """
     chosen = calibrate(features(docs), labels, alpha, delta)
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", *(["lang"] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]))
     # the row number, never negative, keeps the optimiser from copying the measures into a pushed-down filter

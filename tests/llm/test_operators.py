@@ -159,8 +159,10 @@ def test_quality_thresholds(spark):
     marks = spark.createDataFrame([(i, int(i % 10 != 0)) for i in range(1500)], "doc_id long, quality int")
     got = {r["doc_id"]: r["kept"] for r in quality.judge(df, marks).where("NOT base_failed").collect()}
     assert all(kept == (i % 10 != 0) for i, kept in got.items())
-    few = {r["doc_id"]: r["kept"] for r in quality.judge(df, marks.limit(50)).where("NOT base_failed").collect()}
+    few = {r["doc_id"]: r["kept"] for r in quality.judge(df, marks.where("doc_id < 95")).where("NOT base_failed").collect()}
     assert all(few.values())
+    enough = {r["doc_id"]: r["kept"] for r in quality.judge(df, marks.where("doc_id < 105")).where("NOT base_failed").collect()}
+    assert enough == got  # 94 good ones, none of them lost
     assert math.isclose(quality.lower_tail(2, 10, 0.3), sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(3)))
 
 
