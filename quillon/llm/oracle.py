@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import quality
+from quillon.llm import quality, urls
 from quillon.llm.licences import COPYRIGHT_LINE, CUE, KNOWN, SPELLINGS, canonical_text
 
 
@@ -63,4 +63,42 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT base_failed AND NOT (step IS NOT NULL AND ({above})) AS kept, m.stratum FROM m LEFT JOIN h USING (stratum), (SELECT {ladders})"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_licence_scan": LICENCES, "op10_quality_rules": _quality()}
+def _urls(loss: float = 0.001) -> str:
+    """All of the URL verdicts: rules, word labels, both Markov models, the cutoff and the scores."""
+    order, base = urls.ORDER, 1.0 / (len(urls.ALPHABET) + 3)
+    host = r"CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)) ELSE '' END"
+    path = r"CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)?', 1) ELSE '' END"
+    fits = [(r, v, *r.partition("/")) for v, r in sorted(urls.RULES, key=lambda x: -len(x[1]))]
+    rule = " ".join(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{r}'" for r, _, name, _, rest in fits)
+    verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in urls.RULES)
+    words = "|".join(urls.REJECTED_WORDS)
+    spelled = f"'{'^' * order}' || regexp_replace(lower(url), '[^a-z0-9./:?#=&%+_-]', '~', 'g') || '$'"
+    seen, steps, ratio = [], "c", []
+    for k in range(order + 1):
+        seen.append(f"""s{k} AS (SELECT right(g, {k + 1}) AS tail, sum(n0) AS x0, sum(n1) AS x1 FROM c GROUP BY 1),
+t{k} AS (SELECT left(tail, {k}) AS context, sum(x0) AS s0, sum(x1) AS s1, count(*) FILTER (x0 > 0) AS d0, count(*) FILTER (x1 > 0) AS d1 FROM s{k} GROUP BY 1),
+p{k} AS (SELECT tail, x0 AS x0_{k}, x1 AS x1_{k}, s0 AS s0_{k}, s1 AS s1_{k}, d0 AS d0_{k}, d1 AS d1_{k} FROM s{k} JOIN t{k} ON context = left(tail, {k}))""")
+        steps += f" JOIN p{k} ON p{k}.tail = right(g, {k + 1})"
+    for y in (0, 1):
+        p = f"{base!r}::DOUBLE"
+        for k in range(order + 1):
+            p = f"(CASE WHEN s{y}_{k} > 0 THEN (x{y}_{k} + d{y}_{k} * {p}) / (s{y}_{k} + d{y}_{k}) ELSE {p} END)"
+        ratio.append(f"ln({p})")
+    grams = lambda source, keep: f"(SELECT {keep}, unnest(list_transform(range(1, length(s) - {order} + 1), lambda i: s[i : i + {order}])) AS g FROM {source})"
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS id, page_id::BIGINT AS page_id, coalesce(url, '') AS url FROM pages),
+r AS (SELECT id, page_id, url, host, path, CASE {rule} END AS rule, CASE WHEN url <> '' THEN {spelled} ELSE '' END AS s FROM (SELECT *, {host} AS host, {path} AS path FROM u)),
+m AS (SELECT row_number() OVER () AS id, s, host, rejected, ('0x' || substr(md5(host), 1, 8))::BIGINT % {urls.FOLDS} = 0 AS held
+  FROM (SELECT DISTINCT s, url, host, CASE WHEN regexp_matches(host, '(^|[.-])({words})([.-]|$)') THEN 1 ELSE 0 END AS rejected FROM r WHERE contains(url, '://')) WHERE host <> ''),
+n AS (SELECT g, count(*) FILTER (rejected = 0) AS n0, count(*) FILTER (rejected = 1) AS n1 FROM {grams("m WHERE NOT held", "rejected")} GROUP BY g),
+a AS (SELECT DISTINCT g FROM (SELECT g FROM {grams("r WHERE s <> ''", "id")} UNION ALL SELECT g FROM {grams("m", "id")})),
+c AS (SELECT g, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM a LEFT JOIN n USING (g)), two AS (SELECT sum(n0) > 0 AND sum(n1) > 0 AS ok FROM c),
+{", ".join(seen)}, l AS (SELECT g, {ratio[1]} - {ratio[0]} AS ratio FROM {steps}),
+h AS (SELECT floor(score * {urls.GRID}) AS k, count(*) AS n FROM (SELECT id, round(avg(ratio), 9) AS score FROM {grams("m WHERE held AND rejected = 0", "id")} JOIN l USING (g) GROUP BY id) GROUP BY 1),
+q AS (SELECT coalesce(min(k) FILTER (a <= {loss} * t), 0) AS most FROM (SELECT k, coalesce(sum(n) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(n) OVER () AS t FROM h)),
+e AS (SELECT id, round(avg(ratio), 9) AS score FROM {grams("r WHERE s <> ''", "id")} JOIN l USING (g) GROUP BY id),
+f AS (SELECT r.*, CASE WHEN ok THEN e.score ELSE 0 END AS score, CASE WHEN ok THEN most ELSE 0 END AS most FROM r LEFT JOIN e USING (id), two, q)
+SELECT page_id, host, path, rule, coalesce(CASE rule {verdict} END, CASE WHEN floor(score * {urls.GRID}) > most THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(score, 0), 6)::DOUBLE AS score FROM f"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_licence_scan": LICENCES, "op6_url_filter": _urls(), "op10_quality_rules": _quality()}

@@ -211,6 +211,22 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_by_labels(spark):
+    """Labels are a table; hosts without any word of the labelled ones are blocked for how they are spelled, and odd rows get a row each."""
+    good = [f"https://{a}{b}.example.com/fr/{k}" for k, (a, b) in enumerate((a, b) for a in ("river", "stone", "garden", "lamp", "house") for b in ("view", "town", "field", "mere", "ford", "well"))]
+    bad = [f"https://{a}{k}xx{b}.example.com/fr/{k}" for k, (a, b) in enumerate((a, b) for a in ("zqk", "kzv", "qqz", "vkz", "zzq") for b in ("kqz", "zvq", "qkv", "vzz", "kkq", "qzv"))]
+    labels = spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad] + [(None, 1), ("no host", 1), (good[0], None)], "url string, rejected int")
+    asked = ["https://zvkqzkq.example.com/fr/3", "https://gardenview.example.com/fr/3", None, "", "no scheme at all"]
+    pages = spark.createDataFrame([(k, u, "s", 1.0) for k, u in enumerate(asked)] + [(None, asked[0], "s", 1.0)] * 2, "page_id long, url string, host string, score double")
+    got = urls.judge(pages, (), labels).collect()
+    assert len(got) == 7 and pages.count() == 7
+    assert {r["page_id"]: r["verdict"] for r in got} == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: got[[r["page_id"] for r in got].index(4)]["verdict"], None: "block"}
+    assert all(r["score"] == 0 for r in got if r["page_id"] in (2, 3))
+    found = urls.measure(labels)
+    assert found["rejected"] >= 2 and found["caught"] == found["rejected"] and found["lost"] == 0
+    assert urls.measure(labels.where("rejected = 0"))["rejected"] == 0 and urls.judge(pages, (), labels.limit(0)).where("verdict = 'block'").count() == 0
+
+
 def edit_brute(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
