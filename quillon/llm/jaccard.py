@@ -1,22 +1,21 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-Every document's shingles are put in one global order: rare ones first, by an estimate of document
-frequency from a sample, then by hash. A prefix of ``size - ceil(t * size) + k`` shingles shares at least ``k``
-with the equally built prefix of every document that is similar to degree ``t``. Each document picks its
-own ``k``: the more candidates its prefix would cost by the estimate, the longer the prefix and the more
-shared shingles are required; of a pair, the smaller ``k`` holds.
-
-Before any pair is formed, documents that cannot meet the least requirement of any partner are peeled
-off, by counts alone; those that are left get the longest prefix, the whole set, of which at least
-``ceil(t * size)`` shingles must be found elsewhere, and are peeled again. What remains, now with exact document
-frequencies, is gathered into clusters of documents that share prefix shingles; clusters too large for a task are cut
-into blocks, and blocks without a prefix shingle in common are not compared. Within a pair of blocks, sparse incidence products count shared prefix shingles, verify
-the candidates exactly and return links that span what they connect. Copies of one shingle set take part once.
+Every document's shingles are put in one order, rare ones first. A prefix of ``size - ceil(t * size) + k`` shingles shares at
+least ``k`` with the equally built prefix of every document that is similar to degree ``t``. Each document picks its
+own ``k``: a longer prefix means more postings to read, but candidates must share more of them before they are verified, so ``k`` is
+where the estimated cost of both is least. Of a pair, the smaller ``k`` holds. Documents of one shingle set take part once.
+
+The index of all documents orders shingles by frequencies estimated from a sample; documents that cannot meet the least
+requirement of any partner are peeled off by counts alone. Those left are indexed whole, so that frequencies are exact, peeled again, and
+get their final prefixes. Candidates are counted first between the documents of a shingle and one of them, its hub, which joins
+large groups of near copies by a number of pairs in proportion to the postings; then between documents that share
+prefix shingles and are still in different components. These are dealt in blocks of bounded size, a pair of blocks to a task, which counts
+shared prefix shingles by inverted lists.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +34,21 @@ WORDS = 5
 SHARED, OF = 80, 100
 #: Shingles with a place of their own in the order: the most frequent of the sample. Others count as rare.
 FREQUENT = 65_536
-#: Share of documents in the sample, and the most rows it may have.
-SAMPLE, SAMPLE_ROWS = 0.05, 2_000_000
-#: Estimated candidates of a prefix beyond which it is lengthened by one, two and three steps.
-COSTS = (2_000, 20_000, 200_000)
-#: A document requires at least one match for so many of its shingles.
+#: Share of documents, by hash of doc_id, from which frequencies are estimated; the counts stay on the executors.
+SAMPLE = 0.05
+#: Estimated documents of a shingle from which its postings are counted by classes of size, not listed in one task.
+HOT = 20_000
+#: A document requires at least one match for so many of its shingles in the first index.
 MATCH_PART = 25
-#: Shingles of a cluster, roughly, that one block holds.
-BLOCK = 120_000
+#: Cost of verifying a candidate for each of a document's shingles, and of indexing a shingle, in postings read.
+VERIFY, INDEX = 0.25, 4.0
+#: Estimated postings of a prefix up to which it is left as short as can be.
+FEW = 256
+#: Rounds of candidates by hubs; shingles of the documents of a block, roughly; shared shingles that are counted at once.
+ROUNDS, BLOCK, SHARED_AT_ONCE = 2, 120_000, 2_000_000
 #: Digests of sets that a task remembers, to send the prefix of a copy once.
 MEMO_SETS = 200_000
 _FACTOR = np.uint64(0xD1342543DE82EF95)
-COLUMNS = 4_096
 
 
 class Shingler:
@@ -107,15 +109,21 @@ class Prefixes:
         weight = self.weights(shingles)
         order = np.argsort(weight, kind="stable")  # shingles are in order of hash
         overlap = int(needed(n))
-        match = int(least_match(n))
-        cost = int(weight[order[: n - overlap + match]].sum())
-        for step in COSTS:
-            if cost > step:
-                match += max(1, n // MATCH_PART)
-        match = min(match, overlap)
+        least = int(least_match(n))
+        first = n - overlap + least
+        read = np.cumsum(weight[order])[first - 1 :]  # postings of the prefixes for least, least + 1, ... overlap matches
+        match = least
+        if read[0] > FEW:
+            matches = np.arange(least, overlap + 1)
+            match = int(matches[np.argmin(INDEX * matches + read + VERIFY * n * read / matches)])
         return shingles[order[: n - overlap + match]], match
 
 
+def _mark(shingles: np.ndarray) -> int:
+    """The digest of a set, by which copies are told."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -130,23 +138,23 @@ def _lists(parts: list[np.ndarray], empty: list[bool]) -> pa.Array:
 def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in three or more documents of a sample by hash of doc_id, the most frequent ``FREQUENT`` of them,
     and their estimated document frequencies. Only the order of shingles, and so the cost, depends on it."""
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     chosen = docs.where(hashed < int(SAMPLE * 1_000_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            seen: set[bytes] = set()
+            seen: set[int] = set()
             for text in batch.column(1):
                 s = shingler(text.as_py())
-                mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                mark = _mark(s)
                 if len(s) and mark not in seen:
                     seen.add(mark)
                     yield pa.RecordBatch.from_arrays([_signed(s)], ["s"])
 
     counted = chosen.mapInArrow(run, "s long").groupBy("s").count().where("count >= 3")
     top = counted.orderBy(F.desc("count"), "s").limit(FREQUENT).toLocalIterator()
-    rows = [(r["s"], r["count"]) for r in top]
+    rows = [(r["s"], r["count"]) for r in top]  # FREQUENT at most
     s = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     n = (np.array([r[1] for r in rows], np.int64) / SAMPLE).astype(np.int64)
     order = np.argsort(s)
@@ -154,7 +162,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
 
 
 def prefix_table(docs: DataFrame, frequent: Broadcast, words: int = WORDS) -> DataFrame:
-    """Per document: doc_id, n_shingles, digest of the set, required matches and prefix; copies met again in a task have no prefix."""
+    """Per document: doc_id, n_shingles, 64-bit digest of the set, required matches and prefix; copies met again in a task have no prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, prefixes, seen = Shingler(words), Prefixes(*frequent.value), set()
@@ -164,7 +172,7 @@ def prefix_table(docs: DataFrame, frequent: Broadcast, words: int = WORDS) -> Da
                 sizes, marks, matches, parts, again = [], [], [], [], []
                 for text in part.column(1):
                     s = shingler(text.as_py())
-                    mark = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    mark = _mark(s)
                     prefix, match = prefixes.cut(s)
                     if len(seen) > MEMO_SETS:
                         seen.clear()
@@ -175,25 +183,41 @@ def prefix_table(docs: DataFrame, frequent: Broadcast, words: int = WORDS) -> Da
                     matches.append(match)
                     parts.append(prefix)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(matches, pa.int32()), _lists(parts, again)],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.int64()), pa.array(matches, pa.int32()), _lists(parts, again)],
                     ["doc_id", "n_shingles", "mark", "match", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark binary, match int, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark long, match int, prefix array<long>")
+
+
+def _compatible(a: Column, b: Column) -> Column:
+    return (a * OF >= b * SHARED) & (b * OF >= a * SHARED)
 
 
-def live_postings(index: DataFrame) -> DataFrame:
+def live_postings(index: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Postings whose shingle occurs in another document of a size that allows a link; ``n`` has the shingle's documents.
 
-    One shuffle of the postings: in order of size, the nearest neighbour tells.
+    One shuffle of the postings: in order of size, the nearest neighbour tells. Shingles in ``hot(s)``, a table of at most ``FREQUENT``
+    rows, are counted by classes of size instead, in which sizes that allow a link are at most one apart; that may keep a
+    few postings more, and no task lists such a shingle's documents.
     """
+    columns = index.columns
+    if hot is not None:
+        size_class = F.floor(F.log("size") / math.log(OF / SHARED)).cast("int")
+        held = index.join(F.broadcast(hot), "s", "left_semi").withColumn("c", size_class)
+        counts = held.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))  # combined before the shuffle
+        every = counts.groupBy("s").agg(F.sum("m").alias("n"), F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("by"))
+        beside = lambda d: F.coalesce(F.try_element_at("by", F.col("c") + d), F.lit(0))
+        kept = held.join(F.broadcast(every), "s").where(beside(-1) + beside(0) + beside(1) > 1).select(*columns, "n")
+        index = index.join(F.broadcast(hot), "s", "left_anti")
     across = Window.partitionBy("s")
     along = across.orderBy("size", "d")
     near = index.withColumns({"_p": F.lag("size").over(along), "_q": F.lead("size").over(along), "n": F.count(F.lit(1)).over(across)})
-    return near.where((F.col("_p") * OF >= F.col("size") * SHARED) | (F.col("size") * OF >= F.col("_q") * SHARED)).drop("_p", "_q")
+    near = near.where((F.col("_p") * OF >= F.col("size") * SHARED) | (F.col("size") * OF >= F.col("_q") * SHARED)).drop("_p", "_q")
+    return near if hot is None else near.select(*columns, "n").unionByName(kept)
 
 
-def peel(live: DataFrame, least: Column, tag: str, passes: int = 3) -> DataFrame:
+def peel(live: DataFrame, least: Column, tag: str, passes: int = 3, hot: DataFrame | None = None) -> DataFrame:
     """Postings of documents with at least ``least`` live shingles, a bound that any document with a partner meets; each pass may free more."""
     rows, before = materialise(live, tag), -1
     for _ in range(passes):
@@ -202,38 +226,79 @@ def peel(live: DataFrame, least: Column, tag: str, passes: int = 3) -> DataFrame
             break
         before = count
         alive = rows.groupBy("d", "size").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= least).select("d")
-        rows = materialise(live_postings(rows.drop("n").join(alive, "d")), tag)
+        rows = materialise(live_postings(rows.drop("n").join(alive, "d"), hot), tag)
     return rows
 
 
 def whole_postings(docs: DataFrame, alive: DataFrame, words: int) -> DataFrame:
-    """The longest prefixes, whole sets, of the documents in ``alive(doc_id)``."""
-    held = docs.join(small_side(alive, alive.count()), "doc_id", "left_semi")
+    """The longest prefixes, whole sets, of the sets in ``alive(d, id)``, where ``id`` is the key of a document that has the set."""
+    rows = alive.count()
+    held = docs.join(small_side(alive.select("id").distinct(), rows), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingler(text.as_py()) for text in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), _lists(sets, [False] * len(sets))], ["d", "size", "s"])
+                sets = [shingler(text.as_py()) for text in batch.slice(start, 256).column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([_mark(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets, [False] * len(sets))], ["d", "size", "s"])
+
+    sets = held.select("text").mapInArrow(run, "d long, size long, s array<long>")
+    return sets.join(small_side(alive.select("d"), rows), "d", "left_semi").dropDuplicates(["d"]).select("d", "size", F.explode("s").alias("s"))
+
+
+def _needed(size: str) -> Column:
+    return F.floor((F.col(size) * SHARED + OF - 1) / OF)
 
-    return held.dropDuplicates(["doc_id"]).mapInArrow(run, "d long, size long, s array<long>").select("d", "size", F.explode("s").alias("s"))
 
+def adaptive(rows: DataFrame) -> DataFrame:
+    """The final prefixes, ``(s, d, size, live, at, match, weight)``, of documents with postings ``(s, d, size, n)``.
 
-def rarest(rows: DataFrame) -> DataFrame:
-    """Of each document's live shingles, rarest first, those in its prefix.
+    ``weight`` is how many other documents a shingle of the document has on average: most for those in the middle of a group of near copies.
 
-    Shingles that no other document has come first in the order and need no rows: with ``k`` live ones, the prefix
-    of ``size - needed + 1`` ends after ``k - needed + 1`` of them.
+    Shingles that no other document has come first in the order and need no rows: with ``live`` others, the prefix for ``k`` matches ends at
+    their number ``live - needed + k``. Of all ``k``, that of the least cost is taken, where a prefix with ``p`` postings of other documents
+    has at most ``p / k`` candidates; up to ``FEW`` postings it is 1.
     """
     own = Window.partitionBy("d")
-    placed = rows.withColumns({"_k": F.count(F.lit(1)).over(own), "_i": F.row_number().over(own.orderBy("n", "s"))})
-    return placed.where(F.col("_i") <= F.col("_k") - _needed("size") + 1).select("s", "d", "size")
+    order = own.orderBy("n", "s")
+    placed = rows.withColumns({"live": F.count(F.lit(1)).over(own), "weight": F.sum(F.col("n") - 1).over(own) / F.col("size"), "at": F.row_number().over(order), "_p": F.sum(F.col("n") - 1).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    k = F.col("at") - F.col("live") + _needed("size")
+    first = F.max(F.when(k == 1, F.col("_p"))).over(own)
+    cost = F.when(k >= 1, F.col("_p") * (1 + VERIFY * F.col("size") / k))
+    placed = placed.withColumns({"_k": k, "_first": first, "_cost": cost}).withColumn("_least", F.min("_cost").over(own))
+    best = F.min(F.when(F.col("_cost") == F.col("_least"), F.col("_k"))).over(own)
+    placed = placed.withColumn("match", F.when(F.col("_first") <= FEW, F.lit(1)).otherwise(best).cast("int"))
+    return placed.where("_k <= match").select("s", "d", "size", "live", "at", "match", "weight")
 
 
-def _needed(size: str) -> Column:
-    return F.floor((F.col(size) * SHARED + OF - 1) / OF)
+def grouped(prefixes: DataFrame, member: DataFrame | None) -> DataFrame:
+    """Prefixes with ``comp``, the component of their document so far, itself if it has none."""
+    if member is None:
+        return prefixes.withColumn("comp", F.col("d"))
+    return prefixes.join(member.select(F.col("node").alias("d"), "component"), "d", "left").withColumn("comp", F.coalesce("component", "d")).drop("component")
+
+
+def hub_pairs(postings: DataFrame, turn: int) -> DataFrame:
+    """Candidates ``(a, b)`` between the documents of each shingle and one of them: at first that of the most weight, then one by a hash that differs from turn to turn."""
+    rank = F.struct(-F.col("weight") if turn == 0 else F.lit(0.0), F.xxhash64("d", F.lit(turn)))
+    hub = F.min(F.struct(rank.alias("h"), *[F.col(c).alias(f"{c}_a") for c in ("d", "size", "match", "comp")]))
+    hubs = postings.groupBy("s").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s", "hub.*").drop("h")
+    beside = postings.select("s", *[F.col(c).alias(f"{c}_b") for c in ("d", "size", "match", "comp")]).join(hubs, "s")
+    return matched(beside.where((F.col("comp_a") != F.col("comp_b")) & _compatible(F.col("size_a"), F.col("size_b"))))
+
+
+def matched(shared: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix shingles as the lesser requirement of the two; a row of ``shared`` is a shared one."""
+    counted = shared.groupBy(F.least("d_a", "d_b").alias("a"), F.greatest("d_a", "d_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("match_a", "match_b")).alias("k"))
+    return counted.where("c >= k").select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are similar: their sets compared whole."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("d").alias(side), F.col("size").alias(f"size_{side}"), F.col("shingles").alias(f"set_{side}")), side)
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return pairs.withColumn("c", common).where(F.col("c") * OF >= (F.col("size_a") + F.col("size_b") - F.col("c")) * SHARED).select("a", "b")
 
 
 class _Forest:
@@ -255,113 +320,112 @@ class _Forest:
         return i != j
 
 
-def overlaps(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of ``rows`` with every set of ``columns``, by products of 0/1 blocks."""
-    out = np.zeros((len(rows), len(columns)), np.float32)
-    a, b = np.concatenate(rows), np.concatenate(columns)
-    common = np.intersect1d(a, b)
-    if not len(common):
-        return out
-
-    def cells(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-        hit = common[at] == flat
-        order = np.argsort(at[hit], kind="stable")
-        return owner[hit][order], at[hit][order]
-
-    (ra, ca), (rb, cb) = cells(rows, a), cells(columns, b)
-    for start in range(0, len(common), COLUMNS):
-        left, right = np.zeros((len(rows), COLUMNS), np.float32), np.zeros((len(columns), COLUMNS), np.float32)
-        i, j = np.searchsorted(ca, [start, start + COLUMNS])
-        left[ra[i:j], ca[i:j] - start] = 1
-        i, j = np.searchsorted(cb, [start, start + COLUMNS])
-        right[rb[i:j], cb[i:j] - start] = 1
-        out += left @ right.T
-    return out
-
-
-def linked(ids: np.ndarray, sets: list[np.ndarray], blocks: np.ndarray, first: int, second: int, prefixes: Prefixes) -> list[tuple[int, int]]:
-    """Links between documents of two blocks (or within one), as many as span what they connect.
-
-    Candidates share as many prefix shingles as the lesser requirement of the two; their sets are then
-    compared whole. Documents already connected here are not compared again.
-    """
-    left, right = np.flatnonzero(blocks == first), np.flatnonzero(blocks == second)
-    if not len(left) or not len(right):
-        return []
-    cut = [prefixes.cut(s) for s in sets]
-    match = np.array([m for _, m in cut])
-    shared = overlaps([cut[i][0] for i in left], [cut[j][0] for j in right])
-    size = np.array([len(s) for s in sets])
-    small = np.minimum(size[left][:, None], size[right][None, :])
-    large = np.maximum(size[left][:, None], size[right][None, :])
-    candidate = (shared >= np.minimum(match[left][:, None], match[right][None, :])) & (OF * small >= SHARED * large)
-    if first == second:
-        candidate &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
-    rows, columns = np.flatnonzero(candidate.any(axis=1)), np.flatnonzero(candidate.any(axis=0))
-    if not len(rows):
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For runs of ``left`` sets, the number of the first and how many elements each shares with every ``right`` set, by inverted lists."""
+    owner = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    flat = np.concatenate(right)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    low, high = (np.searchsorted(flat, np.concatenate(left), side) for side in ("left", "right"))
+    ends = np.cumsum([len(x) for x in left])
+    reads = np.concatenate(([0], np.cumsum(high - low)))[np.concatenate(([0], ends))]
+    first = 0
+    while first < len(left):
+        last = max(first + 1, int(np.searchsorted(reads, reads[first] + SHARED_AT_ONCE, "right")) - 1)
+        begin = ends[first] - len(left[first])
+        n = (high - low)[begin : ends[last - 1]]
+        at = np.repeat(low[begin : ends[last - 1]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        row = np.repeat(np.repeat(np.arange(last - first), [len(x) for x in left[first:last]]), n)
+        yield first, np.bincount(row * len(right) + owner[at], minlength=(last - first) * len(right)).reshape(last - first, len(right))
+        first = last
+
+
+def linked(group: pd.DataFrame, x: int, y: int) -> list[tuple[int, int]]:
+    """Links between documents of different components in blocks x and y (or within one), as many as span what they connect."""
+    group = group.sort_values("d", ignore_index=True)
+    sides = [np.flatnonzero(group["block"].to_numpy() == b) for b in (x, y)]
+    if not len(sides[0]) or not len(sides[1]):
         return []
-    common = overlaps([sets[i] for i in left[rows]], [sets[j] for j in right[columns]]).astype(np.int64)
-    union = size[left[rows]][:, None] + size[right[columns]][None, :] - common
-    good = candidate[np.ix_(rows, columns)] & (OF * common >= SHARED * union)
-    forest, out = _Forest(len(ids)), []
-    for r, c in zip(*np.nonzero(good), strict=True):
-        i, j = int(left[rows[r]]), int(right[columns[c]])
-        if forest.union(i, j):
-            out.append((int(ids[i]), int(ids[j])))
+    ids, size, match = (group[c].to_numpy() for c in ("d", "size", "match"))
+    comp = np.unique(group["comp"], return_inverse=True)[1]
+    prefix, sets = group["prefix"].tolist(), [np.sort(v) for v in group["shingles"]]
+    forest, out = _Forest(int(comp.max()) + 1), []
+    right = sides[1]
+    for first, counts in shared_counts([prefix[i] for i in sides[0]], [prefix[j] for j in right]):
+        left = sides[0][first : first + len(counts)]
+        a, b = size[left][:, None], size[right][None, :]
+        candidate = (counts >= np.minimum(match[left][:, None], match[right][None, :])) & (a * OF >= b * SHARED) & (b * OF >= a * SHARED) & (comp[left][:, None] != comp[right][None, :])
+        for r, c in zip(*np.nonzero(candidate), strict=True):
+            i, j = int(left[r]), int(right[c])
+            if (x == y and i >= j) or forest.find(comp[i]) == forest.find(comp[j]):
+                continue
+            common = int((np.searchsorted(sets[j], sets[i], "right") > np.searchsorted(sets[j], sets[i], "left")).sum())
+            if common * OF >= (size[i] + size[j] - common) * SHARED:
+                forest.union(comp[i], comp[j])
+                out.append((int(ids[i]), int(ids[j])))
     return out
 
 
-def cluster_blocks(rows: DataFrame) -> DataFrame:
-    """``(d, cluster, block, blocks)`` for documents that share prefix shingles, through others of allowed sizes, with others."""
-    along = Window.partitionBy("s").orderBy("size", "d")
-    chained = rows.withColumns({"b": F.lag("d").over(along), "_p": F.lag("size").over(along)}).where(F.col("_p") * OF >= F.col("size") * SHARED)
-    member = components(chained.select(F.col("d").alias("a"), "b").where("a <> b"))
-    sized = member.join(rows.groupBy(F.col("d").alias("node")).agg(F.max("size").alias("size")), "node")
-    totals = sized.groupBy("component").agg(F.sum("size").alias("total"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / BLOCK)).cast("int")
-    return sized.join(totals, "component").select(
-        F.col("node").alias("d"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks")
-    )
-
+def seats(postings: DataFrame) -> DataFrame:
+    """``(d, cluster, block, only)`` for documents of ``postings(s, d, size, comp)``: documents that share shingles are in one cluster.
 
-def block_pairs(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs of blocks of one cluster to compare: each with itself, and those with a prefix shingle in common."""
-    own = places.select("cluster", F.col("block").alias("x"), F.col("block").alias("y")).distinct()
-    cells = rows.join(places.where("blocks > 1"), "d").select("cluster", "s", "block").distinct()
-    sides = cells.withColumnRenamed("block", "x").join(cells.withColumnRenamed("block", "y"), ["cluster", "s"])
-    return own.unionByName(sides.where("x < y").select("cluster", "x", "y").distinct())
+    A component too large for a block has blocks of its own, which ``only`` names; small ones share blocks.
+    """
+    lowest = postings.groupBy("s").agg(F.min("d").alias("b"))
+    member = components(postings.join(lowest, "s").select(F.col("d").alias("a"), "b").distinct())
+    known = postings.select("d", "size", "comp").distinct().join(member.select(F.col("node").alias("d"), F.col("component").alias("cluster")), "d")
+    weights = known.groupBy("cluster", "comp").agg(F.sum("size").alias("w"))
+    few = weights.where(F.col("w") <= BLOCK).groupBy("cluster").agg(F.sum("w").alias("few"))
+    part = lambda key, total: F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(total / BLOCK)))
+    own, shared = F.xxhash64("comp", F.lit("own"), part("d", F.col("w"))), F.xxhash64("cluster", F.lit("shared"), part("comp", F.coalesce("few", F.lit(0))))
+    dealt = known.join(weights, ["cluster", "comp"]).join(few, "cluster", "left")
+    large = F.col("w") > BLOCK
+    return dealt.select("d", "cluster", "comp", F.when(large, own).otherwise(shared).alias("block"), F.when(large, F.col("comp")).alias("only"))
+
+
+def open_links(prefixes: DataFrame, sets: DataFrame, member: DataFrame) -> DataFrame:
+    """Verified links between documents of different components that share as many prefix shingles as they must."""
+    postings = grouped(prefixes, member)
+    lists = postings.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("s")
+    mine = materialise(postings.join(lists, "s").select("s", "d", "size", "comp", "match"), "open")
+    places = materialise(seats(mine), "places")
+    cells = mine.select("s", "d").join(places, "d").select("cluster", "s", "block", "only").distinct()
+    x, y = (cells.select("cluster", "s", F.col("block").alias(n), F.col("only").alias(f"only_{n}")) for n in "xy")
+    pairs = x.join(y, ["cluster", "s"]).where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("only_x") == F.col("only_y"), F.lit(False))).select("x", "y").distinct()
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    docs = mine.groupBy("d").agg(F.collect_list("s").alias("prefix"), F.first("match").alias("match")).join(sets, "d")
+    placed = docs.join(places.select("d", "comp", "block"), "d").join(sides, "block")
+
+    def run(key: tuple[int, int], group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(linked(group, *key), columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("x", "y").applyInPandas(run, "a long, b long")
 
 
 def links(docs: DataFrame, prefix: DataFrame, frequent: Broadcast, words: int = WORDS) -> DataFrame:
-    """Verified links ``(a, b)`` between representatives of different shingle sets, enough to span every component.
+    """Verified links ``(a, b)`` between the marks of different shingle sets, enough to span every component.
 
-    ``prefix`` is the written :func:`prefix_table` of ``docs``.
+    ``docs`` has ``id``, a key without nulls; ``prefix`` is the written :func:`prefix_table` of its ids.
     """
-    holder = F.min(F.when(F.size("prefix") > 0, F.col("doc_id")))
-    reps = prefix.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("d"), holder.alias("doc_id"), F.first("n_shingles").alias("size"))
-    index = prefix.where("size(prefix) > 0").select("mark", "doc_id", "prefix").join(reps, ["mark", "doc_id"]).select("d", "size", F.explode("prefix").alias("s"))
+    spark = docs.sparkSession
+    often = [(s,) for s, n in zip(frequent.value[0].view(np.int64).tolist(), frequent.value[1].tolist(), strict=True) if n >= HOT]
+    hot = spark.createDataFrame(often, "s long") if often else None
+    holders = prefix.where("size(prefix) > 0").select("mark", "doc_id", F.col("n_shingles").alias("size"), "prefix")
+    index = holders.groupBy("mark").agg(F.min_by(F.struct("doc_id", "size", "prefix"), "doc_id").alias("r")).select(F.col("mark").alias("d"), "r.*")
+    postings = index.select("d", "size", F.explode("prefix").alias("s"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * SHARED / OF) / MATCH_PART))
-    first = peel(live_postings(index), least, "live", 2)
-    alive = materialise(first.groupBy(F.col("d").alias("doc_id"), "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("doc_id"), "alive")
-    second = peel(live_postings(whole_postings(docs, alive, words)), _needed("size"), "whole")
-    rows = materialise(rarest(second), "rarest")
-    places = materialise(cluster_blocks(rows), "places")
-    pairs = materialise(block_pairs(rows, places), "pairs")
-    sides = pairs.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    seats = places.join(sides, ["cluster", "block"]).select(F.col("d").alias("doc_id"), "cluster", "x", "y", "block")
-    near = docs.join(small_side(places.select(F.col("d").alias("doc_id")), places.count()), "doc_id", "left_semi")
-    placed = near.join(seats, "doc_id")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        shingler, prefixes = Shingler(words), Prefixes(*frequent.value)
-        group = group.drop_duplicates("doc_id").sort_values("doc_id")
-        sets = [shingler(t) for t in group["text"]]
-        found = linked(group["doc_id"].to_numpy(), sets, group["block"].to_numpy(), int(group["x"].iloc[0]), int(group["y"].iloc[0]), prefixes)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return placed.groupBy("cluster", "x", "y").applyInPandas(run, "a long, b long")
+    first = peel(live_postings(postings, hot), least, "live", 2, hot)
+    alive = first.groupBy("d", "size").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).select("d")
+    alive = materialise(alive.join(holders.groupBy(F.col("mark").alias("d")).agg(F.min("doc_id").alias("id")), "d"), "alive")
+    rows = peel(live_postings(whole_postings(docs, alive, words), hot), _needed("size"), "whole", 3, hot)
+    sets = materialise(rows.groupBy("d", "size").agg(F.collect_list("s").alias("shingles")), "sets")
+    prefixes = materialise(adaptive(rows), "final")
+    found = materialise(verified(hub_pairs(grouped(prefixes, None), 0), sets), "links")
+    member = components(found)
+    for turn in range(1, ROUNDS):
+        found = found.unionByName(materialise(verified(hub_pairs(grouped(prefixes, member), turn), sets), "links"))
+        member = components(found)
+    return found.unionByName(materialise(open_links(prefixes, sets, member), "links"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -369,24 +433,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Words are runs without white space of the text with A-Z lower-cased; documents link when their sets of
     distinct shingles have a Jaccard similarity of at least 0.8. Nulls, empty texts and texts without words have no
-    shingles and are linked with nothing. Repeated rows give a row each; doc_id is taken for a key, so
-    of several texts under one doc_id only one is compared with others. No rows give none.
+    shingles and are linked with nothing. Repeated rows give a row each, and so do different texts under one
+    doc_id, each with the links of its own text. Rows of null doc_id are linked too; their component_id is null if none of
+    their component has a doc_id. Ties don't matter; other columns are left out; no rows give none.
     """
-    docs = with_text(docs)
+    docs = with_text(docs).withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     bound_batches(docs.sparkSession)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
-    prefix = materialise(prefix_table(docs, frequent, words), "prefixes")
-    labels = components(links(docs, prefix, frequent, words))
-    reps = prefix.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("d"))
-    classes = reps.join(labels, F.col("d") == F.col("node"), "left").select("mark", F.coalesce("component", "d").alias("component_id"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs.select("id", "text"), words))
+    prefix = materialise(prefix_table(docs.select("id", "text"), frequent, words), "prefixes")
+    labels = materialise(components(links(docs, prefix, frequent, words)), "labels")
+    own = F.nullif(F.col("doc_id"), F.lit(-(1 << 63)))
+    reps = materialise(prefix.where("n_shingles > 0").groupBy("mark").agg(F.min(own).alias("d")), "reps")
+    held = reps.join(labels, F.col("mark") == F.col("node")).groupBy("component").agg(F.min("d").alias("low"))
+    low = labels.join(held, "component").select(F.col("node").alias("mark"), "low")
+    classes = reps.join(low, "mark", "left").select("mark", F.least("low", "d").alias("component_id"))
     return (
-        prefix.select("doc_id", "n_shingles", "mark")
+        prefix.select(own.alias("doc_id"), "n_shingles", "mark")
         .join(classes, "mark", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents that are the smallest of their component, with their own columns."""
+    """The documents that are the smallest of their component, with their own columns.
+
+    Texts without words stay, as do repeated rows of a document that stays; rows of one doc_id go together, if any of
+    them is not the smallest of its component. Rows of null doc_id stay. No rows give none.
+    """
     found = materialise(near_duplicates(docs, words).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.join(small_side(found, found.count()), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -63,6 +63,7 @@ def test_near_duplicates(odd):
     assert len(got) == odd.count()
     want = linked_brute({(r["doc_id"], r["text"]) for r in odd.where("doc_id IS NOT NULL").select("doc_id", "text").collect()})
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+    assert [(r["n_shingles"] > 0, r["component_id"]) for r in got if r["doc_id"] is None] == [(True, None)]
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {i for i, (_, c) in want.items() if i == c}
@@ -80,14 +81,6 @@ def test_near_duplicates_in_chains(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == linked_brute(rows)
 
 
-def test_linked_blocks():
-    sets = [np.unique(np.arange(k, k + 50, dtype=np.uint64)) for k in (0, 1, 2, 200)]
-    none = jaccard.Prefixes(np.empty(0, np.uint64), np.empty(0, np.int64))
-    ids, blocks = np.array([5, 6, 7, 8]), np.array([0, 1, 0, 1])
-    assert jaccard.linked(ids, sets, blocks, 0, 1, none) == [(5, 6), (7, 6)]
-    assert jaccard.linked(ids, sets, blocks, 0, 0, none) == [(5, 7)]
-
-
 def test_components(spark):
     edges = [(2, 1), (3, 2), (9, 8), (4, 3), (5, 5)] + [(100 + k, 101 + k) for k in range(20)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
