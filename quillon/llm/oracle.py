@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm import quality, urls
-from quillon.llm.licences import COPYRIGHT_LINE, CUE, KNOWN, SPELLINGS, canonical_text
+from quillon.llm.licences import COPYRIGHT_LINE, KNOWN, KNOWN_DIGESTS, SPELLINGS, canonical_text
 
 
 def _quoted(value: str) -> str:
@@ -17,16 +17,17 @@ def _canonical(text: str) -> str:
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
+_MORE = ", ".join(f"({_quoted(licence)}, {_quoted(digest)})" for licence, digest in KNOWN_DIGESTS)
 _KNOWN = ", ".join(f"({_quoted(licence)}, {_quoted(canonical_text(text))})" for licence, text in KNOWN)
 
 LICENCES = f"""
-WITH known AS (SELECT sha256(text) AS digest, min(licence) AS licence FROM (VALUES {_KNOWN}) v(licence, text) GROUP BY 1),
-rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM rows),
-found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices
-  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM lines WHERE regexp_matches(line, {_quoted(CUE)})) JOIN known USING (digest) GROUP BY doc_id)
+WITH known AS (SELECT digest, min(licence) AS licence FROM (SELECT licence, sha256(text) AS digest FROM (VALUES {_KNOWN}) v(licence, text) UNION ALL FROM (VALUES {_MORE}) w(licence, digest)) GROUP BY 1),
+rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM rows),
+found AS (SELECT rid, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices
+  FROM (SELECT rid, sha256({_canonical("line")}) AS digest FROM lines) JOIN known USING (digest) GROUP BY rid)
 SELECT r.doc_id, sha256({_canonical("r.text")}) AS text_digest, k.licence AS text_licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0)::BIGINT AS n_notices
-FROM rows r LEFT JOIN known k ON k.digest = sha256({_canonical("r.text")}) LEFT JOIN found f ON f.doc_id = r.doc_id
+FROM rows r LEFT JOIN known k ON k.digest = sha256({_canonical("r.text")}) LEFT JOIN found f ON f.rid = r.rid
 """
 
 _SPACE = r"[^\x20\x09-\x0D]"
