@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm.common import materialise
+from quillon.llm.common import materialise, small_side
 
 GROUPS_PER_LEAF = 20_000
 LEAVES_PER_BRANCH = 1_024
 #: Rows of one shard that are numbered in one task.
 ROWS_PER_RUN = 20_000
+#: Rows of one group beyond which its shard is broadcast to them, so that no task gathers them.
+HOT_ROWS = 20_000
 
 
 def difference(sums: np.ndarray) -> np.ndarray:
@@ -68,7 +70,7 @@ def _leaf(shards: int):
         groups = groups.sort_values(["total", "key"], ascending=[False, True], ignore_index=True)
         sums = np.zeros((len(groups), shards), np.int64)
         sums[:, 0] = groups["total"]
-        return pd.DataFrame({"key": groups["key"], "leaf": groups["leaf"], "part": difference(sums)[:, 0].astype("int32"), "total": groups["total"]})
+        return pd.DataFrame({"key": groups["key"], "leaf": groups["leaf"], "part": difference(sums)[:, 0].astype("int32"), "total": groups["total"], "n": groups["n"]})
 
     return run
 
@@ -99,8 +101,8 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     count = rows.count()
     leaves = max(1, math.ceil(count / GROUPS_PER_LEAF))
-    groups = rows.groupBy("key").agg(F.sum("size").alias("total")).withColumn("leaf", F.pmod(F.xxhash64("key"), F.lit(leaves)))
-    groups = materialise(groups.groupBy("leaf").applyInPandas(_leaf(shards), "key binary, leaf long, part int, total long"), "leaves")
+    groups = rows.groupBy("key").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("leaf", F.pmod(F.xxhash64("key"), F.lit(leaves)))
+    groups = materialise(groups.groupBy("leaf").applyInPandas(_leaf(shards), "key binary, leaf long, part int, total long, n long"), "leaves")
 
     cells = groups.groupBy("leaf", "part").agg(F.sum("total").alias("total")).withColumn("branch", F.floor(F.col("leaf") / LEAVES_PER_BRANCH).cast("long"))
     mapped = materialise(cells.groupBy("branch").applyInPandas(_branch(shards, "leaf"), "leaf long, part int, to int, total long"), "branches")
@@ -113,10 +115,16 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     kinds = T.StructType([T.StructField("branch", T.LongType()), T.StructField("to", T.IntegerType()), T.StructField("shard", T.IntegerType())])
     finals = rows.sparkSession.createDataFrame([(b, j, int(final[b, j])) for b in range(len(final)) for j in range(shards)], kinds)
     places = mapped.withColumn("branch", F.floor(F.col("leaf") / LEAVES_PER_BRANCH).cast("long")).join(finals, ["branch", "to"]).select("leaf", "part", "shard")
-    placed = groups.join(places, ["leaf", "part"]).select("key", "shard")
+    placed = groups.join(places, ["leaf", "part"]).select("key", "shard", "n")
+    hot, often = placed.where(F.col("n") > HOT_ROWS).select("key", "shard"), groups.where(F.col("n") > HOT_ROWS).count()  # at most one of HOT_ROWS rows
+    if often:
+        sides = small_side(hot, often)
+        joined = rows.join(sides, "key", "left_anti").join(placed.select("key", "shard"), "key").unionByName(rows.join(sides, "key"))
+    else:
+        joined = rows.join(placed.select("key", "shard"), "key")
 
     runs = max(8, math.ceil(count / shards / ROWS_PER_RUN))
-    out = materialise(rows.join(placed, "key").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run")), "placed")
+    out = materialise(joined.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run")), "placed")
     return number(out, "shard", "run").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
