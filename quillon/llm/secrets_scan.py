@@ -19,6 +19,8 @@ from quillon.llm.quality import SPACE
 
 LEAST = 12
 RUN = rf"[A-Za-z0-9+/_\-]{{{LEAST},}}"
+#: All neighbouring key-like characters; free candidates are such runs.
+WHOLE_RUN = r"[A-Za-z0-9+/_\-]+"
 #: A text without a match has no candidate.
 CUE = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{{LEAST},}}"
 MASK = "[SECRET]"
@@ -197,7 +199,11 @@ def judged(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0.5) -> DataFrame:
-    """One row per candidate: doc_id, word_at (from 0), n_chars, value_sha256, votes, is_secret. Texts without candidates give none; repeated rows give theirs each."""
+    """One row per candidate: doc_id, word_at (from 0), n_chars, value_sha256, votes, is_secret.
+
+    Null and empty texts and those without candidates give none; repeated rows, and rows of null doc_id, give theirs each; a word with
+    several candidates gives a row for each value. Other columns are left out; no rows give none.
+    """
     rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), findings).select("doc_id", F.explode("_found").alias("e"))
     return rows.select(
         "doc_id", F.col("e.at").alias("word_at"), F.length("e.value").cast("long").alias("n_chars"), F.sha2(F.col("e.value"), 256).alias("value_sha256"),
@@ -206,7 +212,11 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0.5
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0.5) -> DataFrame:
-    """``docs`` with every secret of a text replaced by ``MASK``; other columns, but for n_chars, stay as they are."""
+    """``docs`` with every secret of a text replaced by ``MASK``; other columns, but for n_chars, stay as they are.
+
+    Values of secret names are masked where they stand, other secrets wherever they are a whole run of key-like characters, never a
+    part of one. Null texts stay null; repeated rows are masked each; no rows give none.
+    """
     whole = F.col("text").cast("string")
     secrets = F.filter("_found", lambda e: e["votes"] >= cutoff)
     named = F.transform(F.filter(secrets, lambda e: e["k"].isNotNull()), lambda e: e["k"])
@@ -214,7 +224,9 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0
     inner = F.transform(F.arrays_zip(leads.alias("lead"), values.alias("value")), lambda m, k: F.concat(F.get(gaps, k), m["lead"], F.when(F.array_contains(named, k), F.lit(MASK)).otherwise(m["value"])))
     placed = F.when(F.size(named) > 0, F.concat(F.concat_ws("", inner), F.element_at(gaps, -1))).otherwise(whole)  # short values are masked where they stand only
     runs = F.transform(F.filter(secrets, lambda e: e["k"].isNull()), lambda e: e["value"])
-    text = F.aggregate(runs, placed, lambda t, s: F.replace(t, s, F.lit(MASK)))
+    parts = F.arrays_zip(F.split(placed, WHOLE_RUN, -1).alias("gap"), F.regexp_extract_all(placed, F.lit(WHOLE_RUN), F.lit(0)).alias("run"))
+    shown = F.transform(parts, lambda p: F.concat(p["gap"], F.when(F.array_contains(runs, p["run"]), F.lit(MASK)).otherwise(F.coalesce(p["run"], F.lit("")))))
+    text = F.when(F.size(runs) > 0, F.array_join(shown, "")).otherwise(placed)
     held = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), findings)
     changed = held.select("_row", text.alias("_text"))
     out = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias(c) if c == "text" else F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns]
