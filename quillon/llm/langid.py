@@ -20,8 +20,10 @@ LENGTHS = (1, 2, 3)
 BUCKETS = 1 << 18
 #: Texts and landmarks of each language that train; beyond ``LANGUAGES`` languages each has fewer, and none is left out.
 LANGUAGES, TEXTS, LANDMARKS = 64, 300, 40
+#: N-grams of a training text that go to the driver at most, those of lowest number.
+SAMPLE_GRAMS = 16_384
 RIDGE = 1e-3
-ROWS, CHARACTERS = 256, 2_000_000
+ROWS, CHARACTERS = 128, 2_000_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -73,17 +75,20 @@ class Model:
     """Landmarks as a 0/1 matrix over the buckets that occur in them, and the weights of the languages."""
 
     languages: list[str]
-    column: np.ndarray
+    kinds: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
 
+    def values(self, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Kernel of texts and landmarks: shared n-grams over the geometric mean of all that either has; ``seen`` has the known ones."""
+        norms = np.sqrt(np.maximum(counts, 1))[:, None] * np.sqrt(np.maximum(self.landmarks.sum(axis=1), 1))[None, :]
+        return seen @ self.landmarks.T / norms.astype(np.float32)
+
     def kernel(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         rows, buckets, has = presence(texts)
-        at = self.column[buckets]
-        seen = np.zeros((len(texts), self.landmarks.shape[1]), np.float32)
-        seen[rows[at >= 0], at[at >= 0]] = 1
-        norms = np.sqrt(np.maximum(seen.sum(axis=1), 1))[:, None] * np.sqrt(np.maximum(self.landmarks.sum(axis=1), 1))[None, :]
-        return seen @ self.landmarks.T / norms, has
+        every = np.zeros((len(texts), BUCKETS), bool)
+        every[rows, buckets] = True
+        return self.values(every[:, self.kinds].astype(np.float32), every.sum(axis=1)), has
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The best language of each text and its score; ``und`` and 0 for texts without letters."""
@@ -100,35 +105,54 @@ def share(most: int, languages: int) -> int:
     return max(1, min(most, most * LANGUAGES // languages))
 
 
+def grams_of(texts: list[str | None]) -> list[np.ndarray]:
+    """The distinct buckets of each text's n-grams, in order."""
+    rows, buckets, _ = presence(texts)
+    cells = np.unique(rows.astype(np.int64) * BUCKETS + buckets)
+    return np.split((cells % BUCKETS).astype(np.int32), np.searchsorted(cells, np.arange(1, len(texts)) * BUCKETS)) if texts else []
+
+
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """Kernel ridge on Nystroem features; the first texts of each language are landmarks."""
+    """As :func:`fit_grams`, from texts."""
+    return fit_grams([g for i in range(0, len(texts), ROWS) for g in grams_of(texts[i : i + ROWS])], langs)
+
+
+def fit_grams(grams: list[np.ndarray], langs: list[str]) -> Model:
+    """Kernel ridge on Nystroem features of sets of n-grams; the first of each language are landmarks."""
     languages = sorted(set(langs))
     if not languages:
-        return Model([], np.empty(0, np.int32), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
+        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32), np.empty((0, 0), np.float32))
     of: dict[str, list[int]] = {lang: [] for lang in languages}
     for k, x in enumerate(langs):
         of[x].append(k)
     marks = [i for lang in languages for i in of[lang][: share(LANDMARKS, len(languages))]]
-    rows, buckets, _ = presence([texts[i] for i in marks])
-    kinds = np.unique(buckets)
-    column = np.full(BUCKETS, -1, np.int32)
-    column[kinds] = np.arange(len(kinds))
-    landmarks = np.zeros((len(marks), len(kinds)), np.float32)
-    landmarks[rows, column[buckets]] = 1
-    model = Model(languages, column, landmarks, np.empty((0, 0), np.float32))
-    values, vectors = np.linalg.eigh(model.kernel([texts[i] for i in marks])[0].astype(np.float64))
+    kinds = np.unique(np.concatenate([grams[i] for i in marks])).astype(np.int64)
+
+    def seen(chosen: list[int]) -> np.ndarray:
+        out = np.zeros((len(chosen), len(kinds)), np.float32)
+        for row, i in enumerate(chosen):
+            out[row, np.searchsorted(kinds, np.intersect1d(kinds, grams[i]))] = 1
+        return out
+
+    model = Model(languages, kinds, seen(marks), np.empty((0, 0), np.float32))
+    counts = np.array([len(g) for g in grams])
+    values, vectors = np.linalg.eigh(model.values(model.landmarks, counts[marks]).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    features = np.vstack([model.kernel(texts[i : i + ROWS])[0] for i in range(0, len(texts), ROWS)]).astype(np.float64) @ root
-    features = np.hstack([features, np.ones((len(texts), 1))])
+    every = [list(range(i, min(i + ROWS, len(grams)))) for i in range(0, len(grams), ROWS)]
+    features = np.vstack([model.values(seen(part), counts[part]) for part in every]).astype(np.float64) @ root
+    features = np.hstack([features, np.ones((len(grams), 1))])
     target = (np.array(langs)[:, None] == np.array(languages)[None, :]).astype(np.float64)
     weight = np.array([len(langs) / (len(languages) * len(of[x])) for x in langs])[:, None]
-    solved = np.linalg.solve(features.T @ (features * weight) + RIDGE * len(texts) * np.eye(features.shape[1]), features.T @ (target * weight))
+    solved = np.linalg.solve(features.T @ (features * weight) + RIDGE * len(grams) * np.eye(features.shape[1]), features.T @ (target * weight))
     model.weights = np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32)
     return model
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model from ``labelled(doc_id, text, lang)``: about ``TEXTS`` texts, or fewer the more languages there are, chosen by hash, of every language."""
+    """A model from ``labelled(doc_id, text, lang)``: about ``TEXTS`` texts, or fewer the more languages there are, chosen by hash, of every language.
+
+    N-grams are taken on the executors; of a text at most ``SAMPLE_GRAMS`` go to the driver.
+    """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").count()
     languages = counts.count()
@@ -139,10 +163,17 @@ def train(labelled: DataFrame) -> Model:
     wanted = texts if languages <= LANGUAGES else texts + 30  # so that chance leaves no language out
     sample = rows.join(F.broadcast(counts), "lang").withColumn("_s", spread).where(F.col("_s") < F.lit(float(wanted)) / F.col("count"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("_s", "text"))
-    sample = sample.withColumn("_n", first).where(F.col("_n") <= 2 * wanted).select("lang", "text").collect()
-    sample = sorted((r["lang"], r["text"]) for r in sample)
-    order = np.random.default_rng(11).permutation(len(sample))
-    return fit([sample[i][1] for i in order], [sample[i][0] for i in order])
+    chosen = sample.withColumn("_n", first).where(F.col("_n") <= wanted).select("lang", "_n", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, 2):
+                grams = [g[:SAMPLE_GRAMS] for g in grams_of(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(grams, pa.list_(pa.int32()))], ["lang", "n", "grams"])
+
+    found = sorted(((r["lang"], r["n"], r["grams"]) for r in chosen.mapInArrow(run, "lang string, n int, grams array<int>").toLocalIterator()), key=lambda r: r[:2])
+    order = np.random.default_rng(11).permutation(len(found))
+    return fit_grams([np.array(found[i][2], np.int32) for i in order], [found[i][0] for i in order])
 
 
 def held_out(doc_id: Column) -> Column:
