@@ -23,7 +23,7 @@ from quillon.llm.common import bound_batches
 #: Edits allowed per character of an item.
 RATE = 0.05
 #: Characters of items that are broadcast at once; a larger benchmark is searched in several passes.
-PASS_CHARACTERS = 16_000_000
+PASS_CHARACTERS = 2_000_000
 SCHEMA = "doc_id long, item_id long, distance int, budget int, end_at long"
 
 
