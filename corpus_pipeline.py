@@ -1,4 +1,10 @@
-"""A corpus from raw documents in five stages; each is written as Parquet and read again as the next one's documents."""
+"""A corpus from raw documents in five stages; each is written as Parquet and read again as the next one's documents.
+
+Null, empty and wordless texts fail the quality rules and end there. Repeated rows are judged each; those that stay, stay all, unless
+another document is their component's smallest. Documents of null doc_id stay. Ties go to the smallest doc_id. Further columns are
+kept as they are, but for n_chars, which follows the masked text, and n_tokens, ids_sha256 and decoded_sha256, which the last stage
+sets. An empty table gives none.
+"""
 
 from __future__ import annotations
 
