@@ -7,8 +7,14 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quillon.plans.engine import Engine, Settings
+from quillon import __version__
+from quillon.operators import models, providers
+from quillon.operators.skills import markdown
+from quillon.plans import report
+from quillon.plans.engine import STAGES, Engine, Settings
 from quillon.plans.service import Api, server
+from quillon.plans.shell import Shell
+from quillon.sources import texts
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -19,7 +25,20 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     run.add_argument("folder")
     run.add_argument("--full", action="store_true", help="process finished files again")
     run.add_argument("--strategy", default="semantic", choices=["semantic", "hybrid", "paragraph", "recursive", "fixed_size"])
-    run.add_argument("--provider", default="", help="a registered model provider")
+    run.add_argument("--provider", default="", help="a model service, by name")
+    run.add_argument("--extractor", default="direct", choices=["direct", "ocr", "hybrid"])
+    run.add_argument("--skip-on-error", action="store_true", help="leave out a failing stage that only changes rows")
+    commands.add_parser("file", help="process one file").add_argument("path")
+    staged = commands.add_parser("stage", help="run the stages up to one, and show what it makes")
+    staged.add_argument("folder")
+    staged.add_argument("name", choices=STAGES)
+    flow = commands.add_parser("workflow", help="write an n8n workflow that starts runs")
+    flow.add_argument("folder")
+    flow.add_argument("out")
+    commands.add_parser("show").add_argument("id")
+    commands.add_parser("errors", help="files that could not be read")
+    commands.add_parser("shell", help="commands at a prompt").add_argument("folder")
+    commands.add_parser("version")
     commands.add_parser("books").add_argument("folder")
     listed = commands.add_parser("skills")
     for name in ("category", "status"):
@@ -39,10 +58,26 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     commands.add_parser("clear", help="forget cached vectors and finished work")
     a = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
-    settings = Settings(strategy=a.strategy, provider=a.provider) if a.command == "run" else Settings()
+    settings = Settings(strategy=a.strategy, provider=a.provider, extractor=a.extractor) if a.command == "run" else Settings()
+    if settings.provider in providers.SERVICES and settings.provider not in models.PROVIDERS:
+        providers.connect(settings.provider)
     engine = Engine(spark, a.store, settings, progress=lambda stage: print(stage, flush=True))
     if a.command == "run":
-        print(engine.run(a.folder, incremental=not a.full).count(), "skills")
+        print(engine.run(a.folder, incremental=not a.full, skip_on_error=a.skip_on_error).count(), "skills")
+    elif a.command == "file":
+        print(engine.run_file(a.path).count(), "skills")
+    elif a.command == "stage":
+        engine.run_stage(a.folder, a.name).show(20)
+    elif a.command == "workflow":
+        texts.write_json(a.out, report.workflow(a.store, a.folder))
+    elif a.command == "show":
+        engine.skills.current().where(F.col("id") == a.id).select(markdown(engine.skills.current()).alias("markdown")).show(1, truncate=False)
+    elif a.command == "errors":
+        engine.errors.current().show(50, truncate=False)
+    elif a.command == "shell":
+        Shell(engine, a.folder).cmdloop()
+    elif a.command == "version":
+        print(__version__)
     elif a.command == "books":
         engine.list_books(a.folder).show(truncate=False)
     elif a.command == "skills":

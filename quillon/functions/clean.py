@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quillon.functions import vocabulary as V
-from quillon.functions.text import word_count
+from quillon.functions.text import bound, word_count
 
 #: Where lines break, besides at the end of the text.
 BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
@@ -22,17 +22,18 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, f"(?:{BREAK})\\z", ""), BREAK)
 
 
+#: Any line that is dropped.
+_DROPPED = "|".join(f"(?:{p})" for p in V.DROPPED_LINES)
+
+
 def without_page_marks(text: Column) -> Column:
     def kept(line: Column) -> Column:
-        bare = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-        out = F.lit(True)
-        for pattern in V.DROPPED_LINES:
-            out = out & ~bare.rlike(pattern)
-        return out
-
-    every = lines(text)
-    left = F.filter(every, kept)
-    return F.when(F.size(left) < F.size(every), F.array_join(left, "\n")).otherwise(text)
+        return ~F.regexp_replace(line, r"(?U)^\s+|\s+$", "").rlike(_DROPPED)
+
+    def joined(every: Column) -> Column:
+        return bound(F.filter(every, kept), lambda left: F.when(F.size(left) < F.size(every), F.array_join(left, "\n")).otherwise(text))
+
+    return bound(lines(text), joined)
 
 
 def collapsed_blanks(text: Column) -> Column:

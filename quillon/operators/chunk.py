@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import word_count, words
+from quillon.functions.text import bound, word_count, words
 from quillon.functions.vocabulary import HEADING
 
 _STARTS = "array<struct<at:int,tail:int,word:int>>"
@@ -30,11 +30,6 @@ def fixed(docs: DataFrame, key: str, most: int = 800, overlap: int = 100) -> Dat
     return df.select(key, F.posexplode(chunk).alias("index", "text")).withColumn("word_count", word_count(F.col("text")))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

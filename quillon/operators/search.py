@@ -49,6 +49,11 @@ def vectors(rows: DataFrame, query: list[float], key: str, vector: str, limit: i
     return scored.orderBy(F.desc("score"), key).limit(limit).withColumn("score", F.round("score", 6))
 
 
+def distance_score(distance: Column, metric: str = "cosine") -> Column:
+    """The score of a distance: for cosine what is left of 1, 0 at least, to four places; else its negative."""
+    return F.round(F.greatest(F.lit(0.0), 1 - distance), 4) if metric == "cosine" else -distance
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The last version of every key."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
@@ -57,8 +62,9 @@ def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFram
 
 def unsaved(new: DataFrame, saved: DataFrame, name: str, order: str) -> DataFrame:
     """The first record of every name that isn't saved yet."""
-    first = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return new.join(saved.select(name).distinct(), name, "left_anti").withColumn("_n", first).where("_n = 1").drop("_n")
+    fresh = new.join(saved.select(name).distinct(), name, "left_anti")
+    first = fresh.groupBy(name).agg(F.min(order).alias(order))  # combined before the shuffle
+    return fresh.join(first, [name, order], "left_semi")
 
 
 def unprocessed(books: DataFrame, ledger: DataFrame, stage: str, settings: str) -> DataFrame:

@@ -175,8 +175,9 @@ def survivors(skills: DataFrame, scope: str, order: str) -> DataFrame:
     return ready.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, survivor {kinds[order]}, method string, similarity double")
 
 
-def merged(skills: DataFrame, found: DataFrame, scope: str, order: str, lists: tuple[str, ...] = ("knowledge_ids", "tags")) -> DataFrame:
-    """The survivors, their lists joined by those of the records that went into them: own values first, then in order."""
+def merged(skills: DataFrame, found: DataFrame, scope: str, order: str, lists: tuple[str, ...] = ("knowledge_ids", "source_chapters", "tags", "related_skills")) -> DataFrame:
+    """The survivors, those of ``lists`` that they have joined by those of the records that went into them: own values first, then in order."""
+    lists = tuple(c for c in lists if c in skills.columns)
     keyed = skills.join(found.select(scope, order, "survivor"), [scope, order])
     first = (F.col(order) != F.col("survivor")).cast("int")
     gathered = keyed.groupBy(scope, "survivor").agg(*[F.array_sort(F.collect_list(F.struct(first.alias("a"), F.col(order).alias("o"), F.col(c).alias("v")))).alias(f"_{c}") for c in lists])

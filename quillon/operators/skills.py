@@ -13,31 +13,44 @@ from quillon.functions import text as T
 from quillon.functions import vocabulary as V
 
 
-def _listed(condition: Column, value: Column, order: str) -> Column:
-    """Values of matching rows in input order."""
-    pairs = F.array_sort(F.collect_list(F.when(condition, F.struct(F.col(order).alias("o"), value.alias("v")))))
+#: Units whose contents go into one section of a record.
+_SECTIONS = (("best_practice",), ("anti_pattern", "common_mistake"), ("workflow",), ("example", "template"), ("checklist",), ("rule",), ("skill",), ("reference",))
+
+
+def _listed(kinds: tuple[str, ...], value: Column, order: str, most: int) -> Column:
+    """Values of the first ``most`` rows of a section, in input order; ``_at`` has a row's number in its section."""
+    chosen = F.col("unit_type").isin(*kinds) & (F.col("_at") <= most)
+    pairs = F.array_sort(F.collect_list(F.when(chosen, F.struct(F.col(order).alias("o"), value.alias("v")))))
     return F.transform(pairs, lambda p: p["v"])
 
 
 def records(units: DataFrame, group: str, order: str = "ord", checklist: bool = False, most: int = 10) -> DataFrame:
-    """One record per group: name, description, sections with back-filling, tags, category, quality, provenance."""
+    """One record per group: name, description, sections with back-filling, tags, category, quality, provenance.
+
+    Sections hold ``most`` contents, and no more of a group's contents are gathered; its ids, which a record lists all, are. One shuffle.
+    """
     kind = F.col("unit_type")
     content = F.col("content")
     lead = F.when(kind.isin("skill", "best_practice", "framework"), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("c"), F.col(order).alias("o"), F.col("title").alias("t")))
     lead = lead.otherwise(F.struct(F.lit(1).alias("a"), (-F.col("confidence")).alias("c"), F.col(order).alias("o"), F.col("title").alias("t")))
-    df = units.groupBy(group).agg(
+    section = F.coalesce(*[F.when(kind.isin(*kinds), F.lit(i)) for i, kinds in enumerate(_SECTIONS)], F.lit(-1))
+    dealt = units.repartition(F.col(group)).withColumn("_section", section)
+    # of references, only different ones count
+    new = F.row_number().over(Window.partitionBy(group, "_section", F.when(kind == "reference", content)).orderBy(order)) == 1
+    dealt = dealt.withColumn("_new", new | (kind != "reference"))
+    dealt = dealt.withColumn("_at", F.sum(F.col("_new").cast("int")).over(Window.partitionBy(group, "_section").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    texts = [_listed(kinds, value, order, most) for kinds, value in zip(
+        _SECTIONS,
+        (content, F.concat(F.lit("🚫 "), F.col("title"), F.lit(": "), content), F.struct(F.col("title").alias("title"), content.alias("description")), F.struct(F.col("title").alias("title"), content.alias("code")), content, content, content, content),
+        strict=True,
+    )]
+    first_long = F.min(F.when(F.length(content) > 30, F.struct(F.col(order).alias("o"), content.alias("v"))))
+    df = dealt.groupBy(group).agg(
         F.min(lead).alias("_lead"),
-        _listed(kind == "best_practice", content, order).alias("_bp"),
-        _listed(kind.isin("anti_pattern", "common_mistake"), F.concat(F.lit("🚫 "), F.col("title"), F.lit(": "), content), order).alias("_pit"),
-        _listed(kind == "workflow", F.struct(F.col("title").alias("title"), content.alias("description")), order).alias("_wf"),
-        _listed(kind.isin("example", "template"), F.struct(F.col("title").alias("title"), content.alias("code")), order).alias("_ex"),
-        _listed(kind == "checklist", content, order).alias("_ck"),
-        _listed(kind == "rule", content, order).alias("_rules"),
-        _listed(kind == "skill", content, order).alias("_skills"),
-        _listed(kind == "reference", content, order).alias("_refs"),
-        _listed(F.length(content) > 30, content, order).alias("_long"),
+        *[t.alias(n) for t, n in zip(texts, ("_bp", "_pit", "_wf", "_ex", "_ck", "_rules", "_skills", "_refs"), strict=True)],
+        F.array_compact(F.array(first_long["v"])).alias("_long"),
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o")))).alias("_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("_tags"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("_tags"),
         F.round(F.least(0.6 * F.avg("confidence") + 0.4 * F.count_distinct(kind) / 6, F.lit(1.0)) + 1e-9, 2).alias("quality_score"),
         F.count(F.lit(1)).alias("n_units"),
     )
@@ -163,9 +176,16 @@ def listed(skills: DataFrame, category: str = "", status_: str = "", tags: list[
     return df.limit(limit) if limit is not None else df
 
 
+def histogram(skills: DataFrame, column: str, blank: str = "uncategorized") -> DataFrame:
+    """``(value, n)`` of a column, the most frequent first, ties by value; blanks under one name."""
+    value = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(blank))
+    return skills.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value")
+
+
 def stats(skills: DataFrame, source: str) -> DataFrame:
     return skills.agg(
         F.count(F.lit(1)).alias("total"), F.count_distinct(F.col(source)).alias("sources"), F.count_if(F.col("status") == "approved").alias("approved"),
         F.count_if(F.col("status") == "reviewed").alias("reviewed"), F.count_if(F.col("status") == "rejected").alias("rejected"),
+        F.count_if(F.col("status") == "draft").alias("draft"), F.count_if(F.col("status") == "published").alias("published"),
         F.coalesce(F.round(F.avg("quality_score"), 2), F.lit(0.0)).alias("avg_quality"), F.max("quality_score").alias("max_quality"), F.min("quality_score").alias("min_quality"),
     )

@@ -1,25 +1,24 @@
-"""Groups of units that share tags, directly or through others: label propagation over the unit-tag graph."""
+"""Groups of units that share tags, directly or through others: components of the graph that ties the units of a tag to one of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.graph import components as connected
 from quillon.operators.lineage import written
 
+#: Tags up to which the table of them is broadcast, so that no task gathers the units of a frequent one.
+BROADCAST_TAGS = 1_000_000
+
 
 def components(units: DataFrame, key: str = "unit_id") -> DataFrame:
     """``(key, topic)``: the smallest key that shared lower-cased tags reach; untagged units stand alone.
 
-    Each round sends labels through tags: one row per unit and tag, never a pair of units, so frequent tags cost
-    no more than rare ones.
+    A tag ties each of its units to the least of them: one edge per unit and tag, never a pair of units.
     """
-    tagged = written(units.select(key, F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag")), "topics")
-    labels = written(units.select(key, F.col(key).alias("topic")), "topics")
-    while True:
-        low = tagged.join(labels, key).groupBy("tag").agg(F.min("topic").alias("topic"))
-        reached = tagged.join(low, "tag").groupBy(key).agg(F.min("topic").alias("_low"))
-        after = written(labels.join(reached, key, "left").select(key, F.least("topic", F.coalesce("_low", "topic")).alias("topic"), (F.col("_low") < F.col("topic")).alias("_moved")), "topics")
-        if not after.where("_moved").limit(1).count():
-            return after.select(key, "topic")
-        labels = after.select(key, "topic")
+    tagged = written(units.select(key, F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag")), "tags")
+    low = written(tagged.groupBy("tag").agg(F.min(key).alias("b")), "hubs")
+    hubs = F.broadcast(low) if low.count() <= BROADCAST_TAGS else low
+    found = connected(tagged.join(hubs, "tag").select(F.col(key).alias("a"), "b"))
+    return units.select(key).join(found, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("topic"))

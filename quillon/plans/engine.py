@@ -6,7 +6,6 @@ no stage pairs records of different books; a book has at most ``skills_per_book`
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -14,12 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillon.functions import vocabulary as V
 from quillon.functions.clean import cleaned
+from quillon.functions.text import token_estimate
 from quillon.operators import chunk, embed, models, search, similar, skills, topics
 from quillon.operators.lineage import written
+from quillon.plans import report
 from quillon.sources import files, store
 
-STAGES = ("extract", "clean", "chunk", "knowledge", "skill_gen", "review", "dedup", "graph", "embed", "store")
+#: Files of a run up to which their paths are broadcast.
+MOST_FILES = 1_000_000
+STAGES = ("extract", "clean", "chunk", "knowledge", "skill_gen", "review", "embed", "dedup", "graph", "store")
 
 
 @dataclass(frozen=True)
@@ -35,35 +39,52 @@ class Settings:
     skills_per_book: int = 50
     dim: int = 384
     provider: str = ""
+    small_provider: str = ""
+    extractor: str = "direct"
+    fallback: bool = True
+    types: tuple[str, ...] = V.UNIT_TYPES
 
     def __post_init__(self):
         if self.chunk_overlap >= self.chunk_words:
             raise ValueError("chunk_overlap must be smaller than chunk_words")
         if self.strategy != "fixed_size" and self.strategy not in chunk.STRATEGIES:
             raise ValueError(f"unknown strategy {self.strategy!r}")
+        if self.extractor not in files.MODES:
+            raise ValueError(f"unknown extractor {self.extractor!r}")
+        if unknown := set(self.types) - set(V.UNIT_TYPES):
+            raise ValueError(f"unknown types {sorted(unknown)}")
 
     def fingerprint(self) -> str:
         return ",".join(f"{k}={v}" for k, v in sorted(asdict(self).items()))
 
 
 class Engine:
-    """Stores under ``root``, a folder that driver and executors share."""
+    """Stores under ``root``, a folder that driver and executors share.
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), progress: Callable[[str], None] = lambda stage: None):
-        self.spark, self.settings, self.progress = spark, settings, progress
+    ``after`` has own steps, from table to table, that follow a stage; ``scanned`` reads the pages of scans.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), progress: Callable[[str], None] = lambda stage: None, scanned: Callable[[bytes], list[str]] | None = None):
+        self.spark, self.root, self.settings, self.progress, self.scanned = spark, root, settings, progress, scanned
+        self.log = report.log(store=root)
+        self.after: dict[str, list[Callable[[DataFrame], DataFrame]]] = {}
         self.skills = store.Skills(spark, f"{root}/skills")
         self.nodes = store.KeyedTable(spark, f"{root}/nodes", store.NODE, ("graph_id", "id"))
         self.edges = store.KeyedTable(spark, f"{root}/edges", store.EDGE, ("graph_id", "source", "target", "type"))
         self.vectors = store.KeyedTable(spark, f"{root}/vectors", store.VECTOR, ("id", "source_type"))
         self.embeddings = store.KeyedTable(spark, f"{root}/embeddings", embed.CACHE_SCHEMA, ("text_hash", "backend", "dim"))
         self.ledger = store.KeyedTable(spark, f"{root}/ledger", store.LEDGER, ("file_hash", "stage", "settings"))
-        self.metrics: list[tuple[str, float, bool, str | None]] = []
+        self.errors = store.KeyedTable(spark, f"{root}/errors", store.ERROR, ("file_hash", "stage"))
+        self.metrics = report.Metrics()
 
     # Stages: each takes what the one before it made.
 
     def extract(self, books: DataFrame) -> DataFrame:
-        """``(book_id, source_book, text)`` of readable files; pages joined by blank lines, in order."""
-        pages = files.extracted(books).where("error IS NULL")
+        """``(book_id, source_book, text)`` of readable files; pages joined by blank lines, in order. What can't be read is listed in ``errors``."""
+        s = self.settings
+        every = written(files.read(books, s.extractor, self.scanned, s.fallback), "pages")
+        self.errors.save(every.where("error IS NOT NULL").join(books.groupBy("file_hash").agg(F.min("file_name").alias("file_name")), "file_hash").select("file_hash", "file_name", F.lit("extract").alias("stage"), "error"))
+        pages = every.where("error IS NULL")
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"])
         text = pages.groupBy("file_hash").agg(F.trim(F.array_join(ordered, "\n\n")).alias("text"))
         named = books.groupBy("file_hash").agg(F.min("file_name").alias("source_book"))
@@ -80,7 +101,8 @@ class Engine:
     def units(self, chunks: DataFrame) -> DataFrame:
         s = self.settings
         make = models.provider(s.provider) if s.provider else None
-        found = models.extracted(chunks, "chunk_id", make, s.least_confidence, s.units_per_chunk)
+        small = models.provider(s.small_provider) if s.small_provider else None
+        found = models.extracted(chunks, "chunk_id", make, s.least_confidence, s.units_per_chunk, small=small, allowed=s.types)
         return found.withColumn("book_id", F.substring_index("chunk_id", "-", 1)).withColumn("unit_id", F.concat_ws("-", "chunk_id", F.lpad(F.col("ord").cast("string"), 6, "0"))).drop("ord")
 
     def records(self, units: DataFrame) -> DataFrame:
@@ -91,7 +113,8 @@ class Engine:
         kept = skills.capped(ranks, "book_id", F.col("_rank"), self.settings.skills_per_book)
         made = skills.records(grouped.join(kept.select("id"), "id", "left_semi"), "id", "unit_id").join(kept, "id")
         if self.settings.provider:
-            made = models.built(made, models.provider(self.settings.provider))
+            shown = models.shown_units(grouped.join(kept.select("id"), "id", "left_semi"), "id", "unit_id")
+            made = models.built(made.join(shown, "id", "left"), models.provider(self.settings.provider)).drop("shown")
         made = made.where("name <> '' AND description <> ''")
         return skills.unique_names(made.withColumn("_o", F.struct("book_id", "_rank")), "_o", "book_id").drop("_o")
 
@@ -101,39 +124,90 @@ class Engine:
     def embedded(self, rows: DataFrame) -> DataFrame:
         """Rows ``(…, text)`` with vectors; new ones go to the cache."""
         out, fresh = embed.embedded(rows, self.embeddings.current(), dim=self.settings.dim)
-        out = written(out, "vectors")
+        out, fresh = written(out, "vectors"), written(fresh, "fresh")
+        new = fresh.count()
+        self.metrics.count("embed_misses", new)
+        self.metrics.count("embed_hits", out.where("vector IS NOT NULL").join(fresh.select("text_hash"), F.sha2("text", 256) == F.col("text_hash"), "left_anti").count())
         self.embeddings.save(fresh)
         return out
 
     # Runs
 
-    def run(self, folder: str, incremental: bool = True) -> DataFrame:
-        """Process a folder's files, all or those not yet done under these settings; returns the skills stored."""
+    def run(self, folder: str, incremental: bool = True, skip_on_error: bool = False) -> DataFrame:
+        """Process a folder's files, all or those not yet done under these settings; returns the skills stored.
+
+        What each stage made is kept until the run ends, so a run that failed goes on where it stopped. With ``skip_on_error``
+        a failing stage that only changes rows is left out and the run goes on.
+        """
+        return self._process(self.pending(folder, incremental), STAGES[-1], skip_on_error)
+
+    def run_file(self, path: str) -> DataFrame:
+        """Process one file, done before or not."""
+        return self._process(files.books(self.spark, path), STAGES[-1], False)
+
+    def run_stage(self, folder: str, stage: str) -> DataFrame:
+        """All stages up to one, over all files of a folder; returns what that one makes. A later run goes on from there."""
+        if stage not in STAGES:
+            raise ValueError(f"unknown stage {stage!r}; one of {', '.join(STAGES)}")
+        return self._process(self.pending(folder, False), stage, False)
+
+    def pending(self, folder: str, incremental: bool = True, by_skills: bool = False) -> DataFrame:
+        """The files of a folder; if ``incremental`` without those done under these settings, and with ``by_skills`` without those of any stored skill."""
         new = files.books(self.spark, folder)
         if incremental:
             new = search.unprocessed(new, self.ledger.current(), "store", self.settings.fingerprint())
-        new = new.dropDuplicates(["file_hash"])
-        docs = self._timed("extract", lambda: written(self.extract(new), "texts"))
-        docs = self._timed("clean", lambda: written(cleaned(docs), "cleaned"))
-        parts = self._timed("chunk", lambda: written(self.chunks(docs), "chunks"))
-        found = self._timed("knowledge", lambda: written(self.units(parts), "units"))
-        made = self._timed("skill_gen", lambda: written(self.records(found), "records"))
-        made = self._timed("review", lambda: written(self.reviewed(made), "reviewed"))
-        made = self._timed("embed", lambda: self.embedded(made.withColumn("text", embed.skill_text())).drop("text"))
-        kept = self._timed("dedup", lambda: written(self._deduplicated(made), "kept"))
-        edges = self._timed("graph", lambda: written(self._graph(kept), "edges"))
-        return self._timed("store", lambda: self._stored(docs, parts, kept, edges, new))
-
-    def _timed(self, stage: str, work: Callable):
-        self.progress(stage)
-        begun = time.monotonic()
+        if by_skills:
+            new = new.join(self.skills.current().select(F.col("book_id").alias("file_hash")).distinct(), "file_hash", "left_anti")
+        return new
+
+    def _process(self, new: DataFrame, last: str, skip: bool) -> DataFrame:
+        first = written(new.groupBy("file_hash").agg(F.min("file_path").alias("file_path")), "files")  # contents aren't shuffled
+        new = new.join(F.broadcast(first) if first.count() <= MOST_FILES else first, ["file_hash", "file_path"], "left_semi")
+        mark = first.agg(F.sha2(F.concat_ws(",", F.lit(self.settings.fingerprint()), F.count(F.lit(1)).cast("string"), F.sum(F.xxhash64("file_hash").cast("decimal(38,0)")).cast("string")), 256)).first()[0]
+        made: dict[str, DataFrame] = {}
+
+        def embed_records() -> DataFrame:
+            return self.embedded(made["review"].withColumn("text", embed.skill_text())).drop("text")
+
+        work: dict[str, Callable[[], DataFrame]] = {
+            "extract": lambda: self.extract(new), "clean": lambda: cleaned(made["extract"]), "chunk": lambda: self.chunks(made["clean"]), "knowledge": lambda: self.units(made["chunk"]),
+            "skill_gen": lambda: self.records(made["knowledge"]), "review": lambda: self.reviewed(made["skill_gen"]), "embed": embed_records,
+            "dedup": lambda: self._deduplicated(made["embed"]), "graph": lambda: self._graph(made["dedup"]),
+        }
+        instead = {"clean": lambda: made["extract"], "dedup": lambda: made["embed"].withColumn("no", F.row_number().over(Window.partitionBy("book_id").orderBy("_rank")).cast("long"))}
+        for done, stage in enumerate(STAGES[:-1], 1):
+            self.progress(stage)
+            made[stage] = self._stage(mark, stage, work[stage], instead.get(stage) if skip else None)
+            self.log.info("%s %s", report.bar(done, len(STAGES)), stage)
+            if stage == last:
+                return made[stage]
+        self.progress("store")
+        with self.metrics.stage("store") as record:
+            out = self._stored(made["clean"], made["chunk"], made["dedup"], made["graph"], new)
+            record.items = out.count()
+        store.remove_folder(self.spark, f"{self.root}/runs/{mark}")
+        return out
+
+    def _stage(self, mark: str, stage: str, work: Callable[[], DataFrame], instead: Callable[[], DataFrame] | None) -> DataFrame:
+        """A stage's table, from an earlier attempt of the same run if it was finished there; the engine's own steps after a stage belong to it."""
+        path = f"{self.root}/runs/{mark}/{stage}"
         try:
-            out = work()
+            with self.metrics.stage(stage) as record:
+                record.restored = store.finished(self.spark, path)
+                if not record.restored:
+                    out = work()
+                    for step in self.after.get(stage, []):
+                        out = out.transform(step)
+                    out.write.mode("overwrite").parquet(path)
+                out = self.spark.read.parquet(path)
+                tokens = F.sum(token_estimate(F.col("text"))) if "text" in out.columns else F.lit(0)
+                record.items, record.tokens = out.agg(F.count(F.lit(1)), F.coalesce(tokens, F.lit(0))).first()
+                return out
         except Exception as problem:
-            self.metrics.append((stage, time.monotonic() - begun, False, f"{type(problem).__name__}: {problem}"))
-            raise
-        self.metrics.append((stage, time.monotonic() - begun, True, None))
-        return out
+            self.log.error("%s: %s", stage, problem)
+            if instead is None:
+                raise
+            return instead()
 
     def _deduplicated(self, made: DataFrame) -> DataFrame:
         numbered = made.withColumn("no", F.row_number().over(Window.partitionBy("book_id").orderBy("_rank")).cast("long"))
@@ -148,9 +222,10 @@ class Engine:
 
     def _stored(self, docs: DataFrame, parts: DataFrame, kept: DataFrame, edges: DataFrame, new: DataFrame) -> DataFrame:
         out = kept.join(docs.select("book_id", "source_book"), "book_id")
-        done = docs.select("book_id").distinct()
+        done = written(docs.select("book_id").distinct(), "done")
         for table, column in ((self.skills, "book_id"), (self.nodes, "graph_id"), (self.edges, "graph_id")):  # earlier results of the same files
             table.remove(table.current().join(done.withColumnRenamed("book_id", column), column, "left_semi"))
+        out = written(search.unsaved(out.withColumn("_o", F.struct("book_id", "no")), self.skills.current(), "name", "_o").drop("_o"), "new")  # a name is stored once
         self.skills.save(out)
         self.nodes.save(kept.select(F.col("book_id").alias("graph_id"), "id", "name", "category", "tags", F.substring("description", 1, 200).alias("description")))
         self.edges.save(edges)
@@ -184,7 +259,10 @@ class Engine:
         return self.spark.createDataFrame([(k, str(v)) for k, v in asdict(self.settings).items()], "setting string, value string")
 
     def report(self) -> DataFrame:
-        return self.spark.createDataFrame(self.metrics, "stage string, seconds double, success boolean, error string")
+        return self.metrics.table(self.spark)
+
+    def histogram(self, column: str) -> DataFrame:
+        return skills.histogram(self.skills.current(), column)
 
     def export_markdown(self, folder: str) -> int:
         return store.export_markdown(self.skills.current(), folder)

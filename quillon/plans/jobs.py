@@ -22,6 +22,7 @@ class Job:
     status: str = "pending"
     result: Any = None
     error: str | None = None
+    seconds: float | None = None
 
 
 class Jobs:
@@ -37,8 +38,9 @@ class Jobs:
         self._pool = ThreadPoolExecutor(at_once)
         self._running: set = set()
 
-    def submit(self, work: Callable[[], Any], priority: int = 5) -> str:
-        job = Job(work)
+    def submit(self, work: Callable[[], Any], priority: int = 5, seconds: float | None = None) -> str:
+        """Queue a job; one that runs longer than ``seconds`` is stopped and counts as failed."""
+        job = Job(work, seconds=seconds)
         with self._lock:
             self._jobs[job.id] = job
             heapq.heappush(self._heap, (priority, next(self._order), job.id))
@@ -57,16 +59,29 @@ class Jobs:
         context = self.spark.sparkContext
         context.setLocalProperty("spark.scheduler.pool", job.id)
         self.spark.addTag(job.id)
+        timer = threading.Timer(job.seconds, self._expire, (job,)) if job.seconds is not None else None
+        if timer:
+            timer.daemon = True
+            timer.start()
         try:
             job.result = job.work()
             done = "completed"
         except Exception as problem:  # noqa: BLE001  a job's failure is its result
-            job.error, done = f"{type(problem).__name__}: {problem}", "failed"
+            job.error, done = job.error or f"{type(problem).__name__}: {problem}", "failed"
         finally:
+            if timer:
+                timer.cancel()
             self.spark.removeTag(job.id)
             context.setLocalProperty("spark.scheduler.pool", None)
         with self._lock:
-            job.status = "cancelled" if job.status == "cancelled" else done
+            job.status = job.status if job.status in ("cancelled", "failed") else done
+
+    def _expire(self, job: Job) -> None:
+        with self._lock:
+            if job.status != "running":
+                return
+            job.status, job.error = "failed", f"stopped after {job.seconds} s"
+        self.spark.interruptTag(job.id)
 
     def job(self, key: str) -> Job:
         return self._jobs[key]

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quillon.functions import clean
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import chunk, embed, knowledge, search, similar, skills, topics
-from quillon.plans import chunk_sql, inputs
+from quillon.operators import chunk, embed, knowledge, models, search, similar, skills, topics
+from quillon.plans import chunk_sql, inputs, report
 from quillon.plans.inputs import SKILLS_SQL, UNITS_SQL, documents, name_sql, records, title_sql, units
 from quillon.sources import files
 
@@ -334,7 +334,7 @@ def skill_page(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFra
 
 
 @query(f"""WITH {SKILLS_SQL} SELECT count(*) AS total, count(DISTINCT source) AS sources, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'reviewed') AS reviewed,
-  count(*) FILTER (status = 'rejected') AS rejected, round(avg(quality_score), 2) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM reviewed""", whole=True)
+  count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'published') AS published, round(avg(quality_score), 2) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM reviewed""", whole=True)
 def skills_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return skills.stats(records(spark, sf_dir, whole), "source")
 
@@ -480,6 +480,45 @@ def name_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select("p_partkey", F.round(similar.name_ratio(F.col("p_name"), F.col("p_type")), 4).alias("ratio"))
 
 
+@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", *[files.digest(F.col("text"), a).alias(a) for a in ("md5", "sha1", "sha256")])
+
+
+@query(f"""WITH {_FIXED} SELECT doc_id, sha256(string_agg(sha256(array_to_string(p, ' ')), '' ORDER BY "index")) AS digest FROM c GROUP BY doc_id""")
+def chunk_list_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.chunk_list_digest(chunk.fixed(documents(spark, sf_dir), "doc_id", 200, 50), "doc_id", "index")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(greatest(0, 1 - l_discount * 20), 4)::DOUBLE AS cosine, -l_discount AS l2 FROM lineitem")
+def distance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distance = F.col("l_discount")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", search.distance_score(distance * 20).alias("cosine"), search.distance_score(distance, "l2").alias("l2"))
+
+
+@query(f"WITH {SKILLS_SQL} SELECT category AS value, count(*) AS n FROM reviewed GROUP BY category ORDER BY n DESC, value", whole=True)
+def category_histogram(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return skills.histogram(records(spark, sf_dir, whole), "category")
+
+
+@query(f"""WITH {UNITS_SQL} SELECT doc_id, line_no, unit_type FROM units WHERE unit_type IN ('rule', 'workflow')""", whole=True)
+def knowledge_allowed_types(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    found = knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], allowed=("rule", "workflow"))
+    return inputs.numbered(found).select("doc_id", "line_no", "unit_type")
+
+
+@query(f"""WITH {UNITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY confidence DESC, ord) AS n FROM units)
+SELECT grp, md5(string_agg(n || '. [' || unit_type || '] ' || title || chr(10) || '   ' || left(trim(regexp_replace(content, '[ \t\n\r\x0b\x0c]+', ' ', 'g')), 300), chr(10) ORDER BY n)) AS shown FROM r WHERE n <= 12 GROUP BY grp""", whole=True)
+def prompt_units(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return models.shown_units(units(spark, sf_dir, whole), "grp", "ord").select("grp", F.md5("shown").alias("shown"))
+
+
+@query("SELECT event_type, sum(event_id % 7)::BIGINT AS items, sum(user_id % 5)::BIGINT AS tokens, round(sum(value), 4) AS seconds, count(*) FILTER (value < 0) AS errors, bool_and(value >= 0) AS success FROM events GROUP BY event_type")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_type", F.col("value").alias("seconds"), (F.col("value") >= 0).alias("success"), (F.col("event_id") % 7).alias("items"), (F.col("user_id") % 5).alias("tokens"))
+    return report.summary(rows, "event_type")
+
+
 @query("SELECT p_name AS name, min(p_partkey) AS p_partkey FROM part WHERE p_partkey % 3 <> 0 AND p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 3 = 0) GROUP BY p_name")
 def save_name_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), "p_partkey")

@@ -16,6 +16,7 @@ from urllib.parse import parse_qs, unquote, urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import skills
 from quillon.plans.engine import Engine
 from quillon.plans.jobs import Jobs
 from quillon.sources import files
@@ -81,7 +82,7 @@ class Api:
 
     def get_stats(self, q: dict) -> dict:
         current = self.engine.skills.current()
-        by = {c: {r[0] or "uncategorized": r[1] for r in current.groupBy(c).count().collect()} for c in ("category", "status")}
+        by = {c: {r["value"]: r["n"] for r in skills.histogram(current, c).collect()} for c in ("category", "status")}
         return rows(self.engine.stats())[0] | {f"by_{k}": v for k, v in by.items()}
 
     def get_books(self, q: dict) -> list[dict]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import word_count
 from quillon.operators.lineage import written
+from quillon.sources.pdf import pdf_pages
 
 FORMATS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "txt": "text", "md": "text"}
 PAGE_CHARACTERS = 2_000
@@ -67,7 +68,10 @@ def text_pages(content: bytes) -> list[str]:
     return pages(re.split(r"\n\s*\n", content.decode("utf-8", "replace")))
 
 
-READERS: dict[str, Callable[[bytes], list[str]]] = {"docx": docx_pages, "text": text_pages}
+READERS: dict[str, Callable[[bytes], list[str]]] = {"pdf": pdf_pages, "docx": docx_pages, "text": text_pages}
+MODES = ("direct", "ocr", "hybrid")
+#: Quality of directly read text below which a scan is tried, and below which a text without one is repaired.
+POOR, BROKEN = 0.3, 0.1
 
 
 def register(kind: str, reader: Callable[[bytes], list[str]], *extensions: str) -> None:
@@ -93,14 +97,8 @@ def extracted(files: DataFrame) -> DataFrame:
     return files.select("file_hash", "format", "content").mapInPandas(run, "file_hash string, page_no int, text string, error string")
 
 
-def hybrid(files: DataFrame, scanned: Callable[[bytes], list[str]], least: float = 0.3) -> DataFrame:
-    """``(file_hash, page_no, text, error, method)``: pages read directly, or recognised by ``scanned`` where the text is poor or unreadable.
-
-    A file is read twice only if its first reading is of quality below ``least``.
-    """
-    direct = written(extracted(files), "direct")
-    sizes = direct.groupBy("file_hash").agg(F.sum(F.when(F.col("error").isNull(), word_count(F.col("text"))).otherwise(0)).alias("w"), F.count_if(F.col("error").isNull()).alias("n"))
-    poor = sizes.where(page_quality(F.col("w").cast("double"), F.col("n").cast("double")) < least).select("file_hash")
+def recognised(files: DataFrame, scanned: Callable[[bytes], list[str]]) -> DataFrame:
+    """``(file_hash, page_no, text, error)`` by a reader of scans; blank pages are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -112,7 +110,56 @@ def hybrid(files: DataFrame, scanned: Callable[[bytes], list[str]], least: float
                     rows.append((digest, 0, None, f"{type(problem).__name__}: {problem}"))
             yield pd.DataFrame(rows, columns=["file_hash", "page_no", "text", "error"])
 
-    again = files.join(poor, "file_hash", "left_semi").select("file_hash", "content").mapInPandas(run, "file_hash string, page_no int, text string, error string")
+    return files.select("file_hash", "content").mapInPandas(run, "file_hash string, page_no int, text string, error string")
+
+
+def read(files: DataFrame, mode: str = "direct", scanned: Callable[[bytes], list[str]] | None = None, fallback: bool = True) -> DataFrame:
+    """``(file_hash, page_no, text, error, method)`` by mode; only PDF files are ever scanned.
+
+    ``ocr`` scans them all; ``hybrid``, and ``direct`` with ``fallback``, scan those whose direct text is poor. Without a reader of
+    scans, the lines of broken text are repaired instead.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "ocr" and scanned is None:
+        raise ValueError("mode ocr needs a reader of scans")
+    drawn, others = files.where("format = 'pdf'"), files.where("format <> 'pdf'")
+    plain = extracted(others).withColumn("method", F.lit("direct"))
+    if mode == "ocr":
+        return plain.unionByName(recognised(drawn, scanned).withColumn("method", F.lit("ocr")))
+    if scanned is not None and fallback:
+        return plain.unionByName(hybrid(drawn, scanned))
+    pages_ = written(extracted(drawn).withColumn("method", F.lit("direct")), "direct")
+    sizes = pages_.where("error IS NULL").groupBy("file_hash").agg(F.sum(word_count(F.col("text"))).alias("w"), F.count(F.lit(1)).alias("n"))
+    broken = sizes.select("file_hash", (page_quality(F.col("w").cast("double"), F.col("n").cast("double")) < BROKEN).alias("_broken"))
+    joined = pages_.join(broken, "file_hash", "left")
+    return plain.unionByName(joined.withColumn("text", F.when(F.col("_broken"), repaired(F.col("text"))).otherwise(F.col("text"))).drop("_broken"))
+
+
+def digest(content: Column, algorithm: str = "sha256") -> Column:
+    """Hexadecimal digest of bytes or text by a named algorithm."""
+    made = {"md5": F.md5, "sha1": F.sha1, "crc32": lambda c: F.lpad(F.lower(F.hex(F.crc32(c))), 8, "0")} | {f"sha{n}": (lambda c, n=n: F.sha2(c, n)) for n in (224, 256, 384, 512)}
+    if algorithm not in made:
+        raise ValueError(f"unknown algorithm {algorithm!r}")
+    return made[algorithm](content)
+
+
+def chunk_list_digest(chunks: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    """``(key, digest)`` of each document's chunks in order, by the digests of their texts: no task holds a document's text again."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.sha2(text, 256).alias("h"))))
+    return chunks.groupBy(key).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), ""), 256).alias("digest"))
+
+
+def hybrid(files: DataFrame, scanned: Callable[[bytes], list[str]], least: float = POOR) -> DataFrame:
+    """``(file_hash, page_no, text, error, method)``: pages read directly, or recognised by ``scanned`` where the text is poor or unreadable.
+
+    A file is read twice only if its first reading is of quality below ``least``.
+    """
+    direct = written(extracted(files), "direct")
+    sizes = direct.groupBy("file_hash").agg(F.sum(F.when(F.col("error").isNull(), word_count(F.col("text"))).otherwise(0)).alias("w"), F.count_if(F.col("error").isNull()).alias("n"))
+    poor = sizes.where(page_quality(F.col("w").cast("double"), F.col("n").cast("double")) < least).select("file_hash")
+
+    again = recognised(files.join(poor, "file_hash", "left_semi"), scanned)
     kept = direct.join(poor, "file_hash", "left_anti").withColumn("method", F.lit("direct"))
     return kept.unionByName(again.withColumn("method", F.lit("hybrid")))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +29,26 @@ NODE = f"graph_id string, id string, name string, category string, tags {_TEXTS}
 EDGE = "graph_id string, source string, target string, type string, weight double"
 VECTOR = "id string, source_type string, text string, vector array<double>"
 VALUE = "key string, value string, expires_at timestamp"
+ERROR = "file_hash string, file_name string, stage string, error string"
 LEDGER = "file_hash string, stage string, settings string"
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at, fs = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 class KeyedTable:
     """Rows by key in a folder of batches. Columns that a write lacks are null; columns outside the schema are left out."""
 
@@ -83,8 +100,11 @@ class KeyedTable:
         rows = raw.parquet(*[f"{self.path}/batch={b}" for b in batches])
         if len(batches) == 1:
             return rows.where("NOT _deleted").select(*self.schema.names)
-        last = F.row_number().over(Window.partitionBy(*self.keys).orderBy(F.desc("batch")))
-        return rows.withColumn("_n", last).where("_n = 1 AND NOT _deleted").select(*self.schema.names)
+        # the last batch of each key is found on keys alone; other columns aren't sorted or aggregated
+        last = rows.groupBy(*self.keys).agg(F.max("batch").alias("_last"))
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"l.{k}")) for k in self.keys]
+        kept = rows.alias("n").join(last.alias("l"), [*same, F.col("n.batch") == F.col("l._last")], "left_semi")
+        return kept.where("NOT _deleted").select(*self.schema.names)
 
     def get(self, key: str) -> Row | None:
         return self.current().where(F.col(self.keys[0]) == key).first()
@@ -130,11 +150,27 @@ class Values(KeyedTable):
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark, path, VALUE, ("key",))
+        self.hits = self.misses = 0
 
     def put(self, rows: DataFrame, hours: float = 168) -> None:
         until = F.timestamp_micros(F.unix_micros(F.current_timestamp()) + F.lit(int(hours * 3_600_000_000)).cast("long"))
         self.save(rows.withColumn("expires_at", until))
 
+    def invalidate(self, key: str) -> bool:
+        """Forget a key; whether it was there."""
+        return self.delete(F.col("key") == key) > 0
+
+    def get_or_compute(self, key: str, work: Callable[[], str], hours: float = 168) -> str:
+        """The valid value of a key, else that of ``work``, which is kept."""
+        known = self.valid().where(F.col("key") == key).first()
+        if known:
+            self.hits += 1
+            return known["value"]
+        self.misses += 1
+        value = work()
+        self.put(self.spark.createDataFrame([(key, value)], "key string, value string"), hours)
+        return value
+
     def valid(self) -> DataFrame:
         return self.current().where("expires_at > current_timestamp() AND value IS NOT NULL").select("key", "value")
 
