@@ -36,7 +36,7 @@ _SPACE = r"[^\x20\x09-\x0D]"
 def _quality(alpha: float = 0.05, delta: float = 0.05) -> str:
     """All of the quality rules: counts, metrics, the ladder's tests with exact binomial tails, and verdicts."""
     rate = lambda part, whole: f"CASE WHEN {whole} > 0 THEN ({part})::DOUBLE / {whole} ELSE 0 END"
-    passed = ", ".join("(" + " + ".join(f"CASE WHEN {m} > {c}::DOUBLE THEN 1 ELSE 0 END" for c in ladder) + ")" for m, ladder in quality.LADDERS.items())
+    rejected = " OR ".join(f"{m} > CASE step {' '.join(f'WHEN {k} THEN {c}::DOUBLE' for k, c in enumerate(ladder, 1))} END" for m, ladder in quality.LADDERS.items())
     ladders = ", ".join(f"[{', '.join(map(str, ladder))}]::DOUBLE[] AS c_{m}" for m, ladder in quality.LADDERS.items())
     above = " OR ".join(f"{m} > c_{m}[step]" for m in quality.LADDERS)
     log = "lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)"
@@ -53,9 +53,8 @@ c AS (SELECT w.rid, doc_id, stratum, len(w) AS n_words, length(array_to_string(w
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {rate("n_symbols", "n_words")} AS symbol_rate, {rate("upper", "word_chars")} AS upper_rate, {rate("bang", "n_words")} AS bang_rate,
   {rate("n_repeat_words", "n_words")} AS repeat_rate, {rate("n_dup_lines", "n_lines")} AS dup_line_rate, CASE WHEN n_words > 0 THEN 1 - kinds / sqrt((n_words * greatest(n_words, 100))::DOUBLE) ELSE 0 END AS sameness FROM c),
 y AS (SELECT doc_id::BIGINT AS doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
-j AS (SELECT stratum, good >= 1 AS good, greatest({passed}) AS passed FROM m JOIN y USING (doc_id) WHERE NOT base_failed),
-t AS (SELECT stratum, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND passed >= step) AS lost, count(*) FILTER (NOT good AND passed >= step) AS caught
-  FROM j, (SELECT unnest(range(1, {quality.STEPS + 1})) AS step) GROUP BY stratum, step),
+j AS (SELECT stratum, good >= 1 AS good, step, {rejected} AS rejected FROM m JOIN y USING (doc_id), (SELECT unnest(range(1, {quality.STEPS + 1})) AS step) WHERE NOT base_failed),
+t AS (SELECT stratum, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND rejected) AS lost, count(*) FILTER (NOT good AND rejected) AS caught FROM j GROUP BY stratum, step),
 b AS (SELECT stratum, step, n, lost, caught, unnest(range(0, lost + 1)) AS i FROM t),
 e AS (SELECT stratum, step, caught - 5 * lost AS gain, lost <= {alpha} * n AND sum({term}) <= {delta / (len(quality.STRATA) + 1)} AS ok FROM b GROUP BY stratum, step, n, lost, caught),
 o AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS valid FROM e),

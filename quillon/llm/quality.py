@@ -37,9 +37,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STEPS = min(len(ladder) for ladder in LADDERS.values())
 
 
-def passed() -> Column:
-    """How many steps of the ladder reject a row with metric columns; cutoffs fall from step to step, so these are the last ones."""
-    return F.greatest(*[sum((F.when(F.col(m) > c, 1).otherwise(0) for c in ladder), F.lit(0)) for m, ladder in LADDERS.items()])
+def first_step() -> Column:
+    """The first step of the ladder that rejects a row with metric columns, ``STEPS + 1`` if none does; all later ones reject it too."""
+    return F.least(*[F.lit(STEPS + 1) - sum((F.when(F.col(m) > c, 1).otherwise(0) for c in ladder[:STEPS]), F.lit(0)) for m, ladder in LADDERS.items()])
 
 
 @dataclass
@@ -131,15 +131,15 @@ def calibrate(features: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     that catches most bad documents less five times the good ones lost is chosen, the most lenient of equals.
     """
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("good"))
-    judged = features.where(~F.col("base_failed")).select("doc_id", "stratum", passed().alias("passed")).join(marks, "doc_id")
+    judged = features.where(~F.col("base_failed")).select("doc_id", "stratum", first_step().alias("first")).join(marks, "doc_id")
     tally: dict[str, dict[int, list[int]]] = {}
-    for row in judged.groupBy("stratum", (F.col("good") >= 1).cast("int").alias("good"), "passed").count().toLocalIterator():
-        tally.setdefault(row["stratum"], {1: [0] * (STEPS + 1), 0: [0] * (STEPS + 1)})[row["good"]][row["passed"]] += row["count"]
+    for row in judged.groupBy("stratum", (F.col("good") >= 1).cast("int").alias("good"), "first").count().toLocalIterator():
+        tally.setdefault(row["stratum"], {1: [0] * (STEPS + 1), 0: [0] * (STEPS + 1)})[row["good"]][row["first"] - 1] += row["count"]
     chosen, level = Thresholds(), delta / (len(STRATA) + 1)
     for name, by in tally.items():
         n, best = sum(by[1]), 0
         for step in range(1, STEPS + 1):
-            lost, caught = sum(by[1][step:]), sum(by[0][step:])
+            lost, caught = sum(by[1][:step]), sum(by[0][:step])
             if lost > alpha * n or lower_tail(lost, n, alpha) > level:
                 break
             if caught - 5 * lost > best:

@@ -159,6 +159,47 @@ def test_quality_thresholds(spark):
     assert math.isclose(quality.lower_tail(2, 10, 0.3), sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(3)))
 
 
+def ladder_brute(rows, alpha, delta):
+    """The chosen step of each stratum, by asking of every row and step whether any metric lies above that step's cutoff."""
+    chosen = {}
+    for name in {r["stratum"] for r in rows}:
+        own, best = [r for r in rows if r["stratum"] == name and not r["base_failed"]], 0
+        n = sum(r["good"] for r in own)
+        for step in range(1, quality.STEPS + 1):
+            gone = [r for r in own if any(r[m] > cuts[step - 1] for m, cuts in quality.LADDERS.items())]
+            lost = sum(r["good"] for r in gone)
+            tail = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(lost + 1))
+            if lost > alpha * n or tail > delta / 5:
+                break
+            gain = len(gone) - lost - 5 * lost
+            if gain > best:
+                best, chosen[name] = gain, step
+    return chosen
+
+
+def test_quality_ladder(spark):
+    draw = np.random.default_rng(3)
+    met = set()
+    for table in range(6):
+        rows = []
+        for i in range(900):
+            good = bool(draw.random() < 0.8)
+            step = int(draw.integers(1, 11)) if not good or draw.random() < 0.02 else int(draw.integers(min(table + 3, 8), 14))  # the first that rejects it, if any
+            metrics = {m: float(cuts[min(step, 10) - 1] * draw.random()) for m, cuts in quality.LADDERS.items()}
+            if step <= 10:
+                m = str(draw.choice(list(quality.LADDERS)))
+                metrics[m] = quality.LADDERS[m][step - 1] + 1e-6
+            rows.append({"doc_id": i, "stratum": str(draw.choice(["en", "de", "other"], p=[0.5, 0.4, 0.1])), "base_failed": bool(draw.random() < 0.05), "good": int(good), **metrics})
+        narrow = ", ".join(["doc_id long", "stratum string", "base_failed boolean", *[f"{m} double" for m in quality.LADDERS]])
+        features = spark.createDataFrame([(r["doc_id"], r["stratum"], r["base_failed"], *[r[m] for m in quality.LADDERS]) for r in rows], narrow)
+        marks = spark.createDataFrame([(r["doc_id"], r["good"]) for r in rows], "doc_id long, quality int")
+        alpha = float(draw.choice([0.05, 0.1, 0.2]))
+        want = ladder_brute(rows, alpha, 0.05)
+        assert quality.calibrate(features, marks, alpha).steps == want
+        met |= set(want.values())
+    assert len(met) >= 3
+
+
 def test_differencing():
     sums = np.array([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]])
     to = sharding.difference(sums)
