@@ -24,6 +24,11 @@ WHOLE_RUN = r"[A-Za-z0-9+/_\-]+"
 #: A text without a match has no candidate.
 CUE = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{{LEAST},}}"
 MASK = "[SECRET]"
+#: Marks where an assigned value begins while words are told apart; it is no character, and is read as ? where a text holds it.
+STOP = "\uffff"
+#: Characters of a word, before and after a candidate and with the three runs or values before it at most, that its features see; so a word
+#: of many candidates costs no more than as many words.
+REACH = 200
 #: Labelled findings that train the forest at most.
 FINDINGS = 8_000
 TREES, DEPTH = 15, 6
@@ -34,6 +39,8 @@ DICTIONARY = ("example", "sample", "changeme", "change", "password", "secret", "
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xox", "sk-", "sk_live_", "AIza", "SG", "npm_", "eyJ")
 #: Starts of keys, after which runs of any length and without digits are candidates too.
 MARKED = rf"(?<![A-Za-z0-9+/_\-])(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\-]+"
+#: The whole runs that are long or start as known keys do.
+FREE = rf"(?<![A-Za-z0-9+/_\-])(?:(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\-]+|{RUN})"
 #: A secret name, = or :, and the value, of any characters but spaces, quotes and separators.
 LEAD = rf"(?i)(?:{'|'.join(SECRET_NAMES)})[\"']?\s*+[=:]++>?\s*+[\"']?"
 ASSIGNED = rf"({LEAD})((?<=\")[^\s\"]+|(?<=')[^\s']+|[^\s\"',;&<>]+)"
@@ -136,53 +143,85 @@ def train(findings: DataFrame):
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, featureSubsetStrategy="sqrt").fit(vectors)
 
 
+def bound(x: Column, f) -> Column:
+    """``f(x)``, with ``x`` computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def held(x: Column, among: Column) -> Column:
+    """Whether a sorted array has a value, by halving; ``among`` is a bound one."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        below = F.get(among, middle) < x
+        ends = at["low"] >= at["high"]
+        return F.struct(F.when(ends | ~below, at["low"]).otherwise(middle + 1).alias("low"), F.when(ends | below, at["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(among) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(among).alias("high")), halve, lambda at: at["low"])
+    return F.when(F.size(among) <= 8, F.array_contains(among, x)).otherwise(F.coalesce(F.get(among, found) == x, F.lit(False)))
+
+
+def _cut(pieces: Column) -> Column:
+    return F.transform(pieces, lambda x: F.right(x, F.lit(REACH)))
+
+
 def candidates(text: Column) -> Column:
-    """The candidates of a text, in order: word number, the run itself, and the words around it."""
+    """The candidates of a text, in order: word number, the run itself, and the words around it. Linear in the text."""
+
+    def of_word(ws: Column, e: Column) -> Column:
+        before = F.concat_ws(" ", *[F.right(F.get(ws, e["i"] - d), F.lit(REACH)) for d in (2, 1)])
+        runs, gaps = F.regexp_extract_all(e["w"], F.lit(FREE), F.lit(0)), F.split(e["w"], FREE)
+        parts = F.arrays_zip(gaps.alias("gap"), runs.alias("run"))
+        word = F.struct(runs.alias("runs"), _cut(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["run"], F.lit(""))))).alias("pieces"), F.transform(gaps, lambda g: F.left(g, F.lit(REACH))).alias("gaps"), before.alias("before"), F.coalesce(F.left(F.get(ws, e["i"] + 1), F.lit(REACH)), F.lit("")).alias("after"))
+
+        def one(q: Column, r: Column, j: Column) -> Column:
+            upto = F.right(F.concat_ws("", F.slice(q["pieces"], F.greatest(j - 2, F.lit(1)), F.least(j, F.lit(3))), F.right(F.get(q["gaps"], j), F.lit(REACH))), F.lit(REACH))
+            return bound(upto, lambda u: F.struct(
+                e["i"].cast("long").alias("at"), r.alias("value"), F.concat_ws(" ", F.when(q["before"] != "", q["before"]), u).alias("before"),
+                F.concat(u, r, F.coalesce(F.get(q["gaps"], j + 1), F.lit(""))).alias("word"), q["after"].alias("after"),
+            ))
+
+        known = lambda v: (v.rlike("[0-9]") & (F.length(v) >= LEAST)) | v.rlike(f"^{MARKED}")
+        return bound(word, lambda q: F.filter(F.transform(q["runs"], lambda r, j: one(q, r, j)), lambda c: known(c["value"])))
+
     words = F.array_remove(F.split(text, SPACE + "+"), "")
-    found = F.transform(
-        F.array(words),
-        lambda ws: F.flatten(
-            F.transform(
-                F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: ((F.length(e["w"]) >= LEAST) & e["w"].rlike(CUE)) | e["w"].rlike(MARKED)),
-                lambda e: F.transform(
-                    F.array_union(
-                        F.filter(F.regexp_extract_all(e["w"], F.lit(RUN), F.lit(0)), lambda r: r.rlike("[0-9]")), F.regexp_extract_all(e["w"], F.lit(MARKED), F.lit(0))
-                    ),
-                    lambda r: F.struct(
-                        e["i"].cast("long").alias("at"),
-                        r.alias("value"),
-                        F.concat_ws(" ", F.get(ws, e["i"] - 2), F.get(ws, e["i"] - 1), F.call_function("substring_index", e["w"], r, F.lit(1))).alias("before"),
-                        e["w"].alias("word"),
-                        F.coalesce(F.get(ws, e["i"] + 1), F.lit("")).alias("after"),
-                    ),
-                ),
-            )
-        ),
-    )
-    return F.get(found, F.lit(0))
+    hit = lambda w: ((F.length(w) >= LEAST) & w.rlike(CUE)) | w.rlike(MARKED)
+    return bound(words, lambda ws: F.flatten(F.transform(F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: hit(e["w"])), lambda e: of_word(ws, e))))
 
 
 def assigned(text: Column) -> Column:
-    """Values of secret names, in order, as ``candidates`` gives them, with their number among the matches of ``ASSIGNED``; those that are long runs with a digit are left to it."""
-    parts = F.array(F.struct(F.split(text, ASSIGNED).alias("gaps"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)).alias("leads"), F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(2)).alias("values")))
+    """Values of secret names, in order, as ``candidates`` gives them, with their number among the matches of ``ASSIGNED``; those that are long runs with a digit are left to it.
+
+    Values hold no spaces, so each stands in one word: words are told apart once, with a mark before each value. Linear in the text.
+    """
+    clear = F.replace(text, F.lit(STOP), F.lit("?"))
+    words = F.array_remove(F.split(F.regexp_replace(clear, ASSIGNED, f"$1{STOP}$2"), SPACE + "+"), "")
+    parts = F.struct(words.alias("words"), F.split(clear, ASSIGNED).alias("gaps"), F.regexp_extract_all(clear, F.lit(ASSIGNED), F.lit(2)).alias("values"))
+
+    def of_word(ws: Column, e: Column) -> Column:
+        """Of each value in a word, what stands before it."""
+        earlier = [F.replace(F.right(F.get(ws, e["i"] - d), F.lit(REACH)), F.lit(STOP), F.lit("")) for d in (3, 2, 1)]
+        word = F.struct(_cut(F.split(e["w"], STOP)).alias("pieces"), F.concat_ws(" ", *earlier[1:]).alias("two"), F.concat_ws(" ", *earlier).alias("three"))
+
+        def one(q: Column, j: Column) -> Column:
+            last = F.right(F.concat_ws("", F.slice(q["pieces"], F.greatest(j - 2, F.lit(1)), F.least(j + 1, F.lit(4)))), F.lit(REACH))
+            return bound(last, lambda x: F.struct(e["i"].cast("long").alias("at"), x.alias("last"), F.when(x == "", q["three"]).otherwise(F.concat_ws(" ", F.when(q["two"] != "", q["two"]), x)).alias("before")))
+
+        return bound(word, lambda q: F.transform(F.slice(q["pieces"], F.lit(1), F.size(q["pieces"]) - 1), lambda _, j: one(q, j)))
 
     def listed(p: Column) -> Column:
-        def one(v: Column, k: Column) -> Column:
-            upto = F.concat_ws("", F.flatten(F.transform(F.slice(p["leads"], F.lit(1), k + 1), lambda lead, j: F.array(F.get(p["gaps"], j), lead, F.when(j < k, F.get(p["values"], j)).otherwise(F.lit(""))))))
-            words = F.array_remove(F.split(upto, SPACE + "+"), "")
-            last = F.when(upto.rlike(SPACE + "$"), F.lit("")).otherwise(F.element_at(words, -1))
-            return F.struct(
-                (F.size(words) - F.when(last == "", 0).otherwise(1)).cast("long").alias("at"),
-                v.alias("value"),
-                F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3))).alias("before"),
-                F.concat(last, v).alias("word"),
-                F.coalesce(F.get(F.array_remove(F.split(F.get(p["gaps"], k + 1), SPACE + "+"), ""), F.lit(0)), F.lit("")).alias("after"),
-                k.alias("k"),
-            )
+        marked = F.filter(F.transform(p["words"], lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: e["w"].contains(STOP))
+        places = F.flatten(F.transform(marked, lambda e: of_word(p["words"], e)))
+
+        def one(s: Column, k: Column) -> Column:
+            v = F.get(p["values"], k)
+            after = F.left(F.regexp_extract(F.get(p["gaps"], k + 1), r"[^\x20\x09-\x0D]+", 0), F.lit(REACH))
+            return F.struct(s["at"].alias("at"), v.alias("value"), s["before"].alias("before"), F.concat(s["last"], v).alias("word"), after.alias("after"), k.alias("k"))
 
-        return F.filter(F.transform(p["values"], one), lambda e: ~(e["value"].rlike(f"^{RUN}$") & e["value"].rlike("[0-9]")) & ~e["value"].rlike(f"^{MARKED}$"))
+        return F.filter(F.transform(places, one), lambda e: ~(e["value"].rlike(f"^{RUN}$") & e["value"].rlike("[0-9]")) & ~e["value"].rlike(f"^{MARKED}$"))
 
-    return F.get(F.transform(parts, listed), F.lit(0))
+    return bound(parts, listed)
 
 
 def judged(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
@@ -219,15 +258,15 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0
     """
     whole = F.col("text").cast("string")
     secrets = F.filter("_found", lambda e: e["votes"] >= cutoff)
-    named = F.transform(F.filter(secrets, lambda e: e["k"].isNotNull()), lambda e: e["k"])
-    gaps, leads, values = F.split(whole, ASSIGNED), F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(2))
-    inner = F.transform(F.arrays_zip(leads.alias("lead"), values.alias("value")), lambda m, k: F.concat(F.get(gaps, k), m["lead"], F.when(F.array_contains(named, k), F.lit(MASK)).otherwise(m["value"])))
-    placed = F.when(F.size(named) > 0, F.concat(F.concat_ws("", inner), F.element_at(gaps, -1))).otherwise(whole)  # short values are masked where they stand only
-    runs = F.transform(F.filter(secrets, lambda e: e["k"].isNull()), lambda e: e["value"])
-    parts = F.arrays_zip(F.split(placed, WHOLE_RUN, -1).alias("gap"), F.regexp_extract_all(placed, F.lit(WHOLE_RUN), F.lit(0)).alias("run"))
-    shown = F.transform(parts, lambda p: F.concat(p["gap"], F.when(F.array_contains(runs, p["run"]), F.lit(MASK)).otherwise(F.coalesce(p["run"], F.lit("")))))
-    text = F.when(F.size(runs) > 0, F.array_join(shown, "")).otherwise(placed)
-    held = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), findings)
-    changed = held.select("_row", text.alias("_text"))
+    named = F.transform(F.filter(secrets, lambda e: e["k"].isNotNull()), lambda e: e["k"])  # in order, as the matches are
+    found = F.arrays_zip(F.split(whole, ASSIGNED).alias("gap"), F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(1)).alias("lead"), F.regexp_extract_all(whole, F.lit(ASSIGNED), F.lit(2)).alias("value"))
+    inner = bound(named, lambda ks: F.transform(found, lambda m, k: F.concat(m["gap"], F.coalesce(m["lead"], F.lit("")), F.when(held(k, ks), F.lit(MASK)).otherwise(F.coalesce(m["value"], F.lit(""))))))
+    placed = F.when(F.size(named) > 0, F.array_join(inner, "")).otherwise(whole)  # short values are masked where they stand only
+    runs = F.array_sort(F.array_distinct(F.transform(F.filter(secrets, lambda e: e["k"].isNull()), lambda e: e["value"])))
+    parts = F.arrays_zip(F.split("_placed", WHOLE_RUN, -1).alias("gap"), F.regexp_extract_all("_placed", F.lit(WHOLE_RUN), F.lit(0)).alias("run"))
+    shown = bound(runs, lambda known: F.transform(parts, lambda p: F.concat(p["gap"], F.when(held(p["run"], known), F.lit(MASK)).otherwise(F.coalesce(p["run"], F.lit(""))))))
+    text = F.when(F.size(runs) > 0, F.array_join(shown, "")).otherwise(F.col("_placed"))
+    rows = judged(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text"), findings)
+    changed = rows.select("_row", "_found", placed.alias("_placed")).select("_row", text.alias("_text"))
     out = [F.when(F.col("_row.text").isNotNull(), F.col("_text")).alias(c) if c == "text" else F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns]
     return changed.select(*out)
