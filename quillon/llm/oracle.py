@@ -101,4 +101,54 @@ f AS (SELECT r.*, CASE WHEN ok THEN e.score ELSE 0 END AS score, CASE WHEN ok TH
 SELECT page_id, host, path, rule, coalesce(CASE rule {verdict} END, CASE WHEN floor(score * {urls.GRID}) > most THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(score, 0), 6)::DOUBLE AS score FROM f"""
 
 
-ORACLE_SQL: dict[str, str] = {"op3_licence_scan": LICENCES, "op6_url_filter": _urls(), "op10_quality_rules": _quality()}
+def _clusters(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """All rounds of assignment and of floored means, each a table of its own."""
+    nearest = lambda c: f"SELECT vec_id, v, arg_min(c, {{'d': d, 'c': c}}) AS c, min(d) AS d FROM (SELECT rid, vec_id, v, c, list_sum(list_transform(range(1, {dim + 1}), lambda i: ((v[i] - w[i]) * (v[i] - w[i]))::HUGEINT))::BIGINT AS d FROM x, {c}) GROUP BY rid, vec_id, v"
+    floor = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    steps = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w FROM (SELECT v, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM x ORDER BY h, v LIMIT {k}))"]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest(f'c{r}')})")
+        steps.append(f"m{r} AS (SELECT c, list({floor} ORDER BY i) AS w FROM (SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS e, unnest(range(1, {dim + 1})) AS i FROM a{r}) GROUP BY c, i) GROUP BY c)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN m{r} USING (c))")
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * {scale})::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e::DOUBLE) OR abs(e::DOUBLE) >= 4503599627370496)) = 0), {", ".join(steps)}, a AS MATERIALIZED ({nearest(f"c{rounds}")})
+SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a JOIN c{rounds} USING (c)"""
+
+
+#: Words of the documents in seeded order, targets by levels of size over weight, seats by rank of their quotients, spans around the end.
+MIXING = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('11:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, size, [3, 1, 2][(no - 1) % 3 + 1] AS w, no FROM (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source)),
+r AS (SELECT *, 1.5::DOUBLE * sum(size) OVER () - coalesce(sum(2 * size) OVER (ORDER BY size::DOUBLE / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER (ORDER BY size::DOUBLE / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM s),
+l AS (SELECT coalesce(arg_min(rest / open, {'a': size::DOUBLE / w, 'b': no}) FILTER (rest * w / open <= 2 * size), 0) AS level FROM r),
+t AS (SELECT source, size, no, least(level * w, 2 * size)::DOUBLE AS target, floor(least(level * w, 2 * size) + 0.5)::BIGINT AS votes FROM s, l),
+b AS (SELECT coalesce(list_filter([4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda x: x * 256 <= coalesce(lowest, 0))[1], 1)::BIGINT AS block FROM (SELECT min(votes) FILTER (votes > 0) AS lowest FROM t)),
+n AS (SELECT t.*, block, ((size + block - 1) // block)::BIGINT AS n FROM t, b),
+q AS (SELECT no, unnest(range(0, 2 * n)) AS j, votes FROM n WHERE votes > 0),
+a AS (SELECT no, count(*) AS q FROM (SELECT no, row_number() OVER (ORDER BY votes::DOUBLE / (2 * j + 1) DESC, no, j) AS seat FROM q) WHERE seat <= (SELECT (2 * sum(votes) + min(block)) // (2 * min(block)) FROM n) GROUP BY no),
+f AS (SELECT n.*, coalesce(q, 0)::BIGINT AS q, CASE WHEN n > 0 THEN ('0x' || substr(md5('11:' || coalesce(source, '')), 1, 8))::BIGINT % n ELSE 0 END AS start FROM n LEFT JOIN a USING (no)),
+g AS (SELECT *, CASE WHEN n > 0 THEN q // n ELSE 0 END AS full_, CASE WHEN n > 0 THEN q % n ELSE 0 END AS part FROM f),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM d)
+SELECT doc_id, p.size, g.size AS source_size, target, (full_ * p.size + greatest(0, least(place + p.size, (start + part) * block, g.size) - greatest(place, start * block)) + greatest(0, least(place + p.size, (start + part - n) * block) - place))::BIGINT AS taken
+FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+x AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM x GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM x SEMI JOIN k USING (lang, term) GROUP BY ALL), n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v)::HUGEINT AS p
+  FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v)::HUGEINT AS q FROM k JOIN v USING (lang)),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 200"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_clusters": _clusters(), "op12_mixing": MIXING, "op13_divergence": DIVERGENCE,
+    "op3_licence_scan": LICENCES, "op6_url_filter": _urls(), "op10_quality_rules": _quality(),
+}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, decontam, jaccard, langid, licences, quality, secrets_scan, sharding, toxicity, urls
+from quillon.llm import bpe, clusters, decontam, divergence, jaccard, langid, licences, mixing, quality, secrets_scan, sharding, toxicity, urls
 from quillon.llm.common import table
 from quillon.llm.oracle import ORACLE_SQL
 
@@ -67,10 +67,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kept vector with its cluster: :func:`clusters.cluster`."""
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes: :func:`mixing.mix`."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source with its divergence from the others and its most telling terms: :func:`divergence.audit`."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_toxicity, op3_licence_scan, op4_sharding, op5_secret_scan,
         op6_url_filter, op7_decontamination, op8_language_id, op9_bpe, op10_quality_rules,
+        op11_clusters, op12_mixing, op13_divergence,
     )
 }
