@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillon.llm.common import materialise, small_side
+from quillon.llm.common import bound_batches, materialise, small_side
 
 #: Runs of ASCII letters and of characters beyond ASCII, in lower-cased UTF-8.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -30,36 +30,47 @@ RANKS = 200
 HEAVY_SHARE, LIGHT = 4, 8
 #: Sources of a side of a dense tile, and pairs that are computed at once.
 TILE, CELLS = 256, 2_000_000
-#: Distinct terms that a task counts before it hands them on, and bytes of text from which terms are counted one by one.
-HELD, LONG = 400_000, 4_000_000
+#: Distinct terms that a task counts before it hands them on, rows that it hands on at once, and bytes of text from which terms are counted one by one.
+HELD, ROWS, LONG = 150_000, 20_000, 1_000_000
 #: Groups of a language and source up to which the operator works; every two of a language are a row of its result.
 MOST_GROUPS = 2_000_000
-_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+_COUNTS = pa.schema([("at", pa.int32()), ("g", pa.int32()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 _SUMS = pa.schema([("at", pa.int32()), ("g", pa.int32()), ("h", pa.int32()), ("value", pa.int64())])
 _SUMS_SQL = "at int, g int, h int, value long"
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term by language and source, summed over a task; each group has a row without term, too."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+def counted(ids):
+    """Occurrences and documents of each term by language and source, as numbered in ``ids``, summed over a task as long as it holds few."""
 
-    def made() -> pa.RecordBatch:
-        rows = [(lang, source, t.decode(), n, docs[t]) for (lang, source), (terms, docs) in held.items() for t, n in terms.items()]
-        rows += [(lang, source, None, 0, 0) for lang, source in held]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], tuple[Counter, Counter]] = {}
+
+        def made() -> Iterator[pa.RecordBatch]:
+            while held:
+                (at, g), (terms, docs) = held.popitem()
+                words = list(terms)
+                for k in range(0, len(words), ROWS):
+                    part = words[k : k + ROWS]
+                    columns = [np.full(len(part), at, "int32"), np.full(len(part), g, "int32"), part, list(map(terms.__getitem__, part)), list(map(docs.__getitem__, part))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
+                terms, docs = held.setdefault(ids.value[lang, source], (Counter(), Counter()))
+                low = text.lower()  # bytes: A-Z only
+                if len(low) < LONG:
+                    found = TERM.findall(low)
+                    terms.update(found)
+                    docs.update(set(found))
+                else:
+                    own = Counter(m.group() for m in TERM.finditer(low))
+                    terms.update(own)
+                    docs.update(own.keys())
+            if sum(len(terms) for terms, _ in held.values()) > HELD:
+                yield from made()
+        yield from made()
 
-    for batch in batches:
-        for lang, source, text in zip(*(batch[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
-            terms, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            text = text.lower()  # bytes: A-Z only
-            own = Counter(TERM.findall(text)) if len(text) < LONG else Counter(m.group() for m in TERM.finditer(text))
-            terms.update(own)
-            docs.update(own.keys())
-        if sum(len(terms) for terms, _ in held.values()) > HELD:
-            yield made()
-    if held:
-        yield made()
+    return run
 
 
 def shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -99,7 +110,7 @@ def _heavy(wholes):
                     j += 1
                 if keys[i] != key:
                     if sums is not None:
-                        yield _tile(key, sums)
+                        yield _tile(key[0], key[1] * TILE, key[2] * TILE, sums)
                     key, sums = keys[i], None
                 whole = wholes.value[key[0]]
                 sides = []
@@ -118,14 +129,14 @@ def _heavy(wholes):
                     sums += parts(sides[0][k : k + step, :, None], sides[1][k : k + step, None, :]).sum(axis=0)
                 i = j
         if sums is not None:
-            yield _tile(key, sums)
+            yield _tile(key[0], key[1] * TILE, key[2] * TILE, sums)
 
     return run
 
 
-def _tile(key, sums: np.ndarray) -> pa.RecordBatch:
+def _tile(at: int, first_g: int, first_h: int, sums: np.ndarray) -> pa.RecordBatch:
     g, h = np.indices(sums.shape)
-    return _emit(key[0], g.ravel() + key[1] * TILE, h.ravel() + key[2] * TILE, sums.ravel())
+    return _emit(at, g.ravel() + first_g, h.ravel() + first_h, sums.ravel())
 
 
 def _light(wholes):
@@ -198,23 +209,27 @@ def audit(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     columns = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")) for c in ("lang", "source", "text")]
-    raw = docs.select(columns[0].alias("lang"), columns[1].alias("source"), columns[2].cast("binary").alias("text")).mapInArrow(counted, "lang string, source string, term string, n long, docs long")
-    counts = materialise(raw.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-
-    groups = [tuple(r) for r in counts.where("term IS NULL").select("lang", "source").limit(MOST_GROUPS + 1).collect()]
+    bound_batches(spark)
+    whole = docs.select(columns[0].alias("lang"), columns[1].alias("source"), columns[2].cast("binary").alias("text"))
+    groups = [tuple(r) for r in whole.select("lang", "source").distinct().limit(MOST_GROUPS + 1).collect()]
     if len(groups) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups of a language and source")
     groups.sort(key=lambda x: (x[0].encode(), x[1].encode()))
     langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _ in groups))}
     names: list[list[str]] = [[] for _ in langs]
+    ids = {}
     for lang, source in groups:
+        ids[lang, source] = (langs[lang], len(names[langs[lang]]))
         names[langs[lang]].append(source)
-    kinds = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("g", T.IntegerType()), T.StructField("m", T.IntegerType())])
-    numbered = small_side(spark.createDataFrame([(lang, source, at, g, len(names[at])) for lang, at in langs.items() for g, source in enumerate(names[at])], kinds), len(groups))
+    kinds = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("g", T.IntegerType())])
+    numbered = small_side(spark.createDataFrame([(lang, source, at, g) for lang, at in langs.items() for g, source in enumerate(names[at])], kinds), len(groups))
+    extent = small_side(spark.createDataFrame([(at, len(x)) for at, x in enumerate(names)], "at int, m int"), len(names))
 
-    posted = counts.where("term IS NOT NULL").join(numbered, ["lang", "source"]).groupBy("at", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("g", "n"))).alias("posting"))
+    counts = whole.mapInArrow(counted(spark.sparkContext.broadcast(ids)), "at int, g int, term binary, n long, docs long").groupBy("at", "g", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    posted = counts.groupBy("at", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("g", "n")).alias("posting")).where(F.col("docs") >= LEAST_DOCUMENTS)
+    posted = posted.join(extent, "at").select("at", F.col("term").cast("string").alias("term"), "n", F.array_sort("posting").alias("posting"), "m")
     few = F.size("posting")
-    posted = materialise(posted.where(F.col("docs") >= LEAST_DOCUMENTS).select("at", "term", "n", "posting", "m", ((few > LIGHT) & (few * HEAVY_SHARE > F.col("m"))).alias("heavy")), "postings")
+    posted = materialise(posted.select("at", "term", "n", "posting", "m", ((few > LIGHT) & (few * HEAVY_SHARE > F.col("m"))).alias("heavy")), "postings")
     kept = {r["at"]: r for r in posted.groupBy("at").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.count_if(~F.col("heavy")).alias("light")).collect()}
     sizes = [np.full(len(x), kept[at]["v"] if at in kept else 0, "int64") for at, x in enumerate(names)]
     for r in posted.select("at", F.explode("posting").alias("x")).groupBy("at", "x.g").agg(F.sum("x.n").alias("n")).toLocalIterator():
