@@ -15,6 +15,18 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def place(among: Column, x: Column) -> Column:
+    """How many items of a sorted array are below ``x``, by halving; ``among`` is a bound one."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        goes = (at["low"] < at["high"]) & (F.get(among, middle) < x)
+        return F.struct(F.when(goes, middle + 1).otherwise(at["low"]).alias("low"), F.when(goes, at["high"]).otherwise(F.least(middle, at["high"])).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(among) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(among).alias("high")), halve, lambda at: at["low"])
+
+
 def words(text: Column) -> Column:
     """The runs of text without white space."""
     return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))

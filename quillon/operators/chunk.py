@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import bound, word_count, words
+from quillon.functions.text import bound, place, word_count, words
 from quillon.functions.vocabulary import HEADING
 
 _STARTS = "array<struct<at:int,tail:int,word:int>>"
 _TEXTS = "array<string>"
+#: Beginnings that a fold appends to one list before it begins the next; so appending copies few at a time.
+LISTED = 256
 
 
 def fixed(docs: DataFrame, key: str, most: int = 800, overlap: int = 100) -> DataFrame:
@@ -54,17 +56,19 @@ def beginnings(sizes: Column, heads: Column | None, most: int, overlap: int = 0)
         held, n = state["held"], part["n"]
         headed = part["head"] & (held > 0)
         full = held + n > most
-        opens = headed | full | (F.size(state["starts"]) == 0)
+        opens = headed | full | (part["at"] == 0)
         tail = F.when(full & ~headed & (held > overlap), F.lit(overlap)).otherwise(F.lit(0))
         start = F.struct(part["at"].alias("at"), tail.alias("tail"), state["word"].alias("word"))
+        filled = opens & (F.size(state["starts"]) >= LISTED)
         return F.struct(
-            F.when(opens, F.array_append(state["starts"], start)).otherwise(state["starts"]).alias("starts"),
+            F.when(filled, F.array_append(state["before"], state["starts"])).otherwise(state["before"]).alias("before"),
+            F.when(filled, F.array(start)).when(opens, F.array_append(state["starts"], start)).otherwise(state["starts"]).alias("starts"),
             F.when(opens, tail + n).otherwise(held + n).alias("held"),
             (state["word"] + n).alias("word"),
         )
 
-    none = F.struct(F.array().cast(_STARTS).alias("starts"), F.lit(0).alias("held"), F.lit(0).alias("word"))
-    return F.aggregate(parts, none, step, lambda state: state["starts"])
+    none = F.struct(F.array().cast(f"array<{_STARTS}>").alias("before"), F.array().cast(_STARTS).alias("starts"), F.lit(0).alias("held"), F.lit(0).alias("word"))
+    return F.aggregate(parts, none, step, lambda state: F.concat(F.flatten(state["before"]), state["starts"]))
 
 
 def slices(parts: Column, starts: Column, between: str, every: Column | None = None) -> Column:
@@ -88,12 +92,12 @@ def sentences(text: Column, most: int) -> Column:
 
 def semantic(text: Column, most: int, least: int, overlap: int) -> Column:
     """Paragraphs packed up to ``most`` words and never cut; headings begin anew, full chunks hand on their last words."""
-    def cut(parts: Column) -> Column:
-        listed = F.transform(parts, words)
-        starts = beginnings(F.transform(listed, lambda w: F.size(w)), F.transform(parts, lambda p: stripped(p).rlike(HEADING)), most, overlap)
-        return bound(starts, lambda s: slices(parts, s, "\n\n", F.flatten(listed)))
+    def cut(parts: Column, listed: Column) -> Column:
+        heads = F.transform(parts, lambda p: stripped(p).rlike(HEADING))
+        starts = bound(heads, lambda h: beginnings(F.transform(listed, lambda w: F.size(w)), h, most, overlap))
+        return bound(F.struct(starts.alias("starts"), F.flatten(listed).alias("every")), lambda x: slices(parts, x["starts"], "\n\n", x["every"]))
 
-    return bound(paragraphs(text), cut)
+    return bound(paragraphs(text), lambda parts: bound(F.transform(parts, words), lambda listed: cut(parts, listed)))
 
 
 def paragraph(text: Column, most: int, least: int, overlap: int) -> Column:
@@ -104,16 +108,16 @@ def paragraph(text: Column, most: int, least: int, overlap: int) -> Column:
     few = most // 4
 
     def cut(known: Column) -> Column:
-        parts, sizes = known["parts"], known["sizes"]
+        parts, sizes, numbers = known["parts"], known["sizes"], known["numbers"]
         size = lambda i: F.get(sizes, i)
-        fitting = F.filter(positions(parts), lambda i: (size(i) <= most) & (size(i) >= few))
-        waiting = lambda first, last: F.filter(F.slice(positions(parts), first + 1, last - first + 1), lambda i: size(i) <= most)
+        fitting = F.filter(numbers, lambda i: (size(i) <= most) & (size(i) >= few))
+        waiting = lambda first, last: F.filter(F.slice(numbers, first + 1, last - first + 1), lambda i: size(i) <= most)
         joined = lambda at: F.array_join(F.transform(at, lambda i: F.get(parts, i)), "\n\n")
 
         def placed(fits: Column) -> Column:
-            before = lambda i: F.coalesce(F.get(fits, F.array_position(fits, i).cast("int") - 2), F.lit(-1))
+            before = lambda i: F.coalesce(F.get(fits, place(fits, i) - 1), F.lit(-1))
             made = F.transform(
-                F.filter(positions(parts), lambda i: size(i) >= few),
+                F.filter(numbers, lambda i: size(i) >= few),
                 lambda i: F.when(size(i) > most, sentences(F.get(parts, i), most)).otherwise(F.array(joined(waiting(before(i) + 1, i)))),
             )
             rest = waiting(F.coalesce(F.get(fits, F.size(fits) - 1), F.lit(-1)) + 1, F.size(parts) - 1)
@@ -121,7 +125,7 @@ def paragraph(text: Column, most: int, least: int, overlap: int) -> Column:
 
         return bound(fitting, placed)
 
-    return bound(paragraphs(text), lambda p: bound(F.struct(p.alias("parts"), F.transform(p, word_count).alias("sizes")), cut))
+    return bound(paragraphs(text), lambda p: bound(F.struct(p.alias("parts"), F.transform(p, word_count).alias("sizes"), positions(p).alias("numbers")), cut))
 
 
 def tail(text: Column, n: int) -> Column:

@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 import difflib
-import math
-from collections import Counter, defaultdict
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +12,6 @@ from pyspark.sql.types import DoubleType
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
 
-#: Rows whose cosines are taken at once.
-ROWS_AT_ONCE = 128
-
 
 @F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -48,11 +41,6 @@ def scoped_pairs(skills: DataFrame, scope: str, order: str) -> DataFrame:
     return a.join(b, (F.col(f"{scope}_a") == F.col(f"{scope}_b")) & (F.col(f"{order}_a") < F.col(f"{order}_b")))
 
 
-def prefix_size(n: int, least: float) -> int:
-    """How many of a set's ``n`` tokens, rarest first, must hold one in common with any set that is as similar as ``least``."""
-    return n - math.ceil(n * least - 1e-9) + 1 if n else 0
-
-
 def content_pairs(skills: DataFrame, scope: str, order: str) -> DataFrame:
     """Pairs of a scope whose contents have a Jaccard similarity of at least 0.6, rounded to four places.
 
@@ -73,23 +61,8 @@ def content_pairs(skills: DataFrame, scope: str, order: str) -> DataFrame:
     return scored.where(F.col("similarity") >= V.DUPLICATE[2]).select(scope, f"{order}_a", f"{order}_b", "similarity")
 
 
-def near(x: np.ndarray, norms: np.ndarray, words: list[set[str]]) -> Iterator[list[int]]:
-    """For each row, in order, the earlier ones that can be its duplicates by vectors or contents, in order; none is lost."""
-    unit = x / np.where(norms > 0, norms, 1.0)[:, None]
-    counts = Counter(w for ws in words for w in ws)
-    rows_of: dict[str, list[int]] = defaultdict(list)
-    for start in range(0, len(x), ROWS_AT_ONCE):
-        cosines = unit[start : start + ROWS_AT_ONCE] @ unit[: start + ROWS_AT_ONCE].T
-        for i in range(start, min(start + ROWS_AT_ONCE, len(x))):
-            found = set(np.flatnonzero(cosines[i - start, :i] >= V.DUPLICATE[0] - 1e-9).tolist())
-            for w in sorted(words[i], key=lambda w: (counts[w], w))[: prefix_size(len(words[i]), V.DUPLICATE[2])]:
-                found.update(rows_of[w])
-                rows_of[w].append(i)
-            yield sorted(found)
-
-
 def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Relations within a scope, of which all pairs are compared: related_to, extends and prerequisite, each at most once a pair and direction.
+    """Relations within a scope of bounded size, such as a capped book, of which all pairs are compared (:mod:`relations` has those of any scope): related_to, extends and prerequisite, each at most once a pair and direction.
 
     ``skills`` has a ``vector``. A pair is related by its vectors, else tags, else names, else shared units, else category;
     names are compared only where vectors and tags don't decide.
@@ -121,60 +94,6 @@ def edges(skills: DataFrame, scope: str, order: str) -> DataFrame:
     return pairs.select(F.col(f"{scope}_a").alias(scope), F.explode(found).alias("e")).select(scope, "e.*").dropDuplicates([scope, "source", "target", "type"])
 
 
-def survivors(skills: DataFrame, scope: str, order: str) -> DataFrame:
-    """Order-dependent removal of duplicates in each scope: the better of two stays, the newer at the end.
-
-    ``skills`` has a ``vector``. Two records are duplicates by their vectors, or by names and contents at once. Returns
-    ``(scope, order, survivor, method, similarity)``: the record into which each one goes at last, and what it was
-    removed for (null for survivors), semantic or lexical, with the cosine of the two.
-    """
-    kinds = {c: skills.schema[c].dataType.simpleString() for c in (scope, order)}
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
-        rows = group.to_dict("records")
-        x = np.array(group["vector"].tolist(), dtype="float64")
-        norms = np.sqrt((x * x).sum(1))
-        words = [set(r["w"]) for r in rows]
-        left: set[int] = set()
-        into: dict[int, int] = {}
-        why: dict[int, tuple[str, float]] = {}
-        for (i, row), earlier in zip(enumerate(rows), near(x, norms, words), strict=True):
-            into[i] = i
-            for j in earlier:  # survivors stand in order, as a newer one goes to the end
-                if j not in left:
-                    continue
-                other = rows[j]
-                cosine = float(x[i] @ x[j] / (norms[i] * norms[j])) if norms[i] and norms[j] else 0.0
-                if cosine < V.DUPLICATE[0]:
-                    ws, wo = words[i], words[j]
-                    content = len(ws & wo) / len(ws | wo) if ws and wo else 0.0
-                    if content < V.DUPLICATE[2] or difflib.SequenceMatcher(None, other["p"], row["p"]).ratio() < V.DUPLICATE[1]:
-                        continue
-                newer = row["quality_score"] > other["quality_score"]
-                if newer:
-                    left.remove(j)
-                    left.add(i)
-                gone, kept = (j, i) if newer else (i, j)
-                into[gone] = kept
-                why[gone] = ("semantic" if cosine >= V.DUPLICATE[0] else "lexical", round(cosine, 4))
-                break
-            else:
-                left.add(i)
-
-        def end(i: int) -> int:
-            while into[i] != i:
-                i = into[i]
-            return i
-
-        causes = [why.get(i, (None, None)) for i in range(len(rows))]
-        return pd.DataFrame({scope: group[scope], order: group[order], "survivor": [rows[end(i)][order] for i in range(len(rows))], "method": [c[0] for c in causes], "similarity": pd.Series([c[1] for c in causes], index=group.index, dtype="float64")})
-
-    body = F.concat_ws(" ", "description", F.array_join("best_practices", " "), F.array_join("pitfalls", " "), F.array_join("checklist", " "))
-    ready = skills.select(scope, order, "quality_score", "vector", T.content_tokens(body).alias("w"), F.lower(F.regexp_replace("name", r"[^a-zA-Z0-9\s]", "")).alias("p"))
-    return ready.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, {order} {kinds[order]}, survivor {kinds[order]}, method string, similarity double")
-
-
 def merged(skills: DataFrame, found: DataFrame, scope: str, order: str, lists: tuple[str, ...] = ("knowledge_ids", "source_chapters", "tags", "related_skills")) -> DataFrame:
     """The survivors, those of ``lists`` that they have joined by those of the records that went into them: own values first, then in order."""
     lists = tuple(c for c in lists if c in skills.columns)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from quillon.functions import vocabulary as V
 from quillon.functions.clean import cleaned
 from quillon.functions.text import token_estimate
-from quillon.operators import chunk, embed, models, search, similar, skills, topics
+from quillon.operators import chunk, embed, models, relations, search, similar, skills, topics
 from quillon.operators.lineage import written
 from quillon.plans import report
 from quillon.sources import files, store
@@ -211,7 +211,7 @@ class Engine:
 
     def _deduplicated(self, made: DataFrame) -> DataFrame:
         numbered = made.withColumn("no", F.row_number().over(Window.partitionBy("book_id").orderBy("_rank")).cast("long"))
-        return similar.merged(numbered, similar.survivors(numbered, "book_id", "no"), "book_id", "no")
+        return similar.merged(numbered, relations.survivors(numbered, "book_id", "no"), "book_id", "no")
 
     def _graph(self, kept: DataFrame) -> DataFrame:
         found = similar.edges(kept, "book_id", "no")

@@ -12,8 +12,6 @@ from quillon.functions import vocabulary as V
 from quillon.operators import knowledge, skills
 
 PREFIXES = ("Best Practice: ", "Avoid: ", "Step 3: ", "Rule 2: ", "Example: ", "Strategy: ", "Always ")
-BOOK = 200
-BOOK_SQL = f"source || '-' || (no // {BOOK})"
 KEYWORDS = tuple(k for k, _ in V.TAG_KEYWORDS)
 
 
@@ -39,22 +37,21 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("part", "line"))
 
 
-def unit_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Three lines of the first line of a text: two of a kind and with a keyword by rule, one plain.
+TEXT_LINES_SQL = "text_lines AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS f, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS part FROM documents)"
 
-    With ``whole``, three of each line of a text, picked by doc_id and number of the line, a row and ``part`` each.
-    """
-    rows = text_lines(spark, sf_dir) if whole else documents(spark, sf_dir).select("doc_id", "source", F.lit(0).alias("part"), first_line().alias("line"))
+
+def unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines of each line of a text, a row and ``part`` each: two of a kind and with a keyword, picked by doc_id and number of the line, one plain."""
     key, line = F.col("doc_id") + F.col("part"), F.col("line")
     kind, other = _pick(PREFIXES, key), _pick(PREFIXES[::-1], key)
     text = F.concat_ws("\n", F.concat(kind, _pick(KEYWORDS, key), F.lit(" "), line), F.concat(F.lit("  "), other, line), line)
-    return rows.select("doc_id", "source", "part", text.alias("text"))
+    return text_lines(spark, sf_dir).select("doc_id", "source", "part", text.alias("text"))
 
 
-LINES_SQL = f"""lines AS (
-  SELECT doc_id, source, i - 1 AS line_no, trim(l) AS line FROM (
-    SELECT doc_id, source, unnest([{_sql_pick(PREFIXES)} || {_sql_pick(KEYWORDS)} || ' ' || f, '  ' || {_sql_pick(PREFIXES[::-1])} || f, f]) AS l, unnest([1, 2, 3]) AS i
-    FROM (SELECT doc_id, source, split_part(coalesce(text, ''), chr(10), 1) AS f FROM documents)))"""
+_KEY = "(doc_id + part)"
+LINES_SQL = f"""{TEXT_LINES_SQL}, lines AS (
+  SELECT doc_id, source, part, 3 * part + i - 1 AS line_no, trim(l) AS line FROM (
+    SELECT doc_id, source, part, unnest([{_sql_pick(PREFIXES, _KEY)} || {_sql_pick(KEYWORDS, _KEY)} || ' ' || f, '  ' || {_sql_pick(PREFIXES[::-1], _KEY)} || f, f]) AS l, unnest([1, 2, 3]) AS i FROM text_lines))"""
 
 
 def numbered(found: DataFrame) -> DataFrame:
@@ -62,10 +59,10 @@ def numbered(found: DataFrame) -> DataFrame:
     return found.withColumn("line_no", F.col("part") * 3 + F.col("line_no")).drop("part")
 
 
-def units(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Units of the first lines, as in SQL, or of whole texts; ``ord`` orders them (whole texts: doc_id below 2^32)."""
-    found = numbered(knowledge.units(unit_lines(spark, sf_dir, whole), ["doc_id", "source", "part"]))
-    return found.withColumn("ord", F.col("doc_id") * (1 << 31 if whole else 10) + F.col("line_no")).withColumn("grp", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 5).cast("string")))
+def units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of whole texts; ``ord`` orders them (doc_id below 2^32)."""
+    found = numbered(knowledge.units(unit_lines(spark, sf_dir), ["doc_id", "source", "part"]))
+    return found.withColumn("ord", F.col("doc_id") * (1 << 31) + F.col("line_no")).withColumn("grp", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 5).cast("string")))
 
 
 def _regex(pattern: str) -> str:
@@ -82,7 +79,7 @@ def _unit_sql() -> str:
 classified AS (SELECT *, CASE {kind} END AS unit_type, CASE {content} END AS content FROM lines),
 named AS (SELECT *, trim(CASE WHEN contains(line, '—') THEN split_part(line, '—', 1) WHEN contains(line, ':') THEN split_part(line, ':', 1) ELSE unit_type END) AS raw, lower(content) AS low
   FROM classified WHERE unit_type IS NOT NULL),
-units AS (SELECT doc_id, source, line_no, doc_id * 10 + line_no AS ord, source || '-' || (doc_id // 5) AS grp, unit_type, content,
+units AS (SELECT doc_id, source, part, line_no, doc_id * 2147483648 + line_no AS ord, source || '-' || (doc_id // 5) AS grp, unit_type, content,
     left(CASE WHEN {title_sql("raw")} <> '' THEN {title_sql("raw")} ELSE left(content, 60) END, 120) AS title,
     floor((least(CASE unit_type {base} ELSE 400 END + least(length(content), 300), 950) + 5) / 10::DOUBLE) / 100 AS confidence,
     list_filter([{tags}], lambda t: t IS NOT NULL)[1:5] AS tags
@@ -111,21 +108,12 @@ def category_sql(tags: str) -> str:
 UNITS_SQL = _unit_sql()
 
 
-def records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed skill records of the units' groups, with the source and a number in order of groups."""
-    made = skills.reviewed(skills.records(units(spark, sf_dir, whole), "grp"))
+    made = skills.reviewed(skills.records(units(spark, sf_dir), "grp"))
     return made.withColumn("source", F.substring_index("grp", "-", 1)).withColumn("no", F.substring_index("grp", "-", -1).cast("long"))
 
 
-def booked(found: DataFrame, scope: str, *numbers: str) -> DataFrame:
-    """``found`` with ``book`` first, for ``scope``: the source and the run of ``BOOK`` numbers that the lowest of ``numbers`` is in.
-
-    A book is a label only; records are compared across the books of a source.
-    """
-    low = F.least(*numbers) if len(numbers) > 1 else F.col(numbers[0])
-    return found.select(F.concat_ws("-", scope, F.floor(low / BOOK).cast("string")).alias("book"), *[c for c in found.columns if c != scope])
-
-
 SKILLS_SQL = f"""{UNITS_SQL},
 grouped AS (SELECT grp, count(*) AS n_units,
     first(title ORDER BY CASE WHEN unit_type IN ('skill', 'best_practice', 'framework') THEN 0 ELSE 1 END, CASE WHEN unit_type IN ('skill', 'best_practice', 'framework') THEN 0 ELSE -confidence END, ord, title) AS lead,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import clean
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import chunk, embed, knowledge, models, search, similar, skills, topics
+from quillon.operators import chunk, embed, knowledge, models, relations, search, similar, skills, topics
 from quillon.plans import chunk_sql, inputs, report
 from quillon.plans.inputs import SKILLS_SQL, UNITS_SQL, documents, name_sql, records, title_sql, units
 from quillon.sources import files
@@ -20,16 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, whole: bool = False):
-    """Register a query under its function's name, with equivalent SQL if there is any.
-
-    With ``whole``, also as ``NAME_whole`` without SQL: the SQL reads first lines only, this one every line of a text.
-    """
+def query(sql: str | None = None):
+    """Register a query under its function's name, with equivalent SQL if there is any."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        if whole:
-            QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -145,12 +139,9 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADS = ("# ", "#### ", "##### ", "chapter 3 ", "Part 2: ", "Chapter three ", "#")
 
 
-@query(f"""SELECT doc_id, line FROM (SELECT doc_id, {inputs._sql_pick(_HEADS)} || split_part(text, chr(10), 1) AS line FROM documents) WHERE regexp_matches(line, '{V.HEADING}')""", whole=True)
-def heading_lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    if whole:
-        rows = inputs.text_lines(spark, sf_dir).select("doc_id", F.concat(inputs._pick(_HEADS, F.col("doc_id") + F.col("part")), "line").alias("line"))
-    else:
-        rows = documents(spark, sf_dir).select("doc_id", F.concat(inputs._pick(_HEADS), inputs.first_line()).alias("line"))
+@query(f"""WITH {inputs.TEXT_LINES_SQL} SELECT doc_id, line FROM (SELECT doc_id, {inputs._sql_pick(_HEADS, "(doc_id + part)")} || f AS line FROM text_lines) WHERE regexp_matches(line, '{V.HEADING}')""")
+def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.text_lines(spark, sf_dir).select("doc_id", F.concat(inputs._pick(_HEADS, F.col("doc_id") + F.col("part")), "line").alias("line"))
     return rows.where(F.col("line").rlike(V.HEADING))
 
 
@@ -160,24 +151,24 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(parts).cast("long").alias("n_sentences"), F.array_max(F.transform(parts, F.length)).alias("longest"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, title, md5(content) AS content_hash, confidence, array_to_string(tags, ',') AS tags FROM units", whole=True)
-def knowledge_units(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return units(spark, sf_dir, whole).select("doc_id", "line_no", "unit_type", "title", F.md5("content").alias("content_hash"), "confidence", F.array_join("tags", ",").alias("tags"))
+@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, title, md5(content) AS content_hash, confidence, array_to_string(tags, ',') AS tags FROM units")
+def knowledge_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units(spark, sf_dir).select("doc_id", "line_no", "unit_type", "title", F.md5("content").alias("content_hash"), "confidence", F.array_join("tags", ",").alias("tags"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT unit_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM units GROUP BY unit_type", whole=True)
-def knowledge_type_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return units(spark, sf_dir, whole).groupBy("unit_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+@query(f"WITH {UNITS_SQL} SELECT unit_type, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM units GROUP BY unit_type")
+def knowledge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units(spark, sf_dir).groupBy("unit_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
-@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, confidence FROM units QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 1", whole=True)
-def knowledge_limit_per_chunk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], most=1)).select("doc_id", "line_no", "unit_type", "confidence")
+@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, unit_type, confidence FROM units QUALIFY row_number() OVER (PARTITION BY doc_id, part ORDER BY line_no) <= 1")
+def knowledge_limit_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir), ["doc_id", "part"], most=1)).select("doc_id", "line_no", "unit_type", "confidence")
 
 
-@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, confidence FROM units WHERE confidence >= 0.5", whole=True)
-def min_confidence_filter(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], least=0.5)).select("doc_id", "line_no", "confidence")
+@query(f"WITH {UNITS_SQL} SELECT doc_id, line_no::INTEGER AS line_no, confidence FROM units WHERE confidence >= 0.5")
+def min_confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.numbered(knowledge.units(inputs.unit_lines(spark, sf_dir), ["doc_id", "part"], least=0.5)).select("doc_id", "line_no", "confidence")
 
 
 _TAG_HITS = ", ".join(f"CASE WHEN contains(lower(line), '{k}') THEN '{t}' END" for k, t in V.TAG_KEYWORDS)
@@ -242,28 +233,19 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("p_partkey", T.slug(F.col("raw"), 20).alias("slug"), T.file_slug(F.col("raw")).alias("file_slug"))
 
 
-_TAGGED = "u AS (SELECT doc_id AS unit_id, ['T' || (doc_id % 17) || '-' || (doc_id // 100), 't' || ((doc_id * 7) % 23) || '-' || (doc_id // 100)] AS tags FROM documents)"
-
-
-@query(f"""WITH RECURSIVE {_TAGGED}, t AS (SELECT unit_id, unnest(tags) AS tag0 FROM u), tt AS (SELECT unit_id, lower(tag0) AS tag FROM t), e AS (SELECT DISTINCT a.unit_id AS a, b.unit_id AS b FROM tt a JOIN tt b USING (tag)),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS unit_id, min(b) AS topic FROM r GROUP BY a""")
+@query(f"""WITH RECURSIVE {UNITS_SQL}, t AS (SELECT ord, unnest(list_distinct(list_transform(tags, lambda t: lower(t)))) AS tag FROM units), e AS (SELECT DISTINCT a.tag AS a, b.tag AS b FROM t a JOIN t b USING (ord)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), low AS (SELECT r.a AS tag, min(ord) AS topic FROM r JOIN t ON t.tag = r.b GROUP BY r.a)
+SELECT ord AS unit_id, coalesce(min(topic), ord) AS topic FROM units LEFT JOIN t USING (ord) LEFT JOIN low USING (tag) GROUP BY ord""")
 def topic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.floor(F.col("doc_id") / 100).cast("string")
-    tags = F.array(F.concat(F.lit("T"), (F.col("doc_id") % 17).cast("string"), F.lit("-"), part), F.concat(F.lit("t"), (F.col("doc_id") * 7 % 23).cast("string"), F.lit("-"), part))
-    return topics.components(documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), tags.alias("tags")))
-
-
-@query()
-def topic_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics over the whole table, by the tags of the units of whole texts."""
-    return topics.components(units(spark, sf_dir, whole=True).select(F.col("ord").alias("unit_id"), "tags"))
+    return topics.components(units(spark, sf_dir).select(F.col("ord").alias("unit_id"), "tags"))
 
 
 @query(f"""WITH {SKILLS_SQL} SELECT grp, name, description, len(best_practices)::INTEGER AS n_best, len(pitfalls)::INTEGER AS n_pitfalls, len(workflow)::INTEGER AS n_workflow, len(examples)::INTEGER AS n_examples,
-  md5(array_to_string(best_practices, '|') || '#' || array_to_string(pitfalls, '|')) AS sections, array_to_string(tags, ',') AS tags, category, quality_score, array_to_string(knowledge_ids, ',') AS knowledge_ids FROM skills""", whole=True)
-def skill_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+  md5(array_to_string(best_practices, '|') || '#' || array_to_string(pitfalls, '|')) AS sections, array_to_string(tags, ',') AS tags, category, quality_score, array_to_string(knowledge_ids, ',') AS knowledge_ids FROM skills""")
+def skill_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda c: F.size(c)
-    return records(spark, sf_dir, whole).select(
+    return records(spark, sf_dir).select(
         "grp", "name", "description", n("best_practices").alias("n_best"), n("pitfalls").alias("n_pitfalls"), n("workflow").alias("n_workflow"), n("examples").alias("n_examples"),
         F.md5(F.concat(F.array_join("best_practices", "|"), F.lit("#"), F.array_join("pitfalls", "|"))).alias("sections"), F.array_join("tags", ",").alias("tags"), "category", "quality_score",
         F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"),
@@ -273,9 +255,9 @@ def skill_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> Data
 @query(rf"""WITH RECURSIVE {SKILLS_SQL}, f AS (SELECT grp, name, root, row_number() OVER (PARTITION BY root ORDER BY no, grp) AS k FROM (SELECT *, regexp_replace(name, '(-\d+)+$', '') AS root FROM skills)),
 r AS (SELECT grp, name, root, k, [name] AS used FROM f WHERE k = 1 UNION ALL SELECT grp, free, root, k, list_append(used, free) FROM (
   SELECT f.grp, f.root, f.k, r.used, CASE WHEN list_contains(r.used, f.name) THEN f.name || '-' || list_filter(range(2, len(r.used) + 3), lambda n: NOT list_contains(r.used, f.name || '-' || n))[1] ELSE f.name END AS free
-  FROM r JOIN f ON f.root = r.root AND f.k = r.k + 1)) SELECT grp, name FROM r""", whole=True)
-def skill_unique_names(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    made = records(spark, sf_dir, whole).withColumn("o", F.struct("no", "grp"))
+  FROM r JOIN f ON f.root = r.root AND f.k = r.k + 1)) SELECT grp, name FROM r""")
+def skill_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = records(spark, sf_dir).withColumn("o", F.struct("no", "grp"))
     return skills.unique_names(made, "o").select("grp", "name")
 
 
@@ -285,26 +267,26 @@ _SOUGHT = "list_filter(list_concat([name, description, category, source, review_
 @query(f"""WITH {SKILLS_SQL}, f AS (SELECT grp, lower(name) AS name, list_transform({_SOUGHT}, lambda x: lower(x)) AS fields FROM (SELECT *, CASE status
     WHEN 'approved' THEN 'Skill is well-structured and ready for approval.' WHEN 'reviewed' THEN 'Skill is acceptable but needs improvements before approval.' ELSE 'Skill lacks essential sections; needs rework or rejection.' END AS review_feedback FROM reviewed))
 SELECT grp, (len(list_filter(fields, lambda x: contains(x, 'step') OR contains(x, 'sales'))) + 2 * (CASE WHEN contains(name, 'step') THEN 1 ELSE 0 END + CASE WHEN contains(name, 'sales') THEN 1 ELSE 0 END))::INTEGER AS score
-FROM f WHERE contains(array_to_string(fields, ' '), 'step') AND contains(array_to_string(fields, ' '), 'sales') ORDER BY score DESC, grp LIMIT 25""", whole=True)
-def skill_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+FROM f WHERE contains(array_to_string(fields, ' '), 'step') AND contains(array_to_string(fields, ' '), 'sales') ORDER BY score DESC, grp LIMIT 25""")
+def skill_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields, lists = skills.searched()
-    made = records(spark, sf_dir, whole).withColumn("source_book", F.col("source"))
+    made = records(spark, sf_dir).withColumn("source_book", F.col("source"))
     return search.keyword(made, "Step sales", fields, F.col("name"), "grp", 25, lists)
 
 
-@query(f"WITH {SKILLS_SQL} SELECT source, grp FROM skills QUALIFY row_number() OVER (PARTITION BY source ORDER BY no, grp) <= 5", whole=True)
-def skill_cap(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return skills.capped(records(spark, sf_dir, whole), "source", F.struct("no", "grp"), 5).select("source", "grp")
+@query(f"WITH {SKILLS_SQL} SELECT source, grp FROM skills QUALIFY row_number() OVER (PARTITION BY source ORDER BY no, grp) <= 5")
+def skill_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.capped(records(spark, sf_dir), "source", F.struct("no", "grp"), 5).select("source", "grp")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, score, status FROM reviewed", whole=True)
-def review_scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole).select("grp", "score", "status")
+@query(f"WITH {SKILLS_SQL} SELECT grp, score, status FROM reviewed")
+def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("grp", "score", "status")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT status, count(*) AS n FROM reviewed GROUP BY status", whole=True)
-def review_status_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {SKILLS_SQL} SELECT status, count(*) AS n FROM reviewed GROUP BY status")
+def review_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SECTION = "CASE WHEN len({0}) > 0 THEN '## {1}' || chr(10) || chr(10) || array_to_string({0}, chr(10)) || '{2}' END"
@@ -317,31 +299,31 @@ _MARKDOWN = ", ".join([
 ])
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, array_to_string(list_filter([{_MARKDOWN}], lambda x: x IS NOT NULL), chr(10)) AS markdown FROM reviewed", whole=True)
-def skill_markdown(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    made = records(spark, sf_dir, whole)
+@query(f"WITH {SKILLS_SQL} SELECT grp, array_to_string(list_filter([{_MARKDOWN}], lambda x: x IS NOT NULL), chr(10)) AS markdown FROM reviewed")
+def skill_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = records(spark, sf_dir)
     return made.select("grp", skills.markdown(made).alias("markdown"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, category, status FROM reviewed WHERE status = 'reviewed' AND list_has_any(tags, ['sales', 'marketing', 'api', 'finance'])", whole=True)
-def skill_list_filtered(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return skills.listed(records(spark, sf_dir, whole), status_="reviewed", tags=["sales", "marketing", "api", "finance"]).select("grp", "category", "status")
+@query(f"WITH {SKILLS_SQL} SELECT grp, category, status FROM reviewed WHERE status = 'reviewed' AND list_has_any(tags, ['sales', 'marketing', 'api', 'finance'])")
+def skill_list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.listed(records(spark, sf_dir), status_="reviewed", tags=["sales", "marketing", "api", "finance"]).select("grp", "category", "status")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed ORDER BY quality_score DESC, grp LIMIT 20 OFFSET 10", whole=True)
-def skill_page(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return skills.listed(records(spark, sf_dir, whole), limit=20, offset=10, order=(F.desc("quality_score"), F.col("grp"))).select("grp", "quality_score")
+@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed ORDER BY quality_score DESC, grp LIMIT 20 OFFSET 10")
+def skill_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.listed(records(spark, sf_dir), limit=20, offset=10, order=(F.desc("quality_score"), F.col("grp"))).select("grp", "quality_score")
 
 
 @query(f"""WITH {SKILLS_SQL} SELECT count(*) AS total, count(DISTINCT source) AS sources, count(*) FILTER (status = 'approved') AS approved, count(*) FILTER (status = 'reviewed') AS reviewed,
-  count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'published') AS published, round(avg(quality_score), 2) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM reviewed""", whole=True)
-def skills_stats(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return skills.stats(records(spark, sf_dir, whole), "source")
+  count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'draft') AS draft, count(*) FILTER (status = 'published') AS published, round(avg(quality_score), 2) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM reviewed""")
+def skills_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.stats(records(spark, sf_dir), "source")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT category, count(*) AS n FROM reviewed GROUP BY category", whole=True)
-def stats_by_category(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {SKILLS_SQL} SELECT category, count(*) AS n FROM reviewed GROUP BY category")
+def stats_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 _TOKENS_SQL = f"tok AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda t: length(t) > 1 AND t NOT IN ({_quoted(*V.STOPWORDS)}))) AS token FROM documents)"
@@ -382,26 +364,26 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower(description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ')), '[a-z0-9]+'), lambda t: length(t) > 2 AND t NOT IN ({_quoted(*V.CONTENT_STOPWORDS)})))"
 
 
-@query(f"""WITH {SKILLS_SQL}, c AS (SELECT {inputs.BOOK_SQL} AS book, no, grp, {_CONTENT} AS w FROM skills), p AS (SELECT a.book, a.no AS no_a, b.no AS no_b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END AS j
-  FROM c a JOIN c b ON a.book = b.book AND a.no < b.no) SELECT book, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""")
-def dedup_content_jaccard(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return inputs.booked(similar.content_pairs(records(spark, sf_dir, whole), "source", "no"), "source", "no_a", "no_b")
+@query(f"""WITH {SKILLS_SQL}, c AS (SELECT source, no, grp, {_CONTENT} AS w FROM skills), p AS (SELECT a.source, a.no AS no_a, b.no AS no_b, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END AS j
+  FROM c a JOIN c b ON a.source = b.source AND a.no < b.no) SELECT source, no_a, no_b, round(j, 4) AS similarity FROM p WHERE round(j, 4) >= 0.6""")
+def dedup_content_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.content_pairs(records(spark, sf_dir), "source", "no").select("source", "no_a", "no_b", "similarity")
 
 
-def _embedded_records(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    made = records(spark, sf_dir, whole).withColumnRenamed("source", "scope")
+def _embedded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = records(spark, sf_dir).withColumnRenamed("source", "scope")
     return made.join(embed.dense(made, "grp", embed.skill_text()), "grp")
 
 
 @query()
 def dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.booked(similar.survivors(_embedded_records(spark, sf_dir, whole=True), "scope", "no"), "scope", "no")
+    return relations.survivors(_embedded_records(spark, sf_dir), "scope", "no")
 
 
 @query()
 def dedup_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _embedded_records(spark, sf_dir, whole=True)
-    return inputs.booked(similar.merged(made, similar.survivors(made, "scope", "no"), "scope", "no"), "scope", "no").select("book", "no", F.array_join("tags", ",").alias("tags"), F.size("knowledge_ids").alias("n_units"))
+    made = _embedded_records(spark, sf_dir)
+    return similar.merged(made, relations.survivors(made, "scope", "no"), "scope", "no").select("scope", "no", F.array_join("tags", ",").alias("tags"), F.size("knowledge_ids").alias("n_units"))
 
 
 @query()
@@ -410,9 +392,9 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("input"), F.count("method").alias("removed"), F.count_if(F.col("no") == F.col("survivor")).alias("final"), F.count_if(F.col("method") == "semantic").alias("semantic"), F.count_if(F.col("method") == "lexical").alias("lexical"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp AS id, name, category, array_to_string(tags, ',') AS tags, left(description, 200) AS description FROM skills", whole=True)
-def kg_nodes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole).select(F.col("grp").alias("id"), "name", "category", F.array_join("tags", ",").alias("tags"), F.substring("description", 1, 200).alias("description"))
+@query(f"WITH {SKILLS_SQL} SELECT grp AS id, name, category, array_to_string(tags, ',') AS tags, left(description, 200) AS description FROM skills")
+def kg_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select(F.col("grp").alias("id"), "name", "category", F.array_join("tags", ",").alias("tags"), F.substring("description", 1, 200).alias("description"))
 
 
 _PRE = " OR ".join(f"contains(p, '{k}')" for k in V.PREREQUISITE_KEYWORDS)
@@ -420,21 +402,39 @@ _PRE = " OR ".join(f"contains(p, '{k}')" for k in V.PREREQUISITE_KEYWORDS)
 
 @query()
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.booked(similar.edges(_embedded_records(spark, sf_dir, whole=True), "scope", "no"), "scope", "source", "target")
+    """All relations of whole sources, as rows of classes; names have no SQL, the other layers are in the two queries below."""
+    return relations.relations(_embedded_records(spark, sf_dir), "scope", "no")
+
+
+_EMBEDDED = "name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  '"
+
+
+@query(f"""WITH {SKILLS_SQL}, e AS (SELECT source, min(no) AS no, count(*) AS n, {_EMBEDDED} AS text FROM skills GROUP BY source, {_EMBEDDED}),
+tok AS (SELECT source, no, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda t: length(t) > 1 AND t NOT IN ({_quoted(*V.STOPWORDS)}))) AS token FROM e),
+c AS (SELECT source, no, token, count(*) AS n, md5(token) AS h FROM tok GROUP BY ALL),
+b AS (SELECT source, no, ({_HEX} % 384)::INTEGER AS bucket, sum(CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END * sqrt(n)) AS v FROM c GROUP BY ALL),
+q AS (SELECT source, no, sqrt(sum(v * v)) AS norm FROM b GROUP BY ALL), u AS (SELECT b.source, b.no, bucket, v / norm AS v FROM b JOIN q USING (source, no) WHERE norm > 0),
+p AS (SELECT x.source, x.no AS a, y.no AS b, round(sum(x.v * y.v), 9) AS c FROM u x JOIN u y ON x.source = y.source AND x.bucket = y.bucket AND x.no <= y.no GROUP BY ALL)
+SELECT p.source AS scope, 'related_to' AS type, 'vector' AS layer, a, b, x.n AS n_a, y.n AS n_b, round(least(c, 1), 3)::DOUBLE AS weight FROM p JOIN e x ON x.source = p.source AND x.no = a JOIN e y ON y.source = p.source AND y.no = b WHERE c >= 0.7 AND (a <> b OR x.n > 1)""")
+def kg_vector_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.relations(_embedded_records(spark, sf_dir), "scope", "no").where("layer = 'vector'")
 
 
-@query(rf"""WITH {SKILLS_SQL}, n AS (SELECT {inputs.BOOK_SQL} AS book, no, trim(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS p FROM skills), m AS (SELECT *, ({_PRE}) AS pre FROM n),
-ab AS (SELECT a.book, a.no AS x, b.no AS y, a.pre AS pa, b.pre AS pb, contains(b.p, a.p) AND length(a.p) >= 4 AS ba, contains(a.p, b.p) AND length(b.p) >= 4 AS ab_,
-  length(a.p) AS la, length(b.p) AS lb FROM m a JOIN m b ON a.book = b.book AND a.no < b.no)
-SELECT book, CASE WHEN ba THEN y ELSE x END AS source, CASE WHEN ba THEN x ELSE y END AS target, 'extends' AS type, round(least(la, lb)::DOUBLE / greatest(la, lb), 3) AS weight FROM ab WHERE ba OR ab_
-UNION ALL SELECT book, CASE WHEN pa THEN x ELSE y END, CASE WHEN pa THEN y ELSE x END, 'prerequisite', 1.0 FROM ab WHERE pa <> pb""", whole=True)
-def kg_directed_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return inputs.booked(similar.edges(_embedded_records(spark, sf_dir, whole), "scope", "no"), "scope", "source", "target").where("type <> 'related_to'")
+@query(rf"""WITH {SKILLS_SQL}, m AS (SELECT *, ({_PRE}) AS pre FROM (SELECT source, no, category, list_sort(list_distinct(tags)) AS tags, trim(regexp_replace(lower(regexp_replace(name, '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g')) AS p FROM skills)),
+t AS (SELECT source, tags, min(no) AS no, count(*) AS n FROM m WHERE len(tags) > 0 GROUP BY source, tags), n AS (SELECT source, p, min(no) AS no, count(*) AS n FROM m GROUP BY source, p),
+c AS (SELECT source, min(no) AS no, count(*) AS n FROM m WHERE category <> '' GROUP BY source, category), k AS (SELECT source, min(no) FILTER (pre) AS a, min(no) FILTER (NOT pre) AS b, count(*) FILTER (pre) AS n_a, count(*) FILTER (NOT pre) AS n_b FROM m GROUP BY source),
+j AS (SELECT x.source, x.no AS a, y.no AS b, x.n AS n_a, y.n AS n_b, len(list_intersect(x.tags, y.tags))::DOUBLE / len(list_distinct(list_concat(x.tags, y.tags))) AS w FROM t x JOIN t y ON x.source = y.source AND x.no <= y.no)
+SELECT source AS scope, 'related_to' AS type, 'tags' AS layer, a, b, n_a, n_b, round(w, 3)::DOUBLE AS weight FROM j WHERE w >= 0.4 AND (a <> b OR n_a > 1)
+UNION ALL SELECT source, 'related_to', 'category', no, no, n, n, 0.4 FROM c WHERE n > 1
+UNION ALL SELECT x.source, 'extends', 'name', x.no, y.no, x.n, y.n, round(length(y.p)::DOUBLE / length(x.p), 3) FROM n x JOIN n y ON x.source = y.source AND contains(x.p, y.p) AND length(y.p) >= 4 WHERE x.no <> y.no OR x.n > 1
+UNION ALL SELECT source, 'prerequisite', 'keyword', a, b, n_a, n_b, 1.0 FROM k WHERE n_a > 0 AND n_b > 0""")
+def kg_class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.relations(_embedded_records(spark, sf_dir), "scope", "no").where("layer IN ('tags', 'units', 'category', 'keyword') OR type = 'extends'")
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, md5(name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  ') AS text_hash FROM skills", whole=True)
-def skill_embedding_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records(spark, sf_dir, whole).select("grp", F.md5(embed.skill_text()).alias("text_hash"))
+@query(f"WITH {SKILLS_SQL} SELECT grp, md5(name || ' ' || description || ' ' || array_to_string(best_practices, ' ') || ' ' || array_to_string(pitfalls, ' ') || '  ') AS text_hash FROM skills")
+def skill_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("grp", F.md5(embed.skill_text()).alias("text_hash"))
 
 
 @query("SELECT sha256(text) AS text_hash, length(min(text))::INTEGER AS n_chars FROM documents WHERE trim(text) <> '' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) GROUP BY 1")
@@ -445,22 +445,22 @@ def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_FIXED}, {SKILLS_SQL} SELECT doc_id || '-' || "index" AS id, 'chunk' AS source_type, md5(array_to_string(p, ' ')) AS text_hash, 384 AS dim FROM c
-UNION ALL SELECT grp, 'skill', md5(name || '. ' || description || ' ' || array_to_string(best_practices, ' ')), 384 FROM skills""", whole=True)
-def embed_index(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+UNION ALL SELECT grp, 'skill', md5(name || '. ' || description || ' ' || array_to_string(best_practices, ' ')), 384 FROM skills""")
+def embed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = spark.createDataFrame([], embed.CACHE_SCHEMA)
     chunks, _ = embed.embedded(chunk.fixed(documents(spark, sf_dir), "doc_id", 200, 50), empty)
-    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir, whole), "id", "grp")
+    found = embed.payloads(chunks.withColumn("id", F.concat_ws("-", "doc_id", "index")), _embedded_records(spark, sf_dir), "id", "grp")
     return found.select("id", "source_type", F.md5("text").alias("text_hash"), F.size("vector").alias("dim"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed WHERE contains(lower(name), 'step') OR contains(lower(description), 'step') OR contains(lower(array_to_string(tags, chr(10))), 'step') OR contains(lower(category), 'step') ORDER BY quality_score DESC, grp LIMIT 30", whole=True)
-def phrase_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return search.phrase(records(spark, sf_dir, whole), "Step", [F.col("name"), F.col("description"), F.array_join("tags", "\n"), F.col("category")], F.desc("quality_score"), "grp").select("grp", "quality_score")
+@query(f"WITH {SKILLS_SQL} SELECT grp, quality_score FROM reviewed WHERE contains(lower(name), 'step') OR contains(lower(description), 'step') OR contains(lower(array_to_string(tags, chr(10))), 'step') OR contains(lower(category), 'step') ORDER BY quality_score DESC, grp LIMIT 30")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.phrase(records(spark, sf_dir), "Step", [F.col("name"), F.col("description"), F.array_join("tags", "\n"), F.col("category")], F.desc("quality_score"), "grp").select("grp", "quality_score")
 
 
-@query(f"WITH {UNITS_SQL} SELECT source, unit_type AS type, count(*) AS n_units, least(count(*) / 5.0, 1.0)::DOUBLE AS quality_score, array_to_string(list(ord ORDER BY ord), ',') AS knowledge_ids FROM units GROUP BY source, unit_type", whole=True)
-def type_groups(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return knowledge.by_type(units(spark, sf_dir, whole), "source", "ord").select("source", F.col("unit_type").alias("type"), "n_units", "quality_score", F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"))
+@query(f"WITH {UNITS_SQL} SELECT source, unit_type AS type, count(*) AS n_units, least(count(*) / 5.0, 1.0)::DOUBLE AS quality_score, array_to_string(list(ord ORDER BY ord), ',') AS knowledge_ids FROM units GROUP BY source, unit_type")
+def type_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.by_type(units(spark, sf_dir), "source", "ord").select("source", F.col("unit_type").alias("type"), "n_units", "quality_score", F.array_join(F.transform("knowledge_ids", lambda x: x.cast("string")), ",").alias("knowledge_ids"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace('co-' || chr(10) || '  operate ' || text || chr(10) || 'end', '([[:word:]])-\s*\n\s*([[:word:]])', '\1\2', 'g'), '\n', ' ', 'g')) AS text_hash FROM documents WHERE NOT contains(text, chr(10) || chr(10)) AND NOT starts_with(text, chr(10)) AND NOT ends_with(text, chr(10)) AND NOT regexp_matches(text, '-\s*\n')")
@@ -496,21 +496,21 @@ def distance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", search.distance_score(distance * 20).alias("cosine"), search.distance_score(distance, "l2").alias("l2"))
 
 
-@query(f"WITH {SKILLS_SQL} SELECT category AS value, count(*) AS n FROM reviewed GROUP BY category ORDER BY n DESC, value", whole=True)
-def category_histogram(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return skills.histogram(records(spark, sf_dir, whole), "category")
+@query(f"WITH {SKILLS_SQL} SELECT category AS value, count(*) AS n FROM reviewed GROUP BY category ORDER BY n DESC, value")
+def category_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.histogram(records(spark, sf_dir), "category")
 
 
-@query(f"""WITH {UNITS_SQL} SELECT doc_id, line_no, unit_type FROM units WHERE unit_type IN ('rule', 'workflow')""", whole=True)
-def knowledge_allowed_types(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    found = knowledge.units(inputs.unit_lines(spark, sf_dir, whole), ["doc_id", "part"], allowed=("rule", "workflow"))
+@query(f"""WITH {UNITS_SQL} SELECT doc_id, line_no, unit_type FROM units WHERE unit_type IN ('rule', 'workflow')""")
+def knowledge_allowed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knowledge.units(inputs.unit_lines(spark, sf_dir), ["doc_id", "part"], allowed=("rule", "workflow"))
     return inputs.numbered(found).select("doc_id", "line_no", "unit_type")
 
 
 @query(f"""WITH {UNITS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY confidence DESC, ord) AS n FROM units)
-SELECT grp, md5(string_agg(n || '. [' || unit_type || '] ' || title || chr(10) || '   ' || left(trim(regexp_replace(content, '[ \t\n\r\x0b\x0c]+', ' ', 'g')), 300), chr(10) ORDER BY n)) AS shown FROM r WHERE n <= 12 GROUP BY grp""", whole=True)
-def prompt_units(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return models.shown_units(units(spark, sf_dir, whole), "grp", "ord").select("grp", F.md5("shown").alias("shown"))
+SELECT grp, md5(string_agg(n || '. [' || unit_type || '] ' || title || chr(10) || '   ' || left(trim(regexp_replace(content, '[ \t\n\r\x0b\x0c]+', ' ', 'g')), 300), chr(10) ORDER BY n)) AS shown FROM r WHERE n <= 12 GROUP BY grp""")
+def prompt_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.shown_units(units(spark, sf_dir), "grp", "ord").select("grp", F.md5("shown").alias("shown"))
 
 
 @query("SELECT event_type, sum(event_id % 7)::BIGINT AS items, sum(user_id % 5)::BIGINT AS tokens, round(sum(value), 4) AS seconds, count(*) FILTER (value < 0) AS errors, bool_and(value >= 0) AS success FROM events GROUP BY event_type")

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import vocabulary as V
-from quillon.operators import embed, similar
+from quillon.operators import embed, relations, similar
+from quillon.operators.lineage import written
 
 SCHEMA = (
     "book string, no long, name string, description string, best_practices array<string>, pitfalls array<string>, checklist array<string>, "
@@ -63,7 +64,7 @@ def plain(name):
 @pytest.fixture(scope="module")
 def rows(spark):
     df = spark.createDataFrame(made(), SCHEMA).withColumn("key", F.concat_ws("-", "book", "no"))
-    return df.join(embed.dense(df, "key", embed.skill_text()), "key").cache()
+    return written(df.join(embed.dense(df, "key", embed.skill_text()), "key"), "records")
 
 
 def test_dense(rows):
@@ -71,7 +72,7 @@ def test_dense(rows):
         assert r["vector"] == pytest.approx(vector(text(r)))
 
 
-def test_edges(rows):
+def test_edges(rows, monkeypatch):
     want = set()
     data = sorted(rows.collect(), key=lambda r: r["no"])
     for i, a in enumerate(data):
@@ -93,6 +94,81 @@ def test_edges(rows):
     got = {(r["source"], r["target"], r["type"], r["weight"]) for r in similar.edges(rows, "book", "no").collect()}
     assert {g[2] for g in got} == {"related_to", "extends", "prerequisite"}
     assert got == want
+    monkeypatch.setattr(relations, "BLOCK", 5)  # several tiles a scope
+    known = written(relations.members(rows, "book", "no"), "members")
+    found = written(relations.relations(rows, "book", "no", known), "relations")
+    assert {(r["source"], r["target"], r["type"], r["weight"]) for r in relations.expanded(found, known, "book", "no").collect()} == want
+    assert {r["layer"] for r in found.collect()} == {"vector", "tags", "name", "units", "category", "keyword"}
+
+
+def test_classes_are_linear_in_the_records(spark):
+    row = lambda i: ("b", i, "market-basics" if i % 3 else "market", "sales funnel budget", [], [], [], [], ["sales", "budget"][: 1 + i % 2], "sales", [i], 0.5)
+    sizes = {}
+    for n in (60, 600):
+        df = spark.createDataFrame([row(i) for i in range(n)], SCHEMA).withColumn("key", F.concat_ws("-", "book", "no"))
+        found = relations.relations(df.join(embed.dense(df, "key", embed.skill_text()), "key"), "book", "no").collect()
+        sizes[n] = len(found)
+        vectors = [r for r in found if r["layer"] == "vector"]
+        assert sum(r["n_a"] * (r["n_a"] - 1) // 2 if r["a"] == r["b"] else r["n_a"] * r["n_b"] for r in vectors) == n * (n - 1) // 2
+        assert [(r["n_a"], r["n_b"], r["weight"]) for r in found if r["type"] == "extends" and r["a"] != r["b"]] == [(n - n // 3, n // 3, 0.5)]
+    assert sizes[60] == sizes[600] < 20
+
+
+def test_name_ratios_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(relations, "BLOCK", 16)
+    draw = random.Random(9)
+    names = sorted({"".join(draw.choice("abcde-é") for _ in range(draw.randrange(0, 14))) for _ in range(90)} - {""})
+    df = spark.createDataFrame([("s", i, n) for i, n in enumerate(names)] + [("t", 0, "alone")], "scope string, no long, name string")
+    got = {(r["a"], r["b"]): r["ratio"] for r in relations.name_pairs(df, "scope", "no", 0.6).where("scope = 's'").collect()}
+    want = {(i, j): x for i, a in enumerate(names) for j, b in enumerate(names) if (x := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.6}
+    assert got == want
+    parts = {(r["a"], r["b"]): r["weight"] for r in relations.contained_names(df, "scope", "no").where("scope = 's'").collect()}
+    assert parts == {(i, j): round(len(b) / len(a), 3) for i, a in enumerate(names) for j, b in enumerate(names) if i != j and len(b) >= 4 and b in a}
+
+
+def greedy(data, duplicates):
+    """Into which record each goes, by the order-dependent scan; ``duplicates(old, new)`` gives a method or None."""
+    gone, why, left = {}, {}, []
+    for new in data:
+        for old in left:
+            method = duplicates(old, new)
+            if method:
+                kept, lost = (new, old) if new["quality_score"] > old["quality_score"] else (old, new)
+                gone[lost["no"]], why[lost["no"]] = kept["no"], method
+                if lost is old:
+                    left.remove(old)
+                    left.append(new)
+                break
+        else:
+            left.append(new)
+    return gone, why
+
+
+def test_survivors_of_chains_and_better_ones(spark, monkeypatch):
+    """Random graphs of duplicates: chains, cliques, and newer ones of higher quality that free what the removed one held."""
+    draw = random.Random(12)
+    rows, links = [], set()
+    for g in range(12):
+        n = draw.randrange(2, 22)
+        for i in range(n):
+            rows.append((f"s{g}", i, draw.choice([0.1, 0.2, 0.3, 0.4, 0.5]) if g % 3 else 0.1))
+            for j in range(i):
+                if (g % 4 == 0 and j == i - 1) or (g % 4 == 1) or (g % 4 > 1 and draw.random() < 0.3):
+                    links.add((f"s{g}", j, i))
+    df = spark.createDataFrame(rows, "scope string, no long, quality_score double")
+    pairs = spark.createDataFrame([(s, a, b, 0.9 if (a + b) % 2 else 0.5) for s, a, b in sorted(links)], "scope string, a long, b long, cosine double")
+    monkeypatch.setattr(relations, "duplicate_pairs", lambda *_: pairs)
+    got = {(r["scope"], r["no"]): (r["survivor"], r["method"], r["similarity"]) for r in relations.survivors(df, "scope", "no").collect()}
+    assert len(got) == len(rows)
+    for g in range(12):
+        data = [{"no": no, "quality_score": q} for s, no, q in rows if s == f"s{g}"]
+        gone, why = greedy(data, lambda old, new: ("semantic" if (old["no"] + new["no"]) % 2 else "lexical") if (f"s{g}", min(old["no"], new["no"]), max(old["no"], new["no"])) in links else None)  # noqa: B023
+        for r in data:
+            end = r["no"]
+            while end in gone:
+                end = gone[end]
+            method = why.get(r["no"])
+            assert got[f"s{g}", r["no"]] == (end, method, {None: None, "semantic": 0.9, "lexical": 0.5}[method])
 
 
 def test_survivors_and_merging(rows):
@@ -115,7 +191,7 @@ def test_survivors_and_merging(rows):
                 break
             else:
                 left.append(new)
-    found = similar.survivors(rows, "book", "no")
+    found = relations.survivors(rows, "book", "no")
     got = {(r["book"], r["no"]): r for r in found.collect()}
     assert gone and len(got) == len(data)
     for key, r in got.items():

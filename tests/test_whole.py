@@ -7,7 +7,7 @@ import pytest
 
 from quillon.functions import vocabulary as V
 from quillon.plans import inputs
-from quillon.plans.queries import ORACLE_SQL, QUERIES, dedup_content_jaccard
+from quillon.plans.queries import QUERIES
 
 TEXTS = (
     "The first line tells of sales and price.\nThe second line tells of a marketing funnel.\n\nThe fourth: of customers and budget.",
@@ -36,22 +36,19 @@ def units():
 
 
 def test_units_of_every_line(spark, folder):
-    got = {(r["doc_id"], r["line_no"], r["unit_type"], r["content_hash"]) for r in QUERIES["knowledge_units_whole"](spark, folder).collect()}
+    got = {(r["doc_id"], r["line_no"], r["unit_type"], r["content_hash"]) for r in QUERIES["knowledge_units"](spark, folder).collect()}
     assert got == {(d, n, kind, hashlib.md5(content.encode()).hexdigest()) for d, n, kind, content in units()}
     assert {n // 3 for d, n, *_ in got if d == 2} >= set(range(1, 13))
-    ids = [int(i) for r in QUERIES["type_groups_whole"](spark, folder).collect() for i in r["knowledge_ids"].split(",")]
+    ids = [int(i) for r in QUERIES["type_groups"](spark, folder).collect() for i in r["knowledge_ids"].split(",")]
     assert len(set(ids)) == len(ids) == len(got)
-    first = {tuple(r) for r in QUERIES["knowledge_units_whole"](spark, folder).where("line_no < 3").collect()}
-    assert first == {tuple(r) for r in QUERIES["knowledge_units"](spark, folder).collect()}
 
 
-def test_whole_texts_without_sql(spark, folder):
-    assert not {n for n in ORACLE_SQL if n.endswith("_whole")}
+def test_whole_texts(spark, folder):
     cleaned = {r["doc_id"]: r["text"] for r in QUERIES["clean_nfkc"](spark, folder).collect()}
     assert "fourth: of customers" in cleaned[0] and "line 11 of" in cleaned[2]
     told = {(r["chunk_id"], r["ord"]): r["content"] for r in QUERIES["llm_unit_coercion"](spark, folder).collect()}
     assert told[0, 1] == "The second line tells of a marketing funnel." and {k for d, k in told if d == 2} == {k for k in range(1, 13) if (2 + k) % 5 != 3}
-    heads = [r["line"] for r in QUERIES["heading_lines_whole"](spark, folder).where("doc_id = 2").collect()]
+    heads = [r["line"] for r in QUERIES["heading_lines"](spark, folder).where("doc_id = 2").collect()]
     assert len(heads) > 1 and any("line 11 of" in h for h in heads)
 
 
@@ -96,22 +93,20 @@ def test_topics_span_the_table(spark, tmp_path):
     # ids far apart; a chain of tags, one hot tag, and a unit apart
     texts = {5: "Our budget", 250: "Our budget and sales", 777: "About sales, with an api", 4_000: "The api of a team", 9_001: "Nothing that is known of", 12_345: "Sales again and again"}
     spark.createDataFrame([(k, f"{t} is told of here.\n{t} once more, at length.", "src0") for k, t in texts.items()], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    tagged = [(r["ord"], r["tags"]) for r in inputs.units(spark, str(tmp_path), whole=True).collect()]
-    got = {r["unit_id"]: r["topic"] for r in QUERIES["topic_components_whole"](spark, str(tmp_path)).collect()}
+    tagged = [(r["ord"], r["tags"]) for r in inputs.units(spark, str(tmp_path)).collect()]
+    got = {r["unit_id"]: r["topic"] for r in QUERIES["topic_components"](spark, str(tmp_path)).collect()}
     assert got == union_find(tagged)
     assert any(unit >> 31 > (topic >> 31) + 100 for unit, topic in got.items())
 
 
-def test_pairs_across_books_of_a_source(spark, tmp_path):
+def test_pairs_far_apart_in_a_source(spark, tmp_path):
     text = "Close the quarter with a review of each open customer account.\nKeep a list of late payments and call the owners."
     far = 7 * len(inputs.KEYWORDS) * 200  # the same prefixes and keywords as 0
-    assert far // 5 >= inputs.BOOK
     rows = [(d, text if d in (0, far) else f"Entry {d} is about matter{d} and topic{d} with detail{d} in place{d}.", "src0") for d in (0, 501, 1_002, far)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     at = str(tmp_path)
-    for whole in (False, True):
-        assert [tuple(r) for r in dedup_content_jaccard(spark, at, whole).collect()] == [("src0-0", 0, far // 5, 1.0)]
+    assert [tuple(r) for r in QUERIES["dedup_content_jaccard"](spark, at).collect()] == [("src0", 0, far // 5, 1.0)]
     gone = {r["no"]: (r["survivor"], r["method"]) for r in QUERIES["dedup_greedy"](spark, at).collect()}
     assert gone[far // 5] == (0, "semantic") and QUERIES["dedup_counts"](spark, at).first()["removed"] >= 1
     assert {r["no"] for r in QUERIES["dedup_merged"](spark, at).collect()} == {no for no, (kept, _) in gone.items() if no == kept}
-    assert {(r["source"], r["target"]) for r in QUERIES["kg_edges"](spark, at).where("type = 'related_to'").collect()} >= {(0, far // 5)}
+    assert {(r["a"], r["b"]) for r in QUERIES["kg_edges"](spark, at).where("layer = 'vector'").collect()} >= {(0, far // 5)}
