@@ -12,12 +12,12 @@ _local: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors can both write: ``spark.checkpoint.dir``, else the warehouse, else, on a local master, a temporary folder."""
+    """Where driver and executors can both write: ``spark.checkpoint.dir``; without it a temporary folder on a local master, and an error elsewhere."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local:
         folder = tempfile.TemporaryDirectory(prefix="quillon-")
         atexit.register(folder.cleanup)
@@ -25,8 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _local[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

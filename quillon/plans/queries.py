@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillon.functions import clean
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import chunk, embed, knowledge, models, relations, search, similar, skills, topics
+from quillon.operators import chunk, embed, index, knowledge, models, relations, search, similar, skills, topics
+from quillon.operators.lineage import scratch
 from quillon.plans import chunk_sql, inputs, report
 from quillon.plans.inputs import SKILLS_SQL, UNITS_SQL, documents, name_sql, records, title_sql, units
 from quillon.sources import files
@@ -50,6 +51,16 @@ def keyword_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword(d, "en the", [F.col("source"), F.col("lang"), F.col("text")], F.col("lang"), "doc_id", 20)
 
 
+@query(ORACLE_SQL["keyword_search_topk"])
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by a persisted index of two batches; the second replaces rows of the first."""
+    d = documents(spark, sf_dir)
+    made = index.TermIndex(spark, scratch(spark, "terms"), "long")
+    made.add(d.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("the end")).otherwise(F.col("text"))), "doc_id", [F.col("source"), F.col("lang"), F.col("text")], F.col("lang"))
+    made.add(d.where("doc_id % 3 = 0"), "doc_id", [F.col("source"), F.col("lang"), F.col("text")], F.col("lang"))
+    return made.search("en the", 20).withColumnRenamed("key", "doc_id")
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\x0b\x0c]+'))::INTEGER AS n_words, (length(text) // 4)::INTEGER AS n_tokens FROM documents")
 def doc_word_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n_words"), T.token_estimate(F.col("text")).alias("n_tokens"))
@@ -355,6 +366,14 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vectors(rows.where("label = 4"), wanted, "vec_id", "embedding", 10)
 
 
+@query()
+def vector_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every vector whose id is divisible by 20, by inverted lists; recall is measured in tests."""
+    rows = _table(spark, sf_dir, "embeddings")
+    made = index.VectorIndex(spark, scratch(spark, "lists")).build(rows, "vec_id", "embedding")
+    return made.nearest(rows.where("vec_id % 20 = 0"), "vec_id", "embedding").select(F.col("query").alias("vec_id"), F.col("key").alias("neighbour"), "score", "rank")
+
+
 @query("SELECT user_id AS key, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_type", "value", "event_id")
