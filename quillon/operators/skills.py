@@ -27,7 +27,8 @@ def _listed(kinds: tuple[str, ...], value: Column, order: str, most: int) -> Col
 def records(units: DataFrame, group: str, order: str = "ord", checklist: bool = False, most: int = 10) -> DataFrame:
     """One record per group: name, description, sections with back-filling, tags, category, quality, provenance.
 
-    Sections hold ``most`` contents, and no more of a group's contents are gathered; its ids, which a record lists all, are. One shuffle.
+    Sections hold ``most`` contents, and no more of a group's contents are gathered; its ids, which a record lists all, are, and, if units
+    have a ``source_reference``, the different ones as source_chapters. One shuffle.
     """
     kind = F.col("unit_type")
     content = F.col("content")
@@ -53,6 +54,7 @@ def records(units: DataFrame, group: str, order: str = "ord", checklist: bool =
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("_tags"),
         F.round(F.least(0.6 * F.avg("confidence") + 0.4 * F.count_distinct(kind) / 6, F.lit(1.0)) + 1e-9, 2).alias("quality_score"),
         F.count(F.lit(1)).alias("n_units"),
+        *([F.array_sort(F.collect_set(F.nullif("source_reference", F.lit("")))).alias("source_chapters")] if "source_reference" in units.columns else []),
     )
     filled = F.when(F.size("_bp") > 0, F.col("_bp")).when(F.size("_rules") > 0, F.col("_rules")).otherwise(F.col("_skills"))
     df = df.withColumn("_b", filled).withColumn("_c", F.when(F.size("_ck") > 0, F.col("_ck")).when(F.size("_rules") > 0, F.col("_rules")).otherwise(F.col("_b")))
@@ -74,6 +76,7 @@ def records(units: DataFrame, group: str, order: str = "ord", checklist: bool =
         T.category(F.col("_tags")).alias("category"),
         "quality_score",
         F.transform("_ids", lambda x: x["o"]).alias("knowledge_ids"),
+        *(["source_chapters"] if "source_reference" in units.columns else []),
     )
 
 

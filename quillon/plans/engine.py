@@ -69,8 +69,8 @@ class Engine:
         self.log = report.log(store=root)
         self.after: dict[str, list[Callable[[DataFrame], DataFrame]]] = {}
         self.skills = store.Skills(spark, f"{root}/skills")
-        self.nodes = store.KeyedTable(spark, f"{root}/nodes", store.NODE, ("graph_id", "id"))
-        self.edges = store.KeyedTable(spark, f"{root}/edges", store.EDGE, ("graph_id", "source", "target", "type"))
+        self.graphs = store.Graphs(spark, root)
+        self.nodes, self.edges = self.graphs.nodes, self.graphs.edges
         self.vectors = store.KeyedTable(spark, f"{root}/vectors", store.VECTOR, ("id", "source_type"))
         self.embeddings = store.KeyedTable(spark, f"{root}/embeddings", embed.CACHE_SCHEMA, ("text_hash", "backend", "dim"))
         self.ledger = store.KeyedTable(spark, f"{root}/ledger", store.LEDGER, ("file_hash", "stage", "settings"))
@@ -103,7 +103,7 @@ class Engine:
         make = models.provider(s.provider) if s.provider else None
         small = models.provider(s.small_provider) if s.small_provider else None
         found = models.extracted(chunks, "chunk_id", make, s.least_confidence, s.units_per_chunk, small=small, allowed=s.types)
-        return found.withColumn("book_id", F.substring_index("chunk_id", "-", 1)).withColumn("unit_id", F.concat_ws("-", "chunk_id", F.lpad(F.col("ord").cast("string"), 6, "0"))).drop("ord")
+        return found.withColumn("book_id", F.substring_index("chunk_id", "-", 1)).withColumn("unit_id", F.concat_ws("-", "chunk_id", F.lpad(F.col("ord").cast("string"), 6, "0"))).drop("ord").withColumn("source_reference", F.concat(F.lit("chunk_"), F.substring_index("chunk_id", "-", -1).cast("int")))
 
     def records(self, units: DataFrame) -> DataFrame:
         """Skills of the topics of each book, at most ``skills_per_book``, those of the most confidence first."""
@@ -178,6 +178,8 @@ class Engine:
         for done, stage in enumerate(STAGES[:-1], 1):
             self.progress(stage)
             made[stage] = self._stage(mark, stage, work[stage], instead.get(stage) if skip else None)
+            if stage == "review":
+                self._documents(made[stage])
             self.log.info("%s %s", report.bar(done, len(STAGES)), stage)
             if stage == last:
                 return made[stage]
@@ -209,6 +211,15 @@ class Engine:
                 raise
             return instead()
 
+    def _documents(self, made: DataFrame) -> None:
+        """A ``markdown/<name>.md`` for every record of a run, also of those that go as duplicates; a run goes on if they can't be written."""
+        folder = self.root.removeprefix("file://")
+        if "://" not in folder:  # files need a folder that is mounted on the executors
+            try:
+                store.export_markdown(made, f"{folder}/markdown", 200)
+            except Exception as problem:
+                self.log.error("markdown: %s", problem)
+
     def _deduplicated(self, made: DataFrame) -> DataFrame:
         numbered = made.withColumn("no", F.row_number().over(Window.partitionBy("book_id").orderBy("_rank")).cast("long"))
         return similar.merged(numbered, relations.survivors(numbered, "book_id", "no"), "book_id", "no")
@@ -227,8 +238,7 @@ class Engine:
             table.remove(table.current().join(done.withColumnRenamed("book_id", column), column, "left_semi"))
         out = written(search.unsaved(out.withColumn("_o", F.struct("book_id", "no")), self.skills.current(), "name", "_o").drop("_o"), "new")  # a name is stored once
         self.skills.save(out)
-        self.nodes.save(kept.select(F.col("book_id").alias("graph_id"), "id", "name", "category", "tags", F.substring("description", 1, 200).alias("description")))
-        self.edges.save(edges)
+        self.graphs.save(kept.select(F.col("book_id").alias("graph_id"), "id", "name", "category", "tags", F.substring("description", 1, 200).alias("description")), edges)
         self.vectors.save(embed.payloads(self.embedded(parts), kept, "chunk_id", "id"))
         self.ledger.save(done.select(F.col("book_id").alias("file_hash"), F.lit("store").alias("stage"), F.lit(self.settings.fingerprint()).alias("settings")))
         return self.skills.current().join(done, "book_id", "left_semi")
@@ -264,5 +274,5 @@ class Engine:
     def histogram(self, column: str) -> DataFrame:
         return skills.histogram(self.skills.current(), column)
 
-    def export_markdown(self, folder: str) -> int:
-        return store.export_markdown(self.skills.current(), folder)
+    def export_markdown(self, folder: str, longest: int | None = None) -> int:
+        return store.export_markdown(self.skills.current(), folder, longest)

@@ -64,7 +64,7 @@ class Shell(cmd.Cmd):
 
     def do_export(self, line: str) -> None:
         """Write all skills as documents to a folder."""
-        self._tell(self.engine.export_markdown(line.strip()), "files")
+        self._tell(self.engine.export_markdown(line.strip(), 60), "files")
 
     def do_quit(self, line: str) -> bool:
         """Leave."""

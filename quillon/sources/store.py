@@ -25,7 +25,7 @@ SKILL = (
     f"checklist {_TEXTS}, references {_TEXTS}, tags {_TEXTS}, category string, related_skills {_TEXTS}, status string, score int, quality_score double, "
     f"review_feedback string, review_notes {_TEXTS}, created_at timestamp, updated_at timestamp"
 )
-NODE = f"graph_id string, id string, name string, category string, tags {_TEXTS}, description string"
+NODE = f"graph_id string, id string, name string, category string, tags {_TEXTS}, description string, created_at timestamp"
 EDGE = "graph_id string, source string, target string, type string, weight double"
 VECTOR = "id string, source_type string, text string, vector array<double>"
 VALUE = "key string, value string, expires_at timestamp"
@@ -145,6 +145,37 @@ class Skills(KeyedTable):
         super().save(rows.withColumns({"created_at": created, "updated_at": F.current_timestamp()}))
 
 
+class Graphs:
+    """Named graphs: their nodes in one table and their edges in another, both by the graph's id."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.nodes = KeyedTable(spark, f"{root}/nodes", NODE, ("graph_id", "id"))
+        self.edges = KeyedTable(spark, f"{root}/edges", EDGE, ("graph_id", "source", "target", "type"))
+
+    def save(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """Add or replace nodes and edges; nodes without a time of creation get that of now."""
+        created = F.coalesce("created_at", F.current_timestamp()) if "created_at" in nodes.columns else F.current_timestamp()
+        self.nodes.save(nodes.withColumn("created_at", created))
+        self.edges.save(edges)
+
+    def list(self, limit: int | None = 10, offset: int = 0) -> DataFrame:
+        """``(graph_id, nodes, edges, created_at)``, the last made first."""
+        made = self.nodes.current().groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"), F.min("created_at").alias("created_at"))
+        tied = self.edges.current().groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
+        found = made.join(tied, "graph_id", "left").select("graph_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "created_at").orderBy(F.desc("created_at"), "graph_id").offset(offset)
+        return found if limit is None else found.limit(limit)
+
+    def load(self, graph_id: str) -> tuple[DataFrame, DataFrame] | None:
+        """The nodes and edges of one graph; None if there is no such graph."""
+        nodes = self.nodes.current().where(F.col("graph_id") == graph_id)
+        return (nodes, self.edges.current().where(F.col("graph_id") == graph_id)) if nodes.limit(1).count() else None
+
+    def delete(self, graph_id: str) -> bool:
+        """Delete one graph; whether there was one."""
+        self.edges.delete(F.col("graph_id") == graph_id)
+        return self.nodes.delete(F.col("graph_id") == graph_id) > 0
+
+
 class Values(KeyedTable):
     """Cached texts by key, each for a number of hours."""
 
@@ -188,15 +219,23 @@ def read_json(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("_broken IS NULL AND id IS NOT NULL").drop("_broken").withColumns(filled)
 
 
-def file_names(skills: DataFrame) -> DataFrame:
-    """``skills`` with ``file_name``: the name's slug, the id where that is empty, both where several share a slug."""
+def file_names(skills: DataFrame, longest: int | None = None) -> DataFrame:
+    """``skills`` with ``file_name``: the name's slug, the id where that is empty, both where several share a slug.
+
+    With ``longest``, the name itself cut at so many characters, without hyphens at its end; of those that share one the last by id remains, and
+    records without a name are left out.
+    """
+    if longest is not None:
+        short = skills.where("name <> ''").withColumn("file_name", F.regexp_replace(F.substring("name", 1, longest), "-+$", ""))
+        last = short.groupBy("file_name").agg(F.max("id").alias("id"))
+        return short.join(last, ["file_name", "id"], "left_semi")
     slug = file_slug(F.coalesce("name", F.lit("")))
     base = skills.withColumn("_slug", F.when(slug == "", F.col("id")).otherwise(slug))
     rank = F.row_number().over(Window.partitionBy("_slug").orderBy("id"))
     return base.withColumn("file_name", F.when(rank > 1, F.concat_ws("-", "_slug", "id")).otherwise(F.col("_slug"))).drop("_slug")
 
 
-def export_markdown(skills: DataFrame, folder: str) -> int:
+def export_markdown(skills: DataFrame, folder: str, longest: int | None = None) -> int:
     """One ``<file_name>.md`` a record in a folder that all executors share; returns their number.
 
     A file is written beside its place and moved there, so a repeated task leaves the same files.
@@ -210,6 +249,6 @@ def export_markdown(skills: DataFrame, folder: str) -> int:
                 f.write(r["markdown"])
             os.replace(part, f"{folder}/{r['file_name']}.md")
 
-    named = file_names(skills)
+    named = file_names(skills, longest)
     named.select("file_name", markdown(named).alias("markdown")).foreachPartition(write)
     return skills.count()

@@ -128,9 +128,22 @@ def test_run(spark, tmp_path, capsys):
     assert engine.similar_to("finance budget", source_type="skill").first()["score"] > 0
     assert engine.stats().first()["total"] == len(made)
     assert engine.list_books(str(folder)).count() == 3
+    assert all(r["source_chapters"] and all(c.startswith("chunk_") for c in r["source_chapters"]) for r in made)
+    assert {p.stem for p in (tmp_path / "store" / "markdown").glob("*.md")} >= {r["name"] for r in made}
+    listed = engine.graphs.list().collect()
+    assert [(r["graph_id"], r["nodes"], r["edges"]) for r in listed] == [(made[0]["book_id"], engine.nodes.count(), engine.edges.count())] and listed[0]["created_at"]
+    assert engine.graphs.load("none") is None and engine.graphs.load(made[0]["book_id"])[0].count() == len(made)
     assert engine.export_markdown(str(tmp_path / "out")) == len(made) == len(list((tmp_path / "out").glob("*.md")))
     main(["--store", f"{tmp_path}/store", "delete", made[0]["id"]], spark)
     main(["--store", f"{tmp_path}/store", "stats"], spark)
     main(["--store", f"{tmp_path}/store", "settings"], spark)
     out = capsys.readouterr().out
+    assert engine.graphs.delete(made[0]["book_id"]) and not engine.graphs.delete(made[0]["book_id"]) and engine.graphs.list().count() == 0 and engine.edges.count() == 0
     assert "1 deleted" in out and "chunk_words" in out and engine.skills.count() == len(made) - 1
+
+
+def test_short_file_names(spark, tmp_path):
+    long = "a" * 58 + "-" * 4 + "b"
+    rows = [("1", long), ("2", "a" * 58 + "--c"), ("3", "plain"), ("4", "")]
+    named = store.file_names(spark.createDataFrame(rows, "id string, name string"), 60)
+    assert sorted((r["file_name"], r["id"]) for r in named.collect()) == [("a" * 58, "2"), ("plain", "3")]
