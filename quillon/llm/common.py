@@ -23,12 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the warehouse, else (local masters) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; without it a temporary one on a local master, and an error elsewhere."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _local_scratch:
         folder = tempfile.TemporaryDirectory(prefix="quillon-")
         atexit.register(folder.cleanup)

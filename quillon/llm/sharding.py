@@ -124,7 +124,7 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
         joined = rows.join(placed.select("key", "shard"), "key")
 
     runs = max(8, math.ceil(count / shards / ROWS_PER_RUN))
-    out = materialise(joined.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run")), "placed")
+    out = materialise(joined.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(runs)).alias("run")), "placed")
     return number(out, "shard", "run").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
