@@ -243,7 +243,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, cutoff: float = 0.5
     Null and empty texts and those without candidates give none; repeated rows, and rows of null doc_id, give theirs each; a word with
     several candidates gives a row for each value. Other columns are left out; no rows give none.
     """
-    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), findings).select("doc_id", F.explode("_found").alias("e"))
+    rows = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), findings)
+    rows = rows.select("doc_id", F.explode_outer("_found").alias("e")).where("e IS NOT NULL")  # an inner explode would have the optimiser ask for its size first, and compute it twice
     return rows.select(
         "doc_id", F.col("e.at").alias("word_at"), F.length("e.value").cast("long").alias("n_chars"), F.sha2(F.col("e.value"), 256).alias("value_sha256"),
         F.round("e.votes", 6).alias("votes"), (F.col("e.votes") >= cutoff).alias("is_secret"),
