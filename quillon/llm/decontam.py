@@ -167,7 +167,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents without any item in them, with their own columns; row by row, without a shuffle."""
+    """The documents without any item in them, with their own columns; row by row, without a shuffle.
+
+    Null and empty texts hold no item and stay, as do all documents where there are no items; repeated rows stay or go together; no rows give none.
+    """
     bound_batches(docs.sparkSession)
     for portion in passes(benchmark):
         items, key = docs.sparkSession.sparkContext.broadcast(portion), uuid.uuid4().hex
