@@ -17,6 +17,7 @@ def components(units: DataFrame, key: str = "unit_id") -> DataFrame:
 
     A tag ties each of its units to the least of them: one edge per unit and tag, never a pair of units.
     """
+    units = written(units.select(key, "tags"), "units")
     tagged = written(units.select(key, F.explode(F.array_distinct(F.transform("tags", F.lower))).alias("tag")), "tags")
     low = written(tagged.groupBy("tag").agg(F.min(key).alias("b")), "hubs")
     hubs = F.broadcast(low) if low.count() <= BROADCAST_TAGS else low
