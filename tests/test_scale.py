@@ -1,8 +1,10 @@
 """Steps that must stay cheap, and give the same as before, on large tables."""
 
+import random
+
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import knowledge
+from quillon.operators import knowledge, similar
 
 
 def plan_of(df) -> str:
@@ -23,3 +25,29 @@ def test_tags_of_null_and_of_many_keywords(spark):
     got = {r["id"]: r["t"] for r in rows.select("id", T.inferred_tags(rows["text"]).alias("t")).collect()}
     low = "a javascript api for sales teams and productivity"
     assert got == {1: [], 2: [t for k, t in V.TAG_KEYWORDS if k in low][:5]}
+
+
+def test_similar_sets_lose_no_pair(spark):
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    sets = [draw.sample(words, draw.randrange(1, 50)) for _ in range(60)]
+    for _ in range(60):  # near and exact copies
+        base = list(draw.choice(sets))
+        sets.append([w for w in base if draw.random() > draw.choice([0, 0.1, 0.4])] or base)
+    sets += [[], sets[0], sets[0][::-1]]
+    df = spark.createDataFrame([("s" if i % 5 else "t", i, x) for i, x in enumerate(sets)], "scope string, no long, items array<string>")
+    for least in (0.4, 0.6, 0.8):
+        got = {(r["a"], r["b"]): r["similarity"] for r in similar.similar_sets(df, "scope", "no", least).collect()}
+        want = {(i, j): s for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (i % 5 == 0) == (j % 5 == 0) and a and b and (s := len(set(a) & set(b)) / len(set(a) | set(b))) >= least}
+        assert got == want
+
+
+def test_sets_that_share_an_item_by_chance_are_not_compared(spark, monkeypatch):
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(2_000)]
+    df = spark.createDataFrame([("s", i, draw.sample(words, 60)) for i in range(300)], "scope string, no long, items array<string>")
+    kept = {}
+    real = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: kept.setdefault(name, real(df, name)) if name == "candidates" else real(df, name))
+    assert similar.similar_sets(df, "scope", "no", 0.6).count() == 0
+    assert kept["candidates"].count() < 1_000  # some 10,000 pairs share one of the rarest 25 items
