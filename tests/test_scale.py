@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import knowledge, similar
+from quillon.operators import knowledge, similar, skills
 
 
 def plan_of(df) -> str:
@@ -51,3 +53,24 @@ def test_sets_that_share_an_item_by_chance_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(similar, "written", lambda df, name: kept.setdefault(name, real(df, name)) if name == "candidates" else real(df, name))
     assert similar.similar_sets(df, "scope", "no", 0.6).count() == 0
     assert kept["candidates"].count() < 1_000  # some 10,000 pairs share one of the rarest 25 items
+
+
+def test_unique_names_of_lone_names_take_no_task_of_their_own(spark):
+    draw = random.Random(8)
+    pool = ["plan", "rule-2", "step-3", "list", "list-2", "list-2-2", "list-02", "list-4", "a-1-2", "a"]
+    rows = [(part, i, draw.choice(pool[:3] if part == "x" else pool)) for part in "xy" for i in range(300)]
+    df = spark.createDataFrame(rows, "part string, no long, name string")
+    seen = []
+    real = skills.numbered
+    skills.numbered = lambda d, by, *rest: (seen.append((by, d.where("_in = 'x'").count())), real(d, by, *rest))[1]
+    try:
+        got = {(r["part"], r["no"]): r["name"] for r in skills.unique_names(df.withColumn("o", F.struct("part", "no")), "o", "part").collect()}
+    finally:
+        skills.numbered = real
+    want, taken = {}, {"x": set(), "y": set()}
+    for part, i, name in rows:
+        own = name if name not in taken[part] else next(f"{name}-{n}" for n in range(2, 1000) if f"{name}-{n}" not in taken[part])
+        taken[part].add(own)
+        want[part, i] = own
+    assert got == want
+    assert seen == [(["_in", "_before"], 300), (["_in", "_root"], 0)]
