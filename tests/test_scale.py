@@ -1,5 +1,7 @@
 """Steps that must stay cheap, and give the same as before, on large tables."""
 
+import hashlib
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
 from quillon.operators import knowledge, similar, skills
+from quillon.plans.queries import QUERIES
 
 
 def plan_of(df) -> str:
@@ -74,3 +77,16 @@ def test_unique_names_of_lone_names_take_no_task_of_their_own(spark):
         want[part, i] = own
     assert got == want
     assert seen == [(["_in", "_before"], 300), (["_in", "_root"], 0)]
+
+
+def cancelling():
+    """Two words of one bucket and different signs, and one of negative sign elsewhere."""
+    at = {w: (int.from_bytes((h := hashlib.md5(w.encode()).digest())[:4], "little") % 384, h[4] % 2) for w in map("".join, itertools.product("bcdfgk", repeat=4))}
+    first, second = next((a, b) for a, b in itertools.combinations(at, 2) if at[a][0] == at[b][0] and at[a][1] != at[b][1])
+    return first, second, next(w for w in at if at[w][0] != at[first][0] and at[w][1])
+
+
+def test_buckets_that_cancel_out_count_as_zero(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(cancelling())), (2, " ".join(cancelling()[:2])), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["hash_embedding"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [(1, 1, 0.0, -1.0)]
