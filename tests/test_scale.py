@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import vocabulary as V
-from quillon.operators import knowledge, similar, skills
+from quillon.operators import embed, knowledge, similar, skills
 from quillon.plans.queries import QUERIES
 
 
@@ -90,3 +90,15 @@ def test_buckets_that_cancel_out_count_as_zero(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(cancelling())), (2, " ".join(cancelling()[:2])), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = QUERIES["hash_embedding"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in rows] == [(1, 1, 0.0, -1.0)]
+
+
+def test_vectors_are_made_in_place(spark):
+    first, second, other = cancelling()
+    df = spark.createDataFrame([(1, f"{first} {second} {other}"), (2, f"{first} {second}"), (3, None), (4, "sales sales funnel don't")], "id long, text string")
+    found = embed.dense(df, "id", F.col("text"))
+    plan = plan_of(found)
+    assert "Join" not in plan and "Aggregate" not in plan
+    got = {r["id"]: r["vector"] for r in found.collect()}
+    cells = {(r["id"], r["bucket"]): r["value"] for r in similar.hashed_vector(df, "id", F.col("text")).collect()}
+    assert set(got) == {1, 2, 3, 4} and {len(v) for v in got.values()} == {384}
+    assert all(abs(x - cells.get((i, k), 0.0)) < 1e-12 for i, v in got.items() for k, x in enumerate(v))
