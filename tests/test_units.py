@@ -51,3 +51,40 @@ def test_a_line_is_matched_by_its_head_alone(spark):
     """The whole line is not gone through by a regular expression: that took most of the time of all queries on units."""
     plan = knowledge.units(spark.createDataFrame([(1, "Always a long line")], "id long, text string"), ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "(.+)" not in plan and plan.count("regexp_extract") == 1
+
+
+def test_titles_and_types_are_made_in_steps(spark):
+    """What a title or a type is made of is computed once, and a content is cut only where one of its four ends occurs."""
+    plan = knowledge.units(spark.createDataFrame([(1, "Always a long line")], "id long, text string"), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring_index(") == 4 + 2 and plan.count("[^A-Za-z]") == 1
+
+
+def test_tags_within_one_batch_and_over_pieces():
+    """Keywords at the ends of contents, over two contents, in parts of an Arrow array, and cut by a piece's end are told apart."""
+    import pyarrow as pa
+
+    from quillon.functions import text as T
+
+    words = [k for k, _ in V.TAG_KEYWORDS]
+    texts = [None, "", "se", "o", "social", " media", "social media", "SOCIAL MEDIA", "apİ", "marKeting", "é" * 9 + "brandé", *words, *(w[:-1] for w in words), *(w[1:] for w in words), " ".join(words)] * 3
+    want = [[] if x is None else list(dict.fromkeys(t for k, t in V.TAG_KEYWORDS if k in x.lower())) for x in texts]
+    array = pa.array(texts, pa.string())
+    assert T._tags_of.func(array).to_pylist() == want and T._tags_of.func(array[7:100]).to_pylist() == want[7:100]
+    kept, T._PIECE = T._PIECE, 40
+    try:
+        plain = [(x, w) for x, w in zip(texts, want, strict=True) if x is not None and x.isascii()]
+        assert T._tags_of.func(pa.array([x for x, _ in plain])).to_pylist() == [w for _, w in plain]
+    finally:
+        T._PIECE = kept
+
+
+def test_records_take_one_list_of_contents(spark):
+    """Records of units without references sort once and gather contents in one list; with references they are the same."""
+    from quillon.operators import skills
+
+    lines = [(i // 40, i, kind, f"Title {i}", f"content number {i % 23} that is long enough", 0.5 + i % 5 / 10, ["sales", f"tag-{i % 3}"]) for i, kind in enumerate(V.UNIT_TYPES * 30)]
+    units = spark.createDataFrame([x for x in lines if x[2] != "reference"], "grp long, ord long, unit_type string, title string, content string, confidence double, tags array<string>")
+    lean = skills.records(units, "grp", references=False)
+    plan = lean._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Expand" not in plan
+    assert sorted(map(str, lean.collect())) == sorted(map(str, skills.records(units, "grp").collect()))
