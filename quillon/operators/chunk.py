@@ -137,11 +137,14 @@ def joined_to(parts: Column, fits: Callable[[Column], Column], between: str) ->
     """``(index, text)`` of parts; all but the first that don't ``fit`` are joined to the one before, which keeps its number."""
     kept = F.filter(positions(parts), lambda i: (i == 0) | fits(F.get(parts, i)))
 
-    def one(i: Column, j: Column) -> Column:
-        upto = F.coalesce(F.get(kept, j + 1), F.size(parts))
-        return F.struct(i.alias("index"), F.array_join(F.slice(parts, i + 1, upto - i), between).alias("text"))
+    def joined(kept: Column) -> Column:
+        def one(i: Column, j: Column) -> Column:
+            upto = F.coalesce(F.get(kept, j + 1), F.size(parts))
+            return F.struct(i.alias("index"), F.array_join(F.slice(parts, i + 1, upto - i), between).alias("text"))
 
-    return F.transform(kept, one)
+        return F.transform(kept, one)
+
+    return bound(kept, joined)  # else all parts would be judged again for each
 
 
 def overlapped(parts: Column, least: int, overlap: int) -> Column:
@@ -150,8 +153,8 @@ def overlapped(parts: Column, least: int, overlap: int) -> Column:
         return parts
 
     def one(p: Column, i: Column) -> Column:
-        last = tail(F.get(parts, i - 1), overlap)
-        return F.when((i > 0) & (last != ""), F.concat(last, F.lit("\n"), p)).otherwise(p)
+        put = lambda last: F.when(last != "", F.concat(last, F.lit("\n"), p)).otherwise(p)
+        return F.when(i > 0, bound(tail(F.get(parts, i - 1), overlap), put)).otherwise(p)
 
     made = bound(F.transform(parts, one), lambda x: F.transform(joined_to(x, lambda p: word_count(p) >= least, "\n"), lambda c: c["text"]))
     return F.when(F.size(parts) > 1, made).otherwise(parts)
@@ -162,12 +165,17 @@ def recursive(text: Column, most: int, least: int, overlap: int) -> Column:
 
     Texts without one are cut as by :func:`paragraph`.
     """
-    mark = stripped(F.regexp_extract(text, HEADING, 0))
-    rest = stripped(F.regexp_replace(text, HEADING, ""))
-    whole = F.concat(mark, F.lit("\n\n"), rest)
-    cut = F.when(word_count(rest) > most, sentences(rest, most)).otherwise(F.array(rest))
-    parts = F.when(word_count(whole) <= most, F.array(whole)).otherwise(F.concat(F.array(mark), cut))
-    return F.when((mark != "") & (rest != ""), bound(parts, lambda p: overlapped(p, least, overlap))).otherwise(paragraph(text, most, least, overlap))
+    def cut(known: Column) -> Column:
+        mark, rest, size = known["mark"], known["rest"], known["size"]
+        whole = F.array(F.concat(mark, F.lit("\n\n"), rest))
+        more = F.concat(F.array(mark), F.when(size > most, sentences(rest, most)).otherwise(F.array(rest)))
+        parts = F.when(word_count(mark) + size <= most, whole).otherwise(more)
+        return F.when((mark != "") & (rest != ""), bound(parts, lambda p: overlapped(p, least, overlap))).otherwise(paragraph(text, most, least, overlap))
+
+    # each of these goes through the text, so it is computed once
+    halves = F.struct(stripped(F.regexp_extract(text, HEADING, 0)).alias("mark"), stripped(F.regexp_replace(text, HEADING, "")).alias("rest"))
+    counted = lambda x: bound(F.struct(x["mark"].alias("mark"), x["rest"].alias("rest"), word_count(x["rest"]).alias("size")), cut)
+    return bound(halves, counted)
 
 
 STRATEGIES: dict[str, Callable[[Column, int, int, int], Column]] = {"semantic": semantic, "hybrid": semantic, "paragraph": paragraph, "recursive": recursive}

@@ -100,3 +100,11 @@ def test_plan_is_native(spark):
     df = chunk.folded(spark.createDataFrame([(1, "a b\n\nc")], "id long, text string"), "id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_parts_are_judged_once(spark):
+    """Joining small parts judges each part once, not all parts again for each chunk, which grew with the square of a text's parts."""
+    rows = spark.createDataFrame([(["a b", "c", "d e", "f"],)], "parts array<string>")
+    made = rows.select(chunk.joined_to(F.col("parts"), lambda p: chunk.word_count(p) >= 2, "-").alias("x"))
+    assert [tuple(c) for c in made.first()["x"]] == [(0, "a b-c"), (2, "d e-f")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("filter(") == 1
