@@ -59,3 +59,22 @@ def test_lists_find_the_nearest(spark, tmp_path, monkeypatch):
     assert [r["key"] for r in every] == [k for _, k in want]
     one = made.search(rows[20][1], 10, probes=len(made.centroids)).collect()
     assert {r["key"] for r in one} == {k for _, k in want}
+
+
+def test_ranking_holds_few_scores_at_once():
+    """The scores of a few queries against a list's chunk are held, not of a thousand; the neighbours are those of a plain sort."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(index.CHUNK, 16)), rng.normal(size=(1_500, 16))
+    a, b = pd.DataFrame({"query": range(len(q)), "vector": list(q)}), pd.DataFrame({"key": range(len(x)), "vector": list(x)})
+    tracemalloc.start()
+    got = index._ranked(a, b, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got["key"].to_numpy().reshape(len(q), 10).tolist() == np.argsort(-np.round(unit(q) @ unit(x).T, 9), axis=1, kind="stable")[:, :10].tolist()
