@@ -88,3 +88,16 @@ def test_records_take_one_list_of_contents(spark):
     plan = lean._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1 and "Expand" not in plan
     assert sorted(map(str, lean.collect())) == sorted(map(str, skills.records(units, "grp").collect()))
+
+
+def test_lines_are_chosen_without_making_their_contents(spark):
+    """Lines become one array, and contents are made of the chosen ones only, outside of lambdas; ends and spaces near ten characters count as in a plain loop."""
+    tails = [f": {'x' * a}{gap}{end}{'y' * b}" for a in (1, 8, 9, 10, 11) for gap in ("", "   ", " " * 12) for end in ("", "\r", "\x85", "\u2028", "\u2029") for b in (0, 1, 9)]
+    tails += [": " + x for x in ("é" * 9, "é" * 10, "😀" * 9 + " ", "😀" * 9 + " .", "a" + " " * 40 + "b", "a" + " " * 40 + "\r b", "é" * 9 + "\x85" + "é" * 9)]
+    lines = [head + tail for head in ("Avoid", "  Rule 2", "best \t practice", "Always") for tail in tails]
+    rows = spark.createDataFrame(list(enumerate(lines)), "id long, text string")
+    for least in (0.3, 0.45):
+        found = knowledge.units(rows, ["id"], least=least)
+        assert {r["id"]: (r["unit_type"], r["content"]) for r in found.collect()} == {i: x for i, line in enumerate(lines) if (x := plain(line, V.UNIT_TYPES, least))}
+    plan = knowledge.units(rows, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 2  # of lines, and of a title's words
