@@ -101,3 +101,15 @@ def test_lines_are_chosen_without_making_their_contents(spark):
         assert {r["id"]: (r["unit_type"], r["content"]) for r in found.collect()} == {i: x for i, line in enumerate(lines) if (x := plain(line, V.UNIT_TYPES, least))}
     plan = knowledge.units(rows, ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(") == 2  # of lines, and of a title's words
+
+
+def test_long_contents_are_told_by_bytes(spark):
+    """Of a content of more than 120 bytes no characters are counted; those of few bytes are told apart at 31 characters."""
+    from quillon.operators import skills
+
+    texts = ["é" * 30, "é" * 31, "😀" * 30, "😀" * 31, "x" * 30, "x" * 121]
+    rows = [(i, i, "workflow", f"Title {i}", x, 0.5, ["sales"]) for i, x in enumerate(texts)]
+    made = skills.records(spark.createDataFrame(rows, "grp long, ord long, unit_type string, title string, content string, confidence double, tags array<string>"), "grp", references=False)
+    got = {r["grp"]: r["description"] for r in made.collect()}
+    assert got == {i: x if len(x) > 30 else "Skill derived from 1 knowledge units." for i, x in enumerate(texts)}
+    assert "octet_length(content" in made._jdf.queryExecution().optimizedPlan().toString()
