@@ -1,11 +1,14 @@
-"""Cosines in tiles of two-byte components."""
+"""Cosines in tiles of two-byte components, sets in tiles of rare items."""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
-from quillon.operators import relations
+from quillon.operators import relations, similar
+from quillon.plans.queries import _embedded_records
 
 LEAST = 0.85
 
@@ -41,3 +44,28 @@ def test_tiles_are_sent_two_bytes_a_component(spark):
     rows = spark.createDataFrame([("s", 1, [0.6, 0.8])], "scope string, no long, vector array<double>")
     plan = relations.cosine_pairs(rows, "scope", "no", LEAST)._jdf.queryExecution().analyzed().toString()
     assert "as smallint" in plan and "array<float>" not in plan
+
+
+def test_sets_in_many_small_tiles_lose_no_pair(spark, monkeypatch):
+    """Blocks of few sets, and few meetings looked through at once; items are sent with their set, not a row each."""
+    monkeypatch.setattr(similar, "SETS", 7)
+    monkeypatch.setattr(similar, "MEETINGS", 40)
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(50)] + ["", "é", "w1 w2"]
+    sets = [draw.sample(words, draw.choice([1, 2, 3, 8, 20, 45])) for _ in range(70)]
+    sets += [[w for w in draw.choice(sets) if draw.random() > 0.15] for _ in range(70)]
+    sets += [None, [], [None, "w1"], ["w1", None, None], sets[0][::-1]]
+    df = spark.createDataFrame([("st"[i % 3 == 0], i, x) for i, x in enumerate(sets)], "scope string, no long, items array<string>")
+    kept, real = {}, similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    got = {(r["a"], r["b"]): r["similarity"] for r in similar.similar_sets(df, "scope", "no", 0.6).collect()}
+    want = {(i, j): s for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (i % 3 == 0) == (j % 3 == 0) and a and b and (s := len(set(a) & set(b)) / len(set(a) | set(b))) >= 0.6}
+    assert len(want) > 20 and got == want
+    assert kept["rare"].count() <= len(sets) and kept["tiles"].count() > 40
+
+
+def test_records_are_embedded_where_they_are(spark, tmp_path):
+    text = "Close the quarter with a review of each open customer account."
+    spark.createDataFrame([(d, f"{text} Entry {d}.", "src0") for d in range(12)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = _embedded_records(spark, str(tmp_path))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString() and made.where("size(vector) = 384").count() == 3
