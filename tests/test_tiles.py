@@ -69,3 +69,22 @@ def test_records_are_embedded_where_they_are(spark, tmp_path):
     spark.createDataFrame([(d, f"{text} Entry {d}.", "src0") for d in range(12)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     made = _embedded_records(spark, str(tmp_path))
     assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString() and made.where("size(vector) = 384").count() == 3
+
+
+@pytest.mark.parametrize("least", [0.3, 0.85])
+def test_rotated_tiles_find_the_same_pairs(monkeypatch, least):
+    """The first components of rotated vectors rule out most pairs, and none that a whole product lets through."""
+    monkeypatch.setattr(relations, "SEEN", 64)
+    rng = np.random.default_rng(8)
+    spread = 1 / np.arange(1, 97) ** 0.5
+    x, y = ((m := rng.normal(size=(n, 96)) * spread) / np.linalg.norm(m, axis=1, keepdims=True) for n in (500, 700))
+    y[:60] = x[:60] + 0.03 * rng.normal(size=(60, 96))
+    y[:60] /= np.linalg.norm(y[:60], axis=1, keepdims=True)
+    x[70], y[80] = 0, 0
+    x, y = x.astype("float32"), y.astype("float32")
+    head = relations._turned(x, y, least)[1]
+    assert (head in (24, 36, 48)) == (least > 0.5)  # no rotation helps where many pairs are near
+    got = set(zip(*map(list, relations._near(x, y, least)), strict=True))
+    whole = x @ y.T
+    assert {p for p in got if abs(whole[p] - least) > 1e-5} == {(i, j) for i, j in np.argwhere(whole >= least) if abs(whole[i, j] - least) > 1e-5} and len(got) >= 60
+    assert len(relations._near(x[:0], y, least)[0]) == len(relations._near(x, y[:0], least)[0]) == 0
