@@ -78,3 +78,21 @@ def test_ranking_holds_few_scores_at_once():
     assert peak < 20e6
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     assert got["key"].to_numpy().reshape(len(q), 10).tolist() == np.argsort(-np.round(unit(q) @ unit(x).T, 9), axis=1, kind="stable")[:, :10].tolist()
+
+
+def test_queries_are_placed_in_slices_and_asked_in_parts(spark, tmp_path, monkeypatch):
+    """A worker holds few products with centroids at once, and a list's queries are dealt to several tasks; the neighbours stay the same."""
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    made = index.VectorIndex(spark, f"{tmp_path}/lists").build(df, "id", "v", lists=5)
+    told = lambda: {(r["query"], r["rank"]): (r["key"], r["score"]) for r in made.nearest(df, "id", "v", 3, probes=5).collect()}
+    want = told()
+    monkeypatch.setattr(index, "SCORES", 35)
+    monkeypatch.setattr(index, "QUERIES", 30)
+    monkeypatch.setattr(index, "CHUNK", 25)
+    assert told() == want and len(want) == 1_200
+    parts = list(index._slices(iter([pd.DataFrame({"vector": list(x)}), pd.DataFrame({"vector": []})]), made.centroids))
+    assert {len(p) for p, _ in parts} == {7, 1} and sum(len(p) for p, _ in parts) == 400
