@@ -88,3 +88,14 @@ def test_rotated_tiles_find_the_same_pairs(monkeypatch, least):
     whole = x @ y.T
     assert {p for p in got if abs(whole[p] - least) > 1e-5} == {(i, j) for i, j in np.argwhere(whole >= least) if abs(whole[i, j] - least) > 1e-5} and len(got) >= 60
     assert len(relations._near(x[:0], y, least)[0]) == len(relations._near(x, y[:0], least)[0]) == 0
+
+
+def test_records_read_once_are_not_written_first(spark, tmp_path, monkeypatch):
+    from quillon.plans import queries
+
+    rows = [(d, f"Close the quarter with a review of each open account of place{d // 10}.", "src0") for d in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen, real = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda df, name: (seen.append(name), real(df, name))[1])
+    counts = queries.dedup_counts(spark, str(tmp_path)).first()
+    assert counts["input"] == 8 and counts["final"] + counts["removed"] == 8 and seen == []
